@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import common as C
 
@@ -23,6 +24,13 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(C.table(spark, sf_dir, "documents"), *tokenizer_file())
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import decontaminate
+
+    hits = decontaminate.scan(C.table(spark, sf_dir, "documents"), C.table(spark, sf_dir, "benchmark"))
+    return hits.select("doc_id", F.col("n_words").cast("long"), F.size("hits").cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("hits") > 0).alias("contaminated"))
+
+
 def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import media
 
@@ -39,8 +47,29 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_byte_bpe": op3_byte_bpe,
+    "op5_decontaminate": op5_decontaminate,
     "op9_media_columns": op9_media_columns,
     "op10_quality": op10_quality,
 }
 
-SQL: dict[str, str] = {}
+#: Words as the contracts define them, in DuckDB's SQL.
+SQL_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+SQL: dict[str, str] = {
+    "op5_decontaminate": f"""
+WITH item AS (SELECT item_id, {SQL_WORDS} AS w FROM benchmark),
+win AS (SELECT DISTINCT item_id, least(len(w), 10) AS n, w[i : i + least(len(w), 10) - 1] AS g
+        FROM (SELECT item_id, w, unnest(generate_series(1, len(w) - least(len(w), 10) + 1)) AS i FROM item WHERE len(w) > 0)),
+doc AS (SELECT doc_id, {SQL_WORDS} AS w FROM documents),
+size AS (SELECT DISTINCT n FROM win),
+spot AS (SELECT doc_id, n, i, w[i : i + n - 1] AS g
+       FROM (SELECT doc_id, w, n, unnest(generate_series(1, len(w) - n + 1)) AS i FROM doc, size WHERE len(w) >= n)),
+hit AS (SELECT spot.doc_id, spot.n, spot.i, win.item_id FROM spot JOIN win ON spot.n = win.n AND spot.g = win.g),
+word AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(generate_series(i, i + n - 1)) AS p FROM hit) GROUP BY doc_id),
+item_of AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+            FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hit) GROUP BY doc_id)
+SELECT doc.doc_id, CAST(len(doc.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+       CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM doc LEFT JOIN word USING (doc_id) LEFT JOIN item_of USING (doc_id)
+""",
+}
