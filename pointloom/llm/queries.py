@@ -31,6 +31,12 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.select("doc_id", F.col("n_words").cast("long"), F.size("hits").cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("hits") > 0).alias("contaminated"))
 
 
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import licenses
+
+    return licenses.scan(C.table(spark, sf_dir, "documents")).drop("detections")
+
+
 def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import media
 
@@ -48,6 +54,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_byte_bpe": op3_byte_bpe,
     "op5_decontaminate": op5_decontaminate,
+    "op6_licenses": op6_licenses,
     "op9_media_columns": op9_media_columns,
     "op10_quality": op10_quality,
 }
