@@ -18,6 +18,17 @@ def tokenizer_file() -> tuple[str, str]:
     return P.path("byte_bpe_50k.tiktoken"), P.PATTERN
 
 
+def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Captures are the pages; a page's fetch time follows from its id, and the dated list from the hosts' digests."""
+    from . import urls
+
+    pages = C.table(spark, sf_dir, "pages")
+    hosts = pages.select(urls.host_of(F.col("url")).alias("host")).where("host IS NOT NULL").distinct()
+    fetched = F.timestamp_seconds(F.lit(1_704_067_200) + (F.col("page_id") * 7_919) % 730 * 86_400 + F.col("page_id") % 86_400)
+    out = urls.evaluate(pages.select("page_id", "url", fetched.alias("fetched_at")), urls.sample_list(hosts))
+    return out.withColumn("listed_at", F.date_format("listed_at", "yyyy-MM-dd"))
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import bpe
 
@@ -52,6 +63,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_url_filters": op2_url_filters,
     "op3_byte_bpe": op3_byte_bpe,
     "op5_decontaminate": op5_decontaminate,
     "op6_licenses": op6_licenses,
@@ -63,6 +75,30 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 SQL_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 SQL: dict[str, str] = {
+    "op2_url_filters": r"""
+WITH page AS (SELECT page_id, lower(regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1), '\.$', '')) AS h,
+       regexp_extract_all(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '[^/]+') AS seg,
+       to_timestamp(1704067200 + (page_id * 7919) % 730 * 86400 + page_id % 86400) AS t FROM pages),
+capture AS (SELECT page_id, CASE WHEN h <> '' THEN h END AS host, seg, t FROM page),
+host AS (SELECT DISTINCT host, CAST('0x' || substr(md5(host), 1, 3) AS INT) AS a, CAST('0x' || substr(md5(host), 4, 3) AS INT) % 600 AS b,
+                CAST('0x' || substr(md5(host), 7, 3) AS INT) AS c FROM capture WHERE host IS NOT NULL),
+entry AS (SELECT 'host:' || host AS value, 'add' AS action, b AS d, 'spam' AS category FROM host WHERE a % 16 = 0
+          UNION ALL SELECT 'host:' || host, 'remove', b + 30 + c % 60, 'spam' FROM host WHERE a % 16 = 0 AND c % 2 = 0
+          UNION ALL SELECT 'host:' || host, 'add', b + 120, 'malware' FROM host WHERE a % 16 = 0 AND c % 4 = 0
+          UNION ALL SELECT 'domain:' || host, 'add', b, 'adult' FROM host WHERE a % 16 = 1
+          UNION ALL SELECT 'prefix:' || host || '/en', 'add', b, 'ads' FROM host WHERE a % 8 = 2),
+span AS (SELECT value, action, category, to_timestamp(1704067200 + d * 86400) AS b,
+                to_timestamp(1704067200 + lead(d) OVER (PARTITION BY value ORDER BY d, action) * 86400) AS e FROM entry),
+key AS (SELECT page_id, t, 'host:' || host AS value, 1000 AS rank FROM capture WHERE host IS NOT NULL
+        UNION ALL SELECT page_id, t, 'prefix:' || host || '/' || lower(seg[1]), 1001 FROM capture WHERE host IS NOT NULL AND len(seg) > 0
+        UNION ALL SELECT page_id, t, 'domain:' || array_to_string(l[len(l) - i + 1 :], '.'), i
+                  FROM (SELECT page_id, t, string_split(host, '.') AS l, unnest(generate_series(1, len(string_split(host, '.')))) AS i FROM capture WHERE host IS NOT NULL)),
+hit AS (SELECT key.page_id, key.value, key.rank, span.category, span.b FROM key JOIN span ON key.value = span.value AND span.action = 'add'
+        AND span.b <= key.t AND (span.e IS NULL OR key.t < span.e)),
+best AS (SELECT page_id, count(*) AS n, arg_max(value, rank) AS rule, arg_max(category, rank) AS category, arg_max(b, rank) AS b FROM hit GROUP BY page_id)
+SELECT capture.page_id, host, coalesce(n, 0) AS n_active, n IS NOT NULL AS blocked, rule, category, strftime(b AT TIME ZONE 'UTC', '%Y-%m-%d') AS listed_at
+FROM capture LEFT JOIN best ON capture.page_id = best.page_id
+""",
     "op5_decontaminate": f"""
 WITH item AS (SELECT item_id, {SQL_WORDS} AS w FROM benchmark),
 win AS (SELECT DISTINCT item_id, least(len(w), 10) AS n, w[i : i + least(len(w), 10) - 1] AS g
