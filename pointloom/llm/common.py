@@ -122,22 +122,36 @@ def shards_in(batches: Iterator[pa.RecordBatch], most: int = SHARD_BYTES) -> Ite
             lo = hi
 
 
-SHARD_SCHEMA = "shard long, n_docs long, n_bytes long, ids binary, lens binary, data binary"
+SHARD_SCHEMA = "shard long, n_docs long, n_bytes long, ids binary, lens binary, data binary, rest binary"
 
 
-def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Texts as compressed shards in the shared folder, SHARD_SCHEMA. A shard's number is fixed when it is written."""
+def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", pass_on: tuple[str, ...] = ()) -> DataFrame:
+    """Texts as compressed shards in the shared folder, SHARD_SCHEMA. A shard's number is fixed when it is written;
+    rest has the columns pass_on of its rows, as an Arrow stream."""
 
     def run(batches):
         from pyspark import TaskContext
 
         base, k = TaskContext.get().partitionId() << 32, 0
-        for s in shards_in(batches):
-            ids, lens, data = s.row()
-            yield pa.RecordBatch.from_arrays([pa.array([base + k], pa.int64()), pa.array([len(s)], pa.int64()), pa.array([len(s.data)], pa.int64()), pa.array([ids], pa.binary()), pa.array([lens], pa.binary()), pa.array([data], pa.binary())], names=["shard", "n_docs", "n_bytes", "ids", "lens", "data"])
-            k += 1
-
-    return checkpoint(df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, SHARD_SCHEMA))
+        for b in batches:
+            lo = 0
+            for s in shards_in(iter([b])):
+                sink = pa.BufferOutputStream()
+                own = b.select(b.schema.names[2:]).slice(lo, len(s)) if pass_on else None
+                if own is not None:
+                    with pa.ipc.new_stream(sink, own.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+                        w.write_batch(own)
+                lo += len(s)
+                row = [base + k, len(s), len(s.data), *s.row(), sink.getvalue().to_pybytes()]
+                yield pa.RecordBatch.from_arrays([pa.array([x]) for x in row], names=["shard", "n_docs", "n_bytes", "ids", "lens", "data", "rest"])
+                k += 1
+
+    columns = [F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *(df[c].alias(f"c{k}") for k, c in enumerate(pass_on))]
+    return checkpoint(df.select(*columns).mapInArrow(run, SHARD_SCHEMA))
+
+
+def rest_of(rest: bytes) -> list[pa.Array]:
+    return pa.ipc.open_stream(rest).read_all().combine_chunks().columns if rest else []
 
 
 def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, Shard]]:

@@ -35,6 +35,12 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(C.table(spark, sf_dir, "documents"), *tokenizer_file())
 
 
+def op4_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import suffix
+
+    return suffix.deduplicate(C.table(spark, sf_dir, "documents"), keep_text=False)
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import decontaminate
 
@@ -65,6 +71,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_url_filters": op2_url_filters,
     "op3_byte_bpe": op3_byte_bpe,
+    "op4_suffix_array": op4_suffix_array,
     "op5_decontaminate": op5_decontaminate,
     "op6_licenses": op6_licenses,
     "op9_media_columns": op9_media_columns,
@@ -98,6 +105,21 @@ hit AS (SELECT key.page_id, key.value, key.rank, span.category, span.b FROM key
 best AS (SELECT page_id, count(*) AS n, arg_max(value, rank) AS rule, arg_max(category, rank) AS category, arg_max(b, rank) AS b FROM hit GROUP BY page_id)
 SELECT capture.page_id, host, coalesce(n, 0) AS n_active, n IS NOT NULL AS blocked, rule, category, strftime(b AT TIME ZONE 'UTC', '%Y-%m-%d') AS listed_at
 FROM capture LEFT JOIN best ON capture.page_id = best.page_id
+""",
+    "op4_suffix_array": r"""
+WITH doc AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+spot AS (SELECT doc_id, b, octet_length(b) AS n, unnest(range(octet_length(b) - 99)) AS s FROM doc),
+string AS (SELECT doc_id, s, b[s + 1 : s + 100] AS g FROM spot),
+hit AS (SELECT doc_id, s FROM (SELECT doc_id, s, doc_id * 100000000 + s AS k, min(doc_id * 100000000 + s) OVER (PARTITION BY g) AS first FROM string) WHERE k > first),
+edge AS (SELECT doc_id, s, CASE WHEN s > lag(s) OVER (PARTITION BY doc_id ORDER BY s) + 100 THEN 1 ELSE 0 END AS new FROM hit),
+isle AS (SELECT doc_id, s, sum(new) OVER (PARTITION BY doc_id ORDER BY s) AS k FROM edge),
+span AS (SELECT doc_id, k, min(s) AS a, max(s) + 100 AS z FROM isle GROUP BY doc_id, k),
+gap AS (SELECT doc_id, a, z, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS p FROM span),
+cut AS (SELECT doc_id, sum(z - a) AS n_removed, count(*) AS n_spans, max(z) AS last, string_agg(substr(hex(b), 2 * p + 1, 2 * (a - p)), '' ORDER BY a) AS kept
+        FROM gap JOIN doc USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, CAST(octet_length(b) AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+       sha256(CASE WHEN n_spans IS NULL THEN b ELSE unhex(kept || substr(hex(b), 2 * last + 1)) END) AS kept_sha256
+FROM doc LEFT JOIN cut USING (doc_id)
 """,
     "op5_decontaminate": f"""
 WITH item AS (SELECT item_id, {SQL_WORDS} AS w FROM benchmark),
