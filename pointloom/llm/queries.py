@@ -54,6 +54,14 @@ def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(C.table(spark, sf_dir, "documents")).drop("detections")
 
 
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import langid
+
+    docs = C.table(spark, sf_dir, "documents")
+    out = langid.identify(docs, *langid.learn(docs))
+    return out.select("doc_id", (C.remainder(F.col("doc_id"), 3) == 1).alias("held_out"), "lang_pred", "score")
+
+
 def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import media
 
@@ -74,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_suffix_array": op4_suffix_array,
     "op5_decontaminate": op5_decontaminate,
     "op6_licenses": op6_licenses,
+    "op8_language": op8_language,
     "op9_media_columns": op9_media_columns,
     "op10_quality": op10_quality,
 }
