@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 #: What stands for a null doc_id inside packed arrays: smaller than every other.
 NULL_ID = np.iinfo(np.int64).min
 #: Bytes of text in a packed shard, but for a single longer text.
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
 #: Characters that words cannot hold, for Java's and for RE2's regular expressions.
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -40,6 +40,18 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def checkpoint_by(df: DataFrame, key: str) -> DataFrame:
+    """checkpoint(df), dealt out by a column in a way that later joins on it know of: they do not move it again.
+    An adaptive plan does not say how its result is dealt out, so this one is planned as a whole."""
+    conf, name = df.sparkSession.conf, "spark.sql.adaptive.enabled"
+    before = conf.get(name)
+    conf.set(name, "false")
+    try:
+        return checkpoint(df.repartition(int(conf.get("spark.sql.shuffle.partitions")), key))
+    finally:
+        conf.set(name, before)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -127,7 +139,8 @@ SHARD_SCHEMA = "shard long, n_docs long, n_bytes long, ids binary, lens binary,
 
 def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", pass_on: tuple[str, ...] = ()) -> DataFrame:
     """Texts as compressed shards in the shared folder, SHARD_SCHEMA. A shard's number is fixed when it is written;
-    rest has the columns pass_on of its rows, as an Arrow stream."""
+    rest has the columns pass_on of its rows, as an Arrow stream. Shards are dealt out by their numbers before they are
+    written, so that later joins by number need not move them."""
 
     def run(batches):
         from pyspark import TaskContext
@@ -147,7 +160,7 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", pass_on:
                 k += 1
 
     columns = [F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *(df[c].alias(f"c{k}") for k, c in enumerate(pass_on))]
-    return checkpoint(df.select(*columns).mapInArrow(run, SHARD_SCHEMA))
+    return checkpoint_by(df.select(*columns).mapInArrow(run, SHARD_SCHEMA), "shard")
 
 
 def rest_of(rest: bytes) -> list[pa.Array]:
@@ -160,6 +173,7 @@ def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, Shard]]:
         for i in range(b.num_rows):
             row = {k: b.column(k)[i].as_py() for k in b.schema.names}
             yield row, Shard.of_row(row.pop("ids"), row.pop("lens"), row.pop("data"))
+            pa.default_memory_pool().release_unused()
 
 
 def batch(schema: pa.Schema, *columns) -> pa.RecordBatch:

@@ -30,7 +30,7 @@ LENGTH = 100
 GRAM = 50
 #: Occurrences of a gram beyond which its contexts are cut into single strings.
 MOST_CONTEXTS = 50_000
-#: Tasks that grams are dealt to at most; below, as many as there are shards.
+#: Groups that grams are dealt to at most; below, one for two shards.
 MOST_BUCKETS = 16_384
 BLOCK = 1 << 18
 _B = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -372,8 +372,7 @@ def repeated(runs: list[tuple[int, Run]], length: int, gram: int) -> dict[int, n
 
 def find(shards: DataFrame, length: int = LENGTH, gram: int = GRAM, most: int = MOST_CONTEXTS) -> DataFrame:
     """shards (of common.pack), each with hits: arrays of three unsigned 32-bit rows, text, first and last start."""
-    n = shards.count()
-    buckets = max(1, min(MOST_BUCKETS, n))
+    buckets = max(1, min(MOST_BUCKETS, -(-shards.count() // 2)))
     grams = C.checkpoint(_counted(shards, buckets, length, gram, most))
     hits = _exchange(shards, grams, buckets, length, gram)
     return shards.join(hits.groupBy("shard").agg(F.collect_list("hits").alias("hits")), "shard", "left")
@@ -447,11 +446,12 @@ def _exchange(shards: DataFrame, grams: DataFrame, buckets: int, length: int, gr
 
 def removed_bytes(s: C.Shard, hits: list[bytes] | None, length: int) -> np.ndarray:
     """Which bytes of the shard are covered by a hit."""
-    edge = np.zeros(len(s.data) + 1, np.int64)
+    edge = np.zeros(len(s.data) + 1, np.int32)
     for h in hits or ():
         index, first, last = np.frombuffer(h, np.uint32).reshape(3, -1).astype(np.int64)
-        edge += np.bincount(s.off[index] + first, minlength=len(edge)) - np.bincount(s.off[index] + last + length, minlength=len(edge))
-    return np.cumsum(edge[:-1]) > 0
+        np.add.at(edge, s.off[index] + first, 1)
+        np.add.at(edge, s.off[index] + last + length, -1)
+    return np.cumsum(edge[:-1], dtype=np.int32, out=edge[:-1]) > 0
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, most: int = MOST_CONTEXTS, pass_on: tuple[str, ...] = (), keep_text: bool = True) -> DataFrame:
@@ -472,9 +472,10 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             begins = np.zeros(len(gone), bool)
             begins[s.off[:-1][np.diff(s.off) > 0]] = True
             spans = gone & (begins | ~np.concatenate([[False], gone[:-1]]))
-            total = lambda x: np.diff(np.concatenate([[0], np.cumsum(x)])[s.off])
-            kept = [s.data[s.off[i] : s.off[i + 1]][~gone[s.off[i] : s.off[i + 1]]].tobytes() for i in range(len(s))]
-            cols = [C.id_column(s.ids), *C.rest_of(row["rest"]), pa.array(np.diff(s.off)), pa.array(total(gone)), pa.array(total(spans)), pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string())]
+            each = [gone[a:z] for a, z in zip(s.off[:-1], s.off[1:], strict=True)]
+            n_spans = [int(np.count_nonzero(spans[a:z])) for a, z in zip(s.off[:-1], s.off[1:], strict=True)]
+            kept = [s.data[a:z][~g].tobytes() for a, z, g in zip(s.off[:-1], s.off[1:], each, strict=True)]
+            cols = [C.id_column(s.ids), *C.rest_of(row["rest"]), pa.array(np.diff(s.off)), pa.array([int(np.count_nonzero(g)) for g in each], pa.int64()), pa.array(n_spans, pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string())]
             if keep_text:
                 cols.append(pa.array([None if null else x.decode("utf-8", "ignore") for x, null in zip(kept, s.null, strict=True)], pa.string()))
             yield pa.RecordBatch.from_arrays(cols, names=["id", *(f"c{k}" for k in range(len(pass_on))), "n_bytes", "n_removed", "n_spans", "kept_sha256", *["text"] * keep_text])
