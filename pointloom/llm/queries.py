@@ -18,6 +18,12 @@ def tokenizer_file() -> tuple[str, str]:
     return P.path("byte_bpe_50k.tiktoken"), P.PATTERN
 
 
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import jaccard
+
+    return jaccard.join(C.table(spark, sf_dir, "documents")).drop("rid")
+
+
 def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Captures are the pages; a page's fetch time follows from its id, and the dated list from the hosts' digests."""
     from . import urls
@@ -77,6 +83,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_jaccard_join": op1_jaccard_join,
     "op2_url_filters": op2_url_filters,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_suffix_array": op4_suffix_array,
@@ -91,6 +98,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 SQL_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 SQL: dict[str, str] = {
+    "op1_jaccard_join": f"""
+WITH RECURSIVE doc AS (SELECT doc_id, {SQL_WORDS} AS w FROM documents),
+shingle AS (SELECT DISTINCT doc_id, g FROM (SELECT doc_id, array_to_string(w[i : i + least(len(w), 5) - 1], ' ') AS g
+            FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - least(len(w), 5) + 1)) AS i FROM doc WHERE len(w) > 0))),
+size AS (SELECT doc_id, count(*) AS n FROM shingle GROUP BY doc_id),
+pair AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM shingle a JOIN shingle b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+link AS (SELECT a, b FROM pair JOIN size s ON s.doc_id = a JOIN size t ON t.doc_id = b WHERE c >= 0.8 * (s.n + t.n - c) - 1e-9),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM doc UNION SELECT reach.a, link.b FROM reach JOIN link ON link.a = reach.b),
+class AS (SELECT a AS doc_id, min(b) AS class_id FROM reach GROUP BY a),
+degree AS (SELECT a AS doc_id, count(*) AS n FROM link GROUP BY a)
+SELECT doc_id, class_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links FROM class LEFT JOIN degree USING (doc_id)
+""",
     "op2_url_filters": r"""
 WITH page AS (SELECT page_id, lower(regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1), '\.$', '')) AS h,
        regexp_extract_all(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '[^/]+') AS seg,
