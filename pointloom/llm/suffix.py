@@ -29,7 +29,7 @@ from . import common as C
 LENGTH = 100
 GRAM = 50
 #: Occurrences of a gram beyond which its contexts are cut into single strings.
-MOST_CONTEXTS = 50_000
+MOST_CONTEXTS = 200_000
 #: Groups that grams are dealt to at most; below, one for two shards.
 MOST_BUCKETS = 16_384
 BLOCK = 1 << 18
@@ -81,6 +81,13 @@ def _running(x: np.ndarray, width: int, pick) -> np.ndarray:
     return pick(out[: len(out) - rest], out[rest:]) if rest and len(out) > rest else (out[:0] if rest else out)
 
 
+def _remixed(h: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
 def anchors(data: np.ndarray, off: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
     """Positions and gram hashes of the anchors of texts that lie one after another in data."""
     wide, found, hashes = length - gram + 1, [], []
@@ -100,7 +107,7 @@ def anchors(data: np.ndarray, off: np.ndarray, length: int, gram: int) -> tuple[
             most = _running(np.concatenate([pad, least, pad]), wide, np.maximum)[: len(h)]
             at = np.flatnonzero(most == h)
             found.append(at + off[lo])
-            hashes.append(h[at])
+            hashes.append(_remixed(h[at]))  # anchors have low hashes: others deal them out evenly
         lo = hi
     return (np.concatenate(found), np.concatenate(hashes)) if found else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
 
@@ -424,9 +431,12 @@ def _exchange(shards: DataFrame, grams: DataFrame, buckets: int, length: int, gr
             rows = contexts(s, at[~is_hot], length, gram)
             runs, hits = _sorted_runs(s, at[~is_hot], rows, h[~is_hot], buckets, length, gram)
             if is_hot.any():
-                start, strings, sh = single_strings(s, at[is_hot], contexts(s, at[is_hot], length, gram), length, gram)
-                more, more_hits = _sorted_runs(s, start, strings, sh, buckets, length, gram)
-                runs, hits = runs + more, np.concatenate([hits, more_hits], axis=1)
+                hot_at = at[is_hot]
+                for lo in range(0, len(hot_at), 2_000):  # their strings are many
+                    part = hot_at[lo : lo + 2_000]
+                    start, strings, sh = single_strings(s, part, contexts(s, part, length, gram), length, gram)
+                    more, more_hits = _sorted_runs(s, start, strings, sh, buckets, length, gram)
+                    runs, hits = runs + more, np.concatenate([hits, more_hits], axis=1)
             out = [(b, row["shard"], r, None) for b, r in runs] + [(-1 - row["shard"] % buckets, row["shard"], None, np.ascontiguousarray(hits).tobytes())] * bool(hits.size)
             cols = list(zip(*out, strict=True)) or [[], [], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary()), pa.array(cols[3], pa.binary())], names=["bucket", "shard", "run", "hits"])
