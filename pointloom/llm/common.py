@@ -164,7 +164,7 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", pass_on:
 
 
 def rest_of(rest: bytes) -> list[pa.Array]:
-    return pa.ipc.open_stream(rest).read_all().combine_chunks().columns if rest else []
+    return pa.ipc.open_stream(rest).read_next_batch().columns if rest else []
 
 
 def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, Shard]]:

@@ -60,6 +60,12 @@ def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(C.table(spark, sf_dir, "documents")).drop("detections")
 
 
+def op7_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import pst
+
+    return pst.score_texts(C.table(spark, sf_dir, "documents"))
+
+
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import langid
 
@@ -89,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_suffix_array": op4_suffix_array,
     "op5_decontaminate": op5_decontaminate,
     "op6_licenses": op6_licenses,
+    "op7_suffix_tree": op7_suffix_tree,
     "op8_language": op8_language,
     "op9_media_columns": op9_media_columns,
     "op10_quality": op10_quality,
