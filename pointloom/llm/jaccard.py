@@ -347,16 +347,8 @@ def _verified(shards: DataFrame, dealt: DataFrame, size: int, threshold: float)
     return C.checkpoint(sent.repartition("g").sortWithinPartitions("g", "side", "node").mapInArrow(compare, "node long, links long, other long"))
 
 
-def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, shingle: int = SHINGLE, recall: float = RECALL, node_rows: int = NODE_ROWS, tile_rows: int = TILE_ROWS, tile_shingles: int = TILE_SHINGLES) -> DataFrame:
-    """id_col, class_id and n_links for each row of docs, and rid, a number of the row.
-
-    n_links counts the other rows whose sets of shingles have a Jaccard similarity of threshold or more with this one's;
-    class_id is the least id that is connected with it by such links, its own without any. A text of fewer words than a
-    shingle has one shingle of all its words. A null text or one without words has none and links to nothing. Repeated
-    rows are copies and link to each other; a null id is no class_id unless its class has no other. An empty table gives
-    an empty one; other columns are left out.
-    """
-    shards = C.pack(docs, id_col, text_col)
+def _classes(shards: DataFrame, threshold: float, shingle: int, recall: float, node_rows: int, tile_rows: int, tile_shingles: int) -> tuple[DataFrame, DataFrame]:
+    """The sketch of every row; and digest, mult, least (id), links and root of every class."""
     sketches = _sketches(shards, shingle, prefix_for(threshold, TREES, DEPTH, recall))
     classes = C.checkpoint(sketches.where("n_set > 0").groupBy("digest").agg(F.min("rid").alias("node"), F.count("*").alias("mult"), F.min("doc_id").alias("least")))
     parts = C.checkpoint(sketches.select(F.col("rid").alias("node"), "shard", "index", "n_set", "keys", "sig").join(classes.select("node", "mult"), "node"))
@@ -365,7 +357,42 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
     verified = _verified(shards, _dealt(nodes, threshold, tile_rows, tile_shingles), shingle, threshold)
     links = verified.groupBy("node").agg(F.sum("links").alias("links"))
     linked = connected(verified.where("other IS NOT NULL").select(F.col("node").alias("a"), F.col("other").alias("b")))
-    own = C.checkpoint(classes.join(linked, "node", "left").join(links, "node", "left").select("digest", "mult", "least", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "node").alias("root")))
+    own = classes.join(linked, "node", "left").join(links, "node", "left")
+    return sketches, C.checkpoint(own.select("digest", "mult", "least", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "node").alias("root")))
+
+
+def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, shingle: int = SHINGLE, recall: float = RECALL, node_rows: int = NODE_ROWS, tile_rows: int = TILE_ROWS, tile_shingles: int = TILE_SHINGLES) -> DataFrame:
+    """id_col, class_id and n_links for each row of docs.
+
+    n_links counts the other rows whose sets of shingles have a Jaccard similarity of threshold or more with this one's;
+    class_id is the least id that is connected with it by such links, its own without any. A text of fewer words than a
+    shingle has one shingle of all its words. A null text or one without words has none and links to nothing. Repeated
+    rows are copies and link to each other; a null id is no class_id unless its class has no other. An empty table gives
+    an empty one; other columns are left out.
+    """
+    sketches, own = _classes(C.pack(docs, id_col, text_col), threshold, shingle, recall, node_rows, tile_rows, tile_shingles)
     named = own.join(own.groupBy("root").agg(F.min("least").alias("class_id")), "root")
-    out = sketches.select("rid", "doc_id", "digest").join(named.select("digest", "mult", "links", "class_id"), "digest", "left")
-    return out.select(F.col("doc_id").alias(id_col), F.when(F.col("mult").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce(F.col("links") + F.col("mult") - 1, F.lit(0)).alias("n_links"), "rid")
+    out = sketches.select("doc_id", "digest").join(named.select("digest", "mult", "links", "class_id"), "digest", "left")
+    return out.select(F.col("doc_id").alias(id_col), F.when(F.col("mult").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce(F.col("links") + F.col("mult") - 1, F.lit(0)).alias("n_links"))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, shingle: int = SHINGLE, recall: float = RECALL, node_rows: int = NODE_ROWS, tile_rows: int = TILE_ROWS, tile_shingles: int = TILE_SHINGLES) -> DataFrame:
+    """docs with one row of each class that join() finds: that of the least id (a null comes last), one of its repeats.
+
+    Rows that link to nothing stay, those without words among them. All columns of docs are kept.
+    """
+    others = tuple(c for c in docs.columns if c not in (id_col, text_col))
+    shards = C.pack(docs, id_col, text_col, others)
+    sketches, own = _classes(shards, threshold, shingle, recall, node_rows, tile_rows, tile_shingles)
+    grouped = sketches.where("n_set > 0").select("doc_id", "rid", "shard", "index", "digest").join(own.select("digest", "root"), "digest")
+    first = grouped.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "rid", "shard", "index")).alias("x")).select("x.shard", "x.index")
+    rows = first.union(sketches.where("n_set = 0").select("shard", "index")).groupBy("shard").agg(F.collect_list("index").alias("kept"))
+
+    def run(batches):
+        for row, s in C.packed(batches):
+            k = np.array(sorted(row["kept"]))
+            text = pa.array([None if s.null[i] else s.text(i).decode("utf-8", "replace") for i in k], pa.string())
+            yield pa.RecordBatch.from_arrays([C.id_column(s.ids[k]), text, *(c.take(pa.array(k)) for c in C.rest_of(row["rest"]))], names=["id", "text", *(f"c{j}" for j in range(len(others)))])
+
+    kinds = "".join(f", c{j} {docs.schema[c].dataType.simpleString()}" for j, c in enumerate(others))
+    return shards.join(rows, "shard").mapInArrow(run, f"id long, text string{kinds}").toDF(id_col, text_col, *others).select(docs.columns)

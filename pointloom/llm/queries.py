@@ -21,7 +21,7 @@ def tokenizer_file() -> tuple[str, str]:
 def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import jaccard
 
-    return jaccard.join(C.table(spark, sf_dir, "documents")).drop("rid")
+    return jaccard.join(C.table(spark, sf_dir, "documents"))
 
 
 def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
