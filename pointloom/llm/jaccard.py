@@ -253,8 +253,8 @@ def _candidates(classes: DataFrame, node_rows: int) -> DataFrame:
 
 
 def _dealt(nodes: DataFrame, threshold: float, tile_rows: int, tile_shingles: int) -> DataFrame:
-    """nodes (node, root, n_set, ...) with g and side: the groups in which each is compared. A small component is one
-    group. A larger one is cut by set size into bands, between which only neighbours can reach the threshold, and each
+    """nodes (node, root, n_set, ...) with g and side: the groups in which each is compared, as one of all (0) or as one of
+    either side (1, 2). A small component is one group. A larger one is cut by set size into bands, between which only neighbours can reach the threshold, and each
     band into tiles; each pair of tiles is a group."""
     step = float(-np.log(threshold))
     whole = nodes.groupBy("root").agg(F.count("*").alias("n"), F.sum("n_set").alias("w"))
@@ -269,16 +269,16 @@ def _dealt(nodes: DataFrame, threshold: float, tile_rows: int, tile_shingles: in
     name = lambda b1, t1, b2, t2: F.concat_ws(":", F.col("root"), b1, t1, b2, t2)
     upto = lambda n: F.when(F.coalesce(n, F.lit(0)) > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
     b, t = F.col("band"), F.col("tile")
-    same = F.transform(upto(F.col("tiles")), lambda o: F.struct(name(b, F.least(t, o), b, F.greatest(t, o)).alias("g"), F.when(t <= o, 0).otherwise(1).alias("side")))
-    up = F.transform(upto(F.col("above")), lambda o: F.struct(name(b, t, b + 1, o).alias("g"), F.lit(0).alias("side")))
-    down = F.transform(upto(F.col("below")), lambda o: F.struct(name(b - 1, o, b, t).alias("g"), F.lit(1).alias("side")))
+    same = F.transform(upto(F.col("tiles")), lambda o: F.struct(name(b, F.least(t, o), b, F.greatest(t, o)).alias("g"), F.when(t == o, 0).when(t < o, 1).otherwise(2).alias("side")))
+    up = F.transform(upto(F.col("above")), lambda o: F.struct(name(b, t, b + 1, o).alias("g"), F.lit(1).alias("side")))
+    down = F.transform(upto(F.col("below")), lambda o: F.struct(name(b - 1, o, b, t).alias("g"), F.lit(2).alias("side")))
     large = large.withColumn("x", F.explode(F.concat(same, up, down))).select(*[c for c in small.columns if c not in ("g", "side")], "x.g", "x.side")
     return small.unionByName(large)
 
 
 def verify(sets: list[np.ndarray], side: np.ndarray, threshold: float) -> np.ndarray:
-    """Which pairs reach the threshold, as (2, n) with the lesser index first. Where side has both 0 and 1, only pairs
-    across; else all."""
+    """Which pairs reach the threshold, as (2, n) with the lesser index first. Where side is 0, all pairs; where it
+    is 1 and 2, those across."""
     m = len(sets)
     size = np.array([len(s) for s in sets], np.float64)
     _, ids, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
@@ -298,7 +298,7 @@ def verify(sets: list[np.ndarray], side: np.ndarray, threshold: float) -> np.nda
         inter += x @ x.T
     union = size[:, None] + size[None, :] - inter
     linked = np.triu(inter >= threshold * union - 1e-9, 1)
-    if side.any() and not side.all():
+    if side.any():
         linked &= side[:, None] != side[None, :]
     return np.stack(np.nonzero(linked))
 
