@@ -2,7 +2,7 @@
 
 Only DataFrame functions. A text is lower-cased (A-Z) and cut into words; a window is WINDOW consecutive words of a
 test item, or the whole item if it has fewer. The windows' hashes are a literal set in the scan, so that it filters
-array positions in place and passes on hits only; hits are then verified by a join on the windows' words. Where the
+array positions in place; hits are verified by their words, in place too, and joined to the items that have them. Where the
 test items have more than MOST_WINDOWS windows, which is counted first, texts' windows are joined by a shuffle instead.
 """
 
@@ -29,11 +29,26 @@ def item_windows(items: DataFrame, id_col: str = "item_id", text_col: str = "tex
     return w.groupBy("w", "size").agg(F.collect_set("item").alias("items")).withColumn("h", F.xxhash64("w"))
 
 
-def _starts(words: Column, size: int, hashes: list[int]) -> Column:
-    """Where windows of the given size begin whose hash is in the set, as structs of position and words."""
+def _starts(words: Column, size: int, hashes: list[int], texts: list[str]) -> Column:
+    """Where windows of the given size stand that the test items have, as structs of position and size: those whose hash
+    is in one set, and then whose words are in the other."""
     at = F.when(F.size(words) >= size, F.sequence(F.lit(1), F.size(words) - size + 1)).otherwise(F.array().cast("array<int>"))
-    found = F.filter(at, lambda i: F.xxhash64(F.slice(words, i, size)).isin(hashes))
-    return F.transform(found, lambda i: F.struct((i - 1).alias("pos"), F.slice(words, i, size).alias("w")))
+    found = F.filter(F.filter(at, lambda i: F.xxhash64(F.slice(words, i, size)).isin(hashes)), lambda i: F.array_join(F.slice(words, i, size), " ").isin(texts))
+    return F.transform(found, lambda i: F.struct((i - 1).alias("pos"), F.lit(size).alias("size")))
+
+
+def _found(words: Column, bench: DataFrame) -> Column:
+    """All windows of the test items in a text's words. bench: of item_windows(), which must be few."""
+    own: dict[int, list] = {}
+    for r in bench.select("size", "h", F.array_join("w", " ").alias("text")).collect():  # MOST_WINDOWS at most
+        own.setdefault(r["size"], []).append((r["h"], r["text"]))
+    each = [_starts(words, size, sorted({h for h, _ in x}), sorted(t for _, t in x)) for size, x in sorted(own.items())]
+    return F.flatten(F.array(*each)) if each else F.array().cast("array<struct<pos:int,size:int>>")
+
+
+def _covered(found: Column) -> Column:
+    """The positions of the words in windows, ascending."""
+    return F.array_sort(F.array_distinct(F.flatten(F.transform(found, lambda x: F.sequence(x["pos"], x["pos"] + x["size"] - 1)))))
 
 
 def _all_starts(words: Column, size: int) -> Column:
@@ -54,12 +69,9 @@ def scan(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: st
     base = docs.select(*kept, C.words_of(docs[text_col].cast("string")).alias("words")).withColumn("row", F.monotonically_increasing_id())
     n_words = F.size("words").alias("n_words")
     if sum(sizes.values()) <= most:
-        own: dict[int, list[int]] = {}
-        for r in bench.select("size", "h").collect():  # `most` at most
-            own.setdefault(r["size"], []).append(r["h"])
-        found = [_starts(F.col("words"), size, sorted(hs)) for size, hs in sorted(own.items())]
-        hits = F.flatten(F.array(*found)) if found else F.lit(None).cast("array<struct<pos:int,w:array<string>>>")
-        each = base.select("row", *names, n_words, hits.alias("hits")).select("row", *names, "n_words", F.explode_outer("hits").alias("hit"))
+        found = base.select("row", *names, "words", n_words, _found(F.col("words"), bench).alias("found"))
+        hits = F.transform("found", lambda x: F.struct(x["pos"].alias("pos"), F.slice(F.col("words"), x["pos"] + 1, x["size"]).alias("w")))
+        each = found.select("row", *names, "n_words", F.explode_outer(hits).alias("hit"))
         verified = each.join(F.broadcast(bench.select("w", "items")), F.col("hit.w") == F.col("w"), "left")
     else:
         base = C.checkpoint(base)
@@ -76,18 +88,26 @@ def scan(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: st
 
 def without_words(text: Column, hits: Column) -> Column:
     """The text less the words at the given positions, with each one's leading separators; unchanged without hits."""
-    gaps, words = F.split(text, WORD), F.regexp_extract_all(text, F.lit(f"({WORD})"), 1)
-    parts = F.transform(words, lambda w, i: F.when(~F.array_contains(hits, i), F.concat(F.element_at(gaps, i + 1), w)))
-    kept = F.concat(F.array_join(parts, ""), F.element_at(gaps, -1))
-    return F.when(F.size(hits) > 0, kept).otherwise(text)
+    pairs = F.arrays_zip(F.split(text, WORD).alias("gap"), F.regexp_extract_all(text, F.lit(f"({WORD})"), 1).alias("word"))
+    kept = F.filter(pairs, lambda p, i: p["word"].isNull() | ~F.array_contains(hits, i))  # the last gap has no word
+    return F.when(F.size(hits) > 0, F.array_join(F.transform(kept, lambda p: F.concat(p["gap"], F.coalesce(p["word"], F.lit("")))), "")).otherwise(text)
 
 
-def remove(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", whole: float = 0.5, window: int = WINDOW) -> DataFrame:
+def remove(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", whole: float = 0.5, window: int = WINDOW, most: int = MOST_WINDOWS) -> DataFrame:
     """docs without what the test items share: hit words go, and documents of which hits are more than `whole` go whole.
 
-    All columns of docs stay as they are but for the text. A clean document is returned as it came.
+    All columns of docs stay as they are but for the text. A clean document is returned as it came. Texts stay where they
+    are: nothing is shuffled, unless the test items have more than `most` windows.
     """
-    columns = tuple(c for c in docs.columns if c != id_col)
-    marked = scan(docs, items, id_col, text_col, window, pass_on=columns)
-    kept = marked.where(F.size("hits") <= F.col("n_words") * whole) if whole < 1 else marked
-    return kept.withColumn(text_col, without_words(F.col(text_col), F.col("hits"))).select(*docs.columns)
+    bench = C.checkpoint(item_windows(items, window=window))
+    columns = [c for c in docs.columns if c != text_col]
+    if bench.count() <= most:
+        own = docs.select(*(docs[c].alias(f"k{k}") for k, c in enumerate(columns)), docs[text_col].alias("t"), C.words_of(docs[text_col].cast("string")).alias("words"))
+        # a condition on the row number cannot move below it: else the scan would run in the condition once more
+        found = own.select(*(f"k{k}" for k in range(len(columns))), "t", F.monotonically_increasing_id().alias("row"), F.size("words").alias("n_words"), _found(F.col("words"), bench).alias("found"))
+        marked = found.select(*(F.col(f"k{k}").alias(c) for k, c in enumerate(columns)), F.col("t").alias(text_col), "row", "n_words", F.when(F.size("found") > 0, _covered(F.col("found"))).otherwise(F.array().cast("array<int>")).alias("hits"))
+    else:
+        marked = scan(docs, items, id_col, text_col, window, most, pass_on=tuple(c for c in docs.columns if c != id_col))
+        marked = marked.withColumn("row", F.lit(0))
+    kept = marked.where((F.size("hits") <= F.col("n_words") * whole) & (F.col("row") >= 0)) if whole < 1 else marked
+    return kept.select(*(without_words(F.col(text_col), F.col("hits")).alias(c) if c == text_col else F.col(c) for c in docs.columns))
