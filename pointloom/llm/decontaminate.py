@@ -101,13 +101,15 @@ def remove(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
     """
     bench = C.checkpoint(item_windows(items, window=window))
     columns = [c for c in docs.columns if c != text_col]
+    own = docs.select(*(docs[c].alias(f"k{k}") for k, c in enumerate(columns)), docs[text_col].alias("t"))  # no clashing names
+    names = own.columns
     if bench.count() <= most:
-        own = docs.select(*(docs[c].alias(f"k{k}") for k, c in enumerate(columns)), docs[text_col].alias("t"), C.words_of(docs[text_col].cast("string")).alias("words"))
+        words = own.withColumn("words", C.words_of(F.col("t").cast("string")))
         # a condition on the row number cannot move below it: else the scan would run in the condition once more
-        found = own.select(*(f"k{k}" for k in range(len(columns))), "t", F.monotonically_increasing_id().alias("row"), F.size("words").alias("n_words"), _found(F.col("words"), bench).alias("found"))
-        marked = found.select(*(F.col(f"k{k}").alias(c) for k, c in enumerate(columns)), F.col("t").alias(text_col), "row", "n_words", F.when(F.size("found") > 0, _covered(F.col("found"))).otherwise(F.array().cast("array<int>")).alias("hits"))
+        found = words.select(*names, F.monotonically_increasing_id().alias("row"), F.size("words").alias("n_words"), _found(F.col("words"), bench).alias("found"))
+        marked = found.select(*names, "row", "n_words", F.when(F.size("found") > 0, _covered(F.col("found"))).otherwise(F.array().cast("array<int>")).alias("hits"))
     else:
-        marked = scan(docs, items, id_col, text_col, window, most, pass_on=tuple(c for c in docs.columns if c != id_col))
-        marked = marked.withColumn("row", F.lit(0))
+        marked = scan(own, items, names[0], "t", window, most, pass_on=tuple(names[1:])).withColumn("row", F.lit(0))
     kept = marked.where((F.size("hits") <= F.col("n_words") * whole) & (F.col("row") >= 0)) if whole < 1 else marked
-    return kept.select(*(without_words(F.col(text_col), F.col("hits")).alias(c) if c == text_col else F.col(c) for c in docs.columns))
+    back = dict(zip(columns, names, strict=False))
+    return kept.select(*(without_words(F.col("t"), F.col("hits")).alias(c) if c == text_col else F.col(back[c]).alias(c) for c in docs.columns))

@@ -190,7 +190,7 @@ osl | NAME | open | open software license(?: version [123] [01])?
 apsl-2.0 | NAME | apple | apple public source licen[sc]e
 ncsa | NAME | ncsa | (?:university of illinois )?ncsa open source licen[sc]e
 upl-1.0 | NAME | permissive | universal permissive licen[sc]e
-qpl-1.0 | NAME | qt | q(?:t)? public licen[sc]e
+qpl-1.0 | NAME | q | q public licen[sc]e
 lppl-1.3c | NAME | latex | latex project public licen[sc]e
 vim | NAME | vim | vim licen[sc]e
 ijg | NAME | jpeg | independent jpeg group licen[sc]e
@@ -207,7 +207,7 @@ gemma | NAME | gemma | gemma terms of use
 ai2-impact | NAME | impact | ai2 impact licen[sc]e
 reserved | NOTICE | reserved | copyright (?:c )?(?:[0-9]{4} )?.{0,60}?all rights reserved
 reserved | NAME | reserved | all rights reserved
-copyright | HINT | copyright | (?:copyright (?:c )?|c )(?:19|20)[0-9]{2}
+copyright | HINT | copyright | copyright (?:c )?(?:19|20)[0-9]{2}
 proprietary | NOTICE | proprietary | (?:confidential and )?proprietary(?: and confidential)?
 proprietary | NOTICE | unauthorized | unauthori[sz]ed (?:copying|use|distribution|reproduction)
 proprietary | NOTICE | permission | (?:without|no) (?:the )?(?:prior |express )?(?:written )?permission of
