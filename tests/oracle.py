@@ -1,6 +1,7 @@
 """Holds a query's rows against its SQL in DuckDB, sorted, as text."""
 
 import duckdb
+import pandas as pd
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 DATA = "/root/testdata/sf0.001"
@@ -13,9 +14,15 @@ def expected(sql: str, sf_dir: str = DATA):
     return con.sql(sql).df()
 
 
+def text(v) -> str:
+    if v is None or v is pd.NA or v is pd.NaT or (isinstance(v, float) and v != v):
+        return "null"
+    return repr(float(v)) if isinstance(v, float) else str(v)
+
+
 def rows(df):
     df = df[sorted(df.columns)].astype(object)
-    return list(df.columns), sorted(tuple(repr(v) if isinstance(v, float) and v == v else "null" if v is None or v != v else str(v) for v in r) for r in df.itertuples(index=False))
+    return list(df.columns), sorted(tuple(map(text, r)) for r in df.itertuples(index=False))
 
 
 def same(spark_df, sql: str, sf_dir: str = DATA) -> None:
