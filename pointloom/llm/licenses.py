@@ -201,7 +201,8 @@ beerware | NAME | beerware | beerware licen[sc]e
 beerware | NOTICE | beer | you can buy me a beer in return
 json | NOTICE | evil | the software shall be used for good not evil
 mulanpsl-2.0 | NAME | mulan | mulan psl v2
-openrail | NAME | openrail | (?:creativeml )?open ?rail(?: m)?
+openrail | NAME | openrail | (?:creativeml )?openrail(?: m)?
+openrail | NAME | rail | (?:creativeml )?open rail(?: m)?
 llama | NAME | community | llama [0-9](?: [0-9])? community license
 gemma | NAME | gemma | gemma terms of use
 ai2-impact | NAME | impact | ai2 impact licen[sc]e
