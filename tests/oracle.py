@@ -17,7 +17,9 @@ def expected(sql: str, sf_dir: str = DATA):
 def text(v) -> str:
     if v is None or v is pd.NA or v is pd.NaT or (isinstance(v, float) and v != v):
         return "null"
-    return repr(float(v)) if isinstance(v, float) else str(v)
+    if isinstance(v, float):  # integers with nulls among them come as floats
+        return str(int(v)) if v.is_integer() else repr(float(v))
+    return str(v)
 
 
 def rows(df):
