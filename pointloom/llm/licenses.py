@@ -210,7 +210,8 @@ reserved | NOTICE | reserved | copyright (?:c )?(?:[0-9]{4} )?.{0,60}?all rights
 reserved | NAME | reserved | all rights reserved
 copyright | HINT | copyright | copyright (?:c )?(?:19|20)[0-9]{2}
 proprietary | NOTICE | proprietary | (?:confidential and )?proprietary(?: and confidential)?
-proprietary | NOTICE | unauthorized | unauthori[sz]ed (?:copying|use|distribution|reproduction)
+proprietary | NOTICE | unauthorized | unauthorized (?:copying|use|distribution|reproduction)
+proprietary | NOTICE | unauthorised | unauthorised (?:copying|use|distribution|reproduction)
 proprietary | NOTICE | permission | (?:without|no) (?:the )?(?:prior |express )?(?:written )?permission of
 eula | NAME | user | end user license agreement
 eula | NAME | eula | eula
