@@ -178,3 +178,28 @@ def processing_samples(levels: DataFrame, budget: int, order: tuple[str, ...], s
     n = picked.groupBy(scan).agg(F.count("*").alias("n"))
     quotas = n.select(scan, F.greatest(F.floor(F.col("n") * budget / total), F.lit(1)).alias("quota"))
     return thinned(picked, quotas, (scan,), order)
+
+
+def view_points(levels: DataFrame, chosen: list[tuple[Node, int]], ref: tuple[str, ...], scan: str = "scan") -> DataFrame:
+    """The points of chosen nodes, thinned to their numbers, with 32-bit offsets dx, dy, dz from the node's centre."""
+    keys = (scan, "level", "nx", "ny", "nz")
+    kind = levels.schema[scan].dataType.simpleString()
+    rows = [(*n.key, *(float(c) for c in n.bounds.center), q) for n, q in chosen]
+    nodes = levels.sparkSession.createDataFrame(rows, f"{scan} {kind}, level int, nx int, ny int, nz int, ox double, oy double, oz double, quota int")
+    own = thinned(levels, nodes.select(*keys, "ox", "oy", "oz", "quota"), keys, ref)
+    return own.select("*", *((F.col(c) - F.col(f"o{c}")).cast("float").alias(f"d{c}") for c in "xyz"))
+
+
+def view_spacings(points: DataFrame, chosen: list[tuple[Node, int]], scan: str = "scan", grid: int = GRID) -> DataFrame:
+    """points with spacing: the longest side over grid of the deepest chosen node whose box holds them; null of none.
+
+    Chosen nodes are a view's, so few: each scan's are sent to every task as one array."""
+    rows = [(n.key[0], n.key[1], *(float(v) for v in (*n.bounds.lo, *n.bounds.hi)), max(b - a for a, b in zip(n.bounds.lo, n.bounds.hi, strict=True)) / grid) for n, _ in chosen]
+    kind = points.schema[scan].dataType.simpleString()
+    boxes = points.sparkSession.createDataFrame(rows, f"{scan} {kind}, _level int, x0 double, y0 double, z0 double, x1 double, y1 double, z1 double, _s double")
+    listed = boxes.groupBy(scan).agg(F.collect_list(F.struct("_level", "x0", "y0", "z0", "x1", "y1", "z1", "_s")).alias("_boxes"))
+    own = points.join(F.broadcast(listed), scan, "left")  # a row for each scan in view
+    x, y, z = xyz()
+    holds = F.filter("_boxes", lambda b: (x >= b["x0"]) & (x <= b["x1"]) & (y >= b["y0"]) & (y <= b["y1"]) & (z >= b["z0"]) & (z <= b["z1"]))
+    deepest = F.aggregate(holds, F.struct(F.lit(-1).alias("level"), F.lit(None).cast("double").alias("s")), lambda a, b: F.when(b["_level"] > a["level"], F.struct(b["_level"].alias("level"), b["_s"].alias("s"))).otherwise(a))
+    return own.withColumn("spacing", deepest["s"]).drop("_boxes")

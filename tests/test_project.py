@@ -233,3 +233,47 @@ def test_e57_integers_are_exact():
 
     got = next(e57._columns(File(), e57.Data("", "", None, 0, 3, (f, narrow), {})))
     assert got["rowIndex"].tolist() == v.tolist() and got["k"].tolist() == k.tolist()
+
+
+def test_commands(spark, tmp_path, capsys):
+    from pointloom import cli
+
+    root = f"{tmp_path}/p"
+    assert len(cli.run(spark, ["demo", root])) == 2
+    assert cli.run(spark, ["subsample", root, "0.2"])[0].endswith("points moved")
+    assert cli.run(spark, ["noise", root, "--radius", "0.01"])[0].endswith("points moved")
+    lines = cli.run(spark, ["inspect", root])
+    assert lines[0].startswith("Demo 1: 16384 records") and any(x.startswith("Subsampled: ") for x in lines)
+    assert cli.run(spark, ["export-las", root, f"{tmp_path}/x.las"])[0].endswith("points written")
+    assert cli.run(spark, ["import", root, f"{tmp_path}/x.las"])
+    with pytest.raises(SystemExit):
+        cli.run(spark, ["paint", root])
+
+
+def test_jobs(spark):
+    from pointloom.errors import Cancelled
+    from pointloom.plans.jobs import Job
+
+    job = Job(spark)
+    assert sum(r[0] for r in job.rows(spark.range(10))) == 45
+    job.cancel()
+    with pytest.raises(Cancelled):
+        job.run(lambda: spark.range(10).count())
+
+
+def test_colours_and_views(spark):
+    from pointloom.functions import colour
+    from pointloom.functions.geometry import Bounds, Camera
+    from pointloom.operators import octree
+
+    row = spark.range(1).select(colour.by_scan(F.lit(11)).alias("s"), colour.turbo(F.lit(2.0)).alias("t"), colour.shade([F.lit(2.0)] * 8, F.lit(2.0), 1.0).alias("d")).first()
+    assert row.s == "#f28e2b" and 0 <= row.t.r <= 1 and row.d == 1.0
+    p = demo.demo_points(spark, 32).withColumn("scan", F.lit(0))
+    levels = octree.additive_levels(p, (-2.0, -2.0, -1.0), 4.0, 2, ("chunk", "idx"), grid=8).cache()
+    nodes = octree.nodes_of(octree.view_nodes(levels))
+    chosen = octree.select_view(nodes, Camera.framing(Bounds((-2, -2, -1), (2, 2, 1))), 10**6)
+    shown = octree.view_points(levels, chosen, ("chunk", "idx"))
+    assert shown.count() == sum(n for _, n in chosen)
+    assert shown.where((F.abs(F.col("dx") + F.col("ox") - F.col("x")) > 1e-5)).count() == 0
+    spaced = octree.view_spacings(p, chosen)
+    assert spaced.where("spacing IS NULL").count() == 0 and spaced.count() == 1024
