@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 
 #: What stands for a null doc_id inside packed arrays: smaller than every other.
 NULL_ID = np.iinfo(np.int64).min
-#: Bytes of text in a packed shard, but for a single longer text.
-SHARD_BYTES = 4 << 20
+#: Bytes of text in a packed shard, but for a single longer text: the least and the most, and between them a share of
+#: the table, since what tasks send each other has a row for each shard and group.
+SHARD_BYTES, MOST_SHARD_BYTES, SHARDS = 4 << 20, 64 << 20, 16_384
 #: Characters that words cannot hold, for Java's and for RE2's regular expressions.
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -140,7 +141,10 @@ SHARD_SCHEMA = "shard long, n_docs long, n_bytes long, ids binary, lens binary,
 def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", pass_on: tuple[str, ...] = ()) -> DataFrame:
     """Texts as compressed shards in the shared folder, SHARD_SCHEMA. A shard's number is fixed when it is written;
     rest has the columns pass_on of its rows, as an Arrow stream. Shards are dealt out by their numbers before they are
-    written, so that later joins by number need not move them."""
+    written, so that later joins by number need not move them. Their size follows the plan's estimate of the table's,
+    within SHARD_BYTES and MOST_SHARD_BYTES; results do not depend on it."""
+    estimate = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    most = max(SHARD_BYTES, min(MOST_SHARD_BYTES, estimate // SHARDS))
 
     def run(batches):
         from pyspark import TaskContext
@@ -148,7 +152,7 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", pass_on:
         base, k = TaskContext.get().partitionId() << 32, 0
         for b in batches:
             lo = 0
-            for s in shards_in(iter([b])):
+            for s in shards_in(iter([b]), most):
                 sink = pa.BufferOutputStream()
                 own = b.select(b.schema.names[2:]).slice(lo, len(s)) if pass_on else None
                 if own is not None:
