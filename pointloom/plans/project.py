@@ -65,7 +65,7 @@ class PointProject:
         h = History()
         pose = lambda p: Pose(tuple(p["t"]), tuple(p["q"])) if p else None
         box = lambda b: Bounds(tuple(b["lo"]), tuple(b["hi"])) if b else None
-        h.known = {k: Scan(**s | {"pose": pose(s["pose"]), "bounds": box(s["bounds"]), "attributes": tuple(s["attributes"])}) for k, s in d["scans"].items()}
+        h.known = {k: Scan(**s | {"pose": pose(s["pose"]), "bounds": box(s["bounds"]), "attributes": tuple(s["attributes"]), "images": tuple(s["images"])}) for k, s in d["scans"].items()}
         h.revisions = {k: State.of_json(r) for k, r in d["revisions"].items()}
         h.saved_id, h.draft = d["current"], State.of_json(d["draft"]) if d["draft"] else None
         if h.saved_id not in h.revisions:
@@ -113,9 +113,39 @@ class PointProject:
         if kind == ".las":
             return self.import_points([las.scan_of(self.spark, source, name)])
         if kind == ".e57":
-            return self.import_points(e57.scans_of(self.spark, source), folder=name)
+            pictures = self._keep_images(e57.read_images(source))
+            own = [(replace(scan, images=tuple(p for p in pictures if p["scan"] and p["scan"] == scan.guid)), points) for scan, points in e57.scans_of(self.spark, source)]
+            return self.import_points(own, folder=name)
         raise UnsupportedFormat(f"{kind or source}: only LAS and E57 files are read here")
 
+    def _keep_images(self, images: list) -> list[dict]:
+        """Writes pictures below the project; what is said of each, and its file."""
+        out = []
+        os.makedirs(self.path("images"), exist_ok=True)
+        for image in images:
+            file = f"images/{new_id()}"
+            Path(self.path(file)).write_bytes(image.data)
+            if image.mask:
+                Path(f"{self.path(file)}.mask").write_bytes(image.mask)
+            out.append({"file": file, "masked": bool(image.mask), **{k: v for k, v in asdict(image).items() if k not in ("data", "mask")}})
+        return out
+
+    def _images(self) -> list:
+        """The pictures of the current scans, moved as their scans were, and the panoramas."""
+        from pointloom.sources import e57
+
+        h, out = self.history, []
+        for s in h.current.scans:
+            for d in h.known[s].images:
+                d = dict(d)
+                path = self.path(d.pop("file"))
+                mask = Path(f"{path}.mask").read_bytes() if d.pop("masked") else b""
+                pose = Pose(tuple(d["pose"]["t"]), tuple(d["pose"]["q"])) if d["pose"] else Pose()
+                out.append(e57.Image(**d | {"data": Path(path).read_bytes(), "mask": mask, "scan": s, "pose": Pose.of(h.current.correction(s) @ pose.matrix)}))
+        for p in h.current.panoramas:
+            out.append(e57.panorama_image(h.current.names.get(p.id, p.name), p.id, Path(self.path(p.path)).read_bytes(), Pose.of(h.current.correction(p.id)), p.width, p.height))
+        return out
+
     def import_panorama(self, source: str) -> Panorama:
         from pointloom.sources.images import image_size
 
@@ -307,7 +337,7 @@ class PointProject:
         from pointloom.sources import e57
 
         scans = self.history.current.scans
-        return e57.export(target, [(self.history.known[s], self.history.name_of(s), Pose.of(self.history.world(s)), self.records([s]).where(F.col("code").isin(self.history.current.shown))) for s in scans])
+        return e57.export(target, [(self.history.known[s], self.history.name_of(s), Pose.of(self.history.world(s)), self.records([s]).where(F.col("code").isin(self.history.current.shown))) for s in scans], tuple(self._images()))
 
 
 def safe_stems(names: list[str]) -> list[str]:

@@ -32,7 +32,8 @@ class Layer:
 
 @dataclass(frozen=True)
 class Scan:
-    """What is fixed at import. pose: as in the source, None without one; bounds in the scan's own coordinates."""
+    """What is fixed at import. pose: as in the source, None without one; bounds in the scan's own coordinates; images:
+    what the source says of each picture of the scan, and the file below the project that holds it."""
 
     id: str
     name: str
@@ -43,6 +44,8 @@ class Scan:
     crs: str | None = None
     attributes: tuple[str, ...] = ()
     las: dict | None = None
+    guid: str = ""
+    images: tuple[dict, ...] = ()
 
 
 @dataclass(frozen=True)

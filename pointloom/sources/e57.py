@@ -1,11 +1,12 @@
 """E57 files: scans with Cartesian or spherical points, read a task a scan, and a writer of one file.
 
 A file is cut into pages with a check sum each; offsets in its XML count those, lengths do not. A scan's records are
-columns of bits, spread over packets. Images in a file are not read.
+columns of bits, spread over packets. Images are blobs with a pose and a projection; they are read and written whole.
 """
 
 from __future__ import annotations
 
+import math
 import os
 import struct
 import uuid
@@ -27,6 +28,7 @@ PAGE, SUM = 1024, 4
 DATA = PAGE - SUM
 NS = "http://www.astm.org/COMMIT/E57/2010-e57-v1.0"
 ROWS = 65_536
+KINDS = ("visualReferenceRepresentation", "pinholeRepresentation", "sphericalRepresentation", "cylindricalRepresentation")
 SCHEMA = "chunk int, idx int, valid boolean, x double, y double, z double, r short, g short, b short, a short, intensity double, row long, col long"
 
 
@@ -92,6 +94,63 @@ class Data:
     limits: dict
 
 
+@dataclass(frozen=True)
+class Image:
+    """A picture in a file. kind: the element of its projection; format: jpegImage or pngImage; numbers: what else that
+    element says, such as sizes of pixels; scan: the guid of the scan it belongs to; mask: another blob, or empty."""
+
+    name: str
+    guid: str
+    kind: str
+    format: str
+    data: bytes
+    pose: Pose | None = None
+    scan: str = ""
+    numbers: dict | None = None
+    mask: bytes = b""
+
+
+def panorama_image(name: str, guid: str, data: bytes, pose: Pose, width: int, height: int) -> Image:
+    """A photograph of all directions, as a spherical picture."""
+    kind = "pngImage" if data[:4] == b"\x89PNG" else "jpegImage"
+    return Image(name, guid, "sphericalRepresentation", kind, data, pose, numbers={"imageWidth": width, "imageHeight": height, "pixelWidth": 2 * math.pi / width, "pixelHeight": math.pi / height})
+
+
+def _pose(e) -> Pose | None:
+    if e is None:
+        return None
+    find = lambda x, name: x.find(f"{{{NS}}}{name}") if x is not None else None
+    num = lambda x, name, default: float(find(x, name).text or default) if find(x, name) is not None else default
+    r, t = find(e, "rotation"), find(e, "translation")
+    turn = tuple(num(r, c, 0.0) for c in "wxyz") if r is not None else (1.0, 0.0, 0.0, 0.0)
+    return Pose.from_e57(tuple(num(t, c, 0.0) for c in "xyz") if t is not None else (0.0, 0.0, 0.0), turn)
+
+
+def read_images(path: str) -> list[Image]:
+    """The pictures of a file; those of an unknown projection are left out."""
+    out = []
+    with _open(path) as f:
+        xml_at, xml_n = struct.unpack_from("<QQ", f.read_at(48, 0), 24)
+        root = ET.fromstring(_read(f, _logical(xml_at), xml_n, True))
+
+        def blob(e) -> bytes:
+            return _read(f, _logical(int(e.get("fileOffset"))) + 16, int(e.get("length")), True)
+
+        for e in root.iterfind(f"{{{NS}}}images2D/{{{NS}}}vectorChild"):
+            text = lambda name, e=e: (e.findtext(f"{{{NS}}}{name}") or "")
+            for kind in KINDS:
+                if (r := e.find(f"{{{NS}}}{kind}")) is None:
+                    continue
+                picture = next((c for c in r if c.tag.split("}")[-1] in ("jpegImage", "pngImage")), None)
+                if picture is None:
+                    continue
+                mask = r.find(f"{{{NS}}}imageMask")
+                numbers = {c.tag.split("}")[-1]: (int if c.get("type") == "Integer" else float)(c.text or 0) for c in r if c.get("type") in ("Integer", "Float")}
+                out.append(Image(text("name"), text("guid"), kind, picture.tag.split("}")[-1], blob(picture), _pose(e.find(f"{{{NS}}}pose")), text("associatedData3DGuid"), numbers, blob(mask) if mask is not None else b""))
+                break
+    return out
+
+
 def _fields(prototype) -> tuple[Field, ...]:
     out = []
     for e in prototype:
@@ -117,18 +176,12 @@ def read_header(path: str) -> tuple[list[Data], str | None]:
             raise UnsupportedFormat(f"pages of {page} bytes")
         root = ET.fromstring(_read(f, _logical(xml_at), xml_n, True))
     tag = lambda e, *path: e.find("/".join(f"{{{NS}}}{p}" for p in path))
-    num = lambda e, name, default=0.0: float(tag(e, name).text or default) if tag(e, name) is not None else default
     text = lambda e, name: (tag(e, name).text if tag(e, name) is not None else None) or ""
     out = []
     for k, e in enumerate(tag(root, "data3D") if tag(root, "data3D") is not None else ()):
-        pose = None
-        if (p := tag(e, "pose")) is not None:
-            r, t = tag(p, "rotation"), tag(p, "translation")
-            turn = tuple(num(r, c) for c in "wxyz") if r is not None else (1.0, 0.0, 0.0, 0.0)
-            pose = Pose.from_e57(tuple(num(t, c) for c in "xyz") if t is not None else (0.0, 0.0, 0.0), turn)
         points = tag(e, "points")
         limits = {c.tag.split("}")[-1]: float(c.text or 0) for name in ("colorLimits", "intensityLimits") if (q := tag(e, name)) is not None for c in q}
-        out.append(Data(text(e, "name") or f"Scan {k + 1}", text(e, "guid"), pose, _logical(int(points.get("fileOffset"))), int(points.get("recordCount")), _fields(tag(points, "prototype")), limits))
+        out.append(Data(text(e, "name") or f"Scan {k + 1}", text(e, "guid"), _pose(tag(e, "pose")), _logical(int(points.get("fileOffset"))), int(points.get("recordCount")), _fields(tag(points, "prototype")), limits))
     return out, text(root, "coordinateMetadata") or None
 
 
@@ -235,15 +288,15 @@ def read(spark: SparkSession, path: str, number: int) -> DataFrame:
 
 def scans_of(spark: SparkSession, path: str) -> list[tuple[Scan, DataFrame]]:
     found, crs = read_header(path)
-    return [(Scan(new_id(), d.name, d.pose, crs=crs), read(spark, path, k)) for k, d in enumerate(found)]
+    return [(Scan(new_id(), d.name, d.pose, crs=crs, guid=d.guid), read(spark, path, k)) for k, d in enumerate(found)]
 
 
 def _packed(v: np.ndarray, bits: int) -> np.ndarray:
     return np.unpackbits(v.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")[:, :bits].ravel()
 
 
-def export(target: str, scans: list[tuple[Scan, str, Pose, DataFrame]]) -> int:
-    """Writes scans (name, pose, records in scan coordinates, valid or not) and returns the number of records. The file
+def export(target: str, scans: list[tuple[Scan, str, Pose, DataFrame]], images: tuple[Image, ...] = ()) -> int:
+    """Writes scans (name, pose, records in scan coordinates, valid or not) and images, and returns the number of records. The file
     appears when it is whole and replaces none; scans of different coordinate systems are an error."""
     if os.path.exists(target):
         raise TargetExists(target)
@@ -257,6 +310,15 @@ def export(target: str, scans: list[tuple[Scan, str, Pose, DataFrame]]) -> int:
         e.text = None if text is None else str(text) if not isinstance(text, float) else repr(text)
         return e
 
+    def placed(parent, pose: Pose) -> None:
+        t, q = pose.to_e57()
+        p = put(parent, "pose", "Structure")
+        turn, move = put(p, "rotation", "Structure"), put(p, "translation", "Structure")
+        for c, v in zip("wxyz", q, strict=True):
+            put(turn, c, "Float", float(v))
+        for c, v in zip("xyz", t, strict=True):
+            put(move, c, "Float", float(v))
+
     put(head, "formatName", "String", "ASTM E57 3D Imaging Data File")
     put(head, "guid", "String", new_id())
     put(head, "versionMajor", "Integer", 1)
@@ -303,13 +365,7 @@ def export(target: str, scans: list[tuple[Scan, str, Pose, DataFrame]]) -> int:
                 e = put(data, "vectorChild", "Structure")
                 put(e, "guid", "String", scan.id)
                 put(e, "name", "String", name)
-                t, q = pose.to_e57()
-                p = put(e, "pose", "Structure")
-                turn, move = put(p, "rotation", "Structure"), put(p, "translation", "Structure")
-                for c, v in zip("wxyz", q, strict=True):
-                    put(turn, c, "Float", float(v))
-                for c, v in zip("xyz", t, strict=True):
-                    put(move, c, "Float", float(v))
+                placed(e, pose)
                 vector = put(e, "points", "CompressedVector", fileOffset=_physical(start), recordCount=n)
                 proto = put(vector, "prototype", "Structure")
                 for c in "XYZ":
@@ -323,6 +379,28 @@ def export(target: str, scans: list[tuple[Scan, str, Pose, DataFrame]]) -> int:
                     else:
                         put(proto, {"row": "rowIndex", "col": "columnIndex"}[c], "Integer", minimum=-(1 << 63), maximum=(1 << 63) - 1)
                 put(vector, "codecs", "Vector", allowHeterogeneousChildren=1)
+            pictures = put(head, "images2D", "Vector", allowHeterogeneousChildren=1)
+
+            def blob(parent, name: str, content: bytes) -> None:
+                start = f.tell()
+                f.write(struct.pack("<B7xQ", 0, 16 + len(content)) + content)
+                f.write(bytes(-f.tell() % 4))
+                put(parent, name, "Blob", fileOffset=_physical(start), length=len(content))
+
+            for image in images:
+                e = put(pictures, "vectorChild", "Structure")
+                put(e, "guid", "String", image.guid)
+                put(e, "name", "String", image.name)
+                if image.scan:
+                    put(e, "associatedData3DGuid", "String", image.scan)
+                if image.pose is not None:
+                    placed(e, image.pose)
+                r = put(e, image.kind, "Structure")
+                blob(r, image.format, image.data)
+                if image.mask:
+                    blob(r, "imageMask", image.mask)
+                for name, v in (image.numbers or {}).items():
+                    put(r, name, "Integer" if isinstance(v, int) else "Float", v)
             at = f.tell()
             xml = b'<?xml version="1.0" encoding="UTF-8"?>\n' + ET.tostring(head)
             f.write(xml)

@@ -277,3 +277,34 @@ def test_colours_and_views(spark):
     assert shown.where((F.abs(F.col("dx") + F.col("ox") - F.col("x")) > 1e-5)).count() == 0
     spaced = octree.view_spacings(p, chosen)
     assert spaced.where("spacing IS NULL").count() == 0 and spaced.count() == 1024
+
+
+def test_images_go_along(spark, tmp_path):
+    import struct
+    import zlib
+
+    from pointloom.sources import e57
+
+    head = struct.pack(">IIBBBBB", 128, 64, 8, 0, 0, 0, 0)
+    photo = b"\x89PNG\r\n\x1a\n" + struct.pack(">I", 13) + b"IHDR" + head + struct.pack(">I", zlib.crc32(b"IHDR" + head)) + bytes(2000)
+    (tmp_path / "pano.png").write_bytes(photo)
+    (tmp_path / "wide.png").write_bytes(photo.replace(struct.pack(">II", 128, 64), struct.pack(">II", 96, 32)))
+    p = PointProject.create(spark, f"{tmp_path}/p")
+    p.import_points(demo.demo_scans(spark, 8))
+    with pytest.raises(UnsupportedFormat):
+        p.import_panorama(f"{tmp_path}/wide.png")
+    pano = p.import_panorama(f"{tmp_path}/pano.png")
+    scan = p.history.current.scans[1]
+    pin = e57.Image("front", "g1", "pinholeRepresentation", "jpegImage", b"\xff\xd8" + bytes(1500), Pose((1, 2, 3)), scan, {"imageWidth": 10, "focalLength": 0.5}, b"mask")
+    e57.export(f"{tmp_path}/a.e57", [(p.history.known[s], "n", Pose(), p.records([s])) for s in p.history.current.scans], (pin, *p._images()))
+    first = e57.read_images(f"{tmp_path}/a.e57")
+    assert first[0] == pin and first[1].data == photo and first[1].numbers["imageWidth"] == 128
+    q = PointProject.create(spark, f"{tmp_path}/q")
+    ids = q.import_file(f"{tmp_path}/a.e57")
+    assert [len(q.history.known[i].images) for i in ids] == [0, 1]
+    q.history.set_transform(ids[1], Pose((5, 0, 0)))
+    q = PointProject.load(spark, q.root) if not q.store() else q
+    q.export_e57(f"{tmp_path}/b.e57")
+    back = e57.read_images(f"{tmp_path}/b.e57")
+    assert len(back) == 1 and back[0].pose.t == (6.0, 2.0, 3.0) and back[0].mask == b"mask" and back[0].scan == ids[1]
+    assert pano.width == 128
