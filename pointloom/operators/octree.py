@@ -203,3 +203,11 @@ def view_spacings(points: DataFrame, chosen: list[tuple[Node, int]], scan: str =
     holds = F.filter("_boxes", lambda b: (x >= b["x0"]) & (x <= b["x1"]) & (y >= b["y0"]) & (y <= b["y1"]) & (z >= b["z0"]) & (z <= b["z1"]))
     deepest = F.aggregate(holds, F.struct(F.lit(-1).alias("level"), F.lit(None).cast("double").alias("s")), lambda a, b: F.when(b["_level"] > a["level"], F.struct(b["_level"].alias("level"), b["_s"].alias("s"))).otherwise(a))
     return own.withColumn("spacing", deepest["s"]).drop("_boxes")
+
+
+def nearest_pick(points: DataFrame, camera: Camera, u: float, v: float, reach: float, ref: tuple[str, ...]) -> DataFrame:
+    """The point in view that is picked at a place of it: the nearest one there within reach, the front one of equals; one
+    row, or none."""
+    at = points.select(*ref, "x", "y", "z", camera.project(xyz()).alias("p")).where("p IS NOT NULL")
+    off = (F.col("p.u") - u) * (F.col("p.u") - u) + (F.col("p.v") - v) * (F.col("p.v") - v)
+    return at.select(*ref, "x", "y", "z", off.alias("off"), F.col("p.w").alias("depth")).where(F.col("off") <= reach * reach).orderBy("off", "depth", *ref).limit(1)

@@ -132,6 +132,19 @@ class State:
         """Folders first, then scans and panoramas."""
         return [g.id for g in self.groups if g.parent == parent] + [i for i in (*self.scans, *(p.id for p in self.panoramas)) if self.member_of.get(i) == parent]
 
+    def display_order(self, parent: str | None = None, depth: int = 0) -> list[tuple[str, int]]:
+        """All items with their depth, each folder before what it holds, folders before others."""
+        out = []
+        for i in self.children(parent):
+            out.append((i, depth))
+            if any(g.id == i for g in self.groups):
+                out += self.display_order(i, depth + 1)
+        return out
+
+    def totals(self, records: dict[str, int]) -> dict[str, tuple[int, int]]:
+        """Of each folder the scans at any depth and their records."""
+        return {g.id: (len(own := self.within(g.id)), sum(records.get(s, 0) for s in own)) for g in self.groups}
+
     def frame(self, item: str) -> np.ndarray:
         """What the folders above an item do to it."""
         m = np.eye(4)

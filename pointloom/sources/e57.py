@@ -20,7 +20,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pointloom.errors import CoordinateSystemMismatch, TargetExists, UnsupportedFormat
-from pointloom.functions.geometry import Pose
+from pointloom.functions.geometry import Pose, scaled
+from pointloom.operators.statistics import percentile_rows
 from pointloom.plans.state import Scan, new_id
 from pointloom.sources.las import GREY, _open
 
@@ -28,6 +29,7 @@ PAGE, SUM = 1024, 4
 DATA = PAGE - SUM
 NS = "http://www.astm.org/COMMIT/E57/2010-e57-v1.0"
 ROWS = 65_536
+GREY_RECORDS = 500_000
 KINDS = ("visualReferenceRepresentation", "pinholeRepresentation", "sphericalRepresentation", "cylindricalRepresentation")
 SCHEMA = "chunk int, idx int, valid boolean, x double, y double, z double, r short, g short, b short, a short, intensity double, row long, col long"
 
@@ -286,9 +288,24 @@ def read(spark: SparkSession, path: str, number: int) -> DataFrame:
     return spark.range(1, numPartitions=1).mapInArrow(run, SCHEMA)
 
 
+def coloured(d: Data, points: DataFrame) -> DataFrame:
+    """points of a scan without colours but with intensities, in grey between the 1st and 99th percentile of its first
+    GREY_RECORDS; as they are where there are colours, no intensities, or too few of them."""
+    names = {x.name for x in d.fields}
+    if "intensity" not in names or names & {"colorRed", "colorGreen", "colorBlue"}:
+        return points
+    first = points.where((F.col("chunk") * ROWS + F.col("idx") < GREY_RECORDS) & F.col("intensity").isNotNull() & ~F.isnan("intensity"))
+    one = first.withColumn("_k", F.lit(0))
+    w = percentile_rows(one, "intensity", {"lo": (0.01, False), "hi": (0.99, False)}, "_k").first()
+    if w is None or first.limit(100).count() < 100 or not w["hi"] > w["lo"]:
+        return points
+    grey = scaled(F.col("intensity"), w["lo"], w["hi"], 255).cast("short")
+    return points.withColumns({c: F.coalesce(grey, F.col(c)) for c in "rgb"})
+
+
 def scans_of(spark: SparkSession, path: str) -> list[tuple[Scan, DataFrame]]:
     found, crs = read_header(path)
-    return [(Scan(new_id(), d.name, d.pose, crs=crs, guid=d.guid), read(spark, path, k)) for k, d in enumerate(found)]
+    return [(Scan(new_id(), d.name, d.pose, crs=crs, guid=d.guid), coloured(d, read(spark, path, k))) for k, d in enumerate(found)]
 
 
 def _packed(v: np.ndarray, bits: int) -> np.ndarray:

@@ -308,3 +308,25 @@ def test_images_go_along(spark, tmp_path):
     back = e57.read_images(f"{tmp_path}/b.e57")
     assert len(back) == 1 and back[0].pose.t == (6.0, 2.0, 3.0) and back[0].mask == b"mask" and back[0].scan == ids[1]
     assert pano.width == 128
+
+
+def test_order_totals_pick_and_grey(spark):
+    from pointloom.functions.geometry import Camera
+    from pointloom.operators.octree import nearest_pick
+    from pointloom.sources import e57
+
+    h = history()
+    a = h.create_group("A")
+    b = h.create_group("B", a.id)
+    h.move_to_group(["s1"], b.id)
+    assert h.current.display_order() == [(a.id, 0), (b.id, 1), ("s1", 2), ("s0", 0), ("s2", 0)]
+    assert h.current.totals({"s0": 5, "s1": 7})[a.id] == (1, 7)
+    p = spark.createDataFrame([(1, 5.0, 0.0, 0.0), (2, 3.0, 0.0, 0.0), (3, 5.0, 1.0, 0.0)], "id int, x double, y double, z double")
+    camera = Camera((5, 0, 0), 0.0, 0.0, 5.0)
+    assert nearest_pick(p, camera, 0.0, 0.0, 0.05, ("id",)).first()["id"] == 2
+    assert nearest_pick(p, camera, 0.9, 0.9, 0.05, ("id",)).count() == 0
+    d = e57.Data("", "", None, 0, 200, (e57.Field("intensity", "double"),), {})
+    pts = spark.range(200).selectExpr("0 AS chunk", "CAST(id AS int) AS idx", "CAST(id AS double) AS intensity", "CAST(180 AS short) AS r", "CAST(195 AS short) AS g", "CAST(210 AS short) AS b")
+    got = {r["idx"]: r["r"] for r in e57.coloured(d, pts).collect()}
+    assert got[0] == 0 and got[199] == 255 and got[1] == 0 and 120 < got[99] < 130
+    assert e57.coloured(d, pts.limit(50)).select("r").distinct().count() == 1
