@@ -79,23 +79,33 @@ def _sides(points: DataFrame, ref: tuple[str, ...], scan: str) -> tuple[DataFram
     return side("l"), side("r"), differ
 
 
-def neighbour_counts(points: DataFrame, radius: float, ref: tuple[str, ...], scan: str = "scan") -> DataFrame:
-    """scan, ref and n: the other points of the scan within radius, at the same place too; 0 for none.
+def neighbour_counts(points: DataFrame, radius: float, ref: tuple[str, ...], scan: str = "scan", of: DataFrame | None = None) -> DataFrame:
+    """scan, ref and n: the other points of the scan within radius, at the same place too; 0 for none. of: the points
+    that are asked about, if not all.
 
-    Cells of a few points are compared in pairs of points. Points of one place count as one row with its number, so that
-    a pile of copies is one row.
+    Points of one place count as one row with its number, so that a pile of copies is one row.
     """
-    places = points.groupBy(scan, "x", "y", "z").agg(F.count("*").alias("copies"))
-    left = places.select(scan, F.col("x").alias("lx"), F.col("y").alias("ly"), F.col("z").alias("lz"))
-    right = places.select(scan, F.col("x").alias("rx"), F.col("y").alias("ry"), F.col("z").alias("rz"), "copies")
+    of = points if of is None else of
+    right = points.groupBy(scan, F.col("x").alias("rx"), F.col("y").alias("ry"), F.col("z").alias("rz")).agg(F.count("*").alias("copies"))
+    left = of.select(scan, F.col("x").alias("lx"), F.col("y").alias("ly"), F.col("z").alias("lz")).distinct()
     pairs = radius_pairs(left, right, radius, (scan,))
     n = pairs.groupBy(scan, F.col("lx").alias("x"), F.col("ly").alias("y"), F.col("lz").alias("z")).agg((F.sum("copies") - 1).alias("n"))
-    return points.join(n, [scan, "x", "y", "z"]).select(scan, *ref, "n")
+    return of.join(n, [scan, "x", "y", "z"]).select(scan, *ref, "n")
 
 
 def remove_noise(points: DataFrame, radius: float, min_neighbours: int, ref: tuple[str, ...], scan: str = "scan") -> DataFrame:
-    """Points with fewer than min_neighbours others of their scan within radius."""
-    few = neighbour_counts(points, radius, ref, scan).where(F.col("n") < min_neighbours)
+    """Points with fewer than min_neighbours others of their scan within radius.
+
+    All points of a cell whose diagonal is the radius are neighbours of each other. A cell with more than min_neighbours
+    of them has none to move, so only points of sparser cells look for neighbours: where points are dense, none do.
+    """
+    _positive(radius=radius)
+    side = radius / math.sqrt(3) * (1 - 1e-9)
+    cells = [cell(c, side).alias(n) for c, n in zip(xyz(), ("_dx", "_dy", "_dz"), strict=True)]
+    own = points.select("*", *cells)
+    dense = own.groupBy(scan, "_dx", "_dy", "_dz").agg(F.count("*").alias("_n")).where(F.col("_n") > min_neighbours)
+    sparse = own.join(dense, [scan, "_dx", "_dy", "_dz"], "left_anti").select(points.columns)
+    few = neighbour_counts(points, radius, ref, scan, sparse).where(F.col("n") < min_neighbours)
     return points.join(few.select(scan, *ref), [scan, *ref], "left_semi")
 
 

@@ -15,16 +15,49 @@ def element_at_share(values: Column, share: float, rounded: bool = False) -> Col
     return F.when(F.size(values) > 0, F.element_at(values, (F.floor(at + 0.5) if rounded else F.floor(at)).cast("int") + 1))
 
 
-def percentile_rows(points: DataFrame, value: str, shares: dict[str, tuple[float, bool]], *keys: str) -> DataFrame:
-    """By keys the values of the elements at each share (share, whether the index is rounded). By ranks in a window, so
-    that no array of a group is built."""
+#: Values of a group that are ranked in one task; a larger group is first narrowed down to a few thousandths.
+RANKED = 200_000
+#: Relative error of the ranks that narrow a group down, and how far the bracket reaches to either side, with room to spare.
+ACCURACY, REACH = 10_000, 4e-4
+
+
+def _index(n: Column, share: float, rounded: bool | None) -> Column:
+    """The index of n sorted values that a share names: truncated, rounded, or for None n / 2."""
+    if rounded is None:
+        return F.floor(n / 2)
+    at = (n - 1) * F.lit(share)
+    return F.floor(at + 0.5) if rounded else F.floor(at)
+
+
+def percentile_rows(points: DataFrame, value: str, shares: dict[str, tuple[float, bool | None]], *keys: str, ranked: int = RANKED) -> DataFrame:
+    """By keys the values of the elements at each share (share, and how its index is found). NULLs do not count.
+
+    Groups of up to `ranked` values are ranked in a window. Of a larger one approximate percentiles bracket each share;
+    what lies below is counted, and the different values in the bracket are ranked by running counts: exact, and no task
+    sorts a group.
+    """
+    own = points.where(F.col(value).isNotNull()).select(*keys, value)
+    sizes = own.groupBy(*keys).agg(F.count("*").alias("_n"))
+    small = sizes.where(F.col("_n") <= ranked)
     w = Window.partitionBy(*keys).orderBy(value)
-    ranked = points.where(F.col(value).isNotNull()).select(*keys, value, (F.row_number().over(w) - 1).alias("_i"), F.count("*").over(Window.partitionBy(*keys)).alias("_n"))
-    picks = []
-    for name, (share, rounded) in shares.items():
-        at = (F.col("_n") - 1) * F.lit(share)
-        picks.append(F.max(F.when(F.col("_i") == (F.floor(at + 0.5) if rounded else F.floor(at)), F.col(value))).alias(name))
-    return ranked.groupBy(*keys).agg(*picks)
+    placed = own.join(F.broadcast(small), list(keys)).withColumn("_i", F.row_number().over(w) - 1)  # a row for each group
+    out = placed.groupBy(*keys).agg(*(F.max(F.when(F.col("_i") == _index(F.col("_n"), s, r), F.col(value))).alias(name) for name, (s, r) in shares.items()))
+    large = sizes.where(F.col("_n") > ranked)
+    if large.isEmpty():
+        return out
+    own = own.join(F.broadcast(large), list(keys))
+    found = large.select(*keys)
+    for name, (s, r) in shares.items():
+        ends = F.percentile_approx(value, [max(0.0, s - REACH), min(1.0, s + REACH)], ACCURACY)
+        bracket = own.groupBy(*keys).agg(ends.alias("_e")).select(*keys, F.col("_e")[0].alias("_lo"), F.col("_e")[1].alias("_hi"))
+        near = own.join(F.broadcast(bracket), list(keys))
+        below = near.groupBy(*keys).agg(F.count_if(F.col(value) < F.col("_lo")).alias("_below"))
+        counts = near.where(F.col(value).between(F.col("_lo"), F.col("_hi"))).groupBy(*keys, value, "_n").agg(F.count("*").alias("_c"))
+        upto = F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0))
+        at = counts.join(F.broadcast(below), list(keys)).withColumn("_upto", F.col("_below") + upto)
+        hit = at.where((_index(F.col("_n"), s, r) < F.col("_upto")) & (_index(F.col("_n"), s, r) >= F.col("_upto") - F.col("_c")))
+        found = found.join(hit.select(*keys, F.col(value).alias(name)), list(keys), "left")
+    return out.unionByName(found)
 
 
 def scan_anchor(points: DataFrame, scan: str = "scan") -> DataFrame:
@@ -54,10 +87,8 @@ def nearest_gap(points: DataFrame, reach: float, ref: tuple[str, ...], scan: str
 
 def typical_spacing(points: DataFrame, reach: float, ref: tuple[str, ...], scan: str = "scan") -> DataFrame:
     """scan and spacing: the gap at index n / 2 of those in order; a tenth of reach without any."""
-    gaps = nearest_gap(points, reach, ref, scan)
-    w = Window.partitionBy(scan).orderBy("gap")
-    mid = gaps.select(scan, "gap", (F.row_number().over(w) - 1).alias("i"), F.count("*").over(Window.partitionBy(scan)).alias("n")).where(F.col("i") == F.floor(F.col("n") / 2))
-    return points.select(scan).distinct().join(mid.select(scan, "gap"), scan, "left").select(scan, F.coalesce("gap", F.lit(reach / 10)).alias("spacing"))
+    mid = percentile_rows(nearest_gap(points, reach, ref, scan), "gap", {"gap": (0.5, None)}, scan)
+    return points.select(scan).distinct().join(mid, scan, "left").select(scan, F.coalesce("gap", F.lit(reach / 10)).alias("spacing"))
 
 
 def fingerprint(points: DataFrame, *columns: str) -> DataFrame:

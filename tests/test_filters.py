@@ -148,3 +148,18 @@ def test_culling_never_skips_a_point(spark):
             for (ax, ay), (bx, by) in zip(sel.polygon, sel.polygon[1:] + sel.polygon[:1], strict=True):
                 hit ^= ((ay > v) != (by > v)) & (u < (bx - ax) * (v - ay) / (by - ay) + ax)
             assert sel.may_touch(b) or not (inside & hit).any()
+
+
+def test_percentiles_of_large_groups_are_exact(spark):
+    from pyspark.sql import functions as F
+
+    from pointloom.operators.statistics import percentile_rows
+
+    p = spark.range(30_000).select((F.col("id") % 3).alias("scan"), (F.pmod(F.xxhash64("id"), F.lit(997)) / 7.0).alias("v")).withColumn("w", F.when(F.col("scan") == 2, F.lit(1.5)).otherwise(F.col("v")))
+    shares = {"a": (0.01, False), "b": (0.5, True), "c": (0.99, False), "d": (0.5, None)}
+    whole = {r["scan"]: r.asDict() for r in percentile_rows(p, "w", shares, "scan").collect()}
+    parts = {r["scan"]: r.asDict() for r in percentile_rows(p, "w", shares, "scan", ranked=100).collect()}
+    assert whole == parts and whole[2]["b"] == 1.5
+    for s in (0, 1):
+        v = np.sort([r[0] for r in p.where(F.col("scan") == s).select("w").collect()])
+        assert whole[s] == {"scan": s, "a": v[int((len(v) - 1) * 0.01)], "b": v[int((len(v) - 1) * 0.5 + 0.5)], "c": v[int((len(v) - 1) * 0.99)], "d": v[len(v) // 2]}
