@@ -258,7 +258,7 @@ def _dealt(nodes: DataFrame, threshold: float, tile_rows: int, tile_shingles: in
     band into tiles; each pair of tiles is a group."""
     step = float(-np.log(threshold))
     whole = nodes.groupBy("root").agg(F.count("*").alias("n"), F.sum("n_set").alias("w"))
-    nodes = nodes.join(whole.where((F.col("n") > tile_rows) | (F.col("w") > tile_shingles)).select("root", F.lit(True).alias("large")), "root", "left")
+    nodes = nodes.join(whole.where((F.col("n") > tile_rows) | (F.col("w") > tile_shingles)).select("root", F.lit(True).alias("large")), "root", "left").repartition("node")  # off the roots, of which one may be hot
     small = nodes.where("large IS NULL").select(*nodes.columns, F.concat_ws(":", F.col("root")).alias("g"), F.lit(0).alias("side")).drop("large")
     large = nodes.where("large").drop("large").withColumn("band", F.floor(F.log(F.col("n_set").cast("double")) / (step * (1 + 1e-9))).cast("int"))
     tiles = F.greatest(F.ceil(F.count("*") * 2 / tile_rows), F.ceil(F.sum("n_set") * 2 / tile_shingles)).cast("int")
