@@ -219,13 +219,14 @@ def identify(docs: DataFrame, languages: list[str], net: Network | None, id_col:
 
     def run(batches):
         names, own = shared.value
-        for b in batches:
-            off, data = C.buffers(b.column(1))
-            known = has_letter(off, data) if own else np.zeros(b.num_rows, bool)
-            p = label(own, off, data) if own else np.zeros((b.num_rows, 1))
-            best = p.argmax(1) if b.num_rows else np.zeros(0, np.int64)
-            pred = [names[k] if ok else UND for k, ok in zip(best, known, strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(pred, pa.string()), pa.array(np.where(known, p.max(1, initial=0.0), 0.0))], names=["id", "lang_pred", "score"])
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 1000):
+                b = whole.slice(lo, 1000)
+                off, data = C.buffers(b.column(1))
+                known = has_letter(off, data) if own else np.zeros(b.num_rows, bool)
+                p = label(own, off, data) if own else np.zeros((b.num_rows, 1))
+                pred = [names[k] if ok else UND for k, ok in zip(p.argmax(1), known, strict=True)]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(pred, pa.string()), pa.array(np.where(known, p.max(1), 0.0))], names=["id", "lang_pred", "score"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, "id long, lang_pred string, score double").withColumnRenamed("id", id_col)
