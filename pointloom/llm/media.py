@@ -86,7 +86,7 @@ def feature(samples: bytes) -> str:
 def _store(uri: str):
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(uri if "://" in uri else f"file://{uri}")
+    return fs.FileSystem.from_uri(f"file://{uri}" if uri.startswith("/") else uri)
 
 
 def write_tar_shards(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
