@@ -54,7 +54,7 @@ class Header:
 def _open(path: str):
     from pyarrow import fs
 
-    store, inner = fs.FileSystem.from_uri(path if "://" in path else f"file://{os.path.abspath(path)}")
+    store, inner = fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{os.path.abspath(path)}")
     return store.open_input_file(inner)
 
 
