@@ -31,7 +31,8 @@ THRESHOLD = 0.8
 TREES, DEPTH = 20, 5
 #: Probability with which a pair at the threshold must become a candidate.
 RECALL = 0.999999
-#: Shares of equal signature values, four standard deviations off the similarities 1 - (1 - 0.8) - 0.4 and 0.6.
+#: Shares of equal signature values. A row that is at COVER with a leader has a similarity of 0.6 to it, and a partner of
+#: that row, at 0.8, one of 0.4: each share stands four standard deviations of its estimate on the safe side.
 COVER, CONNECT = 0.78, 0.2
 #: Classes of one trie node, and classes and shingles of one tile, that a task takes at once.
 NODE_ROWS, TILE_ROWS, TILE_SHINGLES = 4096, 1000, 1_500_000

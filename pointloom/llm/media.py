@@ -28,7 +28,7 @@ HEAD = 33
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 #: Bytes of images in a tar shard.
 SHARD_BYTES = 32 << 20
-#: Bytes of payloads that a reader holds before it hands their rows on.
+#: What the catalogue says of each payload.
 CATALOGUE = "digest string, n_bytes long, shard string, offset long, length long"
 
 
