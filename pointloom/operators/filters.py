@@ -13,6 +13,8 @@ from pointloom.functions.geometry import CropBox, Selection, Xyz, cell, distance
 
 #: Cells around a cell, itself among them.
 AROUND = [(i, j, k) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)]
+#: The shares of the reach in which nearest neighbours are looked for, one after another.
+SHARES_OF_REACH = (1 / 8, 1.0)
 #: A radius join's cells are wider than the radius by this factor, so that rounding cannot put a neighbour two away.
 MARGIN = 1 + 1e-9
 
@@ -112,18 +114,24 @@ def remove_noise(points: DataFrame, radius: float, min_neighbours: int, ref: tup
 def mean_distances(points: DataFrame, k: int, reach: float, ref: tuple[str, ...], scan: str = "scan") -> DataFrame:
     """scan, ref and m: the mean distance to the k nearest others of the scan within reach; null if they are fewer.
 
-    The k least of a point's distances are kept by an aggregate of at most k places on either side of the shuffle.
+    Points that have k neighbours within a small share of the reach are done with it: those are their nearest. Only the
+    others look farther, so that where points are dense none meets all others within reach.
     """
     if not 1 <= k <= 256:
         raise ValueError("neighbours must be 1 to 256")
-    left, right, differ = _sides(points, ref, scan)
-    pairs = radius_pairs(left, right, reach, (scan,)).where(differ)
+    _, right, differ = _sides(points, ref, scan)
     own = [F.col(f"l_{r}").alias(r) for r in ref]
     rank = Window.partitionBy(scan, *ref).orderBy("d2", *(f"r_{r}" for r in ref))
-    near = pairs.select(scan, *own, "d2", *(f"r_{r}" for r in ref)).withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k)
     total = F.aggregate(F.array_sort(F.collect_list("d2")), F.lit(0.0), lambda a, d: a + F.sqrt(d))
-    m = near.groupBy(scan, *ref).agg(F.when(F.count("*") >= k, total / k).alias("m"))
-    return points.select(scan, *ref).join(m, [scan, *ref], "left")
+    asked, found = points, None
+    for share in SHARES_OF_REACH:
+        left, _, _ = _sides(asked, ref, scan)
+        pairs = radius_pairs(left, right, reach * share, (scan,)).where(differ)
+        near = pairs.select(scan, *own, "d2", *(f"r_{r}" for r in ref)).withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k)
+        done = near.groupBy(scan, *ref).agg(F.count("*").alias("n"), (total / k).alias("m")).where(F.col("n") >= k).drop("n")
+        found = done if found is None else found.unionByName(done)
+        asked = asked.join(done.select(scan, *ref), [scan, *ref], "left_anti")
+    return points.select(scan, *ref).join(found, [scan, *ref], "left")
 
 
 def outlier_limits(distances: DataFrame, deviations: float, scan: str = "scan") -> DataFrame:
