@@ -130,7 +130,7 @@ class Run:
     def pack(self) -> bytes:
         n = len(self.lcp)
         raw = b"".join((n.to_bytes(8, "little"), self.lcp.astype(np.uint8).tobytes(), self.doc.astype(np.int64).tobytes(), self.index.astype(np.uint32).tobytes(), self.at.astype(np.uint32).tobytes(), self.rest))
-        return zstandard.ZstdCompressor(level=1).compress(raw)
+        return zstandard.ZstdCompressor(level=3).compress(raw)
 
     @staticmethod
     def unpack(blob: bytes) -> Run:
@@ -266,6 +266,18 @@ def contexts(s: C.Shard, at: np.ndarray, length: int, gram: int) -> np.ndarray:
     return rows
 
 
+def pack_hits(hits: np.ndarray) -> bytes:
+    """Hits (text, first and last start; three rows) in the order of texts and starts, as small differences, compressed."""
+    index, first, last = hits[:, np.lexsort((hits[1], hits[0]))].astype(np.int64)
+    return zstandard.compress(np.stack([np.diff(index, prepend=0), np.diff(first, prepend=0), last - first]).astype(np.int32).tobytes(), 3)
+
+
+def unpack_hits(blob: bytes) -> np.ndarray:
+    steps = np.frombuffer(zstandard.decompress(blob), np.int32).reshape(3, -1).astype(np.int64)
+    index, first = np.cumsum(steps[0]), np.cumsum(steps[1])
+    return np.stack([index, first, first + steps[2]])
+
+
 def _starts(rows: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
     """The least and the greatest distance of the anchor from the start of a whole string that holds its gram."""
     return np.maximum(0, length - rows[:, -2].astype(np.int64)), np.minimum(length - gram, rows[:, -1].astype(np.int64))
@@ -378,7 +390,7 @@ def repeated(runs: list[tuple[int, Run]], length: int, gram: int) -> dict[int, n
 
 
 def find(shards: DataFrame, length: int = LENGTH, gram: int = GRAM, most: int = MOST_CONTEXTS) -> DataFrame:
-    """shards (of common.pack), each with hits: arrays of three unsigned 32-bit rows, text, first and last start."""
+    """shards (of common.pack), each with hits, of pack_hits(): text, first and last start."""
     buckets = max(1, min(MOST_BUCKETS, -(-shards.count() // 2)))
     grams = C.checkpoint(_counted(shards, buckets, length, gram, most))
     hits = _exchange(shards, grams, buckets, length, gram)
@@ -437,7 +449,7 @@ def _exchange(shards: DataFrame, grams: DataFrame, buckets: int, length: int, gr
                     start, strings, sh = single_strings(s, part, contexts(s, part, length, gram), length, gram)
                     more, more_hits = _sorted_runs(s, start, strings, sh, buckets, length, gram)
                     runs, hits = runs + more, np.concatenate([hits, more_hits], axis=1)
-            out = [(b, row["shard"], r, None) for b, r in runs] + [(-1 - row["shard"] % buckets, row["shard"], None, np.ascontiguousarray(hits).tobytes())] * bool(hits.size)
+            out = [(b, row["shard"], r, None) for b, r in runs] + [(-1 - row["shard"] % buckets, row["shard"], None, pack_hits(hits) if hits.size else None)] * bool(hits.size)
             cols = list(zip(*out, strict=True)) or [[], [], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary()), pa.array(cols[3], pa.binary())], names=["bucket", "shard", "run", "hits"])
 
@@ -446,7 +458,7 @@ def _exchange(shards: DataFrame, grams: DataFrame, buckets: int, length: int, gr
         out = [(s, h) for s, h in zip(shard, hits, strict=True) if h is not None]
         runs = [(s, Run.unpack(r)) for s, r in zip(shard, run, strict=True) if r is not None]
         if runs:
-            out += [(s, h.tobytes()) for s, h in repeated(runs, length, gram).items()]
+            out += [(s, pack_hits(h)) for s, h in repeated(runs, length, gram).items()]
         cols = list(zip(*out, strict=True)) or [[], []]
         return pa.table({"shard": pa.array(cols[0], pa.int64()), "hits": pa.array(cols[1], pa.binary())})
 
@@ -458,7 +470,7 @@ def removed_bytes(s: C.Shard, hits: list[bytes] | None, length: int) -> np.ndarr
     """Which bytes of the shard are covered by a hit."""
     edge = np.zeros(len(s.data) + 1, np.int32)
     for h in hits or ():
-        index, first, last = np.frombuffer(h, np.uint32).reshape(3, -1).astype(np.int64)
+        index, first, last = unpack_hits(h)
         np.add.at(edge, s.off[index] + first, 1)
         np.add.at(edge, s.off[index] + last + length, -1)
     return np.cumsum(edge[:-1], dtype=np.int32, out=edge[:-1]) > 0

@@ -44,12 +44,12 @@ def by_parts(docs, length, gram, shards, most):
             parts.append(S.single_strings(s, at[hot], S.contexts(s, at[hot], length, gram), length, gram))
         for a, rows, hh in parts:
             runs, found = S._sorted_runs(s, a, rows, hh, 3, length, gram)
-            hits[k].append(np.ascontiguousarray(found).tobytes())
+            hits[k].append(S.pack_hits(found))
             for b, r in runs:
                 buckets.setdefault(b, []).append((k, S.Run.unpack(r)))
     for runs in buckets.values():
         for k, found in S.repeated(runs, length, gram).items():
-            hits[k].append(found.tobytes())
+            hits[k].append(S.pack_hits(found))
     out = []
     for k, s in enumerate(own):
         gone = S.removed_bytes(s, hits[k], length)
