@@ -138,13 +138,13 @@ def shards_in(batches: Iterator[pa.RecordBatch], most: int = SHARD_BYTES) -> Ite
 SHARD_SCHEMA = "shard long, n_docs long, n_bytes long, ids binary, lens binary, data binary, rest binary"
 
 
-def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", pass_on: tuple[str, ...] = ()) -> DataFrame:
+def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", pass_on: tuple[str, ...] = (), least: int = SHARD_BYTES) -> DataFrame:
     """Texts as compressed shards in the shared folder, SHARD_SCHEMA. A shard's number is fixed when it is written;
     rest has the columns pass_on of its rows, as an Arrow stream. Shards are dealt out by their numbers before they are
     written, so that later joins by number need not move them. Their size follows the plan's estimate of the table's,
-    within SHARD_BYTES and MOST_SHARD_BYTES; results do not depend on it."""
+    within least and MOST_SHARD_BYTES; results do not depend on it."""
     estimate = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    most = max(SHARD_BYTES, min(MOST_SHARD_BYTES, estimate // SHARDS))
+    most = max(least, min(MOST_SHARD_BYTES, estimate // SHARDS))
 
     def run(batches):
         from pyspark import TaskContext

@@ -1,14 +1,17 @@
 """Language-model scores by a probabilistic suffix tree over bytes, and by add-one counts of words.
 
-The tree's contexts have up to DEPTH bytes. A context is a candidate if its share of all training positions is LEAST or
-more, which bounds the candidates to 1 / LEAST for each length, and it is retained if what follows it diverges from what
-follows its longest retained suffix by GAIN nats (Kullback-Leibler) or more, EVIDENCE over all its places. Next-symbol distributions are smoothed
-toward the suffix's, down to add-half counts at the root, so that every byte has a probability after every context.
-Scoring takes the longest suffix of the text so far that is a state. Retained contexts and their prefixes form an
-automaton, so that a text is scored by a table look-up for each byte.
-
-Counts come from all training texts: each task sends what it counted, by bucket. Words' counts go back to the shard
-that asked for them, so no task ever holds the vocabulary.
+The tree's contexts have up to DEPTH bytes. Every context of the training texts is tested, however rare: it is retained
+if what follows it diverges from what follows its longest retained suffix by GAIN nats (Kullback-Leibler) or more,
+EVIDENCE over all its places. So the tree grows with the corpus. Next-symbol distributions are smoothed toward the
+suffix's, down to add-half counts at the root, so that every byte has a probability after every context. Scoring takes
+the longest retained suffix of the text so far.
+
+Counts come from all training texts. A shard sends its different strings of DEPTH + 1 symbols, with their training
+counts, to the group of their last two context symbols, where all of every longer context meets; the group grows its
+part of the tree and answers each shard with its strings' probabilities. Only contexts of one symbol are gathered on the
+driver, so no task ever holds the tree. Words' counts go back to the shard that asked for them in the same way.
+
+build() and score() are the same tree as one machine's automaton.
 """
 
 from __future__ import annotations
@@ -26,13 +29,14 @@ from pyspark.sql import functions as F
 from . import common as C
 
 DEPTH = 6
-LEAST = 1e-5
 GAIN = 0.002
 EVIDENCE = 20.0
 PULL = 20.0
 END, PAD, BITS = 256, 257, 9
 PIECE = 256
-#: Different strings that a task counts before it sends them.
+#: Bytes of text in a shard at least, since texts of one shard share its strings, and those counted at once.
+SHARD_BYTES, COUNT_BYTES = 8 << 20, 1 << 20
+#: Different strings that a group gathers before it adds them up.
 MOST_GRAMS = 1_500_000
 MOST_BUCKETS = 16_384
 HELD_OUT = (7, 2)
@@ -234,68 +238,156 @@ def _word_counts(shards: DataFrame, buckets: int) -> DataFrame:
     return C.checkpoint(sent.groupBy("bucket").applyInArrow(answer, "shard long, bucket int, n binary, total long, different long"))
 
 
-def learn(shards: DataFrame, total: int, depth: int = DEPTH, least: float = LEAST, gain: float = GAIN) -> Model:
-    """The tree of the training texts of shards, of total bytes and ends. What reaches the driver is bounded by 1 / least contexts a length."""
-    buckets = max(1, min(MOST_BUCKETS, -(-shards.count() // 2)))
+def _squeezed(x: np.ndarray) -> bytes:
+    """Numbers as bytes, all first ones first."""
+    return zstandard.compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes(), 1)
+
+
+def _unsqueezed(b: bytes, kind: type) -> np.ndarray:
+    wide = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(b), np.uint8).reshape(wide, -1).T).view(kind).ravel()
+
+
+def _codes(x: np.ndarray, depth: int) -> np.ndarray:
+    """The string of depth + 1 symbols that ends at each byte or END of symbols()."""
+    if len(x) <= depth:
+        return np.zeros(0, np.uint64)
+    wide, code, long = x.astype(np.uint64), np.zeros(len(x), np.uint64), 0  # code: strings of `long` symbols by their first
+    for bit in f"{depth + 1:b}":
+        if long:  # twice as long
+            code = code[:-long] << np.uint64(BITS * long) | code[long:]
+            long *= 2
+        if bit == "1":  # and one more
+            code = code[:-1] << np.uint64(BITS) | wide[long : long + len(code) - 1] if long else wide
+            long += 1
+    return code[x[depth:] != PAD]
+
+
+def _pieces(s: C.Shard) -> list[np.ndarray]:
+    """The texts' numbers, in pieces of about COUNT_BYTES."""
+    out, lo = [], 0
+    while lo < len(s):
+        hi = max(lo + 1, int(np.searchsorted(s.off, s.off[lo] + COUNT_BYTES, side="right")) - 1)
+        out.append(np.arange(lo, hi))
+        lo = hi
+    return out
+
+
+def shard_counts(s: C.Shard, train: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each different string of depth + 1 symbols in the shard's texts, and how often it occurs in those of train."""
+    parts = []
+    for pick in _pieces(s):
+        for own, count in ((pick[train[pick]], 1), (pick[~train[pick]], 0)):
+            code, n = np.unique(_codes(symbols(s, own, depth)[0], depth), return_counts=True)
+            parts.append((code, n * count))
+    return _merged(parts) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+
+
+def _retained(g: np.ndarray, m: np.ndarray, parent: np.ndarray, gain: float, pull: float, evidence: float) -> np.ndarray:
+    """The probability of each string's last symbol after its context, if that is retained, or else parent. g: strings in
+    order, with all that occur in training; m: their training counts; parent: the probabilities after the longest retained suffix."""
+    if not len(g):
+        return parent
+    change = np.concatenate([[True], g[1:] >> np.uint64(BITS) != g[:-1] >> np.uint64(BITS)])
+    begin, of = np.flatnonzero(change), np.cumsum(change) - 1
+    total = np.add.reduceat(m, begin).astype(np.float64)
+    p = (m + pull * parent) / (total[of] + pull)
+    apart = np.add.reduceat(np.where(m > 0, p * np.log(p / parent), 0.0), begin)
+    rest = np.maximum(0.0, 1 - np.add.reduceat(np.where(m > 0, parent, 0.0), begin))  # of symbols that never follow
+    shrunk = pull / (total + pull)
+    apart += rest * shrunk * np.log(shrunk)
+    keep = (apart >= gain) & (apart * total >= evidence)
+    return np.where(keep[of], p, parent)
+
+
+def first_level(code: np.ndarray, n: np.ndarray, gain: float = GAIN, pull: float = PULL, evidence: float = EVIDENCE) -> np.ndarray:
+    """By context symbol and next symbol, the probability after the longest retained suffix of one symbol at most. code,
+    n: strings of two symbols and their training counts."""
+    last = np.bincount((code & np.uint64(511)).astype(np.int64), n, minlength=512)
+    seen = int(np.count_nonzero(last))
+    root = (last + 0.5) / (last.sum() + 0.5 * (seen + max(257 - seen, 1)))
+    m = np.zeros((512, 512))
+    m[(code >> np.uint64(BITS)).astype(np.int64), (code & np.uint64(511)).astype(np.int64)] = n
+    g = np.arange(512 * 512, dtype=np.uint64)
+    return _retained(g, m.ravel(), np.tile(root, 512), gain, pull, evidence).reshape(512, 512)
+
+
+def probabilities(code: np.ndarray, n: np.ndarray, first: np.ndarray, depth: int, gain: float = GAIN, pull: float = PULL, evidence: float = EVIDENCE) -> np.ndarray:
+    """The probability of the last symbol of each string of depth + 1, by the tree. code: different strings, with all that
+    occur in training and end in their last two context symbols; n: training counts, which may be 0."""
+    out = first[((code >> np.uint64(BITS)) & np.uint64(511)).astype(np.int64), (code & np.uint64(511)).astype(np.int64)]
+    for d in range(2, depth + 1):
+        g, at, inverse = np.unique(code & np.uint64((1 << (BITS * (d + 1))) - 1), return_index=True, return_inverse=True)
+        m = np.bincount(inverse, n.astype(np.float64), minlength=len(g))
+        out = _retained(g, m, out[at], gain, pull, evidence)[inverse]
+    return out
+
+
+def _dealt(code: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of strings by bucket, that of their last two context symbols, and where each bucket begins."""
+    bucket = _bucket((code >> np.uint64(BITS)) & np.uint64((1 << (2 * BITS)) - 1), buckets)
+    order = np.argsort(bucket, kind="stable")
+    return order, np.searchsorted(bucket[order], np.arange(buckets + 1))
 
-    def send(code, n, bucket):
-        order = np.argsort(bucket, kind="stable")
-        code, n = code[order], n[order]
-        cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
-        own = [b for b in range(buckets) if cut[b + 1] > cut[b]]
-        pack = lambda x: pa.array([zstandard.compress(x[cut[b] : cut[b + 1]].tobytes(), 1) for b in own], pa.binary())
-        return [pa.array(own, pa.int32()), pack(code), pack(n)]
+
+def _gram_answers(shards: DataFrame, buckets: int, depth: int, gain: float) -> DataFrame:
+    """shard, bucket, lp: log10 probabilities of the shard's different strings of that bucket, in order."""
 
     def count(batches):
-        parts = []
-        for _, s in C.packed(batches):
-            parts.append(gram_counts(s, np.flatnonzero(~held_out(s.ids)), depth))
-            if sum(len(p[0]) for p in parts) > MOST_GRAMS:
-                parts = [_merged(parts)]
-                if len(parts[0][0]) > MOST_GRAMS // 2:
-                    yield pa.RecordBatch.from_arrays(send(*parts[0], _bucket(parts[0][0], buckets)), names=["bucket", "code", "n"])
-                    parts = []
-        if parts:
-            code, n = _merged(parts)
-            yield pa.RecordBatch.from_arrays(send(code, n, _bucket(code, buckets)), names=["bucket", "code", "n"])
-
-    def merge(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        take = lambda c, kind: [np.frombuffer(zstandard.decompress(x), kind) for x in group.column(c).to_pylist()]
-        return _merged(list(zip(take("code", np.uint64), take("n", np.int64), strict=True)))
-
-    def add(group: pa.Table) -> pa.Table:  # of one bucket of strings; on to that of their last two context symbols
-        code, n = merge(group)
-        return pa.table(send(code, n, _bucket((code >> np.uint64(BITS)) & np.uint64((1 << (2 * BITS)) - 1), buckets)), names=["bucket", "code", "n"])
-
-    def candidates(group: pa.Table) -> pa.Table:  # holds all of a context of two symbols or more
-        code, n = merge(group)
-        found = []
-        for d in range(depth + 1):
-            c, inverse = np.unique(code & np.uint64((1 << (BITS * (d + 1))) - 1), return_inverse=True)
-            m = np.bincount(inverse, n.astype(np.float64)).astype(np.int64)
-            if d > 1:
-                _, of = np.unique(c >> np.uint64(BITS), return_inverse=True)
-                keep = np.bincount(of, m.astype(np.float64))[of] >= least * total
-                c, m = c[keep], m[keep]
-            found.append((np.full(len(c), d), c, m))
-        d, c, m = (np.concatenate(x) for x in zip(*found, strict=True))
-        return pa.table({"d": pa.array(d, pa.int32()), "code": pa.array(c.view(np.int64)), "n": pa.array(m)})
-
-    blobs = "bucket int, code binary, n binary"
-    merged = shards.mapInArrow(count, blobs).groupBy("bucket").applyInArrow(add, blobs)
-    got = merged.groupBy("bucket").applyInArrow(candidates, "d int, code long, n long").groupBy("d", "code").agg(F.sum("n").alias("n")).toArrow()
-    d, code, n = got.column("d").to_numpy(), got.column("code").to_numpy().astype(np.uint64), got.column("n").to_numpy()
-    out = []
-    for k in range(depth + 1):
-        order = np.flatnonzero(d == k)
-        order = order[np.argsort(code[order])]
-        c, m = code[order], n[order]
-        if k == 1 and len(c):
-            _, of = np.unique(c >> np.uint64(BITS), return_inverse=True)
-            keep = np.bincount(of, m.astype(np.float64))[of] >= least * total
-            c, m = c[keep], m[keep]
-        out.append((c, m))
-    return build(out, gain)
+        for row, s in C.packed(batches):
+            code, n = shard_counts(s, ~held_out(s.ids), depth)
+            order, cut = _dealt(code, buckets)
+            pair, inverse = np.unique(code & np.uint64((1 << (2 * BITS)) - 1), return_inverse=True)
+            own = [(-1, pair, np.bincount(inverse, n.astype(np.float64), minlength=len(pair)).astype(np.int64))]
+            own += [(b, code[order[cut[b] : cut[b + 1]]], n[order[cut[b] : cut[b + 1]]]) for b in range(buckets) if cut[b + 1] > cut[b]]
+            packs = [pa.array([_squeezed(np.diff(c, prepend=np.uint64(0))) for _, c, _ in own], pa.binary()), pa.array([_squeezed(k.astype(np.uint32)) for _, _, k in own], pa.binary())]
+            yield pa.RecordBatch.from_arrays([pa.array([b for b, _, _ in own], pa.int32()), pa.array([row["shard"]] * len(own), pa.int64()), *packs], names=["bucket", "shard", "code", "n"])
+
+    def opened(code: bytes, n: bytes) -> tuple[np.ndarray, np.ndarray]:
+        return np.cumsum(_unsqueezed(code, np.uint64), dtype=np.uint64), _unsqueezed(n, np.uint32).astype(np.int64)
+
+    def pairs(batches):
+        for b in batches:
+            for code, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                c, k = opened(code, n)
+                yield pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)[k > 0]), pa.array(k[k > 0])], names=["code", "n"])
+
+    sent = C.checkpoint(shards.mapInArrow(count, "bucket int, shard long, code binary, n binary"))
+    two = sent.where("bucket < 0").select("code", "n").mapInArrow(pairs, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
+    first = shards.sparkSession.sparkContext.broadcast(first_level(two.column("code").to_numpy().astype(np.uint64), two.column("n").to_numpy(), gain))
+
+    def answer(group: pa.Table) -> pa.Table:
+        columns = [group.column(c) for c in ("code", "n")]
+        parts, fresh = [], 0
+        for k in range(group.num_rows):
+            parts.append(opened(*(c[k].as_py() for c in columns)))
+            fresh += len(parts[-1][0])
+            if fresh > max(MOST_GRAMS, len(parts[0][0])):
+                parts, fresh = [_merged(parts)], 0
+        code, n = _merged(parts)
+        lp = np.log10(probabilities(code, n, first.value, depth, gain)).astype(np.float32)
+        back = [_squeezed(lp[np.searchsorted(code, opened(*(c[k].as_py() for c in columns))[0])]) for k in range(group.num_rows)]
+        return pa.table({"shard": group.column("shard"), "bucket": group.column("bucket"), "lp": pa.array(back, pa.binary())})
+
+    return sent.where("bucket >= 0").groupBy("bucket").applyInArrow(answer, "shard long, bucket int, lp binary")
+
+
+def _summed(s: C.Shard, answers: dict[int, bytes], buckets: int, depth: int) -> np.ndarray:
+    """log10 of each text's probability, END included. answers: by bucket those to the shard's strings."""
+    held = [(pick, *np.unique(_codes(symbols(s, pick, depth)[0], depth), return_inverse=True)) for pick in _pieces(s)]
+    held = [(pick, own, at.astype(np.int32)) for pick, own, at in held]
+    code = np.unique(np.concatenate([own for _, own, _ in held]), return_counts=True)[0] if held else np.zeros(0, np.uint64)  # with counts it sorts, which is quicker
+    order, cut = _dealt(code, buckets)
+    lp = np.zeros(len(code), np.float32)
+    for b in range(buckets):
+        if cut[b + 1] > cut[b]:
+            lp[order[cut[b] : cut[b + 1]]] = _unsqueezed(answers[b], np.float32)
+    out = np.zeros(len(s))
+    for pick, own, at in held:
+        each = lp[np.searchsorted(code, own)][at].astype(np.float64)
+        n = np.diff(s.off)[pick] + 1
+        out[pick] = np.add.reduceat(each, np.cumsum(n) - n)
+    return out
 
 
 def _bucket(code: np.ndarray, buckets: int) -> np.ndarray:
@@ -303,7 +395,7 @@ def _bucket(code: np.ndarray, buckets: int) -> np.ndarray:
         return ((code * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) % buckets
 
 
-def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, least: float = LEAST, gain: float = GAIN) -> DataFrame:
+def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, gain: float = GAIN) -> DataFrame:
     """id_col, held_out, n_tokens, n_known, train_tokens, base_score and score of each whole text.
 
     Texts are lower-cased (A-Z). Words are what white space (bytes 9 to 13 and 32) sets apart, then one end, which counts
@@ -312,11 +404,11 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     suffix tree of those texts. A null text is empty: one end. Rows keep their number, whether ids repeat or are null; an
     empty table gives an empty one; other columns are left out.
     """
-    shards = C.pack(docs, id_col, text_col)
+    shards = C.pack(docs, id_col, text_col, least=SHARD_BYTES)
     buckets = max(1, min(MOST_BUCKETS, -(-shards.count() // 2)))
-    fit = docs.where(C.remainder(F.col(id_col), HELD_OUT[0]) != HELD_OUT[1]).agg(F.count("*").alias("n"), F.sum(F.octet_length(F.col(text_col).cast("string"))).alias("bytes")).first()
+    fit = docs.where(C.remainder(F.col(id_col), HELD_OUT[0]) != HELD_OUT[1]).agg(F.count("*").alias("n")).first()
     train_texts = fit["n"]
-    model = docs.sparkSession.sparkContext.broadcast(learn(shards, (fit["bytes"] or 0) + train_texts, depth, least, gain))
+    grams = _gram_answers(shards, buckets, depth, gain)
     words = _word_counts(shards, buckets)
     sums = words.agg(F.sum("total"), F.sum("different")).first()
     total, different = (sums[0] or 0) + train_texts, (sums[1] or 0) + (train_texts > 0)
@@ -337,8 +429,10 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 k = np.fromiter(map(place.__getitem__, ts), np.int64, len(ts))
                 rows.append((len(ts) + 1, int(np.count_nonzero(some[k])) + (train_texts > 0), float(log[k].sum()) + end - (len(ts) + 1) * down))
             n, m, base = zip(*rows, strict=True)
-            yield C.batch(schema, C.id_column(s.ids), held_out(s.ids), n, m, [total] * len(s), base, score(model.value, s))
+            del tokens, place, rows
+            yield C.batch(schema, C.id_column(s.ids), held_out(s.ids), n, m, [total] * len(s), base, _summed(s, {a["bucket"]: a["lp"] for a in row["grams"] or ()}, buckets, depth))
 
     asked = shards.join(words.groupBy("shard").agg(F.collect_list(F.struct("bucket", "n")).alias("answers")), "shard", "left")
+    asked = asked.join(grams.groupBy("shard").agg(F.collect_list(F.struct("bucket", "lp")).alias("grams")), "shard", "left")
     return asked.mapInArrow(run, "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double").withColumnRenamed("id", id_col)
 

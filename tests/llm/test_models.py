@@ -143,6 +143,36 @@ def test_automaton_equals_the_plain_tree():
         assert got[k] == pytest.approx(score(test.text(k)), rel=1e-4), k
 
 
+def test_rare_contexts_count_in_large_corpora(spark, monkeypatch):
+    monkeypatch.setattr(pst, "COUNT_BYTES", 300_000)
+    rng = np.random.default_rng(5)
+    words = ["".join(chr(97 + c) for c in rng.integers(0, 12, rng.integers(2, 7))) for _ in range(300)]
+    docs = [(k, " ".join(words[w] for w in rng.integers(0, 300, 15_000))) for k in range(60)]
+    docs += [(k, "zqxvyw") for k in range(100, 140)]  # less than 1/100,000 of all positions, and yet evident
+    s = shard(docs)
+    train = ~pst.held_out(s.ids)
+    code, n = pst.gram_counts(s, np.flatnonzero(train), pst.DEPTH)
+    assert 20 < train[60:].sum() < 1e-5 * n.sum()
+    counts = []
+    for d in range(pst.DEPTH + 1):
+        c, inverse = np.unique(code & np.uint64((1 << (9 * (d + 1))) - 1), return_inverse=True)
+        counts.append((c, np.bincount(inverse, n).astype(np.int64)))
+    want = pst.score(pst.build(counts), s)
+    got = {r["doc_id"]: r["score"] for r in pst.score_texts(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert [got[i] for i, _ in docs] == pytest.approx(want.tolist(), rel=1e-4)
+    assert got[100] > -12
+
+
+def test_scores_equal_the_plain_tree(spark):
+    docs = duckdb.sql(f"SELECT doc_id, substr(text, 1, 400) FROM '{DATA}/documents.parquet' LIMIT 120").fetchall()
+    docs += [(900_001, ""), (900_002, None), (900_003, "qqqq ~ and \u0000 漢字 Z")]
+    raw = {i: (t or "").encode() for i, t in docs}
+    tree, score = plain_tree([t for i, t in raw.items() if not held_out(i, 7, 2)], 4, 0, pst.GAIN, pst.PULL, pst.EVIDENCE)
+    assert len(tree) > 100
+    for r in pst.score_texts(spark.createDataFrame(docs, "doc_id long, text string"), depth=4).collect():
+        assert r["score"] == pytest.approx(score(raw[r["doc_id"]]), rel=1e-5), r["doc_id"]
+
+
 def test_base_scores(spark):
     docs = duckdb.sql(f"SELECT doc_id, text FROM '{DATA}/documents.parquet'").fetchall()
     words = {i: [*t.encode().lower().split(), None] for i, t in docs}
