@@ -216,7 +216,8 @@ proprietary | NOTICE | permission | (?:without|no) (?:the )?(?:prior |express )?
 eula | NAME | user | end user license agreement
 eula | NAME | eula | eula
 commercial | NAME | commercial | commercial licen[sc]e
-non-commercial | NOTICE | commercial | (?:for )?non ?commercial (?:use|purposes) only
+non-commercial | NOTICE | commercial | (?:for )?non commercial (?:use|purposes) only
+non-commercial | NOTICE | noncommercial | (?:for )?noncommercial (?:use|purposes) only
 research | NOTICE | research | for research (?:use|purposes) only
 dual | NOTICE | dual | dual licen[sc]ed
 """
@@ -259,7 +260,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", table:
     detections are what remains after suppression: structs of begin and end (characters of the joined words), level,
     rule and label. score is the weight of the best one, 0 without any. A null or empty text has no words, labels are
     then empty texts and first_word and last_word null. Rows keep their number; ids may repeat or be null; docs may
-    have any other columns. Rules (their number is bounded: they are written by hand) are broadcast.
+    have any other columns. Rules (their number is bounded: they stand in this module) are broadcast.
     """
     table = rule_table(docs.sparkSession) if table is None else table
     keywords = sorted(r["keyword"] for r in table.select("keyword").distinct().collect())

@@ -93,6 +93,43 @@ def test_licence_keywords_are_in_every_match():
         assert re.search(rf"\b{keyword}\b", pattern.replace("\\b", " ").replace("(?:", " (").replace(")", " ")), (label, keyword, pattern)
 
 
+def alternatives(tree):
+    """Texts of every branch of a parsed pattern; a repeat stands with its least number and one more."""
+    out = [""]
+    for op, arg in tree:
+        kind = str(op)
+        if kind == "LITERAL":
+            own = [chr(arg)]
+        elif kind == "ANY":
+            own = ["x"]
+        elif kind == "IN":
+            own = [chr(a[0] if str(o) == "RANGE" else a) for o, a in arg]
+        elif kind == "BRANCH":
+            own = [t for branch in arg[1] for t in alternatives(branch)]
+        elif kind == "SUBPATTERN":
+            own = alternatives(arg[-1])
+        elif kind in ("MAX_REPEAT", "MIN_REPEAT"):
+            once = alternatives(arg[2])
+            own = [t * n for n in range(arg[0], min(arg[0] + 1, arg[1]) + 1) for t in once]
+        else:
+            assert kind in ("AT", "ASSERT_NOT"), kind
+            own = [""]
+        out = [a + b for a in out for b in dict.fromkeys(own)]
+    return out
+
+
+def test_licence_keywords_are_words_of_every_alternative():
+    for _, label, _, keyword, pattern in licenses.rules():
+        for text in alternatives(re._parser.parse(pattern)):
+            assert keyword in text.split(), (label, keyword, text)
+
+
+def test_licence_for_noncommercial_use_in_one_word(spark):
+    docs = [(k, f"Released for {w} use only.") for k, w in enumerate(("noncommercial", "non-commercial", "Non Commercial"))]
+    for r in licenses.scan(spark.createDataFrame(docs, "doc_id long, text string")).collect():
+        assert r["labels"] == "non-commercial" == brute_licence(docs[r["doc_id"]][1])[5], r["doc_id"]
+
+
 def test_media_round_trip(spark, tmp_path):
     docs = cases.table(spark)
     store = media.write_tar_shards(docs, f"file://{tmp_path}").cache()
