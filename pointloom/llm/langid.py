@@ -9,16 +9,17 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common as C
 
 SEGMENT = 64
 HIDDEN = 8
-#: Labelled texts that are learnt from at most, those with the smallest hash of their id, and segments of each.
+#: Labelled texts that are learnt from at most, the same number of each language: those with the smallest hashes.
 SAMPLE_ROWS = 6_000
-SAMPLE_SEGMENTS = 3
+#: Ranges of the hash that texts are counted by, to find where a language's sample ends.
+RANGES = 4096
 STEPS = 700
 BATCH = 256
 UND = "und"
@@ -165,29 +166,26 @@ def train(x: np.ndarray, y: np.ndarray, size: np.ndarray, languages: int, steps:
 
 
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = SAMPLE_ROWS, steps: int = STEPS) -> tuple[list[str], Network | None]:
-    """Languages and a network, from texts with a language whose crc32 of the id, modulo 3, is not 1: `rows` of them at
-    most, SAMPLE_SEGMENTS segments of each, spread over the text. Without any, no language and no network."""
+    """Languages and a network, from texts with a language whose crc32 of the id, modulo 3, is not 1: of each language
+    its share of `rows` at most, one at least, with all their segments. The sampled texts are held by the driver. Without
+    any, no language and no network."""
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     fit = own.where((C.remainder(F.col("id"), 3) != 1) & F.col("text").isNotNull() & (F.col("text") != "") & F.col("lang").isNotNull())
-    ids = fit.select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(rows)
-    texts = fit.join(F.broadcast(ids), fit["id"].eqNullSafe(ids["id"]), "left_semi").select("text", "lang")
-
-    def cut(batches):
-        for b in batches:
-            off, data = C.buffers(b.column(0))
-            x, of, size = segments(off, data)
-            first = np.searchsorted(of, np.arange(b.num_rows + 1))
-            pick = np.unique(np.concatenate([first[:-1] + np.diff(first) * k // SAMPLE_SEGMENTS for k in range(SAMPLE_SEGMENTS)])) if len(of) else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(1).take(pa.array(of[pick])), pa.array([r.tobytes() for r in x[pick]], pa.binary()), pa.array(size[pick], pa.int64())], names=["lang", "x", "size"])
-
-    got = texts.mapInArrow(cut, "lang string, x binary, size long").toArrow()
-    if not got.num_rows:
+    fit = fit.withColumn("hash", F.xxhash64("id", "text")).withColumn("range", F.pmod("hash", F.lit(RANGES)))
+    counts = fit.groupBy("lang", "range").agg(F.count("*").alias("n"))
+    names = sorted(r["lang"] for r in counts.select("lang").distinct().collect())
+    if not names:
         return [], None
-    lang, x, size = (got.column(k).to_pylist() for k in range(3))
-    order = sorted(range(len(x)), key=lambda i: (lang[i], x[i], size[i]))  # the same network in whatever order rows arrive
-    names = sorted(set(lang))
-    y = np.array([names.index(lang[i]) for i in order])
-    return names, train(np.frombuffer(b"".join(x[i] for i in order), np.uint8).reshape(-1, SEGMENT), y, np.array(size)[order], len(names), steps)
+    most = max(1, rows // len(names))
+    before = F.sum("n").over(Window.partitionBy("lang").orderBy("range")) - F.col("n")
+    ends = counts.withColumn("before", before).where(F.col("before") < most).groupBy("lang").agg(F.max("range").alias("end"))
+    near = fit.join(F.broadcast(ends), "lang").where("range <= end")  # a language has one row in ends
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("range", "hash", "id", "text"))
+    got = near.withColumn("rank", rank).where(F.col("rank") <= most).select("lang", "text").toArrow()
+    got = got.sort_by([("lang", "ascending"), ("text", "ascending")])  # the same network in whatever order rows arrive
+    x, of, size = segments(*C.buffers(got.column("text")))
+    y = np.array([names.index(k) for k in got.column("lang").to_pylist()])[of]
+    return names, train(x, y, size, len(names), steps)
 
 
 def label(net: Network, off: np.ndarray, data: np.ndarray, block: int = 2048) -> np.ndarray:

@@ -71,6 +71,21 @@ def test_language_of_odd_texts(spark):
     assert langid.learn(cases.empty(spark)) == ([], None)
 
 
+def test_languages_are_learnt_from_whole_texts_of_each(spark, monkeypatch):
+    docs = [(k, f"a text of number {k} " * 20, "en") for k in range(3000)]
+    docs += [(k, f"ein seltener Text {k} " * 30, "de") for k in range(5000, 5008)] + [(None, "x", None), (6000, "", "fr")]
+    held = {}
+    monkeypatch.setattr(langid, "train", lambda x, y, size, languages, steps: held.update(x=x, y=y, size=size))
+    names, _ = langid.learn(spark.createDataFrame(docs, "doc_id long, text string, lang string").repartition(5), rows=40)
+    assert names == ["de", "en"]
+    whole = {t.lower().encode(): lang for i, t, lang in docs if lang and t and not held_out(i, 3, 1)}
+    ends = np.flatnonzero(held["size"] < langid.SEGMENT)  # no text fills its last segment
+    assert all(len(t) % langid.SEGMENT for t in whole)
+    texts = [held["x"][a + 1 : z + 1].tobytes()[: (z - a - 1) * langid.SEGMENT + held["size"][z]] for a, z in zip([-1, *ends[:-1]], ends, strict=True)]
+    got = collections.Counter(whole[t] for t in texts)
+    assert got == {"en": 20, "de": sum(lang == "de" for lang in whole.values())} and got["de"] > 0
+
+
 def test_segments_cover_all_bytes():
     s = shard([(1, "abc"), (2, ""), (3, "X" * 200), (4, "y" * 64)])
     x, of, size = langid.segments(s.off, s.data)
