@@ -1,11 +1,12 @@
-"""N-gram Jaccard join of texts: a MinHash LSH forest finds candidates, exact verification decides.
+"""N-gram Jaccard join of texts: banded MinHash finds candidates, exact verification decides.
 
 A text's set has the hashes of its SHINGLE consecutive words; texts of one set are one class, of which one takes part.
-Each class has a signature of DEPTH values for each of TREES trees. A tree is the sorted list of its signatures, that
-is a prefix trie; two classes are candidates where they share a prefix. The prefix that must match is shortened from
-DEPTH on until a pair at the threshold shares one in some tree with the target probability (prefix_for).
+Each class has a signature of DEPTH values for each of TREES trees. Of each tree a prefix of the values is a key, and two
+classes are candidates where they share a key. The prefix's length is fixed beforehand: the longest, from DEPTH down, at
+which a pair at the threshold shares one in some tree with the target probability (prefix_for), 3 at the defaults. So
+these are TREES bands; no sorted trie is searched, and what was matched does not change the length.
 
-Classes below one trie node are compared by whole signatures with leaders, taken in the trie's order, rather than with
+Classes of one key are compared by whole signatures with leaders, taken in the signatures' order, rather than with
 each other: a row that is COVER like a leader needs no comparison of its own, since by the triangle inequality any
 partner at the threshold is then at least CONNECT like that leader. That leaves components of candidates, whose sets
 are sent to one task, or in tiles of a bounded size to one task for each pair of tiles, and compared exactly there.
