@@ -1,22 +1,28 @@
-"""N-gram Jaccard join of texts: banded MinHash finds candidates, exact verification decides.
+"""N-gram Jaccard join of texts: a MinHash LSH forest finds candidates, exact verification decides.
 
 A text's set has the hashes of its SHINGLE consecutive words; texts of one set are one class, of which one takes part.
-Each class has a signature of DEPTH values for each of TREES trees. Of each tree a prefix of the values is a key, and two
-classes are candidates where they share a key. The prefix's length is fixed beforehand: the longest, from DEPTH down, at
-which a pair at the threshold shares one in some tree with the target probability (prefix_for), 3 at the defaults. So
-these are TREES bands; no sorted trie is searched, and what was matched does not change the length.
-
-Classes of one key are compared by whole signatures with leaders, taken in the signatures' order, rather than with
-each other: a row that is COVER like a leader needs no comparison of its own, since by the triangle inequality any
-partner at the threshold is then at least CONNECT like that leader. That leaves components of candidates, whose sets
-are sent to one task, or in tiles of a bounded size to one task for each pair of tiles, and compared exactly there.
-Tasks return counts of links and the edges of a spanning forest, not pairs.
+Each class has a signature of DEPTH values for each of TREES trees. A tree is the sorted order of its signatures, of
+which every run with the same first values is a node of a prefix trie. Within a node, rows that are NEAR alike by their
+whole signatures are candidates; the runs of DEPTH equal values come first, then those of one value fewer, and so on.
+
+The matched prefix is shortened as the data ask for it. Candidates of the longest prefix are verified exactly. Each link
+found has a similarity s, and a prefix of d values finds such a one with probability p = 1 - (1 - s^d)^TREES, so that
+the links are estimated as the sum of 1 / p. While those found are less than RECALL of that, the prefix is shortened by
+to the length at which they would be, what the forest adds is verified, and so on, down to the prefix that finds a pair
+at the threshold itself with that probability (prefix_for). Where no link was found, nothing is estimated and that floor
+is next.
+
+A node with more rows than a task takes (NODE_ROWS) is one component as it is, and its children are looked into by
+themselves. Components of candidates are verified in one task, or in tiles of a bounded size by one task for each pair
+of tiles. Tasks return counts of links and the edges of a spanning forest, not pairs.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -30,13 +36,17 @@ from .suffix import _powers
 SHINGLE = 5
 THRESHOLD = 0.8
 TREES, DEPTH = 20, 5
-#: Probability with which a pair at the threshold must become a candidate.
+#: Share of the links that must be found; also the least probability with which the floor finds a pair at the threshold.
 RECALL = 0.999999
-#: Shares of equal signature values. A row that is at COVER with a leader has a similarity of 0.6 to it, and a partner of
-#: that row, at 0.8, one of 0.4: each share stands four standard deviations of its estimate on the safe side.
-COVER, CONNECT = 0.78, 0.2
+#: Share of equal signature values that makes rows of a node candidates. At a similarity of 0.8 it stands seven standard
+#: deviations of its estimate on the safe side.
+NEAR = 0.5
 #: Classes of one trie node, and classes and shingles of one tile, that a task takes at once.
 NODE_ROWS, TILE_ROWS, TILE_SHINGLES = 4096, 1000, 1_500_000
+#: Parts that a component's nodes are dealt out by where they meet its row.
+SALTS = 16
+#: Bytes of sets that go to the JVM at once.
+SEND_BYTES = 4 << 20
 WORD_BYTE = np.zeros(256, np.uint8)
 WORD_BYTE[48:58] = WORD_BYTE[97:123] = WORD_BYTE[65:91] = WORD_BYTE[128:] = 1
 FOLD = np.arange(256, dtype=np.uint8)
@@ -44,12 +54,14 @@ FOLD[65:91] += 32
 _MIX = np.random.default_rng(20).integers(1, 1 << 63, TREES * DEPTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+def found(s, depth: int, trees: int = TREES):
+    """The probability that a pair of similarity s shares a prefix of depth values in some tree."""
+    return 1 - (1 - s**depth) ** trees
+
+
 def prefix_for(threshold: float, trees: int, depth: int, recall: float) -> int:
     """The longest prefix, from depth down, that a pair at the threshold shares in some tree with probability recall."""
-    for d in range(depth, 1, -1):
-        if 1 - (1 - threshold**d) ** trees >= recall:
-            return d
-    return 1
+    return next((d for d in range(depth, 1, -1) if found(threshold, d, trees) >= recall), 1)
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -113,61 +125,46 @@ def signature(s: np.ndarray) -> np.ndarray:
         return out
 
 
-def _sketches(shards: DataFrame, size: int, prefix: int) -> DataFrame:
-    """A row for each text: rid, shard, index, doc_id, n_set, digest of its set, a key for each tree, and the signature
-    in 16 bits a value, tree by tree."""
-    schema = pa.schema([("rid", pa.int64()), ("shard", pa.int64()), ("index", pa.int32()), ("doc_id", pa.int64()), ("n_set", pa.int32()), ("digest", pa.binary()), ("keys", pa.list_(pa.int64())), ("sig", pa.binary())])
+def _sketches(shards: DataFrame, size: int) -> DataFrame:
+    """A row for each text: rid, shard, index, doc_id, n_set, digest of its set, and the signature in 16 bits a value,
+    tree by tree."""
+    schema = pa.schema([("rid", pa.int64()), ("shard", pa.int64()), ("index", pa.int32()), ("doc_id", pa.int64()), ("n_set", pa.int32()), ("digest", pa.binary()), ("sig", pa.binary())])
 
     def run(batches):
         from pyspark import TaskContext
 
         rid = TaskContext.get().partitionId() << 36
         for row, s in C.packed(batches):
-            n, digest, keys, sigs = [], [], [], []
+            n, digest, sigs = [], [], []
             for x in shingle_sets(s.data, s.off, size):
                 n.append(len(x))
-                if not len(x):
-                    digest.append(None)
-                    keys.append([])
-                    sigs.append(None)
-                    continue
-                digest.append(hashlib.blake2b(x.tobytes(), digest_size=16).digest())
-                sig = signature(x)
-                with np.errstate(over="ignore"):
-                    tree = sig.reshape(TREES, DEPTH)[:, :prefix]
-                    k = np.zeros(TREES, np.uint64)
-                    for d in range(prefix):
-                        k = _mixed(k * np.uint64(0x9FB21C651E98DF25) + tree[:, d])
-                    sigs.append((_mixed(sig) >> np.uint64(48)).astype(">u2").tobytes())
-                keys.append(k.view(np.int64).tolist())
+                digest.append(hashlib.blake2b(x.tobytes(), digest_size=16).digest() if len(x) else None)
+                sigs.append((_mixed(signature(x)) >> np.uint64(48)).astype(">u2").tobytes() if len(x) else None)
             ids = np.arange(rid, rid + len(s))
             rid += len(s)
-            yield C.batch(schema, ids, [row["shard"]] * len(s), np.arange(len(s), dtype=np.int32), C.id_column(s.ids), n, digest, keys, sigs)
+            yield C.batch(schema, ids, [row["shard"]] * len(s), np.arange(len(s), dtype=np.int32), C.id_column(s.ids), n, digest, sigs)
 
-    return C.checkpoint(shards.mapInArrow(run, "rid long, shard long, index int, doc_id long, n_set int, digest binary, keys array<long>, sig binary"))
+    return C.checkpoint(shards.mapInArrow(run, "rid long, shard long, index int, doc_id long, n_set int, digest binary, sig binary"))
 
 
-def _forest(pairs: list[np.ndarray]) -> np.ndarray:
-    """The edges (2, n) of a spanning forest of edges (2, m)."""
-    edges = np.concatenate(pairs, axis=1) if pairs else np.zeros((2, 0), np.int64)
-    root: dict[int, int] = {}
+class _Union:
+    """Components of rows 0 to n - 1, and the edges that joined them."""
 
-    def find(x: int) -> int:
-        while (y := root.get(x, x)) != x:
-            root[x] = root.get(y, y)
-            x = root[x]
-        return x
+    def __init__(self, n: int) -> None:
+        self.label = np.arange(n)
+        self.edges: list[tuple[int, int, int]] = []
 
-    kept = []
-    for k, (a, b) in enumerate(edges.T.tolist()):
-        a, b = find(a), find(b)
-        if a != b:
-            root[max(a, b)] = min(a, b)
-            kept.append(k)
-    return edges[:, kept]
+    def add(self, row: int, others: np.ndarray, mark: int) -> None:
+        """row and others become one component, by one edge for each component that they had."""
+        own = self.label[row]
+        others = others[self.label[others] != own]
+        if len(others):
+            labels, first = np.unique(self.label[others], return_index=True)
+            self.edges += [(row, int(k), mark) for k in others[first]]
+            self.label[np.isin(self.label, labels)] = own
 
 
-def _groups(batches: Iterator[pa.RecordBatch], key: list[str], most: int = 50_000) -> Iterator[pa.Table]:
+def _groups(batches: Iterator[pa.RecordBatch], key: list[str]) -> Iterator[pa.Table]:
     """Whole groups of a sorted stream, several at once where they are small."""
     held: list[pa.RecordBatch] = []
     for b in batches:
@@ -187,100 +184,107 @@ def _groups(batches: Iterator[pa.RecordBatch], key: list[str], most: int = 50_00
         yield pa.Table.from_batches(held)
 
 
-def _led(node: np.ndarray, sig: np.ndarray, group: np.ndarray, fixed: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-    """Edges between leaders and the rows of their group that are like them, and who is a leader. fixed: rows that are
-    leaders from elsewhere; where there are any, no others are made."""
-    edges, leader = [], fixed.copy()
-    begin = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
-    size = np.diff(np.concatenate([begin, [len(group)]]))
-    which = np.repeat(np.arange(len(begin)), size)
-    done = np.zeros(len(group), bool)  # covered, or a leader that has been compared
-    todo = fixed if fixed.any() else np.ones(len(group), bool)
-    while True:
-        open_rows = np.flatnonzero(todo & ~done)
-        if not len(open_rows):
-            return edges, leader
-        _, first = np.unique(which[open_rows], return_index=True)
-        lead = open_rows[first]
-        leader[lead] = True
-        of = np.full(len(begin), -1)
-        of[which[lead]] = lead
-        rows = np.flatnonzero(of[which] >= 0)
-        like = np.concatenate([(sig[rows[k : k + 8192]] == sig[of[which[rows[k : k + 8192]]]]).mean(1) for k in range(0, len(rows), 8192)])
-        near = rows[(like >= CONNECT)]
-        near = near[node[near] != node[of[which[near]]]]
-        edges.append(np.stack([node[of[which[near]]], node[near]]))
-        done[lead] = True
-        if not fixed.any():
-            done[rows[like >= COVER]] = True
-
-
-def _candidates(classes: DataFrame, node_rows: int) -> DataFrame:
-    """Edges a, b that connect all candidates. classes: node, keys, sig."""
-    each = classes.select("node", F.posexplode("keys").alias("tree", "key"))
-    shared = each.groupBy("tree", "key").agg(F.count("*").alias("n")).where("n > 1")
-    tiles = F.ceil(F.col("n") / node_rows).cast("int")
-    below = each.join(shared, ["tree", "key"]).select("tree", "key", "node", tiles.alias("tiles"), F.pmod(F.xxhash64("node"), tiles).cast("int").alias("tile"))
-    below = below.join(classes.select("node", "sig"), "node").withColumn("led", F.lit(False))
-    order = ["tree", "key", "tile"]
-    columns = [*order, "tiles", "node", "sig", "led"]
+def _node(path: np.ndarray, sig: np.ndarray, least: int) -> list[tuple[int, int, int]]:
+    """Edges (row, row, depth) that connect the candidates of one node whose rows are sorted by path, (n, DEPTH): first
+    within the runs of DEPTH equal values, then within those of fewer, down to least."""
+    n, depth = path.shape
+    same = np.cumprod(path[1:] == path[:-1], axis=1).sum(1)  # the prefix that a row shares with the one before
+    union = _Union(n)
+    for d in range(depth, least - 1, -1):
+        cuts = np.concatenate([[0], np.flatnonzero(same < d) + 1, [n]])
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            label = union.label[lo:hi]
+            if hi - lo < 2 or (label == label[0]).all():
+                continue
+            for row in range(lo, hi - 1):
+                others = row + 1 + np.flatnonzero(union.label[row + 1 : hi] != union.label[row])
+                near = others[(sig[others] == sig[row]).mean(1) >= NEAR]
+                if len(near):
+                    union.add(row, near, d)
+                    if (label == label[0]).all():
+                        break
+    return union.edges
+
+
+def _path(tree, length: int):
+    return F.substring(F.col("sig"), tree * (2 * DEPTH) + 1, F.lit(2 * length))
+
+
+def _candidates(classes: DataFrame, floor: int, node_rows: int) -> DataFrame:
+    """Edges a, b, depth: those of a depth or more connect all candidates that share such a prefix in some tree.
+    classes: node, sig."""
+    each = classes.select("node", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: _path(t, DEPTH))).alias("tree", "path"))
+    taken, whole = [], []
+    for d in range(floor, DEPTH + 1):
+        each = each.withColumn("key", F.substring("path", 1, 2 * d))
+        counted = C.checkpoint(each.groupBy("tree", "key").agg(F.count("*").alias("n"), F.min("node").alias("least")).where("n > 1"))
+        inside = each.join(counted, ["tree", "key"])
+        taken.append(inside.where(F.col("n") <= node_rows).select("node", "tree", "path", F.lit(d).alias("d"), "key"))
+        large = inside.where(F.col("n") > node_rows)
+        whole.append(large.select(F.col("least").alias("a"), F.col("node").alias("b"), F.lit(d).alias("depth")))
+        if counted.where(F.col("n") > node_rows).isEmpty():
+            whole.pop()
+            break
+        each = large.select("node", "tree", "path")
+    rows = reduce(DataFrame.union, taken).join(classes.select("node", "sig"), "node")
+    order = ["tree", "d", "key"]
 
     def run(batches):
+        schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("depth", pa.int32())])
         for t in _groups(batches, order):
-            node, tiles, led = (t.column(c).combine_chunks().to_numpy(zero_copy_only=False) for c in ("node", "tiles", "led"))
+            node, tree, d, key = (t.column(c).combine_chunks().to_numpy(zero_copy_only=False) for c in ("node", *order[:2], "key"))
             sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint16).reshape(len(node), -1)
-            keys = [t.column(c).combine_chunks().to_numpy(zero_copy_only=False) for c in order]
-            change = np.zeros(len(node), bool)
-            for x in keys:
-                change[1:] |= x[1:] != x[:-1]
-            edges, leader = _led(node, sig, np.cumsum(change), led.astype(bool))
-            a, b = _forest(edges)
-            own = np.flatnonzero(leader & (tiles > 1) & ~led.astype(bool))
-            none = len(a)
-            rows = t.take(pa.array(own))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([a, node[own]])), pa.array(np.concatenate([b, np.full(len(own), -1)])), *(pa.concat_arrays([pa.nulls(none, rows.schema.field(c).type), rows.column(c).combine_chunks()]) for c in ("tree", "key", "tile", "tiles", "sig"))], names=["a", "b", "tree", "key", "tile", "tiles", "sig"])
-
-    kinds = "a long, b long, tree int, key long, tile int, tiles int, sig binary"
-    below = C.checkpoint(below.select(columns))
-    found = C.checkpoint(below.repartition(*order).sortWithinPartitions(*order, "sig", "node").mapInArrow(run, kinds))
-    edges = found.where("b >= 0").select("a", "b")
-    leaders = found.where("b < 0")
-    if leaders.isEmpty():
-        return edges
-    others = F.filter(F.sequence(F.lit(0), F.col("tiles") - 1), lambda k: k != F.col("tile"))
-    sent = leaders.select("tree", "key", F.explode(others).alias("tile"), "tiles", F.col("a").alias("node"), "sig", F.lit(True).alias("led"))
-    both = below.where("tiles > 1").unionByName(sent)
-    again = both.repartition(*order).sortWithinPartitions(*order, F.col("led").desc(), "node").mapInArrow(run, kinds)
-    return edges.union(again.where("b >= 0").select("a", "b"))
-
-
-def _dealt(nodes: DataFrame, threshold: float, tile_rows: int, tile_shingles: int) -> DataFrame:
-    """nodes (node, root, n_set, ...) with g and side: the groups in which each is compared, as one of all (0) or as one of
-    either side (1, 2). A small component is one group. A larger one is cut by set size into bands, between which only neighbours can reach the threshold, and each
-    band into tiles; each pair of tiles is a group."""
-    step = float(-np.log(threshold))
-    whole = nodes.groupBy("root").agg(F.count("*").alias("n"), F.sum("n_set").alias("w"))
-    nodes = nodes.join(whole.where((F.col("n") > tile_rows) | (F.col("w") > tile_shingles)).select("root", F.lit(True).alias("large")), "root", "left").repartition("node")  # off the roots, of which one may be hot
-    small = nodes.where("large IS NULL").select(*nodes.columns, F.concat_ws(":", F.col("root")).alias("g"), F.lit(0).alias("side")).drop("large")
-    large = nodes.where("large").drop("large").withColumn("band", F.floor(F.log(F.col("n_set").cast("double")) / (step * (1 + 1e-9))).cast("int"))
+            path = np.frombuffer(b"".join(t.column("path").to_pylist()), np.uint16).reshape(len(node), -1)
+            change = (tree[1:] != tree[:-1]) | (d[1:] != d[:-1]) | (key[1:] != key[:-1])
+            cuts = np.concatenate([[0], np.flatnonzero(change) + 1, [len(node)]])
+            size = np.diff(cuts)
+            two = cuts[:-1][size == 2]  # most nodes
+            two = two[(sig[two] == sig[two + 1]).mean(1) >= NEAR]
+            out = [np.stack([two, two + 1, np.cumprod(path[two] == path[two + 1], axis=1).sum(1)])]
+            for lo, hi in zip(cuts[:-1][size > 2], cuts[1:][size > 2], strict=True):
+                if edges := _node(path[lo:hi], sig[lo:hi], int(d[lo])):
+                    out.append(np.array(edges).T + np.array([[lo], [lo], [0]]))
+            a, b, depth = np.concatenate(out, axis=1)
+            yield C.batch(schema, node[a], node[b], depth.astype(np.int32))
+
+    inside = rows.repartition(*order).sortWithinPartitions(*order, "path", "node").mapInArrow(run, "a long, b long, depth int")
+    edges = reduce(DataFrame.union, [inside, *whole])
+    return C.checkpoint(edges.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("depth").alias("depth")))
+
+
+def _sized(nodes: DataFrame, tile_rows: int, tile_shingles: int) -> DataFrame:
+    """Of each component its root, n classes, w shingles and bands, a map from each band to its number of tiles. A set's
+    band follows from its size, so that a component has no more bands than the logarithm of its largest set's."""
     tiles = F.greatest(F.ceil(F.count("*") * 2 / tile_rows), F.ceil(F.sum("n_set") * 2 / tile_shingles)).cast("int")
-    bands = large.groupBy("root", "band").agg(tiles.alias("tiles"))
-    near = lambda d, name: bands.select("root", (F.col("band") - d).alias("band"), F.col("tiles").alias(name))
-    large = large.join(bands, ["root", "band"]).join(near(1, "above"), ["root", "band"], "left").join(near(-1, "below"), ["root", "band"], "left")
-    large = large.withColumn("tile", F.pmod(F.xxhash64("node"), "tiles").cast("int"))
+    bands = nodes.groupBy("root", "band").agg(F.count("*").alias("n"), F.sum("n_set").alias("w"), tiles.alias("tiles"))
+    return C.checkpoint(bands.groupBy("root").agg(F.sum("n").alias("n"), F.sum("w").alias("w"), F.map_from_entries(F.collect_list(F.struct("band", "tiles"))).alias("bands")))
+
+
+def _dealt(nodes: DataFrame, sized: DataFrame, tile_rows: int, tile_shingles: int) -> DataFrame:
+    """The nodes (node, root, band, n_set, ...) of the components in sized, with n, g and side: the groups in which each
+    is compared, as one of all (0) or as one of either side (1, 2). A small component is one group. In a larger one only
+    neighbouring bands can reach the threshold, and each band is cut into tiles; each pair of tiles of a band or of
+    neighbours is a group."""
+    columns = [*nodes.columns, "n"]
+    salt = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")  # one component may have most nodes
+    nodes = nodes.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(sized.select("*", salt), ["root", "salt"])
+    fits = (F.col("n") <= tile_rows) & (F.col("w") <= tile_shingles)
+    small = nodes.where(fits).select(*columns, F.concat_ws(":", F.col("root")).alias("g"), F.lit(0).alias("side"))
+    large = nodes.where(~fits).withColumn("tiles", F.col("bands")[F.col("band")])
+    large = large.withColumn("tile", F.pmod(F.xxhash64("node", F.lit("tile")), "tiles").cast("int"))
     name = lambda b1, t1, b2, t2: F.concat_ws(":", F.col("root"), b1, t1, b2, t2)
     upto = lambda n: F.when(F.coalesce(n, F.lit(0)) > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
     b, t = F.col("band"), F.col("tile")
     same = F.transform(upto(F.col("tiles")), lambda o: F.struct(name(b, F.least(t, o), b, F.greatest(t, o)).alias("g"), F.when(t == o, 0).when(t < o, 1).otherwise(2).alias("side")))
-    up = F.transform(upto(F.col("above")), lambda o: F.struct(name(b, t, b + 1, o).alias("g"), F.lit(1).alias("side")))
-    down = F.transform(upto(F.col("below")), lambda o: F.struct(name(b - 1, o, b, t).alias("g"), F.lit(2).alias("side")))
-    large = large.withColumn("x", F.explode(F.concat(same, up, down))).select(*[c for c in small.columns if c not in ("g", "side")], "x.g", "x.side")
+    up = F.transform(upto(F.col("bands")[b + 1]), lambda o: F.struct(name(b, t, b + 1, o).alias("g"), F.lit(1).alias("side")))
+    down = F.transform(upto(F.col("bands")[b - 1]), lambda o: F.struct(name(b - 1, o, b, t).alias("g"), F.lit(2).alias("side")))
+    large = large.withColumn("x", F.explode(F.concat(same, up, down))).select(*columns, "x.g", "x.side")
     return small.unionByName(large)
 
 
-def verify(sets: list[np.ndarray], side: np.ndarray, threshold: float) -> np.ndarray:
-    """Which pairs reach the threshold, as (2, n) with the lesser index first. Where side is 0, all pairs; where it
-    is 1 and 2, those across."""
+def verify(sets: list[np.ndarray], side: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The pairs that reach the threshold: their lesser indices, in order, their larger ones and their similarities.
+    Where side is 0, of all pairs; where it is 1 and 2, of those across."""
     m = len(sets)
     size = np.array([len(s) for s in sets], np.float64)
     _, ids, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
@@ -302,15 +306,19 @@ def verify(sets: list[np.ndarray], side: np.ndarray, threshold: float) -> np.nda
     linked = np.triu(inter >= threshold * union - 1e-9, 1)
     if side.any():
         linked &= side[:, None] != side[None, :]
-    return np.stack(np.nonzero(linked))
+    i, j = np.nonzero(linked)
+    return i, j, inter[i, j] / union[i, j]
 
 
 def _verified(shards: DataFrame, dealt: DataFrame, size: int, threshold: float) -> DataFrame:
-    """node, links (other texts that reach the threshold, of the group) and, of a spanning forest, other (else null)."""
-    wanted = dealt.groupBy("shard").agg(F.collect_list(F.struct("index", "node", "mult", "g", "side")).alias("wanted"))
+    """Of each component (root, n): node and links, its other classes and their copies that reach the threshold; node
+    and other, the least node that links connect it with in its group; and pairs with expected, the number of links and, for each length of a
+    prefix, how many there should be where that length finds as many."""
+    wanted = dealt.groupBy("shard").agg(F.collect_list(F.struct("index", "root", "n", "node", "mult", "g", "side")).alias("wanted"))
+    given = ("g", "side", "root", "n", "node", "mult")
 
     def sets(batches):
-        schema = pa.schema([("g", pa.string()), ("side", pa.int32()), ("node", pa.int64()), ("mult", pa.int64()), ("x", pa.binary())])
+        schema = pa.schema([("g", pa.string()), ("side", pa.int32()), *((c, pa.int64()) for c in given[2:]), ("x", pa.binary())])
         for row, s in C.packed(batches):
             of: dict[int, list] = {}
             for w in row["wanted"]:
@@ -319,45 +327,104 @@ def _verified(shards: DataFrame, dealt: DataFrame, size: int, threshold: float)
             lens = s.off[picked + 1] - s.off[picked]
             data = np.concatenate([s.data[s.off[i] : s.off[i + 1]] for i in picked])
             out: list[tuple] = []
+            held = 0
             for i, x in zip(picked, shingle_sets(data, np.concatenate([[0], np.cumsum(lens)]), size), strict=True):
-                out += [(w["g"], w["side"], w["node"], w["mult"], x.tobytes()) for w in of[int(i)]]
-                if len(out) >= 500:
-                    yield C.batch(schema, *zip(*out, strict=True))
-                    out = []
+                blob = x.tobytes()
+                for w in of[int(i)]:
+                    out.append((*(w[c] for c in given), blob))
+                    held += len(blob)
+                    if held >= SEND_BYTES or len(out) >= 1000:
+                        yield C.batch(schema, *zip(*out, strict=True))
+                        out, held = [], 0
             if out:
                 yield C.batch(schema, *zip(*out, strict=True))
 
     def compare(batches):
-        schema = pa.schema([("node", pa.int64()), ("links", pa.int64()), ("other", pa.int64())])
+        schema = pa.schema([*((c, pa.int64()) for c in ("root", "n", "node", "links", "other", "pairs")), ("expected", pa.list_(pa.float64()))])
         for t in _groups(batches, ["g"]):
-            g, side, node, mult = (t.column(c).combine_chunks().to_numpy(zero_copy_only=False) for c in ("g", "side", "node", "mult"))
-            blobs = t.column("x").to_pylist()
+            g, side, root, n, node, mult = (t.column(c).combine_chunks().to_numpy(zero_copy_only=False) for c in given)
+            off, data = C.buffers(t.column("x"))
             cuts = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1], [True]]))
             for a, z in zip(cuts[:-1], cuts[1:], strict=True):
                 if z - a < 2:
                     continue
-                i, j = verify([np.frombuffer(x, np.uint64) for x in blobs[a:z]], side[a:z], threshold)
+                i, j, s = verify([data[off[k] : off[k + 1]].view(np.uint64) for k in range(a, z)], side[a:z], threshold)
                 if not len(i):
                     continue
                 own, copies = node[a:z], mult[a:z].astype(np.float64)
                 links = np.bincount(i, copies[j], minlength=z - a) + np.bincount(j, copies[i], minlength=z - a)
                 some = np.flatnonzero(links)
-                p, q = _forest([np.stack([own[i], own[j]])])
-                yield C.batch(schema, np.concatenate([own[some], p]), np.concatenate([links[some].astype(np.int64), np.zeros(len(p), np.int64)]), pa.array(np.concatenate([np.full(len(some), -1), q]), pa.int64(), mask=np.concatenate([np.ones(len(some), bool), np.zeros(len(q), bool)])))
-
-    sent = shards.join(wanted, "shard").mapInArrow(sets, "g string, side int, node long, mult long, x binary")
-    return C.checkpoint(sent.repartition("g").sortWithinPartitions("g", "side", "node").mapInArrow(compare, "node long, links long, other long"))
+                union, starts = _Union(z - a), np.flatnonzero(np.concatenate([[True], i[1:] != i[:-1], [True]]))
+                for lo, hi in zip(starts[:-1], starts[1:], strict=True):
+                    union.add(int(i[lo]), j[lo:hi], 0)
+                least = np.full(z - a, np.iinfo(np.int64).max)
+                np.minimum.at(least, union.label, own)
+                p, q = own[some], least[union.label[some]]
+                p, q = p[p != q], q[p != q]
+                expected = [float((1 / found(s, d)).sum()) for d in range(1, DEPTH + 1)]
+                k, m = len(some), len(some) + len(p)
+                none = lambda x: [None] * x
+                yield C.batch(
+                    schema, np.full(m + 1, root[a]), np.full(m + 1, n[a]), [*own[some].tolist(), *p.tolist(), None],
+                    [*links[some].astype(np.int64).tolist(), *none(m + 1 - k)], [*none(k), *q.tolist(), None],
+                    [*none(m), len(i)], [*none(m), expected],
+                )
+
+    sent = shards.join(wanted, "shard").mapInArrow(sets, "g string, side int, root long, n long, node long, mult long, x binary")
+    return C.checkpoint(sent.repartition("g").sortWithinPartitions("g", "side", "node").mapInArrow(compare, "root long, n long, node long, links long, other long, pairs long, expected array<double>"))
+
+
+@dataclass
+class Search:
+    """What a forest search found. verified: as _verified has it; depth: the prefix at which it ended; recall: the
+    estimated share of links that a prefix finds, for each that was tried (none where no link was found)."""
+
+    verified: DataFrame
+    depth: int
+    recall: dict[int, float]
+
+
+def search(shards: DataFrame, parts: DataFrame, threshold: float, shingle: int, recall: float, node_rows: int, tile_rows: int, tile_shingles: int) -> Search:
+    """Shortens the matched prefix until the share of links found is recall. parts: node, shard, index, n_set, mult, sig."""
+    floor = prefix_for(threshold, TREES, DEPTH, recall)
+    band = F.floor(F.log(F.col("n_set").cast("double")) / (float(-np.log(threshold)) * (1 + 1e-9))).cast("int")
+    edges = _candidates(parts.select("node", "sig"), floor, node_rows)
+    at = {r["depth"]: r["count"] for r in edges.groupBy("depth").count().collect()}  # DEPTH rows at most
+    roots = done = verified = None
+    tried: dict[int, float] = {}
+    before, d = DEPTH + 1, DEPTH
+    while True:
+        if any(at.get(k) for k in range(d, before)):
+            pairs = edges.where((F.col("depth") >= d) & (F.col("depth") < before)).select("a", "b")
+            roots = connected(pairs if roots is None else pairs.union(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+            own = C.checkpoint(parts.select("node", "shard", "index", "n_set", "mult", band.alias("band")).join(roots, "node"))
+            sized = _sized(own, tile_rows, tile_shingles)
+            new = sized if done is None else sized.join(done, ["root", "n"], "left_anti")
+            more = _verified(shards, _dealt(own, new, tile_rows, tile_shingles), shingle, threshold)
+            verified = more if verified is None else verified.join(sized, ["root", "n"], "left_semi").unionByName(more)  # those of components that have grown since go
+            done = sized
+        if verified is not None:
+            n, *expected = verified.agg(F.sum("pairs"), *(F.sum(F.element_at("expected", k)) for k in range(1, DEPTH + 1))).first()
+            if n:
+                tried[d] = n / expected[d - 1]
+                if tried[d] >= recall:
+                    break
+        if d == floor:
+            break
+        before = d
+        d = next((k for k in range(d - 1, floor, -1) if verified is not None and n and n / expected[k - 1] >= recall), floor)
+    if verified is None:
+        verified = shards.sparkSession.createDataFrame([], "root long, n long, node long, links long, other long, pairs long, expected array<double>")
+    return Search(verified, d, tried)
 
 
 def _classes(shards: DataFrame, threshold: float, shingle: int, recall: float, node_rows: int, tile_rows: int, tile_shingles: int) -> tuple[DataFrame, DataFrame]:
     """The sketch of every row; and digest, mult, least (id), links and root of every class."""
-    sketches = _sketches(shards, shingle, prefix_for(threshold, TREES, DEPTH, recall))
+    sketches = _sketches(shards, shingle)
     classes = C.checkpoint(sketches.where("n_set > 0").groupBy("digest").agg(F.min("rid").alias("node"), F.count("*").alias("mult"), F.min("doc_id").alias("least")))
-    parts = C.checkpoint(sketches.select(F.col("rid").alias("node"), "shard", "index", "n_set", "keys", "sig").join(classes.select("node", "mult"), "node"))
-    roots = connected(_candidates(parts, node_rows))
-    nodes = parts.select("node", "shard", "index", "n_set", "mult").join(roots, "node")
-    verified = _verified(shards, _dealt(nodes, threshold, tile_rows, tile_shingles), shingle, threshold)
-    links = verified.groupBy("node").agg(F.sum("links").alias("links"))
+    parts = C.checkpoint(sketches.select(F.col("rid").alias("node"), "shard", "index", "n_set", "sig").join(classes.select("node", "mult"), "node"))
+    verified = search(shards, parts, threshold, shingle, recall, node_rows, tile_rows, tile_shingles).verified
+    links = verified.where("links IS NOT NULL").groupBy("node").agg(F.sum("links").alias("links"))
     linked = connected(verified.where("other IS NOT NULL").select(F.col("node").alias("a"), F.col("other").alias("b")))
     own = classes.join(linked, "node", "left").join(links, "node", "left")
     return sketches, C.checkpoint(own.select("digest", "mult", "least", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "node").alias("root")))
