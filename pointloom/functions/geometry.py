@@ -155,6 +155,11 @@ class CropBox:
     def corners(self) -> np.ndarray:
         return Bounds((-1, -1, -1), (1, 1, 1)).corners @ (quaternion_matrix(self.q) * (np.array(self.size) / 2)).T + np.array(self.center)
 
+    @property
+    def bounds(self) -> Bounds:
+        c = self.corners
+        return Bounds(tuple(c.min(0).tolist()), tuple(c.max(0).tolist()))
+
     def around(self, p: Xyz) -> Column:
         """An axis-aligned condition that holds wherever contains() does: Parquet can skip row groups by it."""
         lo, hi = self.corners.min(0), self.corners.max(0)
@@ -289,6 +294,10 @@ def in_polygon(u: Column, v: Column, polygon: list[tuple[float, float]]) -> Colu
     return inside
 
 
+#: The columns of Selection.clipped().
+CLIPPED = ("_cx", "_cy", "_cz", "_cw")
+
+
 @dataclass(frozen=True)
 class Selection:
     """A polygon drawn on a view; inside or outside; optionally no deeper than depth metres behind the nearest point."""
@@ -308,22 +317,27 @@ class Selection:
     def depth_limited(self) -> bool:
         return self.inside and self.depth is not None
 
-    def contains(self, p: Xyz) -> Column:
-        """The depth of a point that is in the polygon and between near and far, else null."""
-        at = self.camera.project(p)
-        return F.when(F.coalesce(in_polygon(at["u"], at["v"], self.polygon), F.lit(False)), self.camera.depth(p))
+    def clipped(self, points):
+        """points with _cx, _cy, _cz, _cw, their place before the camera. They come from a generator of one row, beyond
+        which Spark moves no condition, so that a polygon of many edges reads them rather than spelling them out anew."""
+        return points.select("*", F.inline(F.array(F.struct(*(c.alias(n) for c, n in zip(self.camera.clip(xyz()), CLIPPED, strict=True))))))
+
+    def contains(self, p: Xyz, clip: tuple[Column, ...] | None = None) -> Column:
+        """The depth of a point that is in the polygon and between near and far, else null. clip: clipped()'s columns."""
+        x, y, z, w = clip or self.camera.clip(p)
+        return F.when((w > 0) & (z >= 0) & (z <= w) & in_polygon(x / w, y / w, self.polygon), self.camera.depth(p))
 
-    def covers(self, p: Xyz) -> Column:
+    def covers(self, p: Xyz, clip: tuple[Column, ...] | None = None) -> Column:
         """Whether a point in front of the camera, at any depth, is in the polygon."""
-        x, y, _, w = self.camera.clip(p)
+        x, y, _, w = clip or self.camera.clip(p)
         return F.coalesce(F.when(w > 0, in_polygon(x / w, y / w, self.polygon)), F.lit(False))
 
-    def excludes(self, p: Xyz, limit: float | Column | None = None) -> Column:
+    def excludes(self, p: Xyz, limit: float | Column | None = None, clip: tuple[Column, ...] | None = None) -> Column:
         """Whether a point is selected. limit: the greatest depth, where the depth is limited."""
         if self.depth_limited:
-            d = self.contains(p)
+            d = self.contains(p, clip)
             return F.coalesce(d <= (limit if isinstance(limit, Column) else F.lit(limit)), F.lit(False))
-        return self.covers(p) if self.inside else ~self.covers(p)
+        return self.covers(p, clip) if self.inside else ~self.covers(p, clip)
 
     def may_touch(self, b: Bounds, pad: float = 1e-6) -> bool:
         """False only if no point of a box can be selected by the polygon's box of directions."""

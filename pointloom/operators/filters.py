@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pointloom.functions.geometry import CropBox, Selection, Xyz, cell, distance2, xyz
+from pointloom.functions.geometry import CLIPPED, CropBox, Selection, Xyz, cell, distance2, xyz
 
 #: Cells around a cell, itself among them.
 AROUND = [(i, j, k) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)]
@@ -72,13 +72,19 @@ def radius_pairs(left: DataFrame, right: DataFrame, radius: float, on: tuple[str
     return a.join(b, [*on, *keys]).withColumn("d2", d2).where(F.col("d2") <= radius * radius).drop(*keys)
 
 
-def _sides(points: DataFrame, ref: tuple[str, ...], scan: str) -> tuple[DataFrame, DataFrame, Column]:
-    """points twice, for a join with itself, and whether the two points of a pair differ."""
-    side = lambda s: points.select(scan, *(F.col(r).alias(f"{s}_{r}") for r in ref), *(F.col(c).alias(f"{s}{c}") for c in "xyz"))
-    differ = F.lit(False)
-    for r in ref:
-        differ = differ | (F.col(f"l_{r}") != F.col(f"r_{r}"))
-    return side("l"), side("r"), differ
+def places(points: DataFrame, scan: str = "scan") -> DataFrame:
+    """scan, x, y, z and copies: points at one place are one row, so that a pile of copies meets others once."""
+    return points.groupBy(scan, "x", "y", "z").agg(F.count("*").alias("copies"))
+
+
+def place_pairs(asked: DataFrame, own: DataFrame, reach: float, scan: str = "scan") -> DataFrame:
+    """Pairs of an asked place and one of the same scan within reach: scan, lx, ly, lz, d2 and others, the number of
+    points there; without the asked point itself."""
+    left = asked.select(scan, *(F.col(c).alias(f"l{c}") for c in "xyz"))
+    right = own.select(scan, *(F.col(c).alias(f"r{c}") for c in "xyz"), "copies")
+    same = (F.col("lx") == F.col("rx")) & (F.col("ly") == F.col("ry")) & (F.col("lz") == F.col("rz"))
+    pairs = radius_pairs(left, right, reach, (scan,)).withColumn("others", F.col("copies") - F.when(same, 1).otherwise(0))
+    return pairs.where("others > 0").select(scan, "lx", "ly", "lz", "d2", "others")
 
 
 def neighbour_counts(points: DataFrame, radius: float, ref: tuple[str, ...], scan: str = "scan", of: DataFrame | None = None) -> DataFrame:
@@ -88,7 +94,7 @@ def neighbour_counts(points: DataFrame, radius: float, ref: tuple[str, ...], sca
     Points of one place count as one row with its number, so that a pile of copies is one row.
     """
     of = points if of is None else of
-    right = points.groupBy(scan, F.col("x").alias("rx"), F.col("y").alias("ry"), F.col("z").alias("rz")).agg(F.count("*").alias("copies"))
+    right = places(points, scan).withColumnsRenamed({c: f"r{c}" for c in "xyz"})
     left = of.select(scan, F.col("x").alias("lx"), F.col("y").alias("ly"), F.col("z").alias("lz")).distinct()
     pairs = radius_pairs(left, right, radius, (scan,))
     n = pairs.groupBy(scan, F.col("lx").alias("x"), F.col("ly").alias("y"), F.col("lz").alias("z")).agg((F.sum("copies") - 1).alias("n"))
@@ -114,24 +120,24 @@ def remove_noise(points: DataFrame, radius: float, min_neighbours: int, ref: tup
 def mean_distances(points: DataFrame, k: int, reach: float, ref: tuple[str, ...], scan: str = "scan") -> DataFrame:
     """scan, ref and m: the mean distance to the k nearest others of the scan within reach; null if they are fewer.
 
-    Points that have k neighbours within a small share of the reach are done with it: those are their nearest. Only the
-    others look farther, so that where points are dense none meets all others within reach.
+    Points at one place count as one row with its number. Those that have k neighbours within a small share of the reach
+    are done with it: those are their nearest. Only the others look farther, so that where points are dense none meets
+    all others within reach.
     """
     if not 1 <= k <= 256:
         raise ValueError("neighbours must be 1 to 256")
-    _, right, differ = _sides(points, ref, scan)
-    own = [F.col(f"l_{r}").alias(r) for r in ref]
-    rank = Window.partitionBy(scan, *ref).orderBy("d2", *(f"r_{r}" for r in ref))
-    total = F.aggregate(F.array_sort(F.collect_list("d2")), F.lit(0.0), lambda a, d: a + F.sqrt(d))
-    asked, found = points, None
+    own = places(points, scan)
+    key = [scan, "lx", "ly", "lz"]
+    upto = F.sum("others").over(Window.partitionBy(*key).orderBy("d2").rowsBetween(Window.unboundedPreceding, -1))
+    total = F.aggregate(F.array_sort(F.collect_list(F.struct("d2", "taken"))), F.lit(0.0), lambda a, q: a + F.sqrt(q["d2"]) * q["taken"])
+    asked, found = own, None
     for share in SHARES_OF_REACH:
-        left, _, _ = _sides(asked, ref, scan)
-        pairs = radius_pairs(left, right, reach * share, (scan,)).where(differ)
-        near = pairs.select(scan, *own, "d2", *(f"r_{r}" for r in ref)).withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k)
-        done = near.groupBy(scan, *ref).agg(F.count("*").alias("n"), (total / k).alias("m")).where(F.col("n") >= k).drop("n")
+        pairs = place_pairs(asked, own, reach * share, scan).withColumn("before", F.coalesce(upto, F.lit(0)))
+        near = pairs.where(F.col("before") < k).withColumn("taken", F.least("others", F.lit(k) - F.col("before")))
+        done = near.groupBy(*key).agg(F.sum("taken").alias("n"), (total / k).alias("m")).where(F.col("n") >= k).select(scan, *(F.col(f"l{c}").alias(c) for c in "xyz"), "m")
         found = done if found is None else found.unionByName(done)
-        asked = asked.join(done.select(scan, *ref), [scan, *ref], "left_anti")
-    return points.select(scan, *ref).join(found, [scan, *ref], "left")
+        asked = asked.join(done, [scan, "x", "y", "z"], "left_anti")
+    return points.join(found, [scan, "x", "y", "z"], "left").select(scan, *ref, "m")
 
 
 def outlier_limits(distances: DataFrame, deviations: float, scan: str = "scan") -> DataFrame:
@@ -256,6 +262,8 @@ def remove_moving(points: DataFrame, frames: dict, ref: tuple[str, ...], degrees
     col, row, r = sphere_cell(xyz("q0", "q1", "q2"), degrees)
     seen = placed(points.select(scan, *ref, "x", "y", "z").join(F.broadcast(seen_by), F.col(scan) != F.col("seer")))
     looked = seen.select(scan, *ref, "seer", col.alias("col"), row.alias("row"), r.alias("r")).where("r IS NOT NULL")
+    farthest = image.groupBy(F.col("s").alias("seer")).agg(F.max("range").cast("double").alias("farthest"))
+    looked = looked.join(F.broadcast(farthest), "seer").where(F.col("r") < F.col("farthest")).drop("farthest")  # a row for each scan; no scan measured past what is beyond its farthest
     hit = looked.join(image.withColumnRenamed("s", "seer"), ["seer", "col", "row"])
     past = hit.where(F.col("range").cast("double") > F.col("r") + tolerance + F.col("r") * math.radians(degrees))
     out = past.groupBy(scan, *ref).agg(F.count("*").alias("n")).where(F.col("n") >= min_scans)
@@ -272,16 +280,24 @@ def move_box(points: DataFrame, box: CropBox, inside: bool) -> DataFrame:
     return points.where(box.around(p) & box.contains(p)) if inside else points.where(~box.contains(p))
 
 
+def _clip() -> tuple[Column, ...]:
+    return tuple(F.col(c) for c in CLIPPED)
+
+
 def selection_nearest(points: DataFrame, selection: Selection) -> DataFrame:
     """One row: nearest, the least depth of the points in the selection; null without any."""
     selection.check()
-    return points.agg(F.min(selection.contains(xyz())).alias("nearest"))
+    return selection.clipped(points.select("x", "y", "z")).agg(F.min(selection.contains(xyz(), _clip())).alias("nearest"))
 
 
-def move_selection(points: DataFrame, selection: Selection) -> DataFrame:
-    """The selected points. With a limited depth the nearest point's depth is found first, in a pass of its own."""
+def move_selection(points: DataFrame, selection: Selection, nearest: float | None = None) -> DataFrame:
+    """The selected points. With a limited depth the nearest point's depth, if it is not given, is found first, in a pass
+    of its own."""
     selection.check()
-    if not selection.depth_limited:
-        return points.where(selection.excludes(xyz()))
-    nearest = selection_nearest(points, selection).first()["nearest"]
-    return points.where(selection.excludes(xyz(), nearest + selection.depth)) if nearest is not None else points.limit(0)
+    limit = None
+    if selection.depth_limited:
+        nearest = selection_nearest(points, selection).first()["nearest"] if nearest is None else nearest
+        if nearest is None:
+            return points.limit(0)
+        limit = nearest + selection.depth
+    return selection.clipped(points).where(selection.excludes(xyz(), limit, _clip())).select(points.columns)

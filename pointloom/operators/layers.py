@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pointloom.functions.geometry import xyz
+from pointloom.functions.geometry import affine, xyz
 
 
 def last_labels(changes: DataFrame, ref: tuple[str, ...], seq: str = "seq", code: str = "code") -> DataFrame:
@@ -42,3 +42,32 @@ def counts_by_chunk(points: DataFrame, keys: tuple[str, ...]) -> DataFrame:
 def bounds(points: DataFrame, *keys: str) -> DataFrame:
     """The least and greatest coordinates by keys."""
     return points.groupBy(*keys).agg(*(f(c).alias(f"{n}_{a}") for n, f in (("min", F.min), ("max", F.max)) for a, c in zip("xyz", xyz(), strict=True)))
+
+
+def record_counts(points: DataFrame, valid: str, scan: str = "scan") -> DataFrame:
+    """scan, records and valid: all records, and those for which the condition holds."""
+    return points.groupBy(scan).agg(F.count("*").alias("records"), F.count_if(F.expr(valid)).alias("valid"))
+
+
+def moved_bounds(boxes: DataFrame, matrix, *keys: str) -> DataFrame:
+    """The bounds by keys of the corners of boxes (as bounds() gives them), moved by a matrix."""
+    corners = F.explode(F.array(*(F.struct(*(F.col(f"{('max' if k >> a & 1 else 'min')}_{c}").alias(c) for a, c in enumerate("xyz"))) for k in range(8))))
+    at = boxes.select(*keys, corners.alias("c")).select(*keys, "c.*")
+    return bounds(at.select(*keys, *(m.alias(c) for m, c in zip(affine(matrix, xyz()), "xyz", strict=True))), *keys)
+
+
+def overlapping(boxes: DataFrame, key: str = "scan") -> DataFrame:
+    """a and b, the keys of boxes (as bounds() gives them) that touch, a before b.
+
+    An equi-join: boxes are listed by slabs of X as wide as the widest box, so each is in two at most, and a pair counts
+    in the slab where the later of the two begins.
+    """
+    wide = boxes.agg(F.greatest(F.max(F.col("max_x") - F.col("min_x")), F.lit(1e-9)).alias("_wide"))
+    slab = lambda c: F.floor(F.col(c) / F.col("_wide")).cast("long")
+    own = boxes.join(F.broadcast(wide)).withColumns({"_lo": slab("min_x"), "_hi": slab("max_x")})  # one row
+    listed = own.withColumn("_slab", F.explode(F.sequence("_lo", "_hi")))
+    sides = [listed.select("_slab", *(F.col(c).alias(f"{s}_{c}") for c in (key, "_lo", *(f"{n}_{x}" for n in ("min", "max") for x in "xyz")))) for s in "ab"]
+    touch = (F.col(f"a_{key}") < F.col(f"b_{key}")) & (F.col("_slab") == F.greatest("a__lo", "b__lo"))
+    for c in "xyz":
+        touch = touch & (F.col(f"a_min_{c}") <= F.col(f"b_max_{c}")) & (F.col(f"b_min_{c}") <= F.col(f"a_max_{c}"))
+    return sides[0].join(sides[1], "_slab").where(touch).select(F.col(f"a_{key}").alias("a"), F.col(f"b_{key}").alias("b"))

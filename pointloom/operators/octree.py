@@ -12,6 +12,8 @@ from pointloom.functions.geometry import Bounds, Camera, distance2, morton, xyz
 
 #: Cells along a node's longest side.
 GRID = 128
+#: Points of a bucket whose order is found in one task.
+RANKED = 100_000
 #: Below this ratio of a node's radius to its distance its children are not looked at.
 SMALLEST = 0.015
 
@@ -22,9 +24,12 @@ def with_morton(points: DataFrame, lo: tuple[float, float, float], size: float)
     return points.withColumn("code", morton(*c))
 
 
-def clustered(points: DataFrame, lo: tuple[float, float, float], size: float, partitions: int) -> DataFrame:
-    """points dealt out by ranges of Morton numbers and sorted, so that row groups are compact boxes that filters skip."""
-    return with_morton(points, lo, size).repartitionByRange(partitions, "code").sortWithinPartitions("code").drop("code")
+def clustered(points: DataFrame, lo: tuple[float, float, float], size: float, partitions: int | None = None) -> DataFrame:
+    """points dealt out by ranges of Morton numbers and sorted, so that row groups are compact boxes that filters skip.
+    Without a number of partitions Spark sizes them. Numbers repeat beyond 2^21 cells from lo, which costs only skipping."""
+    ranged = with_morton(points, lo, size)
+    ranged = ranged.repartitionByRange("code") if partitions is None else ranged.repartitionByRange(partitions, "code")
+    return ranged.sortWithinPartitions("code").drop("code")
 
 
 def chunk_stats(points: DataFrame, size: float, scan: str = "scan") -> DataFrame:
@@ -154,14 +159,27 @@ def estimates(nodes: list[Node]) -> dict[tuple, int]:
     return out
 
 
-def thinned(points: DataFrame, quotas: DataFrame, keys: tuple[str, ...], order: tuple[str, ...]) -> DataFrame:
-    """Of each group of n points the elements i * n / quota, by order. quotas: keys and quota."""
-    w = Window.partitionBy(*keys)
-    own = points.join(F.broadcast(quotas), list(keys)).withColumn("_i", F.row_number().over(w.orderBy(*order)) - 1).withColumn("_n", F.count("*").over(w))  # a row for each node in view
+def thinned(points: DataFrame, quotas: DataFrame, keys: tuple[str, ...], order: tuple[str, ...], ranked: int = RANKED) -> DataFrame:
+    """Of each group of n points the elements i * n / quota, by order, whose first column is a number. quotas: keys and
+    quota.
+
+    A group is cut into buckets of the first column's range, of about `ranked` points where it is even; counts of buckets
+    give each its first index, so that no window holds a group.
+    """
+    first = F.col(order[0])
+    own = points.join(F.broadcast(quotas), list(keys))  # a row for each node in view
+    span = own.groupBy(*keys).agg(F.count("*").alias("_n"), F.min(first).cast("double").alias("_lo"), F.max(first).cast("double").alias("_hi"))
+    width = (F.col("_hi") - F.col("_lo")) / F.ceil(F.col("_n") / ranked) * (1 + 1e-9)
+    span = span.select(*keys, "_n", "_lo", F.when(width > 0, width).otherwise(1.0).alias("_width"))
+    own = own.join(F.broadcast(span), list(keys)).withColumn("_b", F.floor((first.cast("double") - F.col("_lo")) / F.col("_width")))
+    counts = own.groupBy(*keys, "_b").agg(F.count("*").alias("_c"))
+    before = F.coalesce(F.sum("_c").over(Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = own.join(counts.select(*keys, "_b", before.alias("_before")), [*keys, "_b"])
+    own = placed.withColumn("_i", F.col("_before") + F.row_number().over(Window.partitionBy(*keys, "_b").orderBy(*order)) - 1)
     # element i is chosen if some k has floor(k * n / quota) = i
     k = F.ceil(F.col("_i") * F.col("quota") / F.col("_n"))
     chosen = (F.col("quota") >= F.col("_n")) | ((k < F.col("quota")) & (F.floor(k * F.col("_n") / F.col("quota")) == F.col("_i")))
-    return own.where(chosen).drop("_i", "_n", "quota")
+    return own.where(chosen).drop("_i", "_n", "_lo", "_width", "_b", "_before", "quota")
 
 
 def processing_samples(levels: DataFrame, budget: int, order: tuple[str, ...], scan: str = "scan") -> DataFrame:

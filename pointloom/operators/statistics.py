@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pointloom.functions.geometry import scaled
-from pointloom.operators.filters import _sides, radius_pairs
+from pointloom.operators.filters import place_pairs, places, radius_pairs
 
 
 def element_at_share(values: Column, share: float, rounded: bool = False) -> Column:
@@ -80,9 +80,18 @@ def intensity_grey(points: DataFrame, value: str, scan: str = "scan") -> DataFra
 
 def nearest_gap(points: DataFrame, reach: float, ref: tuple[str, ...], scan: str = "scan") -> DataFrame:
     """scan, ref and gap: the distance to the nearest other point of the scan within reach."""
-    left, right, differ = _sides(points, ref, scan)
-    pairs = radius_pairs(left, right, reach, (scan,)).where(differ)
-    return pairs.groupBy(scan, *(F.col(f"l_{r}").alias(r) for r in ref)).agg(F.sqrt(F.min("d2")).alias("gap"))
+    own = places(points, scan)
+    gaps = place_pairs(own, own, reach, scan).groupBy(scan, "lx", "ly", "lz").agg(F.sqrt(F.min("d2")).alias("gap"))
+    return points.join(gaps.withColumnsRenamed({f"l{c}": c for c in "xyz"}), [scan, "x", "y", "z"]).select(scan, *ref, "gap")
+
+
+def covariances(points: DataFrame, radius: float, ref: tuple[str, ...], least: int = 5, scan: str = "scan") -> DataFrame:
+    """Of each point with `least` neighbours of its scan within radius, itself among them: n and the sums xx, xy, xz, yy,
+    yz and zz of their offsets' products from their mean."""
+    a = points.select(scan, *ref, *(F.col(c).alias(f"l{c}") for c in "xyz"))
+    b = points.select(scan, *(F.col(c).alias(f"r{c}") for c in "xyz"))
+    sums = [(F.covar_pop(f"r{p}", f"r{q}") * F.count("*")).alias(p + q) for p, q in ("xx", "xy", "xz", "yy", "yz", "zz")]
+    return radius_pairs(a, b, radius, (scan,)).groupBy(*ref, scan).agg(F.count("*").alias("n"), *sums).where(F.col("n") >= least)
 
 
 def typical_spacing(points: DataFrame, reach: float, ref: tuple[str, ...], scan: str = "scan") -> DataFrame:
@@ -92,8 +101,10 @@ def typical_spacing(points: DataFrame, reach: float, ref: tuple[str, ...], scan:
 
 
 def fingerprint(points: DataFrame, *columns: str) -> DataFrame:
-    """Number, sum and exclusive or of the rows' hashes: equal for equal rows in any order."""
-    h = F.xxhash64(*columns)
+    """Number, sum and exclusive or of the rows' hashes, the first 15 hexadecimal digits of an MD5 of their values as text:
+    equal for equal rows in any order."""
+    text = F.concat_ws(",", *(F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in columns))
+    h = F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long")
     return points.agg(F.count("*").alias("n"), F.sum(h.cast("decimal(38,0)")).alias("total"), F.bit_xor(h).alias("mix"))
 
 

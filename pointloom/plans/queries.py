@@ -6,11 +6,11 @@ import math
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pointloom.functions import geometry as G
-from pointloom.operators import filters, layers, octree, registration, statistics
+from pointloom.operators import filters, hierarchy, layers, octree, registration, statistics, views
 from pointloom.plans import clouds
 from pointloom.plans.clouds import EMB, EVT, LI, LI_REF
 
@@ -73,9 +73,11 @@ _CONTAINS = f"(cw > 0 AND cz >= 0 AND cz <= cw AND {_polygon('cx / cw', 'cy / cw
 # ---- sources and projections ---------------------------------------------------------------------------------------------
 
 
-@query(f"WITH {EVT} SELECT ref, scan, x, round(y, 6) AS y, z FROM evt")
+@query(f"WITH {EVT} SELECT ref, scan, x, round(y, 6) AS y, z FROM evt WHERE code IN (0, 2) AND z >= 10")
 def visible_point_scan(spark, d):
-    return clouds.events(spark, d).select("ref", "scan", "x", F.round("y", 6).alias("y"), "z")
+    """Points of the layers shown that are valid."""
+    own = clouds.events(spark, d).withColumn("valid", F.col("z") >= 10)
+    return layers.visible(own, [0, 2], "valid").select("ref", "scan", "x", F.round("y", 6).alias("y"), "z")
 
 
 @query(f"WITH {EVT} SELECT ref, round({_row(POSE.matrix, 0)}, 6) AS x, round({_row(POSE.matrix, 1)}, 6) AS y, round({_row(POSE.matrix, 2)}, 6) AS z FROM evt")
@@ -182,12 +184,9 @@ def icp_pairs(spark, d):
 
 @query(f"WITH {EMB} SELECT a.ref, a.scan, count(*) AS n, round(covar_pop(b.x, b.x) * count(*), 6) AS xx, round(covar_pop(b.x, b.y) * count(*), 6) AS xy, round(covar_pop(b.x, b.z) * count(*), 6) AS xz, round(covar_pop(b.y, b.y) * count(*), 6) AS yy, round(covar_pop(b.y, b.z) * count(*), 6) AS yz, round(covar_pop(b.z, b.z) * count(*), 6) AS zz FROM emb a JOIN emb b ON a.scan = b.scan AND {_D2} <= 0.2 * 0.2 GROUP BY a.ref, a.scan HAVING count(*) >= 5")
 def normals_covariance(spark, d):
-    e = clouds.embeddings(spark, d)
-    a = e.select("scan", "ref", *(F.col(c).alias(f"l{c}") for c in "xyz"))
-    b = e.select("scan", *(F.col(c).alias(f"r{c}") for c in "xyz"))
-    pairs = filters.radius_pairs(a, b, 0.2, ("scan",))
-    sums = [F.round(F.covar_pop(f"r{p}", f"r{q}") * F.count("*"), 6).alias(p + q) for p, q in ("xx", "xy", "xz", "yy", "yz", "zz")]
-    return pairs.groupBy("ref", "scan").agg(F.count("*").alias("n"), *sums).where("n >= 5")
+    out = statistics.covariances(clouds.embeddings(spark, d), 0.2, ("ref",))
+    return out.select("ref", "scan", "n", *(F.round(c, 6).alias(c) for c in ("xx", "xy", "xz", "yy", "yz", "zz")))
+
 
 
 # ---- overlap ---------------------------------------------------------------------------------------------------------------
@@ -309,13 +308,8 @@ def selection_depth(spark, d):
 
 @query(f"WITH {EVT}, {_CLIPPED}, px AS (SELECT ref, CAST(floor(cx / cw * 40) AS BIGINT) AS px, CAST(floor(cy / cw * 40) AS BIGINT) AS py, {_DEPTH} AS depth FROM clip WHERE cw > 0 AND cz >= 0 AND cz <= cw), front AS (SELECT px, py, min(depth) AS depth FROM px GROUP BY ALL), o AS (SELECT unnest([-1, 0, 1]) AS d), wide AS (SELECT px + a.d AS px, py + b.d AS py, min(depth) AS front FROM front, o a, o b GROUP BY ALL) SELECT ref FROM px JOIN wide USING (px, py) WHERE depth <= front * 1.05 + 0.05")
 def overlay_occlusion(spark, d):
-    """Points in view that are not behind others, by least depths of cells and their neighbours."""
-    x, y, z, w = CAMERA.clip(XYZ())
-    own = clouds.events(spark, d).where((w > 0) & (z >= 0) & (z <= w)).select("ref", F.floor(x / w * 40).cast("long").alias("px"), F.floor(y / w * 40).cast("long").alias("py"), CAMERA.depth(XYZ()).alias("depth"))
-    front = own.groupBy("px", "py").agg(F.min("depth").alias("depth"))
-    near = F.explode(F.array(*(F.struct((F.col("px") + i).alias("px"), (F.col("py") + j).alias("py")) for i in (-1, 0, 1) for j in (-1, 0, 1))))
-    wide = front.select("depth", near.alias("c")).groupBy("c.px", "c.py").agg(F.min("depth").alias("front"))
-    return own.join(wide, ["px", "py"]).where(F.col("depth") <= F.col("front") * 1.05 + 0.05).select("ref")
+    return views.unoccluded(clouds.events(spark, d), CAMERA, ("ref",), 40)
+
 
 
 # ---- layers ------------------------------------------------------------------------------------------------------------------------
@@ -382,11 +376,7 @@ def delete_layer(spark, d):
 @query(f"WITH {EVT}, box AS (SELECT scan, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1, min(z) AS z0, max(z) AS z1 FROM evt GROUP BY scan), corner AS (SELECT scan, unnest([x0, x1]) AS x, y0, y1, z0, z1 FROM box), c2 AS (SELECT scan, x, unnest([y0, y1]) AS y, z0, z1 FROM corner), c3 AS (SELECT scan, x, y, unnest([z0, z1]) AS z FROM c2) SELECT scan, {', '.join(f'round({f}({_row(POSE.matrix, k)}), 6) AS {f}_{c}' for f in ('min', 'max') for k, c in enumerate('xyz'))} FROM c3 GROUP BY scan")
 def bounds_world(spark, d):
     """Of the corners of each scan's box, as a pose places them."""
-    b = layers.bounds(clouds.events(spark, d), "scan")
-    corners = F.explode(F.array(*(F.struct(*(F.col(f"{('max' if k >> a & 1 else 'min')}_{c}").alias(c) for a, c in enumerate("xyz"))) for k in range(8))))
-    moved = G.affine(POSE.matrix, XYZ())
-    placed = b.select("scan", corners.alias("c")).select("scan", "c.*").select("scan", *(m.alias(c) for m, c in zip(moved, "xyz", strict=True)))
-    out = layers.bounds(placed, "scan")
+    out = layers.moved_bounds(layers.bounds(clouds.events(spark, d), "scan"), POSE.matrix, "scan")
     return out.select("scan", *(F.round(c, 6).alias(c) for c in out.columns[1:]))
 
 
@@ -416,11 +406,23 @@ def lod_grid_pick(spark, d):
     return octree.grid_pick(clouds.events(spark, d), 64.0, 8, ("ref",))
 
 
-@query(f"WITH {EVT} SELECT scan, count(*) AS n, count(DISTINCT ref) AS points FROM evt GROUP BY scan")
+def _level(k: int, size: float = 512.0, grid: int = 8) -> str:
+    """The points left after level k - 1, their node, and which of them level k takes."""
+    side = size / (1 << k)
+    step = side / grid
+    node = ", ".join(f"CAST(floor({c} / {_num(side)}) AS INT) AS n{c}" for c in "xyz")
+    cells = ", ".join(f"floor({c} / {_num(step)})" for c in "xyz")
+    d2 = " + ".join(f"({c} - (floor({c} / {_num(step)}) + 0.5) * {_num(step)}) * ({c} - (floor({c} / {_num(step)}) + 0.5) * {_num(step)})" for c in "xyz")
+    left = "evt" if k == 0 else f"(SELECT scan, ref, x, y, z FROM level{k - 1} WHERE taken > 1)"
+    taken = "1" if k == 3 else f"row_number() OVER (PARTITION BY scan, {cells} ORDER BY {d2}, ref)"
+    return f"level{k} AS (SELECT scan, ref, x, y, z, {k} AS level, {node}, {taken} AS taken FROM {left})"
+
+
+@query(f"WITH {EVT}, {', '.join(_level(k) for k in range(4))} {' UNION ALL '.join(f'SELECT scan, ref, level, nx, ny, nz FROM level{k} WHERE taken = 1' for k in range(4))}")
 def lod_additive_check(spark, d):
-    """Every point is in exactly one display node."""
+    """The display node of each point, exactly one."""
     levels = octree.additive_levels(clouds.events(spark, d), (0.0, 0.0, 0.0), 512.0, 3, ("ref",), grid=8)
-    return levels.groupBy("scan").agg(F.count("*").alias("n"), F.countDistinct("ref").alias("points"))
+    return levels.select("scan", "ref", "level", "nx", "ny", "nz")
 
 
 @query(f"WITH {EVT}, k AS (SELECT scan, ref, row_number() OVER (PARTITION BY scan ORDER BY ref) - 1 AS i, count(*) OVER (PARTITION BY scan) AS n FROM evt), pick AS (SELECT scan, unnest(range(100)) * n // 100 AS i FROM (SELECT scan, count(*) AS n FROM evt GROUP BY scan) WHERE n > 100) SELECT k.scan, k.ref FROM k JOIN pick ON k.scan = pick.scan AND k.i = pick.i UNION ALL SELECT scan, ref FROM k WHERE n <= 100")
@@ -460,14 +462,15 @@ def measure_distance(spark, d):
     return clouds.events(spark, d).select("ref", m.alias("m")).select("ref", *(F.round(f"m.{c}", 6).alias(c) for c in ("length", "horizontal", "rise")))
 
 
-@query(None)
+@query("WITH h AS (SELECT CAST('0x' || substr(md5(o_orderkey || ',' || o_custkey || ',' || coalesce(o_orderstatus, 'null') || ',' || coalesce(o_orderpriority, 'null')), 1, 15) AS BIGINT) AS h FROM orders) SELECT count(*) AS n, CAST(sum(CAST(h AS HUGEINT)) AS VARCHAR) AS total, bit_xor(h) AS mix FROM h")
 def roundtrip_fingerprint(spark, d):
-    return statistics.fingerprint(clouds.events(spark, d), "ref", "x", "y", "z").select("n", F.col("total").cast("string").alias("total"), "mix")
+    out = statistics.fingerprint(clouds.read(spark, d, "orders"), "o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
+    return out.select("n", F.col("total").cast("string").alias("total"), "mix")
 
 
 @query(f"WITH {EVT} SELECT scan, count(*) AS records, count(*) FILTER (z >= 10) AS valid FROM evt GROUP BY scan")
 def scan_records(spark, d):
-    return clouds.events(spark, d).groupBy("scan").agg(F.count("*").alias("records"), F.count_if(F.col("z") >= 10).alias("valid"))
+    return layers.record_counts(clouds.events(spark, d), "z >= 10")
 
 
 # ---- solvers' sums ---------------------------------------------------------------------------------------------------------------------
@@ -496,102 +499,91 @@ _NORMAL = ("py * qz - pz * qy", "pz * qx - px * qz", "px * qy - py * qx", "qx",
 @query(f"WITH {EMB}, {_PAIRS}, line AS (SELECT {', '.join(f'{v} AS r{k}' for k, v in enumerate(_NORMAL))}, (qx - px) * qx + (qy - py) * qy + (qz - pz) * qz AS r FROM pair), w AS (SELECT *, CASE WHEN abs(r) <= 0.05 THEN 1.0 ELSE 0.05 / abs(r) END AS w FROM line) SELECT {', '.join(f'round(sum(w * r{i} * r{j}), 6) AS h{i}{j}' for i in range(6) for j in range(i, 6))}, {', '.join(f'round(sum(w * r{i} * r), 6) AS g{i}' for i in range(6))} FROM w")
 def icp_normal_equations(spark, d):
     """Point-to-plane normal equations with Huber weights, of pairs whose second point stands for the normal."""
-    p, q = XYZ("px", "py", "pz"), XYZ("qx", "qy", "qz")
-    cross = (p[1] * q[2] - p[2] * q[1], p[2] * q[0] - p[0] * q[2], p[0] * q[1] - p[1] * q[0])
-    r = (q[0] - p[0]) * q[0] + (q[1] - p[1]) * q[1] + (q[2] - p[2]) * q[2]
-    rows = _pairs(spark, d).select(*(c.alias(f"r{k}") for k, c in enumerate((*cross, *q))), r.alias("r"))
-    w = F.when(F.abs("r") <= 0.05, 1.0).otherwise(F.lit(0.05) / F.abs("r"))
-    rows = rows.withColumn("w", w)
-    h = [F.round(F.sum(F.col("w") * F.col(f"r{i}") * F.col(f"r{j}")), 6).alias(f"h{i}{j}") for i in range(6) for j in range(i, 6)]
-    return rows.agg(*h, *(F.round(F.sum(F.col("w") * F.col(f"r{i}") * F.col("r")), 6).alias(f"g{i}") for i in range(6)))
+    out = registration.plane_equations(_pairs(spark, d).select("*", *(F.col(f"q{c}").alias(f"n{c}") for c in "xyz")), 0.05)
+    return out.select(*(F.round(c, 6).alias(c) for c in out.columns))
 
 
-@query(f"WITH {EVT}, box AS (SELECT scan, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1, min(z) AS z0, max(z) AS z1 FROM evt WHERE ref % 97 = 0 GROUP BY scan) SELECT a.scan AS a, b.scan AS b FROM box a JOIN box b ON a.scan < b.scan AND a.x0 <= b.x1 AND b.x0 <= a.x1 AND a.y0 <= b.y1 AND b.y0 <= a.y1 AND a.z0 <= b.z1 AND b.z0 <= a.z1")
+
+@query(f"WITH {EVT}, box AS (SELECT scan, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1, min(z) AS z0, max(z) AS z1 FROM evt GROUP BY scan) SELECT a.scan AS a, b.scan AS b FROM box a JOIN box b ON a.scan < b.scan AND a.x0 <= b.x1 AND b.x0 <= a.x1 AND a.y0 <= b.y1 AND b.y0 <= a.y1 AND a.z0 <= b.z1 AND b.z0 <= a.z1")
 def overlap_pairs(spark, d):
-    """Scans whose boxes touch: a join over metadata, a row for each scan."""
-    b = layers.bounds(clouds.events(spark, d).where("ref % 97 = 0"), "scan")
-    one = b.select(F.col("scan").alias("a"), *(F.col(c).alias(f"a_{c}") for c in b.columns[1:]))
-    two = b.select(F.col("scan").alias("b"), *(F.col(c).alias(f"b_{c}") for c in b.columns[1:]))
-    touch = F.col("a") < F.col("b")
-    for c in "xyz":
-        touch = touch & (F.col(f"a_min_{c}") <= F.col(f"b_max_{c}")) & (F.col(f"b_min_{c}") <= F.col(f"a_max_{c}"))
-    return one.join(F.broadcast(two), touch).select("a", "b")
+    """Scans whose boxes touch."""
+    return layers.overlapping(layers.bounds(clouds.events(spark, d), "scan"))
 
 
 # ---- folders, revisions, registrations ------------------------------------------------------------------------------------------------------
 
-_FOLDERS = "folder AS (SELECT c_custkey AS id, CASE WHEN c_custkey > 1 THEN c_custkey // 2 END AS parent FROM customer WHERE c_custkey BETWEEN 1 AND 255)"
+_FOLDERS = "folder AS (SELECT c_custkey AS id, CASE WHEN c_custkey > 1 THEN c_custkey // 2 END AS parent, c_acctbal FROM customer)"
 
 
 def _folders(spark, d):
-    c = clouds.read(spark, d, "customer").where("c_custkey BETWEEN 1 AND 255")
-    return c.select(F.col("c_custkey").alias("id"), F.when(F.col("c_custkey") > 1, F.floor(F.col("c_custkey") / 2)).alias("parent"))
+    c = clouds.read(spark, d, "customer")
+    return c.select(F.col("c_custkey").alias("id"), F.when(F.col("c_custkey") > 1, F.floor(F.col("c_custkey") / 2)).alias("parent"), "c_acctbal")
 
 
-def ancestors(folders: DataFrame) -> DataFrame:
-    """id, above and depth of each folder and what holds it, itself at depth 0: recursive SQL over metadata."""
-    folders.createOrReplaceTempView("pointloom_folders")
-    return folders.sparkSession.sql("WITH RECURSIVE up(id, above, depth) AS (SELECT id, id, 0 FROM pointloom_folders UNION ALL SELECT up.id, f.parent, up.depth + 1 FROM up JOIN pointloom_folders f ON up.above = f.id WHERE f.parent IS NOT NULL) SELECT id, above, depth FROM up")
+def _foldered(spark, d):
+    """Events with the folder that holds each: their number modulo that of folders."""
+    n = clouds.read(spark, d, "customer").agg(F.count("*").alias("_n"))
+    return clouds.events(spark, d).join(F.broadcast(n)).withColumn("folder", F.col("ref") % F.col("_n"))  # one row
 
 
+_IN_FOLDER = "(ref % (SELECT count(*) FROM customer))"
 _UP = "up(id, above, depth) AS (SELECT id, id, 0 FROM folder UNION ALL SELECT up.id, f.parent, up.depth + 1 FROM up JOIN folder f ON up.above = f.id WHERE f.parent IS NOT NULL)"
 
 
 @query(f"WITH RECURSIVE {_FOLDERS}, {_UP} SELECT id, above, depth FROM up")
 def folder_ancestors(spark, d):
-    return ancestors(_folders(spark, d))
+    return hierarchy.ancestors(_folders(spark, d))
 
 
-@query(f"WITH RECURSIVE {_FOLDERS}, {_UP}, {EVT}, own AS (SELECT ref % 255 + 1 AS folder, count(*) AS n, count(DISTINCT scan) AS scans FROM evt GROUP BY 1) SELECT above AS folder, CAST(sum(n) AS BIGINT) AS records, CAST(sum(scans) AS BIGINT) AS scans FROM up JOIN own ON own.folder = up.id GROUP BY above")
+@query(f"WITH RECURSIVE {_FOLDERS}, {_UP}, {EVT}, own AS (SELECT {_IN_FOLDER} AS folder, count(*) AS n, count(DISTINCT scan) AS scans FROM evt GROUP BY 1) SELECT above AS folder, CAST(sum(n) AS BIGINT) AS records, CAST(sum(scans) AS BIGINT) AS scans FROM up JOIN own ON own.folder = up.id GROUP BY above")
 def folder_totals(spark, d):
-    own = clouds.events(spark, d).groupBy((F.col("ref") % 255 + 1).alias("folder")).agg(F.count("*").alias("n"), F.countDistinct("scan").alias("scans"))
-    up = ancestors(_folders(spark, d))
-    return up.join(own, F.col("folder") == F.col("id")).groupBy(F.col("above").alias("folder")).agg(F.sum("n").alias("records"), F.sum("scans").alias("scans"))
+    own = _foldered(spark, d).groupBy("folder").agg(F.count("*").alias("records"), F.countDistinct("scan").alias("scans"))
+    return hierarchy.totals(hierarchy.ancestors(_folders(spark, d)), own, ("records", "scans"))
 
 
-@query(f"WITH RECURSIVE {_FOLDERS}, {_UP}, {EVT} SELECT ref FROM evt WHERE ref % 255 + 1 IN (SELECT id FROM up WHERE above = 5)")
+@query(f"WITH RECURSIVE {_FOLDERS}, {_UP}, {EVT} SELECT ref FROM evt WHERE {_IN_FOLDER} IN (SELECT id FROM up WHERE above = 5)")
 def folder_semi(spark, d):
     """Items of a folder at any depth."""
-    inside = ancestors(_folders(spark, d)).where("above = 5").select("id")
-    return clouds.events(spark, d).join(F.broadcast(inside), F.col("ref") % 255 + 1 == F.col("id"), "left_semi").select("ref")  # folders are metadata
+    return hierarchy.inside(_foldered(spark, d), hierarchy.ancestors(_folders(spark, d)), 5, "folder").select("ref")
 
 
-@query("WITH RECURSIVE rev AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey > 1 THEN o_orderkey - 1 - o_custkey % 3 END AS parent FROM orders WHERE o_orderkey <= 60), up(id, parent, depth) AS (SELECT id, parent, 0 FROM rev UNION ALL SELECT up.id, rev.parent, up.depth + 1 FROM up JOIN rev ON up.parent = rev.id) SELECT id, CAST(max(depth) AS INT) AS depth FROM up GROUP BY id")
+@query("WITH RECURSIVE rev AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey > 1 THEN (o_orderkey - o_custkey % 3) // 2 END AS parent FROM orders), up(id, parent, depth) AS (SELECT id, parent, 0 FROM rev UNION ALL SELECT up.id, rev.parent, up.depth + 1 FROM up JOIN rev ON up.parent = rev.id) SELECT id, CAST(max(depth) AS INT) AS depth FROM up GROUP BY id")
 def revision_ancestors(spark, d):
-    o = clouds.read(spark, d, "orders").where("o_orderkey <= 60")
-    rev = o.select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderkey") > 1, F.col("o_orderkey") - 1 - F.col("o_custkey") % 3).alias("parent"))
-    rev.createOrReplaceTempView("pointloom_revisions")
-    up = spark.sql("WITH RECURSIVE up(id, parent, depth) AS (SELECT id, parent, 0 FROM pointloom_revisions UNION ALL SELECT up.id, r.parent, up.depth + 1 FROM up JOIN pointloom_revisions r ON up.parent = r.id) SELECT id, parent, depth FROM up")
-    return up.groupBy("id").agg(F.max("depth").alias("depth"))
+    """How many revisions each descends from, of a tree over all orders."""
+    rev = clouds.read(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderkey") > 1, F.floor((F.col("o_orderkey") - F.col("o_custkey") % 3) / 2)).alias("parent"))
+    return hierarchy.depths(rev)
 
 
 @query("SELECT user_id AS revision, event_type AS kind, count(*) AS n, row_number() OVER (PARTITION BY user_id ORDER BY min(event_id)) AS place FROM events GROUP BY user_id, event_type")
 def operation_counts(spark, d):
     """Kinds of operations of each revision, in the order of their first."""
-    n = clouds.read(spark, d, "events").groupBy(F.col("user_id").alias("revision"), F.col("event_type").alias("kind")).agg(F.count("*").alias("n"), F.min("event_id").alias("first"))
-    return n.select("revision", "kind", "n", F.row_number().over(Window.partitionBy("revision").orderBy("first")).cast("long").alias("place"))
+    e = clouds.read(spark, d, "events")
+    return hierarchy.operation_counts(e.select(F.col("user_id").alias("revision"), F.col("event_type").alias("kind"), F.col("event_id").alias("seq")))
 
 
-@query("SELECT CASE WHEN l_discount = 0 THEN 'none' WHEN l_tax > 0.05 THEN 'check' ELSE 'done' END AS status, count(*) AS n FROM lineitem GROUP BY 1")
+@query("SELECT CASE WHEN l_discount = 0 THEN 'none' WHEN l_tax > 0.05 OR abs(l_quantity - 25) > 24 THEN 'check' ELSE 'done' END AS status, count(*) AS n FROM lineitem GROUP BY 1")
 def registration_status(spark, d):
+    """Items by the state of their registration: the discount says whether there is one, the tax how far it has moved
+    since, the quantity whether the fit stopped early."""
     li = clouds.read(spark, d, "lineitem")
-    status = F.when(F.col("l_discount") == 0, "none").when(F.col("l_tax") > 0.05, "check").otherwise("done")
+    valid = hierarchy.registration_valid((F.col("l_tax"),), (F.lit(0.0),), 0.05)
+    status = hierarchy.registration_status(F.col("l_discount") != 0, valid, F.abs(F.col("l_quantity") - 25) > 24)
     return li.groupBy(status.alias("status")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT l_suppkey % 50 AS item, round(max(l_tax), 6) AS rms FROM lineitem GROUP BY 1 ORDER BY rms DESC NULLS FIRST, item LIMIT 20")
+@query("SELECT a, b, rms FROM (SELECT l_suppkey AS a, l_linenumber AS b, CASE WHEN count(*) >= 20 THEN round(sqrt(avg(l_tax * l_tax)), 6) END AS rms FROM lineitem GROUP BY 1, 2) ORDER BY rms DESC NULLS FIRST, a, b LIMIT 20")
 def worst_pairs(spark, d):
-    """A report of the twenty worst."""
-    li = clouds.read(spark, d, "lineitem").groupBy((F.col("l_suppkey") % 50).alias("item")).agg(F.round(F.max("l_tax"), 6).alias("rms"))
-    return li.orderBy(F.coalesce("rms", F.lit(math.inf)).desc(), "item").limit(20)
+    """A report of the twenty worst pairs; those of fewer than 20 points have no fit and come first."""
+    li = clouds.read(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("a"), F.col("l_linenumber").alias("b"))
+    pairs = li.agg(F.when(F.count("*") >= 20, F.round(F.sqrt(F.avg(F.col("l_tax") * F.col("l_tax"))), 6)).alias("rms"))
+    return hierarchy.worst_first(pairs, "rms", "a", "b").limit(20)
 
 
-@query(f"WITH RECURSIVE {_FOLDERS}, {_UP}, fit AS (SELECT id, id % 7 AS v FROM folder WHERE id % 5 = 0), near AS (SELECT up.id, up.above, row_number() OVER (PARTITION BY up.id ORDER BY depth) AS k FROM up JOIN fit ON fit.id = up.above WHERE v <> 3) SELECT id, above AS registered FROM near WHERE k = 1")
+@query(f"WITH RECURSIVE {_FOLDERS}, {_UP}, near AS (SELECT up.id, up.above, row_number() OVER (PARTITION BY up.id ORDER BY depth) AS k FROM up JOIN folder ON folder.id = up.above WHERE c_acctbal > 5000) SELECT id, above AS registered FROM near WHERE k = 1")
 def scan_registration(spark, d):
-    """The nearest valid registration of an item or of what holds it."""
-    own = _folders(spark, d).where("id % 5 = 0 AND id % 7 <> 3").select(F.col("id").alias("above"))
-    found = ancestors(_folders(spark, d)).join(F.broadcast(own), "above")  # folders are metadata
-    return found.groupBy("id").agg(F.min_by("above", "depth").alias("registered"))
+    """The nearest valid registration of an item or of what holds it; those of a balance over 5000 have one."""
+    own = _folders(spark, d)
+    return hierarchy.nearest_registered(hierarchy.ancestors(own), own.where("c_acctbal > 5000"))
 
 
 # ---- metadata and sets -------------------------------------------------------------------------------------------------------------------------
@@ -600,41 +592,37 @@ def scan_registration(spark, d):
 @query("SELECT l_partkey % 100 AS record, l_linenumber AS number FROM lineitem GROUP BY 1, 2 HAVING count(DISTINCT l_suppkey % 4) = (SELECT count(DISTINCT l_suppkey % 4) FROM lineitem)")
 def vlr_common(spark, d):
     """Records that all scans have; description and order do not count."""
-    own = clouds.read(spark, d, "lineitem").select((F.col("l_suppkey") % 4).alias("scan"), (F.col("l_partkey") % 100).alias("record"), F.col("l_linenumber").alias("number")).distinct()
-    scans = own.agg(F.countDistinct("scan").alias("all"))
-    return own.groupBy("record", "number").agg(F.countDistinct("scan").alias("n")).join(F.broadcast(scans), F.col("n") == F.col("all")).select("record", "number")  # one row
+    own = clouds.read(spark, d, "lineitem").select((F.col("l_suppkey") % 4).alias("scan"), (F.col("l_partkey") % 100).alias("record"), F.col("l_linenumber").alias("number"))
+    return hierarchy.common_records(own, "scan", "record", "number")
+
 
 
-@query("SELECT p_partkey AS id, CASE WHEN k = 1 THEN stem ELSE stem || '_' || k END AS stem FROM (SELECT p_partkey, stem, row_number() OVER (PARTITION BY lower(stem) ORDER BY p_partkey) AS k FROM (SELECT p_partkey, trim(regexp_replace(substr(p_name, 1, 6), '[<>:\"/\\\\|?*\\x00-\\x1f]', '_', 'g')) AS stem FROM part))")
+@query("SELECT p_partkey AS id, CASE WHEN k = 1 THEN stem ELSE stem || '_' || k END AS stem FROM (SELECT p_partkey, stem, row_number() OVER (PARTITION BY lower(stem) ORDER BY p_partkey) AS k FROM (SELECT p_partkey, trim(regexp_replace(p_name, '[<>:\"/\\\\|?*\\x00-\\x1f]', '_', 'g')) AS stem FROM part))")
 def unique_stems(spark, d):
-    p = clouds.read(spark, d, "part").select(F.col("p_partkey").alias("id"), F.trim(F.regexp_replace(F.substring("p_name", 1, 6), r'[<>:"/\\|?*\x00-\x1f]', "_")).alias("stem"))
-    k = F.row_number().over(Window.partitionBy(F.lower("stem")).orderBy("id"))
-    return p.withColumn("k", k).select("id", F.when(F.col("k") == 1, F.col("stem")).otherwise(F.concat_ws("_", "stem", "k")).alias("stem"))
+    return hierarchy.unique_stems(clouds.read(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name")))
+
 
 
 @query("SELECT s_suppkey AS id FROM supplier WHERE s_suppkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_quantity > 49 AND l_discount > 0.09)")
 def cleanup_unreferenced(spark, d):
     """What no state refers to."""
     used = clouds.read(spark, d, "lineitem").where("l_quantity > 49 AND l_discount > 0.09").select(F.col("l_suppkey").alias("id"))
-    return clouds.read(spark, d, "supplier").select(F.col("s_suppkey").alias("id")).join(used, "id", "left_anti")
+    return hierarchy.unreferenced(clouds.read(spark, d, "supplier").select(F.col("s_suppkey").alias("id")), used, "id")
 
 
-@query("SELECT o_orderkey AS scan, CASE WHEN n = 0 THEN 'all' ELSE 'except' END AS form FROM (SELECT o_orderkey, count(l_orderkey) FILTER (l_discount > 0.08) AS n FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey)")
+@query("SELECT operation, CASE WHEN len(no) = 0 THEN 'all' WHEN len(no) < len(yes) THEN 'except' ELSE 'only' END AS form, array_to_string(CASE WHEN len(no) = 0 THEN [] WHEN len(no) < len(yes) THEN no ELSE yes END, ',') AS scans FROM (SELECT l_orderkey AS operation, coalesce(list(l_partkey ORDER BY l_partkey) FILTER (l_discount <= 0.06), []) AS yes, coalesce(list(l_partkey ORDER BY l_partkey) FILTER (l_discount > 0.06), []) AS no FROM lineitem GROUP BY l_orderkey)")
 def scan_record_form(spark, d):
-    """The shortest way to say which scans an operation took: all of them, or all but some."""
-    o, li = clouds.read(spark, d, "orders"), clouds.read(spark, d, "lineitem")
-    n = o.join(li, F.col("l_orderkey") == F.col("o_orderkey"), "left").groupBy("o_orderkey").agg(F.count_if(F.col("l_discount") > 0.08).alias("n"))
-    return n.select(F.col("o_orderkey").alias("scan"), F.when(F.col("n") == 0, "all").otherwise("except").alias("form"))
+    """The shortest way to say which scans an operation took: all of them, all but some, or some only."""
+    li = clouds.read(spark, d, "lineitem")
+    out = hierarchy.scan_record_forms(li.select(F.col("l_orderkey").alias("operation"), F.col("l_partkey").alias("scan"), (F.col("l_discount") <= 0.06).alias("taken")))
+    return out.select("operation", "form", F.array_join(F.col("scans").cast("array<string>"), ",").alias("scans"))
 
 
 @query(f"WITH {EVT} SELECT px, py, arg_min(ref, struct_pack(dist := dist, ref := ref)) AS ref FROM (SELECT ref, CAST(floor((180 - degrees(atan2(y - 12, x - 50))) / 4) AS INT) % 90 AS px, CAST(floor((90 - degrees(atan2(z - 50, sqrt((x - 50) * (x - 50) + (y - 12) * (y - 12))))) / 4) AS INT) AS py, ((x - 50) * (x - 50) + (y - 12) * (y - 12)) + (z - 50) * (z - 50) AS dist FROM evt) GROUP BY px, py")
 def panorama_raster(spark, d):
     """The nearest point of each cell of an image around a place."""
-    x, y, z = F.col("x") - 50, F.col("y") - 12, F.col("z") - 50
-    px = (F.floor((F.lit(180.0) - F.degrees(F.atan2(y, x))) / 4).cast("int") % 90).alias("px")
-    py = F.floor((F.lit(90.0) - F.degrees(F.atan2(z, F.sqrt(x * x + y * y)))) / 4).cast("int").alias("py")
-    own = clouds.events(spark, d).select("ref", px, py, ((x * x + y * y) + z * z).alias("dist"))
-    return own.groupBy("px", "py").agg(F.min(F.struct("dist", "ref")).alias("b")).select("px", "py", "b.ref")
+    return views.raster(clouds.events(spark, d), (50.0, 12.0, 50.0), 4.0, ("ref",))
+
 
 
 @query("SELECT i, round(0.3 * sin(2 * x) * cos(2 * y), 6) + 0.0 AS z FROM (SELECT i, (i % 128) / 128.0 * 4 - 2 AS x, (i // 128) / 128.0 * 4 - 2 AS y FROM range(16384) t(i))")

@@ -3,8 +3,9 @@
 import numpy as np
 import pytest
 
+from pointloom.errors import InvalidState
 from pointloom.functions.geometry import CropBox, rotation_vector
-from pointloom.operators import filters, octree
+from pointloom.operators import filters, hierarchy, octree, statistics
 
 REF = ("chunk", "idx")
 
@@ -163,3 +164,47 @@ def test_percentiles_of_large_groups_are_exact(spark):
     for s in (0, 1):
         v = np.sort([r[0] for r in p.where(F.col("scan") == s).select("w").collect()])
         assert whole[s] == {"scan": s, "a": v[int((len(v) - 1) * 0.01)], "b": v[int((len(v) - 1) * 0.5 + 0.5)], "c": v[int((len(v) - 1) * 0.99)], "d": v[len(v) // 2]}
+
+
+def test_a_stack_of_points_counts_as_its_number(spark):
+    """20,000 points at one place, and others around: neighbours are counted with their copies."""
+    import time
+
+    pile = spark.range(20_000).selectExpr("id AS ref", "0L AS scan", "0.0D AS x", "0.0D AS y", "0.0D AS z")
+    rest = spark.createDataFrame([(20_000, 0, 0.1, 0.0, 0.0), (20_001, 0, 0.1, 0.0, 0.0), (20_002, 0, 5.0, 0.0, 0.0)], pile.schema)
+    points = pile.union(rest)
+    began = time.time()
+    m = {r["ref"]: r["m"] for r in filters.mean_distances(points, 3, 0.5, ("ref",)).where("ref % 5000 = 0 OR ref >= 20000").collect()}
+    assert m[0] == m[5000] == 0 and abs(m[20_000] - (0 + 0.1 + 0.1) / 3) < 1e-12 and m[20_002] is None
+    gaps = {r["ref"]: r["gap"] for r in statistics.nearest_gap(points, 0.5, ("ref",)).where("ref % 5000 = 0 OR ref >= 20000").collect()}
+    assert gaps == {0: 0.0, 5000: 0.0, 10_000: 0.0, 15_000: 0.0, 20_000: 0.0, 20_001: 0.0}
+    assert time.time() - began < 30
+
+
+@pytest.mark.parametrize("ranked", [3, 50, 100_000])
+def test_thinning_takes_even_indexes(spark, ranked):
+    rng = np.random.default_rng(4)
+    rows = [(k, int(v), j) for k, n in ((0, 200), (1, 7), (2, 1)) for j, v in enumerate(rng.integers(0, 40, n) ** 2)]
+    points = spark.createDataFrame(rows, "scan int, a long, b long").repartition(3)
+    quotas = spark.createDataFrame([(0, 30), (1, 3), (2, 5)], "scan int, quota int")
+    got = sorted((r["scan"], r["a"], r["b"]) for r in octree.thinned(points, quotas, ("scan",), ("a", "b"), ranked).collect())
+    want = []
+    for k, q in ((0, 30), (1, 3), (2, 5)):
+        own = sorted(r for r in rows if r[0] == k)
+        want += own if q >= len(own) else [own[i * len(own) // q] for i in range(q)]
+    assert got == sorted(want)
+
+
+def test_ancestors_by_doubling(spark):
+    rows = [(k, k - 1 if k % 50 else None) for k in range(200)] + [(500, 499)]
+    got = {(r["id"], r["above"]): r["depth"] for r in hierarchy.ancestors(spark.createDataFrame(rows, "id long, parent long")).collect()}
+    want = {(k, k - d): d for k in range(200) for d in range(k % 50 + 1)} | {(500, 500): 0}
+    assert got == want
+    with pytest.raises(InvalidState):
+        hierarchy.ancestors(spark.createDataFrame([(1, 2), (2, 1)], "id long, parent long"))
+
+
+def test_stems_differ_in_lower_case_too(spark):
+    names = ["a" * 40 + "x", "a" * 40 + "y", "Scan", "scan", 'sc?n', "sc_n", " ", None]
+    got = {r["id"]: r["stem"] for r in hierarchy.unique_stems(spark.createDataFrame(list(enumerate(names)), "id int, name string")).collect()}
+    assert got == {0: names[0], 1: names[1], 2: "Scan", 3: "scan_2", 4: "sc_n", 5: "sc_n_2", 6: "scan_3", 7: "scan_4"}
