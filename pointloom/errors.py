@@ -30,3 +30,6 @@ class InvalidState(PointError): ...
 
 
 class TargetExists(PointError): ...
+
+
+class ProjectLocked(PointError): ...

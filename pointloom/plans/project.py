@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import fcntl
 import json
 import os
 import re
@@ -13,13 +14,16 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pointloom.errors import InvalidState, TargetExists, UnsupportedFormat
+from pointloom.errors import InvalidState, ProjectLocked, TargetExists, UnsupportedFormat
 from pointloom.functions.geometry import Bounds, CropBox, Pose, Selection, affine, xyz
-from pointloom.operators import filters, layers, registration, statistics
+from pointloom.operators import filters, layers, octree, registration, statistics
 from pointloom.plans.state import DEFAULT_LAYER, History, Layer, Panorama, Scan, State, new_id
 
 REF = ("chunk", "idx")
-VERSION = 1
+VERSION = 2
+LABELS = "scan string, chunk int, idx int, code short, patch string"
+#: Side of the Morton cells that points are stored by, in metres, and bytes of a row group: what a box can skip.
+CELL, ROW_GROUP = 0.5, 4 << 20
 
 
 def inner_path(name: str) -> str:
@@ -30,13 +34,57 @@ def inner_path(name: str) -> str:
     return name
 
 
+#: Lock files that this process holds, by path, and how often.
+_held: dict[str, list] = {}
+
+
+class ProjectLock:
+    """The right to change a project: one process at a time. It ends with the process, whatever becomes of it; within a
+    process it can be taken again."""
+
+    def __init__(self, root: str):
+        self.path = os.path.realpath(f"{root}/project.lock")
+        if self.path in _held:
+            _held[self.path][1] += 1
+            return
+        file = open(self.path, "a+")  # noqa: SIM115
+        try:
+            fcntl.flock(file, fcntl.LOCK_EX | fcntl.LOCK_NB)
+        except OSError as e:
+            file.close()
+            raise ProjectLocked(f"{root} is in use by another process") from e
+        _held[self.path] = [file, 1]
+
+    def release(self) -> None:
+        if self.path is None:
+            return
+        held, self.path = _held[self.path], self.path
+        held[1] -= 1
+        if not held[1]:
+            _held.pop(self.path)
+            held[0].close()
+        self.path = None
+
+
 class PointProject:
-    """Layout: points/scan_<id>/ (chunk, idx, valid, x, y, z, r, g, b, a and the source's attributes), labels/<id>/
-    (scan, chunk, idx, code), project.json (scans, revisions, working state). Points are written once and never again."""
+    """Layout: points/scan_<id>/ (chunk, idx, valid, x, y, z, r, g, b, a and the source's attributes, in the order of their
+    Morton numbers), labels/<id>/ (scan, chunk, idx, code, patch), project.json (scans, revisions, working state),
+    project.lock. Points are written once and never again. Only one process has a project open; close() ends that, or
+    the end of a with block."""
 
     def __init__(self, spark: SparkSession, root: str, history: History | None = None):
         self.spark, self.root = spark, root
         self.history = history or History()
+        self.lock = ProjectLock(root)
+
+    def close(self) -> None:
+        self.lock.release()
+
+    def __enter__(self) -> PointProject:
+        return self
+
+    def __exit__(self, *error) -> None:
+        self.close()
 
     # ---- files
 
@@ -59,6 +107,16 @@ class PointProject:
 
     @staticmethod
     def load(spark: SparkSession, root: str) -> PointProject:
+        project = PointProject(spark, root)
+        try:
+            project.history = PointProject._read(root)
+        except BaseException:
+            project.close()
+            raise
+        return project
+
+    @staticmethod
+    def _read(root: str) -> History:
         d = json.loads(Path(f"{root}/project.json").read_text())
         if d.get("version") != VERSION:
             raise InvalidState("another version's project")
@@ -72,7 +130,7 @@ class PointProject:
             raise InvalidState("no current revision")
         for s in h.states():
             s.check(h.known)
-        return PointProject(spark, root, h)
+        return h
 
     def path(self, name: str) -> str:
         return f"{self.root}/{inner_path(name)}"
@@ -82,13 +140,13 @@ class PointProject:
     def import_points(self, scans: list[tuple[Scan, DataFrame]], folder: str | None = None) -> list[str]:
         """Adds scans in one edit; with a folder's name, or of more than one, in a folder of their own."""
         added = []
-        for scan, points in scans:
-            points.withColumn("scan", F.lit(scan.id)).write.mode("overwrite").parquet(f"{self.path('points')}/scan_{scan.id}")
-            own = self.spark.read.parquet(f"{self.path('points')}/scan_{scan.id}")
-            valid = own.where("valid")
-            b = valid.agg(F.count("*").alias("n"), *(f(c).alias(f"{n}{c}") for n, f in (("lo", F.min), ("hi", F.max)) for c in "xyz")).first()
-            bounds = Bounds((b["lox"], b["loy"], b["loz"]), (b["hix"], b["hiy"], b["hiz"])) if b["n"] else None
-            added.append(replace(scan, bounds=bounds, records=own.count(), valid=b["n"], attributes=tuple(own.columns)))
+        try:
+            for scan, points in scans:
+                added.append(self._stored(scan, points))
+        except BaseException:
+            for s in added:
+                shutil.rmtree(f"{self.path('points')}/scan_{s.id}", ignore_errors=True)
+            raise
         self.history.known.update({s.id: s for s in added})
         ids = [s.id for s in added]
 
@@ -105,6 +163,24 @@ class PointProject:
         self.store()
         return ids
 
+    def _stored(self, scan: Scan, points: DataFrame) -> Scan:
+        """Writes a scan's points beside the project's, moves them in as a whole, and counts them."""
+        target, part = f"{self.path('points')}/scan_{scan.id}", f"{self.path('staging')}/{new_id()}"
+        if os.path.exists(target):
+            raise TargetExists(target)
+        try:
+            laid = octree.clustered(points.withColumn("scan", F.lit(scan.id)), (0.0, 0.0, 0.0), CELL)
+            laid.write.option("parquet.block.size", ROW_GROUP).parquet(part)
+            own = self.spark.read.parquet(part)
+            valid = F.col("valid")
+            b = own.agg(F.count("*").alias("records"), F.count_if(valid).alias("n"), *(f(F.when(valid, F.col(c))).alias(f"{n}{c}") for n, f in (("lo", F.min), ("hi", F.max)) for c in "xyz")).first()
+            os.makedirs(self.path("points"), exist_ok=True)
+            os.rename(part, target)
+        finally:
+            shutil.rmtree(part, ignore_errors=True)
+        bounds = Bounds((b["lox"], b["loy"], b["loz"]), (b["hix"], b["hiy"], b["hiz"])) if b["n"] else None
+        return replace(scan, bounds=bounds, records=b["records"], valid=b["n"], attributes=tuple(own.columns))
+
     def import_file(self, source: str) -> list[str]:
         from pointloom.sources import e57, las
 
@@ -162,31 +238,35 @@ class PointProject:
 
     # ---- points
 
-    def records(self, scans: list[str] | None = None) -> DataFrame:
-        """All records of the current scans, with their layer; attributes that a scan lacks are null."""
+    def records(self, scans: list[str] | None = None, around: Bounds | None = None) -> DataFrame:
+        """All records of the current scans, with their layer; attributes that a scan lacks are null. around: in project
+        coordinates, a box beyond which records may be left out; Parquet skips row groups by it."""
         own = [s for s in self.history.current.scans if scans is None or s in scans]
-        if not own:
-            return self.spark.createDataFrame([], "scan string, chunk int, idx int, valid boolean, x double, y double, z double, code short")
         out = None
         for s in own:
             part = self.spark.read.parquet(f"{self.path('points')}/scan_{s}")
+            if around is not None:
+                b = around.moved(np.linalg.inv(self.history.world(s)))
+                slack = 1e-9 * (1 + np.abs([around.lo, around.hi, b.lo, b.hi]).max())  # of rounding on both ways
+                for c, lo, hi in zip(xyz(), b.lo, b.hi, strict=True):
+                    part = part.where(c.between(float(lo - slack), float(hi + slack)))
             out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+        if out is None:
+            return self.spark.createDataFrame([], "scan string, chunk int, idx int, valid boolean, x double, y double, z double, code short")
         patches = self.history.current.labels
         if not patches:
             return out.withColumn("code", F.lit(DEFAULT_LAYER).cast("short"))
-        changes = None
-        for seq, p in enumerate(patches):
-            part = self.spark.read.parquet(f"{self.path('labels')}/{p}").withColumn("seq", F.lit(seq))
-            changes = part if changes is None else changes.unionByName(part)
-        return layers.labelled(out, layers.last_labels(changes, ("scan", *REF)), ("scan", *REF))
+        changes = self.spark.read.schema(LABELS).parquet(*(f"{self.path('labels')}/{p}" for p in patches))
+        seq = F.array_position(F.lit(list(patches)), F.col("patch"))
+        return layers.labelled(out, layers.last_labels(changes.withColumn("seq", seq), ("scan", *REF)), ("scan", *REF))
 
-    def points(self, scans: list[str] | None = None) -> DataFrame:
+    def points(self, scans: list[str] | None = None, around: Bounds | None = None) -> DataFrame:
         """Valid points of visible layers."""
-        return layers.visible(self.records(scans), self.history.current.shown, "valid")
+        return layers.visible(self.records(scans, around), self.history.current.shown, "valid")
 
-    def world_points(self, scans: list[str] | None = None) -> DataFrame:
+    def world_points(self, scans: list[str] | None = None, around: Bounds | None = None) -> DataFrame:
         """points() in project coordinates, with the scan's place in the order."""
-        out = self.points(scans)
+        out = self.points(scans, around)
         rows = [(s, k, *(float(v) for v in self.history.world(s)[:3].ravel())) for k, s in enumerate(self.history.current.scans)]
         m = self.spark.createDataFrame(rows, "scan string, scan_order int, " + ", ".join(f"m{i}{j} double" for i in range(3) for j in range(4)))
         joined = out.join(F.broadcast(m), "scan")  # a row for each scan
@@ -203,7 +283,7 @@ class PointProject:
         layer = known or Layer(state.free_code(), str(target), False)
         patch = new_id()
         path = f"{self.path('labels')}/{patch}"
-        layers.relabel(moved, layer.code, ("scan", *REF)).write.parquet(path)
+        layers.relabel(moved, layer.code, ("scan", *REF)).withColumn("patch", F.lit(patch)).write.parquet(path)
         n = self.spark.read.parquet(path).count()
         if not n and not always:
             shutil.rmtree(path, ignore_errors=True)
@@ -239,7 +319,9 @@ class PointProject:
         return self.move(filters.remove_moving(self.world_points(scans), frames, REF, degrees, tolerance, min_scans), target, "moving_objects", degrees=degrees)
 
     def move_box(self, box: CropBox, inside: bool, target: str, scans: list[str] | None = None) -> int:
-        return self.move(filters.move_box(self.world_points(scans), box, inside), target, "box", inside=inside)
+        box.check()
+        around = box.bounds if inside else None
+        return self.move(filters.move_box(self.world_points(scans, around), box, inside), target, "box", inside=inside)
 
     def move_selection(self, selection: Selection, target: str, scans: list[str] | None = None) -> int:
         """A limited depth counts from the nearest selected point of all scans."""
@@ -248,7 +330,7 @@ class PointProject:
         nearest = self.selection_nearest(selection)
         if nearest is None:
             return 0
-        return self.move(self.world_points(scans).where(selection.excludes(xyz(), nearest + selection.depth)), target, "selection", depth=selection.depth)
+        return self.move(filters.move_selection(self.world_points(scans), selection, nearest), target, "selection", depth=selection.depth)
 
     def selection_nearest(self, selection: Selection, scans: list[str] | None = None) -> float | None:
         return filters.selection_nearest(self.world_points(scans), selection).first()["nearest"]

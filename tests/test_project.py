@@ -330,3 +330,70 @@ def test_order_totals_pick_and_grey(spark):
     got = {r["idx"]: r["r"] for r in e57.coloured(d, pts).collect()}
     assert got[0] == 0 and got[199] == 255 and got[1] == 0 and 120 < got[99] < 130
     assert e57.coloured(d, pts.limit(50)).select("r").distinct().count() == 1
+
+
+def rows_scanned(df):
+    """Runs df and returns how many rows its Parquet scans gave."""
+    plan = df._jdf.queryExecution().executedPlan()
+    plan.executeCollect()
+    todo, n = [plan], 0
+    while todo:
+        node = todo.pop()
+        kids = node.children()
+        todo += [kids.apply(k) for k in range(kids.size())]
+        if "Scan" in node.nodeName():
+            n += node.metrics().apply("numOutputRows").value()
+    return n
+
+
+def test_a_box_skips_what_is_far_off(spark, tmp_path):
+    p = PointProject.create(spark, f"{tmp_path}/p")
+    p.import_points([(Scan("a", "a", Pose((100.0, 0.0, 0.0))), demo.demo_points(spark, 512))])
+    box = CropBox((98.2, -1.8, 0), (0.2, 0.2, 9))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        found = p.world_points(None, box.bounds).select("x", "y", "z")
+        assert rows_scanned(found) < 512 * 512 / 4
+        all_rows = p.world_points().where(box.contains((F.col("x"), F.col("y"), F.col("z"))))
+        assert found.where(box.contains((F.col("x"), F.col("y"), F.col("z")))).count() == all_rows.count() > 500
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    n = all_rows.count()
+    assert p.move_box(box, True, "Box") == n
+
+
+def test_one_process_has_a_project_open(spark, tmp_path):
+    import subprocess
+    import sys
+
+    p = PointProject.create(spark, f"{tmp_path}/p")
+    again = PointProject.load(spark, p.root)
+    code = "import sys\nfrom pointloom.plans.project import ProjectLock\nfrom pointloom.errors import ProjectLocked\ntry:\n    ProjectLock(sys.argv[1])\nexcept ProjectLocked:\n    sys.exit(7)"
+    tried = lambda: subprocess.run([sys.executable, "-c", code, p.root], check=False).returncode
+    assert tried() == 7
+    p.close()
+    assert tried() == 7
+    with again:
+        pass
+    assert tried() == 0
+
+
+def test_an_import_that_fails_leaves_nothing(spark, tmp_path):
+    p = PointProject.create(spark, f"{tmp_path}/p")
+    bad = demo.demo_points(spark, 16).withColumn("x", F.raise_error(F.lit("no")).cast("double"))
+    with pytest.raises(Exception, match="no"):
+        p.import_points([(Scan("a", "a"), demo.demo_points(spark, 16)), (Scan("b", "b"), bad)])
+    assert not p.history.known and not list((tmp_path / "p" / "points").iterdir()) and not list((tmp_path / "p" / "staging").iterdir())
+    assert p.import_points([(Scan("a", "a"), demo.demo_points(spark, 16))]) == ["a"]
+
+
+def test_many_edits_are_one_relation(spark, tmp_path):
+    p = PointProject.create(spark, f"{tmp_path}/p")
+    p.import_points([(Scan("a", "a"), demo.demo_points(spark, 16))])
+    for k in range(6):
+        p.move(p.records().where(F.col("idx") % 7 == k), "A" if k % 2 else "B", "box")
+    plan = p.records()._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 2
+    at = {r["idx"]: r["code"] for r in p.records().collect()}
+    codes = {x.name: x.code for x in p.history.current.layers}
+    assert all(at[i] == (0 if i % 7 == 6 else codes["A" if i % 7 % 2 else "B"]) for i in range(256))
