@@ -7,9 +7,12 @@ suffix's, down to add-half counts at the root, so that every byte has a probabil
 the longest retained suffix of the text so far.
 
 Counts come from all training texts. A shard sends its different strings of DEPTH + 1 symbols, with their training
-counts, to the group of their last two context symbols, where all of every longer context meets; the group grows its
-part of the tree and answers each shard with its strings' probabilities. Only contexts of one symbol are gathered on the
-driver, so no task ever holds the tree. Words' counts go back to the shard that asked for them in the same way.
+counts, to the group of the end of their context, where all of every longer context meets; the group grows its part of
+the tree and answers each shard with its strings' probabilities. That end has two symbols, or, where those are hot, as
+many more as it takes to be no hot context: one of 1 / HOT of all positions or more. So no group depends on one pair of
+symbols. What follows hot contexts, of which each length has HOT at most, and contexts of one symbol is summed up and
+sent to every group; no task ever holds the tree. Which contexts are hot is estimated from a part of each shard: that
+decides where strings go and not what comes out. Words' counts go back to the shard that asked for them in the same way.
 
 build() and score() are the same tree as one machine's automaton.
 """
@@ -18,7 +21,7 @@ from __future__ import annotations
 
 import math
 import zlib
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +42,8 @@ SHARD_BYTES, COUNT_BYTES = 8 << 20, 1 << 20
 #: Different strings that a group gathers before it adds them up.
 MOST_GRAMS = 1_500_000
 MOST_BUCKETS = 16_384
+#: Hot contexts of one length at most; and symbols of a shard by which they are estimated.
+HOT, HINT = 1024, 1 << 18
 HELD_OUT = (7, 2)
 FOLD = np.arange(256, dtype=np.uint16)
 FOLD[65:91] += 32
@@ -312,33 +317,133 @@ def first_level(code: np.ndarray, n: np.ndarray, gain: float = GAIN, pull: float
     return _retained(g, m.ravel(), np.tile(root, 512), gain, pull, evidence).reshape(512, 512)
 
 
-def probabilities(code: np.ndarray, n: np.ndarray, first: np.ndarray, depth: int, gain: float = GAIN, pull: float = PULL, evidence: float = EVIDENCE) -> np.ndarray:
+def _end(code: np.ndarray, symbols_: int) -> np.ndarray:
+    """The last symbols of strings."""
+    return code & np.uint64((1 << (BITS * symbols_)) - 1)
+
+
+class Known:
+    """A few numbers, each in a slot of its own of a table, so that membership of many is one look into it."""
+
+    SLOTS = 18
+
+    def __init__(self, known: np.ndarray) -> None:
+        self.known = np.append(known, np.uint64(0))
+        factors = np.random.default_rng(len(known)).integers(1, 1 << 63, 10_000, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        for self.factor in factors:
+            slot = self.slot(known)
+            if len(np.unique(slot)) == len(known):
+                break
+        self.at = np.full(1 << self.SLOTS, len(known), np.int16)
+        self.at[slot] = np.arange(len(known))
+
+    def slot(self, x: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return (x * self.factor) >> np.uint64(64 - self.SLOTS)
+
+    def holds(self, x: np.ndarray) -> np.ndarray:
+        at = self.at[self.slot(x)]
+        return (self.known[at] == x) & (at < len(self.known) - 1)
+
+
+@dataclass
+class Ends:
+    """How strings are dealt out. hot: by length from 2, the hot contexts; follow: by the same length, what
+    follows them, as strings of one symbol more, ascending, with probabilities; first: of first_level()."""
+
+    hot: list[Known]
+    first: np.ndarray | None = None
+    follow: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)
+
+    def lengths(self, code: np.ndarray) -> np.ndarray:
+        """By how many last symbols of its context each string is dealt: the fewest, from 2 on, that are not hot."""
+        context = code >> np.uint64(BITS)
+        out, rest = np.full(len(code), 2, np.int8), np.arange(len(code))
+        for d, hot in enumerate(self.hot, 2):
+            held = hot.holds(_end(context, d))
+            rest, context = rest[held], context[held]
+            out[rest] = d + 1
+        return out
+
+    def dealt(self, code: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The order of strings by bucket, where each bucket begins, and lengths()."""
+        by = self.lengths(code)
+        end = (code >> np.uint64(BITS)) & ((np.uint64(1) << (by.astype(np.uint64) * np.uint64(BITS))) - np.uint64(1))
+        bucket = _bucket(end * np.uint64(8) + by.astype(np.uint64), buckets)
+        order = np.argsort(bucket.astype(np.uint16), kind="stable")
+        return order, np.concatenate([[0], np.cumsum(np.bincount(bucket, minlength=buckets))]), by
+
+    def followed(self, counts: list[tuple[np.ndarray, np.ndarray]], gain: float, pull: float = PULL, evidence: float = EVIDENCE) -> Ends:
+        """With first and follow, from the summed counts of strings of two symbols and of those of hot contexts."""
+        out = Ends(self.hot, first_level(*counts[0], gain, pull, evidence))
+        for d, (code, n) in enumerate(counts[1:], 2):
+            out.follow.append((code, _retained(code, n, out.before(code, d), gain, pull, evidence)))
+        return out
+
+    def before(self, code: np.ndarray, by: int) -> np.ndarray:
+        """The probability of each string's last symbol by the contexts of fewer than `by` symbols."""
+        if by == 2:
+            return self.first[((code >> np.uint64(BITS)) & np.uint64(511)).astype(np.int64), (code & np.uint64(511)).astype(np.int64)]
+        known, p = self.follow[by - 3]
+        return p[np.searchsorted(known, _end(code, by))]
+
+
+def probabilities(code: np.ndarray, n: np.ndarray, ends: Ends, depth: int, gain: float = GAIN, pull: float = PULL, evidence: float = EVIDENCE) -> np.ndarray:
     """The probability of the last symbol of each string of depth + 1, by the tree. code: different strings, with all that
-    occur in training and end in their last two context symbols; n: training counts, which may be 0."""
-    out = first[((code >> np.uint64(BITS)) & np.uint64(511)).astype(np.int64), (code & np.uint64(511)).astype(np.int64)]
+    are dealt by the same ends; n: training counts, which may be 0."""
+    by = ends.lengths(code)
+    out = np.empty(len(code))
+    for d in np.unique(by):
+        out[by == d] = ends.before(code[by == d], int(d))
     for d in range(2, depth + 1):
-        g, at, inverse = np.unique(code & np.uint64((1 << (BITS * (d + 1))) - 1), return_index=True, return_inverse=True)
-        m = np.bincount(inverse, n.astype(np.float64), minlength=len(g))
-        out = _retained(g, m, out[at], gain, pull, evidence)[inverse]
+        own = np.flatnonzero(by <= d)
+        g, at, inverse = np.unique(_end(code[own], d + 1), return_index=True, return_inverse=True)
+        m = np.bincount(inverse, n[own].astype(np.float64), minlength=len(g))
+        out[own] = _retained(g, m, out[own][at], gain, pull, evidence)[inverse]
     return out
 
 
-def _dealt(code: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """The order of strings by bucket, that of their last two context symbols, and where each bucket begins."""
-    bucket = _bucket((code >> np.uint64(BITS)) & np.uint64((1 << (2 * BITS)) - 1), buckets)
-    order = np.argsort(bucket, kind="stable")
-    return order, np.searchsorted(bucket[order], np.arange(buckets + 1))
+def hint(s: C.Shard, turn: int, depth: int, hot: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """By length of context from 2 to depth - 1, those that may be hot in a part of the shard's texts, and how often they
+    occur there. The last entry has the number of positions."""
+    order = np.roll(np.arange(len(s)), -(turn % max(len(s), 1)))
+    upto = int(np.searchsorted(np.cumsum(np.diff(s.off)[order]), HINT)) + 1
+    code = _codes(symbols(s, order[:upto], depth)[0], depth)[:HINT] >> np.uint64(BITS)
+    out, rest = [], code
+    for d in range(2, depth):
+        c, n = np.unique(_end(rest, d), return_counts=True)
+        many = n * (2 * hot) >= len(code)
+        out.append((c[many], n[many]))
+        rest = rest[np.isin(_end(rest, d), c[many])]
+    return [*out, (np.zeros(1, np.uint64), np.array([len(code)]))]
+
+
+def _hot_contexts(shards: DataFrame, depth: int, hot: int) -> list[Known]:
+    def run(batches):
+        for row, s in C.packed(batches):
+            for d, (c, n) in enumerate(hint(s, row["shard"], depth, hot), 2):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(c), d, np.int32)), pa.array(c.view(np.int64)), pa.array(n.astype(np.int64))], names=["d", "c", "n"])
+
+    counted = shards.mapInArrow(run, "d int, c long, n long").groupBy("d", "c").agg(F.sum("n").alias("n"))
+    positions = counted.where(F.col("d") == depth).select(F.col("n").alias("all"))
+    got = counted.where(F.col("d") < depth).join(F.broadcast(positions)).where(F.col("n") * hot >= F.col("all")).select("d", "c").toArrow()  # `hot` of a length at most
+    d, c = got.column("d").to_numpy(), got.column("c").to_numpy().astype(np.uint64)
+    return [Known(np.sort(c[d == k])) for k in range(2, depth)]
 
 
-def _gram_answers(shards: DataFrame, buckets: int, depth: int, gain: float) -> DataFrame:
+def _gram_answers(shards: DataFrame, ends: Ends, buckets: int, depth: int, gain: float) -> DataFrame:
     """shard, bucket, lp: log10 probabilities of the shard's different strings of that bucket, in order."""
 
     def count(batches):
         for row, s in C.packed(batches):
             code, n = shard_counts(s, ~held_out(s.ids), depth)
-            order, cut = _dealt(code, buckets)
-            pair, inverse = np.unique(code & np.uint64((1 << (2 * BITS)) - 1), return_inverse=True)
-            own = [(-1, pair, np.bincount(inverse, n.astype(np.float64), minlength=len(pair)).astype(np.int64))]
+            order, cut, by = ends.dealt(code, buckets)
+            own = []
+            for d in range(1, depth):  # what follows contexts of one symbol, and hot ones of d
+                x, m = (code, n) if d == 1 else (code[by > d], n[by > d])
+                each, inverse = np.unique(_end(x, d + 1), return_inverse=True)
+                if len(each):
+                    own.append((-d, each, np.bincount(inverse, m.astype(np.float64), minlength=len(each)).astype(np.int64)))
             own += [(b, code[order[cut[b] : cut[b + 1]]], n[order[cut[b] : cut[b + 1]]]) for b in range(buckets) if cut[b + 1] > cut[b]]
             packs = [pa.array([_squeezed(np.diff(c, prepend=np.uint64(0))) for _, c, _ in own], pa.binary()), pa.array([_squeezed(k.astype(np.uint32)) for _, _, k in own], pa.binary())]
             yield pa.RecordBatch.from_arrays([pa.array([b for b, _, _ in own], pa.int32()), pa.array([row["shard"]] * len(own), pa.int64()), *packs], names=["bucket", "shard", "code", "n"])
@@ -346,15 +451,16 @@ def _gram_answers(shards: DataFrame, buckets: int, depth: int, gain: float) -> D
     def opened(code: bytes, n: bytes) -> tuple[np.ndarray, np.ndarray]:
         return np.cumsum(_unsqueezed(code, np.uint64), dtype=np.uint64), _unsqueezed(n, np.uint32).astype(np.int64)
 
-    def pairs(batches):
+    def summed(batches):
         for b in batches:
-            for code, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for d, code, n in zip(*(b.column(c).to_pylist() for c in ("bucket", "code", "n")), strict=True):
                 c, k = opened(code, n)
-                yield pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)[k > 0]), pa.array(k[k > 0])], names=["code", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(c), -d, np.int32)), pa.array(c.view(np.int64)), pa.array(k)], names=["d", "code", "n"])
 
     sent = C.checkpoint(shards.mapInArrow(count, "bucket int, shard long, code binary, n binary"))
-    two = sent.where("bucket < 0").select("code", "n").mapInArrow(pairs, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
-    first = shards.sparkSession.sparkContext.broadcast(first_level(two.column("code").to_numpy().astype(np.uint64), two.column("n").to_numpy(), gain))
+    got = sent.where("bucket < 0").select("bucket", "code", "n").mapInArrow(summed, "d int, code long, n long").groupBy("d", "code").agg(F.sum("n").alias("n")).orderBy("d", "code").toArrow()  # 512 next symbols of each context at most
+    d, code, n = got.column("d").to_numpy(), got.column("code").to_numpy().astype(np.uint64), got.column("n").to_numpy()
+    known = shards.sparkSession.sparkContext.broadcast(ends.followed([(code[d == k], n[d == k]) for k in range(1, depth)], gain))
 
     def answer(group: pa.Table) -> pa.Table:
         columns = [group.column(c) for c in ("code", "n")]
@@ -365,19 +471,19 @@ def _gram_answers(shards: DataFrame, buckets: int, depth: int, gain: float) -> D
             if fresh > max(MOST_GRAMS, len(parts[0][0])):
                 parts, fresh = [_merged(parts)], 0
         code, n = _merged(parts)
-        lp = np.log10(probabilities(code, n, first.value, depth, gain)).astype(np.float32)
+        lp = np.log10(probabilities(code, n, known.value, depth, gain)).astype(np.float32)
         back = [_squeezed(lp[np.searchsorted(code, opened(*(c[k].as_py() for c in columns))[0])]) for k in range(group.num_rows)]
         return pa.table({"shard": group.column("shard"), "bucket": group.column("bucket"), "lp": pa.array(back, pa.binary())})
 
     return sent.where("bucket >= 0").groupBy("bucket").applyInArrow(answer, "shard long, bucket int, lp binary")
 
 
-def _summed(s: C.Shard, answers: dict[int, bytes], buckets: int, depth: int) -> np.ndarray:
+def _summed(s: C.Shard, answers: dict[int, bytes], ends: Ends, buckets: int, depth: int) -> np.ndarray:
     """log10 of each text's probability, END included. answers: by bucket those to the shard's strings."""
     held = [(pick, *np.unique(_codes(symbols(s, pick, depth)[0], depth), return_inverse=True)) for pick in _pieces(s)]
     held = [(pick, own, at.astype(np.int32)) for pick, own, at in held]
     code = np.unique(np.concatenate([own for _, own, _ in held]), return_counts=True)[0] if held else np.zeros(0, np.uint64)  # with counts it sorts, which is quicker
-    order, cut = _dealt(code, buckets)
+    order, cut, _ = ends.dealt(code, buckets)
     lp = np.zeros(len(code), np.float32)
     for b in range(buckets):
         if cut[b + 1] > cut[b]:
@@ -395,7 +501,7 @@ def _bucket(code: np.ndarray, buckets: int) -> np.ndarray:
         return ((code * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) % buckets
 
 
-def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, gain: float = GAIN) -> DataFrame:
+def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, gain: float = GAIN, hot: int = HOT) -> DataFrame:
     """id_col, held_out, n_tokens, n_known, train_tokens, base_score and score of each whole text.
 
     Texts are lower-cased (A-Z). Words are what white space (bytes 9 to 13 and 32) sets apart, then one end, which counts
@@ -408,7 +514,8 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     buckets = max(1, min(MOST_BUCKETS, -(-shards.count() // 2)))
     fit = docs.where(C.remainder(F.col(id_col), HELD_OUT[0]) != HELD_OUT[1]).agg(F.count("*").alias("n")).first()
     train_texts = fit["n"]
-    grams = _gram_answers(shards, buckets, depth, gain)
+    ends = Ends(_hot_contexts(shards, depth, hot))
+    grams = _gram_answers(shards, ends, buckets, depth, gain)
     words = _word_counts(shards, buckets)
     sums = words.agg(F.sum("total"), F.sum("different")).first()
     total, different = (sums[0] or 0) + train_texts, (sums[1] or 0) + (train_texts > 0)
@@ -430,7 +537,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 rows.append((len(ts) + 1, int(np.count_nonzero(some[k])) + (train_texts > 0), float(log[k].sum()) + end - (len(ts) + 1) * down))
             n, m, base = zip(*rows, strict=True)
             del tokens, place, rows
-            yield C.batch(schema, C.id_column(s.ids), held_out(s.ids), n, m, [total] * len(s), base, _summed(s, {a["bucket"]: a["lp"] for a in row["grams"] or ()}, buckets, depth))
+            yield C.batch(schema, C.id_column(s.ids), held_out(s.ids), n, m, [total] * len(s), base, _summed(s, {a["bucket"]: a["lp"] for a in row["grams"] or ()}, ends, buckets, depth))
 
     asked = shards.join(words.groupBy("shard").agg(F.collect_list(F.struct("bucket", "n")).alias("answers")), "shard", "left")
     asked = asked.join(grams.groupBy("shard").agg(F.collect_list(F.struct("bucket", "lp")).alias("grams")), "shard", "left")

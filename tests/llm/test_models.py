@@ -188,6 +188,32 @@ def test_scores_equal_the_plain_tree(spark):
         assert r["score"] == pytest.approx(score(raw[r["doc_id"]]), rel=1e-5), r["doc_id"]
 
 
+@pytest.mark.parametrize("hot", [1, 8, 5000])
+def test_scores_do_not_depend_on_which_contexts_are_hot(spark, monkeypatch, hot):
+    monkeypatch.setattr(pst, "HINT", 500)
+    docs = duckdb.sql(f"SELECT doc_id, substr(text, 1, 300) FROM '{DATA}/documents.parquet' LIMIT 150").fetchall()
+    raw = {i: (t or "").encode() for i, t in docs}
+    _, score = plain_tree([t for i, t in raw.items() if not held_out(i, 7, 2)], 5, 0, pst.GAIN, pst.PULL, pst.EVIDENCE)
+    for r in pst.score_texts(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), depth=5, hot=hot).collect():
+        assert r["score"] == pytest.approx(score(raw[r["doc_id"]]), rel=1e-5), r["doc_id"]
+
+
+def test_no_group_depends_on_one_pair_of_symbols():
+    rng = np.random.default_rng(2)
+    s = shard([(k, "e " * 3 + "".join(chr(97 + c) for c in rng.integers(0, 20, 12)) + " the theme ") for k in range(3000)])
+    code = np.unique(pst._codes(pst.symbols(s, np.arange(len(s)), pst.DEPTH)[0], pst.DEPTH))
+    context = code >> np.uint64(pst.BITS)
+    pair = np.unique(context & np.uint64((1 << 18) - 1), return_counts=True)
+    hot = [np.unique(x)[np.unique(x, return_counts=True)[1] * 200 >= len(x)] for x in (context & np.uint64((1 << 9 * d) - 1) for d in range(2, pst.DEPTH))]
+    ends = pst.Ends([pst.Known(x) for x in hot])
+    by = ends.lengths(code)
+    end = context & np.array([(1 << 9 * int(d)) - 1 for d in by], np.uint64)
+    largest = np.unique(np.stack([end, by.astype(np.uint64)]), axis=1, return_counts=True)[1].max()
+    assert pair[1].max() > 0.02 * len(code) and largest <= 0.005 * len(code) + 1
+    order, cut, _ = ends.dealt(code, 50)
+    assert sorted(order.tolist()) == list(range(len(code))) and cut[-1] == len(code)
+
+
 def test_base_scores(spark):
     docs = duckdb.sql(f"SELECT doc_id, text FROM '{DATA}/documents.parquet'").fetchall()
     words = {i: [*t.encode().lower().split(), None] for i, t in docs}
