@@ -23,7 +23,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: the cluster's spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that all executors share: the cluster's spark.checkpoint.dir. Where that is unset, a temporary one if
+    this is the only machine, else an error."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -31,6 +32,8 @@ def shared_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(named)
         return named
     if sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="pointloom-"))
     return sc.getCheckpointDir()
 
@@ -53,6 +56,20 @@ def checkpoint_by(df: DataFrame, key: str) -> DataFrame:
         conf.set(name, before)
 
 
+#: What moves rows: a plan with any of these is not asked for its partitions, which could run it.
+MOVING = ("Aggregate", "Join", "Sort", "Window", "Repartition", "Distinct", "Union", "Limit")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df, dealt out anew if it is read in fewer parts than there are cores, as a small file is; else as it is."""
+    execution = df._jdf.queryExecution()
+    plan = execution.optimizedPlan().toString()
+    if any(f"{x} " in plan or f"{x}[" in plan for x in MOVING):
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * cores) if execution.toRdd().getNumPartitions() < cores else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -163,6 +180,7 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", pass_on:
                 yield pa.RecordBatch.from_arrays([pa.array([x]) for x in row], names=["shard", "n_docs", "n_bytes", "ids", "lens", "data", "rest"])
                 k += 1
 
+    df = spread(df)
     columns = [F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *(df[c].alias(f"c{k}") for k, c in enumerate(pass_on))]
     return checkpoint_by(df.select(*columns).mapInArrow(run, SHARD_SCHEMA), "shard")
 

@@ -226,5 +226,5 @@ def identify(docs: DataFrame, languages: list[str], net: Network | None, id_col:
                 pred = [names[k] if ok else UND for k, ok in zip(p.argmax(1), known, strict=True)]
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(pred, pa.string()), pa.array(np.where(known, p.max(1), 0.0))], names=["id", "lang_pred", "score"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = C.spread(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, "id long, lang_pred string, score double").withColumnRenamed("id", id_col)

@@ -264,6 +264,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", table:
     """
     table = rule_table(docs.sparkSession) if table is None else table
     keywords = sorted(r["keyword"] for r in table.select("keyword").distinct().collect())
+    docs = C.spread(docs)
     base = docs.select(docs[id_col].alias("k0"), C.words_of(docs[text_col].cast("string")).alias("words"))
     gate = F.array_distinct(F.filter("words", lambda w: w.isin(keywords)))
     own = [_places(F.col("words"), p) for p, _ in BASE]
@@ -278,8 +279,16 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", table:
     each = base.select(*columns, "joined", F.explode_outer("keys").alias("keyword"))
     tried = each.join(F.broadcast(table), "keyword", "left")
     tried = tried.withColumn("gaps", F.when(F.col("pattern").isNotNull(), F.split("joined", F.col("pattern")))).withColumn("found", F.when(F.size("gaps") > 1, F.regexp_extract_all("joined", F.col("pattern"), F.lit(0))))
-    begin = lambda i: F.length(F.array_join(F.slice("gaps", 1, i + 1), "")) + F.when(i > 0, F.length(F.array_join(F.slice("found", 1, F.greatest(i, F.lit(1))), ""))).otherwise(0)
-    hits = F.transform("found", lambda m, i: F.struct(begin(i).alias("begin"), (begin(i) + F.length(m)).alias("end")))
+    none = F.array().cast("array<struct<begin:int,end:int>>")
+
+    def placed(done: Column, pair: Column) -> Column:
+        """The next hit stands behind the gap before it."""
+        begin = done["at"] + F.length(pair["gaps"])
+        end = begin + F.length(pair["found"])
+        return F.struct(end.alias("at"), F.concat(done["hits"], F.array(F.struct(begin.alias("begin"), end.alias("end")))).alias("hits"))
+
+    pairs = F.filter(F.arrays_zip("gaps", "found"), lambda p: p["found"].isNotNull())  # the last gap is before none
+    hits = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("hits")), placed, lambda done: done["hits"])
     hit = tried.select(*columns, "rule", "label", "level", F.explode_outer(hits).alias("d")).select(*columns, "rule", "label", "level", "d.*")
     order = Window.partitionBy("row").orderBy("begin", F.col("end").desc_nulls_last(), "level", "rule").rowsBetween(Window.unboundedPreceding, -1)
     levels = sorted(WEIGHT)

@@ -100,13 +100,16 @@ def write_tar_shards(docs: DataFrame, folder: str, id_col: str = "doc_id", text_
     def close(tar: io.BytesIO, rows: list[tuple]) -> pa.RecordBatch:
         import uuid
 
+        from pyarrow import fs
+
         tar.write(b"\0" * 1024)
         store, path = _store(folder)
         name = f"{hashlib.sha256(tar.getbuffer()).hexdigest()}.tar"
         store.create_dir(path, recursive=True)
-        with store.open_output_stream(part := f"{path}/.{uuid.uuid4().hex}") as f:
-            f.write(tar.getbuffer())
-        store.move(part, f"{path}/{name}")
+        if store.get_file_info(f"{path}/{name}").type == fs.FileType.NotFound:  # else an earlier attempt wrote it
+            with store.open_output_stream(part := f"{path}/.{uuid.uuid4().hex}") as f:
+                f.write(tar.getbuffer())
+            store.move(part, f"{path}/{name}")
         return C.batch(schema, *zip(*((i, d, n, f"{folder}/{name}", o, k) for i, d, n, o, k in rows), strict=True))
 
     def run(batches: Iterator[pa.RecordBatch]):
@@ -129,7 +132,7 @@ def write_tar_shards(docs: DataFrame, folder: str, id_col: str = "doc_id", text_
         if rows:
             yield close(tar, rows)
 
-    picked = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    picked = C.spread(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     return picked.mapInArrow(run, f"`{id_col}` long, {CATALOGUE}")
 
 
