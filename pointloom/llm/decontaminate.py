@@ -1,13 +1,18 @@
-"""Benchmark decontamination: a hash set of the test items' word windows, and a scan of every text's windows.
+"""Benchmark decontamination: a broadcast hash set of the test items' word windows, and a scan of every text's windows.
 
 Only DataFrame functions. A text is lower-cased (A-Z) and cut into words; a window is WINDOW consecutive words of a
-test item, or the whole item if it has fewer. The windows' hashes are a literal set in the scan, so that it filters
-array positions in place; hits are verified by their words, in place too, and joined to the items that have them. Where the
-test items have more than MOST_WINDOWS windows, which is counted first, texts' windows are joined by a shuffle instead.
+test item, or the whole item if it has fewer. The windows of each size are a hash set: bits that say whether a key is
+taken, and buckets of the windows with that key; both are constant arrays that Spark broadcasts with the tasks. A text's word hashes are worked out once; the key of a window is that of its first and its last
+word, so that nearly all positions end at the bits, and only others compare the window's words with its bucket. Hits are
+found in place and joined to the items that have them. Where the test items have more than MOST_WINDOWS windows, which is
+counted first, texts' windows are joined by a shuffle instead.
 """
 
 from __future__ import annotations
 
+import json
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,20 +34,49 @@ def item_windows(items: DataFrame, id_col: str = "item_id", text_col: str = "tex
     return w.groupBy("w", "size").agg(F.collect_set("item").alias("items")).withColumn("h", F.xxhash64("w"))
 
 
-def _starts(words: Column, size: int, hashes: list[int], texts: list[str]) -> Column:
-    """Where windows of the given size stand that the test items have, as structs of position and size: those whose hash
-    is in one set, and then whose words are in the other."""
-    at = F.when(F.size(words) >= size, F.sequence(F.lit(1), F.size(words) - size + 1)).otherwise(F.array().cast("array<int>"))
-    found = F.filter(F.filter(at, lambda i: F.xxhash64(F.slice(words, i, size)).isin(hashes)), lambda i: F.array_join(F.slice(words, i, size), " ").isin(texts))
-    return F.transform(found, lambda i: F.struct((i - 1).alias("pos"), F.lit(size).alias("size")))
-
-
-def _found(words: Column, bench: DataFrame) -> Column:
-    """All windows of the test items in a text's words. bench: of item_windows(), which must be few."""
-    own: dict[int, list] = {}
-    for r in bench.select("size", "h", F.array_join("w", " ").alias("text")).collect():  # MOST_WINDOWS at most
-        own.setdefault(r["size"], []).append((r["h"], r["text"]))
-    each = [_starts(words, size, sorted({h for h, _ in x}), sorted(t for _, t in x)) for size, x in sorted(own.items())]
+def _key(first: Column, last: Column) -> Column:
+    """Of a window, by the hashes of its first and its last word."""
+    return F.shiftleft(first, 1).bitwiseXOR(last)
+
+
+@dataclass(frozen=True)
+class HashSet:
+    """The windows of one size. bits: a bit for each of 64 * cells keys; buckets: the windows' texts, by key modulo cells."""
+
+    size: int
+    cells: int
+    bits: Column
+    buckets: Column
+
+    @staticmethod
+    def of(bench: DataFrame, size: int, n: int) -> HashSet:
+        """Of the n windows of a size. Both arrays are constants, which Spark broadcasts with the tasks; an element is
+        read by its index, whatever n is."""
+        cells = 1 << max(6, n.bit_length())
+        own = bench.where(F.col("size") == size).select(F.array_join("w", " ").alias("text"), _key(F.xxhash64(F.element_at("w", 1)), F.xxhash64(F.element_at("w", -1))).alias("key"))
+        bits, buckets = [0] * cells, [[] for _ in range(cells)]
+        for r in own.collect():  # MOST_WINDOWS at most
+            cell = r["key"] & cells - 1
+            bits[cell] |= 1 << (r["key"] >> 32 & 63)
+            buckets[cell].append(r["text"])
+        signed = [x - (1 << 64) if x >> 63 else x for x in bits]
+        constant = lambda x, kind: F.from_json(F.lit(json.dumps(x)), kind)  # noqa: E731  folded when the plan is made
+        return HashSet(size, cells, constant(signed, "array<long>"), constant(buckets, "array<array<string>>"))
+
+    def found(self, words: Column, hashes: Column) -> Column:
+        """The positions, from 1, of the text's windows that are in the set."""
+        last = F.size(words) - self.size + 1
+        at = F.when(last > 0, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
+        key = lambda i: _key(F.get(hashes, i - 1), F.get(hashes, i + (self.size - 2)))
+        cell = lambda i: key(i).bitwiseAND(self.cells - 1).cast("int")
+        taken = F.filter(at, lambda i: F.getbit(F.get(self.bits, cell(i)), F.shiftright(key(i), 32).bitwiseAND(63).cast("int")) == 1)
+        return F.filter(taken, lambda i: F.array_contains(F.get(self.buckets, cell(i)), F.array_join(F.slice(words, i, self.size), " ")))
+
+
+def _found(words: Column, hashes: Column, sets: list[HashSet]) -> Column:
+    """All windows of the sets in a text's words, as structs of position, from 0, and size."""
+    sized = lambda x: F.transform(x.found(words, hashes), lambda i: F.struct((i - 1).alias("pos"), F.lit(x.size).alias("size")))
+    each = [sized(x) for x in sets]
     return F.flatten(F.array(*each)) if each else F.array().cast("array<struct<pos:int,size:int>>")
 
 
@@ -56,20 +90,28 @@ def _all_starts(words: Column, size: int) -> Column:
     return F.transform(at, lambda i: F.struct((i - 1).alias("pos"), F.lit(size).alias("size"), F.xxhash64(F.slice(words, i, size)).alias("h")))
 
 
+def _bench(items: DataFrame, window: int) -> tuple[DataFrame, dict[int, int]]:
+    """item_windows(), and how many there are of each size, of which there are `window` at most."""
+    bench = C.checkpoint(item_windows(items, window=window))
+    return bench, {r["size"]: r["n"] for r in bench.groupBy("size").agg(F.count("*").alias("n")).collect()}
+
+
 def scan(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, most: int = MOST_WINDOWS, pass_on: tuple[str, ...] = ()) -> DataFrame:
     """The hits of each text: id_col, pass_on, n_words, hits (positions of hit words, ascending), items (ids, as sorted text).
 
     A null text has no words, like an empty one; an item without words has no window. Rows keep their number, whether
     ids repeat or are null; docs may have any other columns, also of the names used here. Without items nothing is hit.
     """
-    bench = C.checkpoint(item_windows(items, window=window))
-    sizes = {r["size"]: r["n"] for r in bench.groupBy("size").agg(F.count("*").alias("n")).collect()}  # `window` rows at most
+    docs = C.spread(docs)
+    bench, sizes = _bench(items, window)
     kept = [docs[c].alias(f"k{k}") for k, c in enumerate((id_col, *pass_on))]
     names = [f"k{k}" for k in range(len(kept))]
     base = docs.select(*kept, C.words_of(docs[text_col].cast("string")).alias("words")).withColumn("row", F.monotonically_increasing_id())
     n_words = F.size("words").alias("n_words")
     if sum(sizes.values()) <= most:
-        found = base.select("row", *names, "words", n_words, _found(F.col("words"), bench).alias("found"))
+        sets = [HashSet.of(bench, size, n) for size, n in sorted(sizes.items())]
+        hashed = base.select("row", *names, "words", n_words, F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"))
+        found = hashed.select("row", *names, "words", "n_words", _found(F.col("words"), F.col("hashes"), sets).alias("found"))
         hits = F.transform("found", lambda x: F.struct(x["pos"].alias("pos"), F.slice(F.col("words"), x["pos"] + 1, x["size"]).alias("w")))
         each = found.select("row", *names, "n_words", F.explode_outer(hits).alias("hit"))
         verified = each.join(F.broadcast(bench.select("w", "items")), F.col("hit.w") == F.col("w"), "left")
@@ -99,14 +141,16 @@ def remove(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
     All columns of docs stay as they are but for the text. A clean document is returned as it came. Texts stay where they
     are: nothing is shuffled, unless the test items have more than `most` windows.
     """
-    bench = C.checkpoint(item_windows(items, window=window))
+    bench, sizes = _bench(items, window)
     columns = [c for c in docs.columns if c != text_col]
+    docs = C.spread(docs)
     own = docs.select(*(docs[c].alias(f"k{k}") for k, c in enumerate(columns)), docs[text_col].alias("t"))  # no clashing names
     names = own.columns
-    if bench.count() <= most:
-        words = own.withColumn("words", C.words_of(F.col("t").cast("string")))
+    if sum(sizes.values()) <= most:
+        sets = [HashSet.of(bench, size, n) for size, n in sorted(sizes.items())]
+        words = own.withColumn("words", C.words_of(F.col("t").cast("string"))).withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w)))
         # a condition on the row number cannot move below it: else the scan would run in the condition once more
-        found = words.select(*names, F.monotonically_increasing_id().alias("row"), F.size("words").alias("n_words"), _found(F.col("words"), bench).alias("found"))
+        found = words.select(*names, F.monotonically_increasing_id().alias("row"), F.size("words").alias("n_words"), _found(F.col("words"), F.col("hashes"), sets).alias("found"))
         marked = found.select(*names, "row", "n_words", F.when(F.size("found") > 0, _covered(F.col("found"))).otherwise(F.array().cast("array<int>")).alias("hits"))
     else:
         marked = scan(own, items, names[0], "t", window, most, pass_on=tuple(names[1:])).withColumn("row", F.lit(0))
