@@ -60,14 +60,17 @@ def radius_pairs(left: DataFrame, right: DataFrame, radius: float, on: tuple[str
     """Pairs of a left and a right point at most radius apart, both sides' columns and d2. The sides' columns differ but
     for `on`, which must be equal; coordinates are lx, ly, lz and rx, ry, rz.
 
-    An equi-join on cells: each left point looks into the 27 cells around its own. Spark splits cells of uneven size.
+    An equi-join on cells as wide as two radii: each left point looks into the two cells along each axis that its reach
+    meets, eight in all. Spark splits cells of uneven size.
     """
     _positive(radius=radius)
-    edge = radius * MARGIN
+    reach = radius * MARGIN
     keys = ["_cx", "_cy", "_cz"]
-    near = F.explode(F.array(*(F.struct(*((cell(F.col(c), edge) + d).alias(k) for c, d, k in zip(("lx", "ly", "lz"), o, keys, strict=True))) for o in AROUND)))
-    a = left.select("*", near.alias("_c")).select(*left.columns, *(F.col(f"_c.{k}").alias(k) for k in keys))
-    b = right.select("*", *(cell(F.col(c), edge).alias(k) for c, k in zip(("rx", "ry", "rz"), keys, strict=True)))
+    ends = [F.array(cell(F.col(c) - reach, 2 * reach), cell(F.col(c) + reach, 2 * reach)) for c in ("lx", "ly", "lz")]
+    a = left
+    for k, e in zip(keys, ends, strict=True):
+        a = a.withColumn(k, F.explode(F.array_distinct(e)))
+    b = right.select("*", *(cell(F.col(c), 2 * reach).alias(k) for c, k in zip(("rx", "ry", "rz"), keys, strict=True)))
     d2 = distance2(xyz("lx", "ly", "lz"), xyz("rx", "ry", "rz"))
     return a.join(b, [*on, *keys]).withColumn("d2", d2).where(F.col("d2") <= radius * radius).drop(*keys)
 
@@ -91,14 +94,12 @@ def neighbour_counts(points: DataFrame, radius: float, ref: tuple[str, ...], sca
     """scan, ref and n: the other points of the scan within radius, at the same place too; 0 for none. of: the points
     that are asked about, if not all.
 
-    Points of one place count as one row with its number, so that a pile of copies is one row.
+    Points of one place are met as one row with its number, so that a pile of copies does not square.
     """
     of = points if of is None else of
+    left = of.select(scan, *ref, *(F.col(c).alias(f"l{c}") for c in "xyz"))
     right = places(points, scan).withColumnsRenamed({c: f"r{c}" for c in "xyz"})
-    left = of.select(scan, F.col("x").alias("lx"), F.col("y").alias("ly"), F.col("z").alias("lz")).distinct()
-    pairs = radius_pairs(left, right, radius, (scan,))
-    n = pairs.groupBy(scan, F.col("lx").alias("x"), F.col("ly").alias("y"), F.col("lz").alias("z")).agg((F.sum("copies") - 1).alias("n"))
-    return of.join(n, [scan, "x", "y", "z"]).select(scan, *ref, "n")
+    return radius_pairs(left, right, radius, (scan,)).groupBy(scan, *ref).agg((F.sum("copies") - 1).alias("n"))  # it meets itself
 
 
 def remove_noise(points: DataFrame, radius: float, min_neighbours: int, ref: tuple[str, ...], scan: str = "scan") -> DataFrame:
