@@ -6,6 +6,7 @@ columns of bits, spread over packets. Images are blobs with a pose and a project
 
 from __future__ import annotations
 
+import functools
 import math
 import os
 import struct
@@ -24,11 +25,14 @@ from pointloom.functions.geometry import Pose, scaled
 from pointloom.operators.statistics import percentile_rows
 from pointloom.plans.state import Scan, new_id
 from pointloom.sources.las import GREY, _open
+from pointloom.sources.parts import append_rows
 
 PAGE, SUM = 1024, 4
 DATA = PAGE - SUM
 NS = "http://www.astm.org/COMMIT/E57/2010-e57-v1.0"
 ROWS = 65_536
+#: Records of a packet that is written, and of which number all streams are whole bytes.
+PACKET, EVEN = 1024, 8
 GREY_RECORDS = 500_000
 KINDS = ("visualReferenceRepresentation", "pinholeRepresentation", "sphericalRepresentation", "cylindricalRepresentation")
 SCHEMA = "chunk int, idx int, valid boolean, x double, y double, z double, r short, g short, b short, a short, intensity double, row long, col long"
@@ -312,6 +316,35 @@ def _packed(v: np.ndarray, bits: int) -> np.ndarray:
     return np.unpackbits(v.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")[:, :bits].ravel()
 
 
+def _packet(columns: list[np.ndarray], extra) -> bytes:
+    """A data packet of records: valid, x, y, z, r, g, b and the extra columns."""
+    valid, *points = columns
+    streams = [c.astype("<f8").tobytes() for c in points[:3]] + [c.astype(np.uint8).tobytes() for c in points[3:6]]
+    streams.append(np.packbits(_packed(np.where(valid, 0, 2), 2), bitorder="little").tobytes())
+    for c, v in zip(extra, points[6:], strict=True):
+        streams.append(v.astype("<f8").tobytes() if c == "intensity" else (v.astype(np.int64).view(np.uint64) + np.uint64(1 << 63)).astype("<u8").tobytes())
+    packet = struct.pack(f"<H{len(streams)}H", len(streams), *map(len, streams)) + b"".join(streams)
+    packet += bytes(-(len(packet) + 4) % 4)
+    return struct.pack("<BBH", 1, 0, len(packet) + 3) + packet
+
+
+def _packets(batches, write, extra) -> tuple[int, list[np.ndarray]]:
+    """Writes a task's records in packets; how many, and the records left, fewer than EVEN: streams go on from packet to
+    packet, so that only the last one of a scan may end within a byte."""
+    names, n, held = ("valid", "x", "y", "z", "r", "g", "b", *extra), 0, None
+    for b in batches:
+        own = [b.column(c).to_numpy(zero_copy_only=False) for c in names]
+        held = own if held is None else [np.concatenate(x) for x in zip(held, own, strict=True)]
+        full = len(held[0]) // PACKET * PACKET
+        for lo in range(0, full, PACKET):
+            write(_packet([c[lo : lo + PACKET] for c in held], extra))
+        n, held = n + full, [c[full:] for c in held]
+    if held is not None and (full := len(held[0]) // EVEN * EVEN):
+        write(_packet([c[:full] for c in held], extra))
+        n, held = n + full, [c[full:] for c in held]
+    return n, held if held is not None else [np.zeros(0, bool), *(np.zeros(0) for _ in names[1:])]
+
+
 def export(target: str, scans: list[tuple[Scan, str, Pose, DataFrame]], images: tuple[Image, ...] = ()) -> int:
     """Writes scans (name, pose, records in scan coordinates, valid or not) and images, and returns the number of records. The file
     appears when it is whole and replaces none; scans of different coordinate systems are an error."""
@@ -353,27 +386,13 @@ def export(target: str, scans: list[tuple[Scan, str, Pose, DataFrame]], images:
                 body, n = f.tell(), 0
                 extra = [c for c in ("intensity", "row", "col") if c in have]
                 rows = points.select("valid", "x", "y", "z", "r", "g", "b", *(F.coalesce(F.col(c), F.lit(0)).alias(c) for c in extra))
-                block: list = []
-
-                def flush(last: bool, block=block, extra=extra) -> None:
-                    size = 1024  # records of a packet: whole bytes for every width
-                    while len(block) >= size or (last and block):
-                        part_rows, block[:] = block[:size], block[size:]
-                        streams = [np.array([r[c] for r in part_rows], "<f8").tobytes() for c in "xyz"]
-                        streams += [np.array([r[c] for r in part_rows], np.uint8).tobytes() for c in "rgb"]
-                        streams.append(np.packbits(_packed(np.array([0 if r["valid"] else 2 for r in part_rows]), 2), bitorder="little").tobytes())
-                        for c in extra:
-                            streams.append(np.array([r[c] for r in part_rows], "<f8" if c == "intensity" else "<i8").tobytes() if c == "intensity" else (np.array([r[c] for r in part_rows], np.int64).view(np.uint64) + np.uint64(1 << 63)).astype("<u8").tobytes())
-                        packet = struct.pack(f"<H{len(streams)}H", len(streams), *map(len, streams)) + b"".join(streams)
-                        packet += bytes(-(len(packet) + 4) % 4)
-                        f.write(struct.pack("<BBH", 1, 0, len(packet) + 3) + packet)
-
-                for r in rows.toLocalIterator(prefetchPartitions=True):
-                    block.append(r)
-                    n += 1
-                    if len(block) >= ROWS:
-                        flush(False)
-                flush(True)
+                left = []
+                for own, rest in append_rows(rows, functools.partial(_packets, extra=tuple(extra)), f"{part}s", f):
+                    n += own + len(rest[0])
+                    left.append(rest)
+                whole = [np.concatenate([r[k] for r in left]) for k in range(7 + len(extra))] if left else []
+                for lo in range(0, len(whole[0]) if whole else 0, PACKET):
+                    f.write(_packet([c[lo : lo + PACKET] for c in whole], extra))
                 end = f.tell()
                 f.seek(start)
                 f.write(struct.pack("<B7xQQQ", 1, end - start, _physical(body), 0))

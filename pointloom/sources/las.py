@@ -15,6 +15,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from pointloom.errors import CoordinateSystemMismatch, IncompatibleMetadata, TargetExists, UnsupportedFormat
 from pointloom.plans.state import Scan, new_id
+from pointloom.sources.parts import append_rows
 
 #: Records that a task reads at once.
 TASK_RECORDS = 1_000_000
@@ -224,6 +225,15 @@ def export(points: DataFrame, target: str, scans: list[Scan], omit_incompatible:
     wanted = [col(c, 0).cast("double").alias(c) for c in ("intensity", "return_number", "number_of_returns", "classification", "scanner_channel", "scan_angle", "user_data", "point_source_id", "gps_time", "red", "green", "blue", "nir")]
     wanted += [col(c, False).cast("boolean").alias(c) for c in ("scan_direction", "edge_of_flight_line", "synthetic", "key_point", "withheld", "overlap")]
     rows = points.select("x", "y", "z", *wanted, *([F.col("extra")] if extra else []))
+    
+    def encode(batches, write) -> np.ndarray:
+        returns = np.zeros(15, np.int64)
+        for b in batches:
+            d, own = _encoded(b, dtype, new, scale, shift)
+            write(d.tobytes())
+            returns += own
+        return returns
+
     records = [(r["user"], r["record"], r["description"], bytes.fromhex(r["data"])) for r in common_records(scans) if (r["user"], r["record"]) != WKT] + ([(*WKT, "WKT", wkt.encode() + b"\0")] if wkt else [])
     vlrs = b"".join(struct.pack("<H16sHH32s", 0, u.encode("latin-1"), k, len(d), t.encode("latin-1")[:32]) + d for u, k, t, d in records)
     size = 375 if new else 227
@@ -245,41 +255,8 @@ def export(points: DataFrame, target: str, scans: list[Scan], omit_incompatible:
     try:
         with open(part, "wb") as f:
             f.write(bytes(size) + vlrs)
-            batch: list = []
-
-            def flush() -> None:
-                if not batch:
-                    return
-                c = {k: np.array([r[k] for r in batch]) for k in rows.columns if k != "extra"}
-                d = np.zeros(len(batch), dtype)
-                for k, a in enumerate("xyz"):
-                    d[a.upper()] = np.floor((c[a] - shift[k]) / scale + 0.5).astype(np.int32)
-                top = 15 if new else 7
-                ret, total = np.clip(c["return_number"], 0, top).astype(np.uint8), np.clip(c["number_of_returns"], 0, top).astype(np.uint8)
-                b = {k: c[k].astype(np.uint8) for k in ("scan_direction", "edge_of_flight_line", "synthetic", "key_point", "withheld", "overlap")}
-                d["intensity"], d["user_data"], d["point_source_id"] = c["intensity"], c["user_data"], c["point_source_id"]
-                if new:
-                    d["returns"] = ret | total << 4
-                    d["flags"] = b["synthetic"] | b["key_point"] << 1 | b["withheld"] << 2 | b["overlap"] << 3 | (c["scanner_channel"].astype(np.uint8) & 3) << 4 | b["scan_direction"] << 6 | b["edge_of_flight_line"] << 7
-                    d["classification"], d["scan_angle"] = c["classification"], np.rint(c["scan_angle"] / 0.006)
-                else:
-                    d["returns"] = ret | total << 3 | b["scan_direction"] << 6 | b["edge_of_flight_line"] << 7
-                    d["classification"] = (c["classification"].astype(np.uint8) & 31) | b["synthetic"] << 5 | b["key_point"] << 6 | b["withheld"] << 7
-                    d["scan_angle"] = np.clip(np.rint(c["scan_angle"]), -90, 90)
-                for k in ("gps_time", "red", "green", "blue", "nir"):
-                    if k in dtype.names:
-                        d[k] = c[k]
-                if extra:
-                    d["extra"] = np.array([(bytes(r["extra"] or b"")).ljust(extra, b"\0") for r in batch], f"V{extra}")
-                np.add.at(by_return, np.clip(ret.astype(int) - 1, 0, 14), 1)
-                f.write(d.tobytes())
-                batch.clear()
-
-            for r in rows.toLocalIterator(prefetchPartitions=True):
-                batch.append(r)
-                if len(batch) >= 50_000:
-                    flush()
-            flush()
+            for returns in append_rows(rows, encode, f"{part}s", f):
+                by_return += returns
             f.seek(0)
             f.write(head())
         os.rename(part, target)
@@ -287,3 +264,30 @@ def export(points: DataFrame, target: str, scans: list[Scan], omit_incompatible:
         if os.path.exists(part):
             os.unlink(part)
     return n
+
+
+def _encoded(b: pa.RecordBatch, dtype: np.dtype, new: bool, scale: float, shift: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Records of a batch, and how many of them are of each return."""
+    c = {k: b.column(k).to_numpy(zero_copy_only=False) for k in b.schema.names if k != "extra"}
+    d = np.zeros(b.num_rows, dtype)
+    for k, a in enumerate("xyz"):
+        d[a.upper()] = np.floor((c[a] - shift[k]) / scale + 0.5).astype(np.int32)
+    top = 15 if new else 7
+    ret, total = np.clip(c["return_number"], 0, top).astype(np.uint8), np.clip(c["number_of_returns"], 0, top).astype(np.uint8)
+    flag = {k: c[k].astype(np.uint8) for k in ("scan_direction", "edge_of_flight_line", "synthetic", "key_point", "withheld", "overlap")}
+    d["intensity"], d["user_data"], d["point_source_id"] = c["intensity"], c["user_data"], c["point_source_id"]
+    if new:
+        d["returns"] = ret | total << 4
+        d["flags"] = flag["synthetic"] | flag["key_point"] << 1 | flag["withheld"] << 2 | flag["overlap"] << 3 | (c["scanner_channel"].astype(np.uint8) & 3) << 4 | flag["scan_direction"] << 6 | flag["edge_of_flight_line"] << 7
+        d["classification"], d["scan_angle"] = c["classification"], np.rint(c["scan_angle"] / 0.006)
+    else:
+        d["returns"] = ret | total << 3 | flag["scan_direction"] << 6 | flag["edge_of_flight_line"] << 7
+        d["classification"] = (c["classification"].astype(np.uint8) & 31) | flag["synthetic"] << 5 | flag["key_point"] << 6 | flag["withheld"] << 7
+        d["scan_angle"] = np.clip(np.rint(c["scan_angle"]), -90, 90)
+    for k in ("gps_time", "red", "green", "blue", "nir"):
+        if k in dtype.names:
+            d[k] = c[k]
+    if "extra" in (dtype.names or ()):
+        wide = dtype["extra"].itemsize
+        d["extra"] = np.array([bytes(x or b"").ljust(wide, b"\0") for x in b.column("extra").to_pylist()], f"V{wide}")
+    return d, np.bincount(np.clip(ret.astype(int) - 1, 0, 14), minlength=15)

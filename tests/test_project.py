@@ -397,3 +397,19 @@ def test_many_edits_are_one_relation(spark, tmp_path):
     at = {r["idx"]: r["code"] for r in p.records().collect()}
     codes = {x.name: x.code for x in p.history.current.layers}
     assert all(at[i] == (0 if i % 7 == 6 else codes["A" if i % 7 % 2 else "B"]) for i in range(256))
+
+
+def test_parts_of_odd_sizes_make_one_file(spark, tmp_path):
+    """Tasks write their own packets; records that fill no byte of every stream come last."""
+    from pointloom.sources import e57
+
+    points = demo.demo_points(spark, 40).withColumn("valid", F.col("idx") % 3 != 0).repartition(7)
+    n = e57.export(f"{tmp_path}/a.e57", [(Scan("a", "a"), "a", Pose((1.0, 2.0, 3.0)), points)])
+    assert n == 1600 and [p.name for p in tmp_path.iterdir()] == ["a.e57"]
+    [(scan, back)] = e57.scans_of(spark, f"{tmp_path}/a.e57")
+    assert np.allclose(scan.pose.t, (1, 2, 3))
+    own = lambda df: sorted(map(tuple, df.where("valid").select("x", "y", "z", "r", "g", "b").collect()))
+    colours = lambda df: sorted(map(tuple, df.where("NOT valid").select("r", "g", "b").collect()))
+    assert own(back) == own(points) and colours(back) == colours(points) and back.count() == 1600
+    assert las.export(points, f"{tmp_path}/a.las", [Scan("a", "a")]) == 1600
+    assert las.read(spark, f"{tmp_path}/a.las").count() == 1600 and len(list(tmp_path.iterdir())) == 2
