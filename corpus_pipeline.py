@@ -28,6 +28,16 @@ def _stage(f: Stage) -> Stage:
     return run
 
 
+def _renamed(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """docs with columns of names that no operator gives, and which name each has."""
+    own = docs.toDF(*(f"own{k}" for k in range(len(docs.columns))))
+    return own, dict(zip(docs.columns, own.columns, strict=True))
+
+
+def _back(docs: DataFrame, out: DataFrame, names: dict[str, str]) -> DataFrame:
+    return out.select(*(F.col(names[c]).alias(c) for c in docs.columns))
+
+
 def _whole(docs: DataFrame, text: DataFrame) -> DataFrame:
     """The columns of documents, with n_chars of the text as it is now."""
     return text.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
@@ -36,8 +46,9 @@ def _whole(docs: DataFrame, text: DataFrame) -> DataFrame:
 @_stage
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts."""
-    scored = quality.classify(docs, C.table(spark, sf_dir, "labels"), pass_on=tuple(c for c in docs.columns if c != "doc_id"))
-    return scored.where("predicted = 1").select(docs.columns)
+    own, names = _renamed(docs)
+    scored = quality.classify(own, C.table(spark, sf_dir, "labels"), names["doc_id"], names["text"], pass_on=tuple(c for c in own.columns if c != names["doc_id"]))
+    return _back(docs, scored.where("predicted = 1"), names)
 
 
 @_stage
@@ -49,9 +60,10 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 @_stage
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without strings of 100 bytes that also start earlier; those of which nothing is left go."""
-    others = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
-    kept = suffix.deduplicate(docs, pass_on=others)
-    return _whole(docs, kept.where((F.col("n_removed") == 0) | (F.trim("text") != "")))
+    own, names = _renamed(docs)
+    others = tuple(c for c in own.columns if c not in (names["doc_id"], names["text"]))
+    kept = suffix.deduplicate(own, names["doc_id"], names["text"], pass_on=others)
+    return _whole(docs, _back(docs, kept.where((F.col("n_removed") == 0) | (F.trim(names["text"]) != "")), names))
 
 
 @_stage
@@ -78,13 +90,22 @@ STAGES = [
 ORACLE_SQL = None
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    own = spark._jvm.org.apache.hadoop.fs.Path(path)
+    own.getFileSystem(spark._jsc.hadoopConfiguration()).delete(own, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written to the shared folder and read again as the next one's documents."""
-    docs = C.table(spark, sf_dir, "documents")
+    """All stages over documents, each written to the shared folder and read again as the next one's documents. A stage's
+    folder goes once the next one's is whole; the last one's stays, since the result reads it."""
+    docs, last = C.table(spark, sf_dir, "documents"), None
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             path = f"{C.shared_dir(spark).rstrip('/')}/stage-{uuid.uuid4().hex}"
             docs.write.parquet(path)
             docs = spark.read.parquet(path)
+            if last is not None:
+                _remove(spark, last)
+            last = path
     return docs
