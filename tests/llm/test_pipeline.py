@@ -1,12 +1,15 @@
 """Each stage on its own input: what it keeps, drops and changes."""
 
 import hashlib
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as P
+from pointloom.llm import common as C
 from pointloom.llm import decontaminate, queries
+from tests.llm import cases
 from tests.llm.test_jaccard import brute as brute_links
 from tests.llm.test_suffix import brute as brute_strings
 
@@ -78,3 +81,23 @@ def test_tokens(stages):
 
 def test_run(spark, stages):
     assert P.run(spark, DATA).exceptAll(stages[-1][1]).count() == 0
+
+
+@pytest.mark.parametrize("make", [cases.table, cases.empty])
+def test_stages_take_odd_and_empty_tables(spark, tmp_path, make):
+    docs = make(spark)
+    for k, (_, f) in enumerate(P.STAGES):
+        f(spark, docs, DATA).write.parquet(f"{tmp_path}/{k}")
+        out = spark.read.parquet(f"{tmp_path}/{k}")
+        if k < len(P.STAGES) - 1:
+            assert out.dtypes == docs.dtypes
+        assert out.count() <= docs.count()
+        docs = out
+
+
+def test_a_stage_folder_goes_when_the_next_is_whole(spark):
+    root = C.shared_dir(spark).removeprefix("file:")
+    stages = lambda: {p.name for p in Path(root).iterdir() if p.name.startswith("stage-")}
+    before = stages()
+    assert P.run(spark, DATA).count() > 0
+    assert len(stages() - before) == 1
