@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import os
 import sys
 
 from pyspark.sql import SparkSession
@@ -23,7 +24,7 @@ def parser() -> argparse.ArgumentParser:
             v.add_argument(flag, **options)
 
     verb("demo", "a new project with two generated scans")
-    verb("import", "add the scans of files", ("files", {"nargs": "+"}))
+    verb("import", "add the scans of LAS and E57 files and panoramas (JPEG, PNG), to a new project if there is none", ("files", {"nargs": "+"}))
     verb("inspect", "scans, records and points by layer")
     verb("export", "write an E57 file", ("target", {}))
     verb("export-las", "write a LAS file, or one for each scan", ("target", {}), ("--each", {"action": "store_true"}), ("--omit-incompatible", {"action": "store_true"}))
@@ -40,13 +41,19 @@ def run(spark: SparkSession, args: list[str]) -> list[str]:
     """Runs a command and returns its lines."""
     a = parser().parse_args(args)
     if a.verb == "demo":
-        project = PointProject.create(spark, a.project)
-        return [f"scan {s}" for s in project.import_points(demo.demo_scans(spark))]
-    project = PointProject.load(spark, a.project)
+        with PointProject.create(spark, a.project) as project:
+            return [f"scan {s}" for s in project.import_points(demo.demo_scans(spark))]
+    fresh = a.verb == "import" and not os.path.exists(f"{a.project}/project.json")
+    with PointProject.create(spark, a.project) if fresh else PointProject.load(spark, a.project) as project:
+        return answer(project, a)
+
+
+def answer(project: PointProject, a: argparse.Namespace) -> list[str]:
     h = project.history
     moved = lambda n: [f"{n} points moved"]
     if a.verb == "import":
-        return [f"scan {s}" for f in a.files for s in project.import_file(f)]
+        picture = lambda f: f.lower().endswith((".jpg", ".jpeg", ".png"))
+        return [line for f in a.files for line in ([f"panorama {project.import_panorama(f).id}"] if picture(f) else [f"scan {s}" for s in project.import_file(f)])]
     if a.verb == "inspect":
         names = {x.code: x.name for x in h.current.layers}
         scans = [f"{h.name_of(s)}: {h.known[s].records} records, {h.known[s].valid} valid" for s in h.current.scans]

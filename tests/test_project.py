@@ -413,3 +413,16 @@ def test_parts_of_odd_sizes_make_one_file(spark, tmp_path):
     assert own(back) == own(points) and colours(back) == colours(points) and back.count() == 1600
     assert las.export(points, f"{tmp_path}/a.las", [Scan("a", "a")]) == 1600
     assert las.read(spark, f"{tmp_path}/a.las").count() == 1600 and len(list(tmp_path.iterdir())) == 2
+
+
+def test_import_makes_a_project_and_takes_panoramas(spark, tmp_path):
+    import struct
+
+    from pointloom import cli
+
+    las.export(demo.demo_points(spark, 16), f"{tmp_path}/a.las", [Scan("a", "a")])
+    (tmp_path / "b.png").write_bytes(b"\x89PNG\r\n\x1a\n" + struct.pack(">I4sIIBBBBBI", 13, b"IHDR", 200, 100, 8, 2, 0, 0, 0, 0))
+    lines = cli.run(spark, ["import", f"{tmp_path}/p", f"{tmp_path}/a.las", f"{tmp_path}/b.png"])
+    assert [x.split()[0] for x in lines] == ["scan", "panorama"]
+    with PointProject.load(spark, f"{tmp_path}/p") as p:
+        assert p.points().count() == 256 and [(x.width, x.height) for x in p.history.current.panoramas] == [(200, 100)]
