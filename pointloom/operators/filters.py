@@ -15,6 +15,8 @@ from pointloom.functions.geometry import CLIPPED, CropBox, Selection, Xyz, cell,
 AROUND = [(i, j, k) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)]
 #: The shares of the reach in which nearest neighbours are looked for, one after another.
 SHARES_OF_REACH = (1 / 8, 1.0)
+#: Wide cells of all scans' range images that are broadcast at most, but for one a scan.
+COARSE_CELLS = 500_000
 #: A radius join's cells are wider than the radius by this factor, so that rounding cannot put a neighbour two away.
 MARGIN = 1 + 1e-9
 
@@ -244,11 +246,23 @@ def eroded(images: DataFrame, degrees: float, scan: str = "scan") -> DataFrame:
     return each.groupBy(scan, "col", "row").agg(F.min("range").alias("range"))
 
 
+def _coarse(degrees: float, scans: int) -> int:
+    """The least number of cells, along both axes, of a wide cell such that all scans together have COARSE_CELLS of them
+    at most, or one each."""
+    size = math.radians(degrees)
+    columns, rows = math.ceil(2 * math.pi / size), math.ceil(math.pi / size)
+    k = max(1, math.isqrt(scans * columns * rows // COARSE_CELLS))
+    while k < columns and scans * math.ceil(columns / k) * math.ceil(rows / k) > COARSE_CELLS:
+        k += 1
+    return k
+
+
 def remove_moving(points: DataFrame, frames: dict, ref: tuple[str, ...], degrees: float = 0.1, tolerance: float = 0.05, min_scans: int = 2, scan: str = "scan") -> DataFrame:
     """Points (project coordinates) past which min_scans other scans measured, in their direction.
 
     frames: for each scan with a known scanner, the 4 x 4 matrix from project to its own coordinates. A scan measured
     past a point if the eroded image's range there is more than the point's range, tolerance and a cell's width at it.
+    Points meet a scan's image only where some cell of a wide one around it is that far; the wide cells are broadcast.
     """
     if not (0.01 <= degrees <= 5 and tolerance >= 0 and 1 <= min_scans <= 255):
         raise ValueError("cells must be 0.01 to 5 degrees, tolerance not negative, scans 1 to 255")
@@ -259,14 +273,17 @@ def remove_moving(points: DataFrame, frames: dict, ref: tuple[str, ...], degrees
     seen_by = spark.createDataFrame(rows, f"seer {kind.simpleString()}, {fields}")  # a row for each scan
     placed = lambda df: df.select("*", *(((F.col(f"m{i}0") * F.col("x") + F.col(f"m{i}1") * F.col("y")) + F.col(f"m{i}2") * F.col("z") + F.col(f"m{i}3")).alias(f"q{i}") for i in range(3)))
     own = placed(points.join(F.broadcast(seen_by), F.col(scan) == F.col("seer")))
-    image = eroded(range_images(own.select(F.col("seer").alias("s"), F.col("q0").alias("x"), F.col("q1").alias("y"), F.col("q2").alias("z")), degrees, "s"), degrees, "s")
+    image = eroded(range_images(own.select(F.col("seer").alias("s"), F.col("q0").alias("x"), F.col("q1").alias("y"), F.col("q2").alias("z")), degrees, "s"), degrees, "s").where("s IS NOT NULL AND col IS NOT NULL AND row IS NOT NULL")  # alike in both uses, so that its exchange serves both
     col, row, r = sphere_cell(xyz("q0", "q1", "q2"), degrees)
     seen = placed(points.select(scan, *ref, "x", "y", "z").join(F.broadcast(seen_by), F.col(scan) != F.col("seer")))
     looked = seen.select(scan, *ref, "seer", col.alias("col"), row.alias("row"), r.alias("r")).where("r IS NOT NULL")
-    farthest = image.groupBy(F.col("s").alias("seer")).agg(F.max("range").cast("double").alias("farthest"))
-    looked = looked.join(F.broadcast(farthest), "seer").where(F.col("r") < F.col("farthest")).drop("farthest")  # a row for each scan; no scan measured past what is beyond its farthest
+    beyond = lambda c: F.col(c).cast("double") > F.col("r") + tolerance + F.col("r") * math.radians(degrees)
+    k = _coarse(degrees, len(frames))
+    wide = lambda c: F.coalesce(F.floor(F.col(c) / k).cast("int"), F.lit(-1)).alias(f"wide_{c}")
+    farthest = image.groupBy(F.col("s").alias("seer"), wide("col"), wide("row")).agg(F.max("range").alias("farthest"))
+    looked = looked.select("*", wide("col"), wide("row")).join(F.broadcast(farthest), ["seer", "wide_col", "wide_row"]).where(beyond("farthest")).select(scan, *ref, "seer", "col", "row", "r")
     hit = looked.join(image.withColumnRenamed("s", "seer"), ["seer", "col", "row"])
-    past = hit.where(F.col("range").cast("double") > F.col("r") + tolerance + F.col("r") * math.radians(degrees))
+    past = hit.where(beyond("range"))
     out = past.groupBy(scan, *ref).agg(F.count("*").alias("n")).where(F.col("n") >= min_scans)
     return points.join(out.select(scan, *ref), [scan, *ref], "left_semi")
 

@@ -83,8 +83,10 @@ def test_overlap_keeps_the_denser_scan(spark):
     assert max(p[moved, 0]) < 2.2
 
 
-def test_moving(spark):
-    """A wall seen by three scanners, and someone before it whom only the first saw."""
+@pytest.mark.parametrize("cells", [1, 300, 500_000])
+def test_moving(spark, monkeypatch, cells):
+    """A wall seen by three scanners, and someone before it whom only the first saw; wide cells of any size lose nothing."""
+    monkeypatch.setattr(filters, "COARSE_CELLS", cells)
     yz = np.stack(np.meshgrid(np.arange(-3, 3, 0.02), np.arange(-1, 1, 0.02)), -1).reshape(-1, 2)
     wall = np.c_[np.full(len(yz), 10.0), yz]
     person = np.c_[np.full(50, 5.0), np.linspace(-0.2, 0.2, 50), np.linspace(-0.5, 0.5, 50)]
@@ -99,6 +101,13 @@ def test_moving(spark):
     assert moved == list(range(len(wall), len(wall) + 50))
 
 
+def test_wide_cells_are_bounded():
+    for degrees, scans in ((0.1, 1), (0.1, 299), (0.01, 40_000), (5, 1), (5, 1_000_000)):
+        columns, rows = round(360 / degrees), round(180 / degrees)
+        k = filters._coarse(degrees, scans)
+        assert scans * -(-columns // k) * -(-rows // k) <= max(filters.COARSE_CELLS, scans)
+
+
 def test_box_and_its_complement(spark):
     p = fixed_cloud()
     q = (0.0, 0.0, float(np.sin(0.2)), float(np.cos(0.2)))
