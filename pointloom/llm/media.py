@@ -12,6 +12,7 @@ import hashlib
 import io
 import struct
 import tarfile
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -89,6 +90,26 @@ def _store(uri: str):
     return fs.FileSystem.from_uri(f"file://{uri}" if uri.startswith("/") else uri)
 
 
+def _put(store, path: str, name: str, data) -> None:
+    """Writes data as path/name, whole or not at all. Attempts that run side by side write the same, so where one was
+    there first the other's part goes, also on stores that do not move onto a file."""
+    from pyarrow import fs
+
+    there = lambda: store.get_file_info(f"{path}/{name}").type != fs.FileType.NotFound
+    if there():
+        return
+    part = f"{path}/.{uuid.uuid4().hex}"
+    try:
+        with store.open_output_stream(part) as f:
+            f.write(data)
+        store.move(part, f"{path}/{name}")
+    except OSError:
+        if store.get_file_info(part).type != fs.FileType.NotFound:
+            store.delete_file(part)
+        if not there():
+            raise
+
+
 def write_tar_shards(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Writes the texts' images to tar shards below folder, a URI that executors reach; the catalogue: id_col and CATALOGUE.
 
@@ -98,18 +119,11 @@ def write_tar_shards(docs: DataFrame, folder: str, id_col: str = "doc_id", text_
     schema = pa.schema([(id_col, pa.int64()), ("digest", pa.string()), ("n_bytes", pa.int64()), ("shard", pa.string()), ("offset", pa.int64()), ("length", pa.int64())])
 
     def close(tar: io.BytesIO, rows: list[tuple]) -> pa.RecordBatch:
-        import uuid
-
-        from pyarrow import fs
-
         tar.write(b"\0" * 1024)
         store, path = _store(folder)
         name = f"{hashlib.sha256(tar.getbuffer()).hexdigest()}.tar"
         store.create_dir(path, recursive=True)
-        if store.get_file_info(f"{path}/{name}").type == fs.FileType.NotFound:  # else an earlier attempt wrote it
-            with store.open_output_stream(part := f"{path}/.{uuid.uuid4().hex}") as f:
-                f.write(tar.getbuffer())
-            store.move(part, f"{path}/{name}")
+        _put(store, path, name, tar.getbuffer())
         return C.batch(schema, *zip(*((i, d, n, f"{folder}/{name}", o, k) for i, d, n, o, k in rows), strict=True))
 
     def run(batches: Iterator[pa.RecordBatch]):

@@ -152,3 +152,28 @@ def test_media_round_trip(spark, tmp_path):
     shard.write_bytes(raw)
     with pytest.raises(Exception, match="(?s)head of a PNG|differ"):
         media.with_payload(media.with_header(store)).count()
+
+
+@pytest.mark.parametrize("first", [True, False])
+def test_a_shard_that_another_attempt_wrote_meanwhile(tmp_path, first):
+    """On a store that does not move onto a file; without the other attempt's shard a failed move is an error."""
+    from pyarrow import fs
+
+    class Store:
+        def __init__(self):
+            self.local = fs.LocalFileSystem()
+
+        def __getattr__(self, name):
+            return getattr(self.local, name)
+
+        def move(self, part, target):
+            if first:
+                self.local.copy_file(part, target)
+            raise OSError("not moved")
+
+    if first:
+        media._put(Store(), str(tmp_path), "a.tar", b"shard")
+    else:
+        with pytest.raises(OSError, match="not moved"):
+            media._put(Store(), str(tmp_path), "a.tar", b"shard")
+    assert [(p.name, p.read_bytes()) for p in tmp_path.iterdir()] == [("a.tar", b"shard")] * first
