@@ -7,7 +7,7 @@ whole signatures are candidates; the runs of DEPTH equal values come first, then
 
 The matched prefix is shortened as the data ask for it. Candidates of the longest prefix are verified exactly. Each link
 found has a similarity s, and a prefix of d values finds such a one with probability p = 1 - (1 - s^d)^TREES, so that
-the links are estimated as the sum of 1 / p. While those found are less than RECALL of that, the prefix is shortened by
+the links are estimated as the sum of 1 / p. While those found are less than RECALL of that, the prefix is shortened
 to the length at which they would be, what the forest adds is verified, and so on, down to the prefix that finds a pair
 at the threshold itself with that probability (prefix_for). Where no link was found, nothing is estimated and that floor
 is next.
