@@ -88,6 +88,12 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", "score", "predicted")
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import divergence
+
+    return divergence.audit(C.table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_jaccard_join": op1_jaccard_join,
     "op2_url_filters": op2_url_filters,
@@ -99,6 +105,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language": op8_language,
     "op9_media_columns": op9_media_columns,
     "op10_quality": op10_quality,
+    "op12_source_divergence": op12_source_divergence,
 }
 
 #: Words as the contracts define them, in DuckDB's SQL.
@@ -171,5 +178,27 @@ item_of AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY it
 SELECT doc.doc_id, CAST(len(doc.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
        CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
 FROM doc LEFT JOIN word USING (doc_id) LEFT JOIN item_of USING (doc_id)
+""",
+    "op12_source_divergence": r"""
+WITH doc AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(
+               translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+grp AS (SELECT DISTINCT lang, source FROM doc),
+kept AS (SELECT lang, term FROM (SELECT lang, unnest(list_distinct(w)) AS term FROM doc) GROUP BY lang, term HAVING count(*) >= 30),
+occ AS (SELECT lang, source, term, count(*) AS n FROM (SELECT lang, source, unnest(w) AS term FROM doc) GROUP BY ALL),
+size AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+cell AS (SELECT grp.lang, grp.source, kept.term, coalesce(occ.n, 0) AS n FROM grp JOIN kept ON kept.lang = grp.lang
+         LEFT JOIN occ ON occ.lang = grp.lang AND occ.source = grp.source AND occ.term = kept.term),
+total AS (SELECT lang, source, sum(n)::HUGEINT AS n FROM cell GROUP BY lang, source),
+prob AS (SELECT cell.lang, cell.source, cell.term, cell.n, 1 + (1000000000::HUGEINT * (cell.n + 5)) // (total.n + 5 * size.v) AS p
+         FROM cell JOIN total ON total.lang = cell.lang AND total.source = cell.source JOIN size ON size.lang = cell.lang),
+whole AS (SELECT lang, term, 1 + (1000000000::HUGEINT * (n + 5)) // (sum(n) OVER (PARTITION BY lang) + 5 * count(*) OVER (PARTITION BY lang)) AS q
+          FROM (SELECT lang, term, sum(n)::HUGEINT AS n FROM cell GROUP BY lang, term)),
+far AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS f FROM prob a JOIN prob b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pair AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(far.f, 0) AS value FROM grp a JOIN grp b ON a.lang = b.lang AND a.source <> b.source
+         LEFT JOIN far ON far.lang = a.lang AND far.source = a.source AND far.item = b.source),
+term AS (SELECT prob.lang, source, 'term' AS part, prob.term AS item, p - q AS value FROM prob JOIN whole ON whole.lang = prob.lang AND whole.term = prob.term WHERE n > 0 AND p > q),
+both_parts AS (SELECT * FROM pair UNION ALL SELECT * FROM term),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS rank FROM both_parts)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INT) AS rank FROM ranked WHERE part = 'pair' OR rank <= 50
 """,
 }
