@@ -32,64 +32,86 @@ from pyspark.sql import functions as F
 from . import common as C
 
 ALPHA, SCALE = 5, 1_000_000_000
-#: Entries of a task's counters, and cells of its pair sums, before it hands them on.
-HELD_TERMS, HELD_SOURCES = 200_000, 1024
-#: Bytes of a text that are split into terms at once.
-PIECE = 4 << 20
+#: Bytes of text that a task counts at once, and that a longer text is split into; sources of a task's pair sums.
+CHUNK, HELD_SOURCES = 24 << 20, 1024
 
 #: Every byte as terms hold it: letters in lower case, bytes beyond ASCII as they are, all others a space.
 _AS_TERM = bytes(b if b >= 128 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
+_TABLE = np.frombuffer(_AS_TERM, np.uint8)
 COUNTS = "lang string, source string, term string, n long, docs long"
 
 
-def _pieces(text: bytes) -> Iterator[list[bytes]]:
-    """A text's terms, in parts that end between terms."""
-    lo = 0
+def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different values of sorted keys, and how often each occurs."""
+    at = np.flatnonzero(np.concatenate([np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1]]))
+    return keys[at], np.diff(np.append(at, len(keys)))
+
+
+def _count(off: np.ndarray, data: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray]:
+    """Group, term, count and number of texts of each (group, term) of some texts."""
+    data = _TABLE[data]
+    inside = data != 32
+    first = inside.copy()  # a term begins where no term is before it, or where a text does
+    first[1:] &= ~inside[:-1]
+    starts = off[:-1][off[:-1] < len(data)]
+    first[starts] = inside[starts]
+    begins = np.flatnonzero(first)
+    last = inside.copy()
+    last[:-1] &= ~inside[1:]
+    ends = off[1:][(off[1:] > 0)] - 1
+    last[ends] = inside[ends]
+    offsets = np.concatenate([[0], np.cumsum(np.flatnonzero(last) + 1 - begins)])
+    tokens = pa.LargeStringArray.from_buffers(len(begins), pa.py_buffer(offsets), pa.py_buffer(data[inside]))
+    terms = tokens.dictionary_encode()
+    codes, n = terms.indices.to_numpy(zero_copy_only=False).astype(np.int64), max(1, len(terms.dictionary))
+    text = np.repeat(np.arange(len(group)), np.diff(np.searchsorted(begins, off)))
+    found, counts = _runs(np.sort(group[text] * n + codes))
+    in_text, _ = _runs(np.sort(text * n + codes))
+    text, code = np.divmod(in_text, n)
+    _, with_term = _runs(np.sort(group[text] * n + code))
+    return found // n, terms.dictionary.take(pa.array(found % n)), counts, with_term
+
+
+def _count_long(data: np.ndarray) -> tuple[pa.Array, list[int], list[int]]:
+    """Term, count and 1 of each term of one text, taken in parts that end between terms."""
+    text, counter, lo = _TABLE[data].tobytes(), Counter(), 0
     while lo < len(text):
-        hi = text.find(b" ", lo + PIECE) if lo + PIECE < len(text) else -1
+        hi = text.find(b" ", lo + CHUNK) if lo + CHUNK < len(text) else -1
         hi = len(text) if hi < 0 else hi
-        yield text[lo:hi].split()
+        counter.update(text[lo:hi].split())
         lo = hi
+    return pa.array([t.decode("utf-8", "replace") for t in counter], pa.string()), list(counter.values()), [1] * len(counter)
 
 
 def term_counts(docs: DataFrame, text: Column, lang: Column, source: Column) -> DataFrame:
     """COUNTS: how often each term occurs in each group, and in how many of its documents. A group also has one row
     whose term is null, so that groups without terms are there."""
 
-    def run(batches):
-        n: dict[tuple, Counter] = {}
-        docs: dict[tuple, Counter] = {}
-
-        def rows():
-            for (la, so), counter in n.items():
-                with_docs = docs[la, so]
-                terms = list(counter)
-                k = len(terms) + 1
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([la] * k, pa.string()), pa.array([so] * k, pa.string()), pa.array([None, *(t.decode("utf-8", "replace") for t in terms)], pa.string()), pa.array([0, *(counter[t] for t in terms)], pa.int64()), pa.array([0, *(with_docs[t] for t in terms)], pa.int64())],
-                    names=["lang", "source", "term", "n", "docs"],
-                )
+    def rows(names: list[tuple[str, str]], group, terms, n, with_term):
+        lang, source = (pa.array([x[k] for x in names], pa.string()).take(pa.array(group)) for k in range(2))
+        return pa.RecordBatch.from_arrays([lang, source, terms.cast(pa.string()), pa.array(n, pa.int64()), pa.array(with_term, pa.int64())], names=["lang", "source", "term", "n", "docs"])
 
+    def run(batches):
+        seen: dict[tuple[str, str], int] = {}
         for b in batches:
-            off, data = C.buffers(b.column(0))
-            whole = data.tobytes().translate(_AS_TERM)
-            held = sum(map(len, n.values()))
-            for i, key in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)):
-                if key not in n:
-                    n[key], docs[key] = Counter(), Counter()
-                counter, before, seen = n[key], len(n[key]), set()
-                for terms in _pieces(whole[off[i] : off[i + 1]]):
-                    counter.update(terms)
-                    seen.update(terms)
-                docs[key].update(seen)
-                held += len(counter) - before
-                if held > HELD_TERMS:
-                    yield from rows()
-                    n, docs, held = {}, {}, 0
-        yield from rows()
+            group = np.array([seen.setdefault(x, len(seen)) for x in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)], np.int64)
+            names, (off, data) = list(seen), C.buffers(b.column(0))
+            lo = 0
+            while lo < len(group):
+                hi = max(lo + 1, int(np.searchsorted(off, off[lo] + CHUNK, side="right")) - 1)
+                part = data[off[lo] : off[hi]]
+                if len(part) > CHUNK:
+                    terms, n, with_term = _count_long(part)
+                    yield rows(names, np.full(len(n), group[lo]), terms, n, with_term)
+                else:
+                    yield rows(names, *_count(off[lo : hi + 1] - off[lo], part, group[lo:hi]))
+                lo = hi
+        none = np.zeros(len(seen), np.int64)
+        yield rows(list(seen), np.arange(len(seen)), pa.nulls(len(seen), pa.string()), none, none)
 
     read = C.spread(docs.select(F.coalesce(text, F.lit("")).alias("text"), F.coalesce(lang.cast("string"), F.lit("")).alias("lang"), F.coalesce(source.cast("string"), F.lit("")).alias("source")))
-    return read.mapInArrow(run, COUNTS).groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    # Tasks have added up their own rows, so these are dealt out as they are.
+    return read.mapInArrow(run, COUNTS).repartition("lang", "source", "term").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
 def probability(n: str, total: str, terms: str) -> Column:
@@ -153,8 +175,10 @@ def audit(docs: DataFrame, text: str = "text", lang: str = "lang", source: str =
     """
     counts = C.checkpoint(term_counts(docs, docs[text], docs[lang], docs[source]))
     entry = F.struct("source", "n")
-    terms = counts.where("term IS NOT NULL").groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sort_array(F.collect_list(entry)).alias("v"))
-    terms = C.checkpoint(terms.where(F.col("docs") >= least_docs).select("lang", "term", "v"))
+    used = counts.where("term IS NOT NULL")
+    kept = used.groupBy("lang", "term").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= least_docs)
+    terms = used.join(kept.select("lang", "term"), ["lang", "term"], "left_semi")
+    terms = C.checkpoint(terms.groupBy("lang", "term").agg(F.sort_array(F.collect_list(entry)).alias("v")))
     # A vector's number stays as it is, since it is written before it is used.
     vectors = C.checkpoint(terms.groupBy("lang", "v").agg(F.count("*").alias("m")).withColumn("vid", F.monotonically_increasing_id()))
 
