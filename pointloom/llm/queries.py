@@ -88,12 +88,29 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", "score", "predicted")
 
 
+def op11_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import credentials as S
+
+    docs = C.table(spark, sf_dir, "documents")
+    out = S.scan(docs, S.learn(docs))
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    base = F.filter("spans", lambda s: s["kind"].isin(*S.KINDS))
+    return out.select("doc_id", *map(count, S.KINDS), F.sha2(S.joined(base), 256).alias("base_sha256"), S.joined(F.col("spans")).alias("spans"))
+
+
 def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import divergence
 
     return divergence.audit(C.table(spark, sf_dir, "documents"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import negatives
+
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(C.table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label=label)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_jaccard_join": op1_jaccard_join,
     "op2_url_filters": op2_url_filters,
@@ -105,7 +122,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language": op8_language,
     "op9_media_columns": op9_media_columns,
     "op10_quality": op10_quality,
+    "op11_secrets": op11_secrets,
     "op12_source_divergence": op12_source_divergence,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 #: Words as the contracts define them, in DuckDB's SQL.
@@ -200,5 +219,15 @@ term AS (SELECT prob.lang, source, 'term' AS part, prob.term AS item, p - q AS v
 both_parts AS (SELECT * FROM pair UNION ALL SELECT * FROM term),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS rank FROM both_parts)
 SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INT) AS rank FROM ranked WHERE part = 'pair' OR rank <= 50
+""",
+    "op13_hard_negatives": """
+WITH sound AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, [floor(256 * CAST(x AS DOUBLE)) for x in embedding] AS v, row_number() OVER () AS place
+               FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0),
+score AS (SELECT a.place AS a, a.vec_id AS anchor_id, b.place AS b, b.vec_id, a.label = b.label AS same, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS s
+          FROM sound a JOIN sound b ON a.vec_id % 100 = 0 AND a.place <> b.place),
+pos AS (SELECT a, anchor_id, b, vec_id AS positive_id, s AS positive_score FROM score WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY s DESC, vec_id) <= 5),
+neg AS (SELECT pos.anchor_id, positive_id, vec_id AS negative_id, positive_score, s AS negative_score, row_number() OVER (PARTITION BY pos.a, pos.b ORDER BY s DESC, vec_id) AS rank
+        FROM pos JOIN score ON score.a = pos.a AND NOT same AND 80 * positive_score <= 100 * s AND s <= positive_score)
+SELECT anchor_id, positive_id, CAST(rank AS INT) AS rank, negative_id, positive_score, negative_score FROM neg WHERE rank <= 5
 """,
 }
