@@ -261,9 +261,10 @@ def learn(docs: DataFrame, text: str = "text", sample: int = SAMPLE, longest: in
     kinds = {}
     for kind in KINDS:
         if own := strings.get(kind):
-            a = infer(own)
-            ratios = sorted((a.score(v) - plain.score(v)) / (len(v) + 1) for v in own)
-            kinds[kind] = (a, max(MARGIN, ratios[int(MISSED * len(ratios))]))
+            # the threshold is of values that the automaton has not seen: each half is scored by the other's
+            halves = [(own[::2] or own, own[1::2] or own), (own[1::2] or own, own[::2] or own)]
+            ratios = sorted((a.score(v) - plain.score(v)) / (len(v) + 1) for half, other in halves for a in (infer(half),) for v in other)
+            kinds[kind] = (infer(own), max(MARGIN, ratios[int(MISSED * len(ratios))]))
     return Model(kinds, plain)
 
 

@@ -266,12 +266,14 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", table:
     keywords = sorted(r["keyword"] for r in table.select("keyword").distinct().collect())
     docs = C.spread(docs)
     base = docs.select(docs[id_col].alias("k0"), C.words_of(docs[text_col].cast("string")).alias("words"))
-    gate = F.array_distinct(F.filter("words", lambda w: w.isin(keywords)))
+    firsts = sorted({p.split()[0] for p, _ in BASE})
+    seen = F.array_distinct(F.filter("words", lambda w: w.isin([*keywords, *firsts])))
     own = [_places(F.col("words"), p) for p, _ in BASE]
-    base = base.select("k0", F.size("words").cast("long").alias("n_words"), gate.alias("keys"), "words", F.monotonically_increasing_id().alias("row"))
+    base = base.select("k0", F.size("words").cast("long").alias("n_words"), seen.alias("seen"), "words", F.monotonically_increasing_id().alias("row"))
+    base = base.withColumns({"keys": F.filter("seen", lambda w: w.isin(keywords)), "based": F.exists("seen", lambda w: w.isin(firsts))})
     none = F.array().cast("array<int>")
     some = F.size("keys") > 0
-    base = base.select("row", "k0", "n_words", "keys", F.when(some, F.concat_ws(" ", "words")).alias("joined"), *(F.when(some, p).otherwise(none).alias(f"p{k}") for k, p in enumerate(own)))
+    base = base.select("row", "k0", "n_words", "keys", F.when(some, F.concat_ws(" ", "words")).alias("joined"), *(F.when(F.col("based"), p).otherwise(none).alias(f"p{k}") for k, p in enumerate(own)))
     at = F.array_sort(F.concat(*(f"p{k}" for k in range(len(own)))))
     labels = F.array_sort(F.filter(F.array(*(F.when(F.size(f"p{k}") > 0, F.lit(label)) for k, (_, label) in enumerate(BASE))), lambda x: x.isNotNull()))
     base = base.select("row", "k0", "n_words", "keys", "joined", F.size(at).cast("long").alias("n_base"), F.get(at, F.lit(0)).cast("long").alias("first_word"), F.when(F.size(at) > 0, F.element_at(at, -1)).cast("long").alias("last_word"), labels.alias("base"))
@@ -279,17 +281,13 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", table:
     each = base.select(*columns, "joined", F.explode_outer("keys").alias("keyword"))
     tried = each.join(F.broadcast(table), "keyword", "left")
     tried = tried.withColumn("gaps", F.when(F.col("pattern").isNotNull(), F.split("joined", F.col("pattern")))).withColumn("found", F.when(F.size("gaps") > 1, F.regexp_extract_all("joined", F.col("pattern"), F.lit(0))))
-    none = F.array().cast("array<struct<begin:int,end:int>>")
-
-    def placed(done: Column, pair: Column) -> Column:
-        """The next hit stands behind the gap before it."""
-        begin = done["at"] + F.length(pair["gaps"])
-        end = begin + F.length(pair["found"])
-        return F.struct(end.alias("at"), F.concat(done["hits"], F.array(F.struct(begin.alias("begin"), end.alias("end")))).alias("hits"))
-
     pairs = F.filter(F.arrays_zip("gaps", "found"), lambda p: p["found"].isNotNull())  # the last gap is before none
-    hits = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("hits")), placed, lambda done: done["hits"])
-    hit = tried.select(*columns, "rule", "label", "level", F.explode_outer(hits).alias("d")).select(*columns, "rule", "label", "level", "d.*")
+    lengths = F.transform(pairs, lambda p: F.struct(F.length(p["gaps"]).alias("gap"), F.length(p["found"]).alias("n")))
+    hit = tried.select(*columns, "keyword", "rule", "label", "level", F.posexplode_outer(lengths).alias("nth", "p")).repartition("row")
+    # a hit stands behind the gap before it and all before that
+    so_far = Window.partitionBy("row", "keyword", "rule").orderBy("nth").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    hit = hit.withColumn("end", F.sum(F.col("p.gap") + F.col("p.n")).over(so_far).cast("int"))
+    hit = hit.select(*columns, "rule", "label", "level", (F.col("end") - F.col("p.n")).alias("begin"), "end")
     order = Window.partitionBy("row").orderBy("begin", F.col("end").desc_nulls_last(), "level", "rule").rowsBetween(Window.unboundedPreceding, -1)
     levels = sorted(WEIGHT)
     far = [F.max(F.when(F.col("level") == k, F.col("end"))).over(order).alias(f"far{k}") for k in levels]
