@@ -166,16 +166,24 @@ def infer(strings: Iterable[bytes], alpha: float = ALPHA, smooth: float = 0.05)
     return Automaton(logp, follow)
 
 
+def half(value: bytes) -> int:
+    return xxhash.xxh64_intdigest(value) & 1
+
+
 @dataclass(frozen=True)
 class Model:
-    """Automata and thresholds by kind, and the ordinary automaton."""
+    """Automata and thresholds by kind, and two ordinary automata, each of the runs of one half of the hashes: a run is
+    held against the one that it is no part of, since a secret may be among the ordinary runs."""
 
     kinds: dict[str, tuple[Automaton, float]]
-    ordinary: Automaton
+    ordinary: tuple[Automaton, Automaton]
+
+    def plain(self, run: bytes) -> float:
+        return self.ordinary[1 - half(run)].score(run)
 
     def best(self, run: bytes) -> tuple[str, float] | None:
         """The kind that a run is likest to, if it is like any."""
-        plain = self.ordinary.score(run)
+        plain = self.plain(run)
         scored = [((a.score(run) - plain) / (len(run) + 1), kind, least) for kind, (a, least) in self.kinds.items()]
         passed = [(s, kind) for s, kind, least in scored if s >= least]
         if not passed:
@@ -255,17 +263,17 @@ def learn(docs: DataFrame, text: str = "text", sample: int = SAMPLE, longest: in
     strings: dict[str, list[bytes]] = {}
     for kind, value in zip(rows.column("kind").to_pylist(), rows.column("value").to_pylist(), strict=True):
         strings.setdefault(kind, []).append(value)
-    plain = infer(strings.pop("ordinary", []))
+    ordinary = strings.pop("ordinary", [])
     if not strings:
         return None
-    kinds = {}
+    model = Model({}, tuple(infer([v for v in ordinary if half(v) == k]) for k in range(2)))
     for kind in KINDS:
         if own := strings.get(kind):
             # the threshold is of values that the automaton has not seen: each half is scored by the other's
             halves = [(own[::2] or own, own[1::2] or own), (own[1::2] or own, own[::2] or own)]
-            ratios = sorted((a.score(v) - plain.score(v)) / (len(v) + 1) for half, other in halves for a in (infer(half),) for v in other)
-            kinds[kind] = (infer(own), max(MARGIN, ratios[int(MISSED * len(ratios))]))
-    return Model(kinds, plain)
+            ratios = sorted((a.score(v) - model.plain(v)) / (len(v) + 1) for learnt, other in halves for a in (infer(learnt),) for v in other)
+            model.kinds[kind] = (infer(own), max(MARGIN, ratios[int(MISSED * len(ratios))]))
+    return model
 
 
 SPANS = "array<struct<kind string, start long, end long, score double>>"
