@@ -3,27 +3,35 @@
 from __future__ import annotations
 
 import fcntl
+import hashlib
 import json
 import os
-import re
 import shutil
+from collections.abc import Callable
 from dataclasses import asdict, replace
+from functools import reduce
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pointloom.errors import InvalidState, ProjectLocked, TargetExists, UnsupportedFormat
 from pointloom.functions.geometry import Bounds, CropBox, Pose, Selection, affine, xyz
-from pointloom.operators import filters, layers, octree, registration, statistics
+from pointloom.operators import filters, hierarchy, layers, registration, statistics, tiles
 from pointloom.plans.state import DEFAULT_LAYER, History, Layer, Panorama, Scan, State, new_id
 
-REF = ("chunk", "idx")
-VERSION = 2
-LABELS = "scan string, chunk int, idx int, code short, patch string"
-#: Side of the Morton cells that points are stored by, in metres, and bytes of a row group: what a box can skip.
-CELL, ROW_GROUP = 0.5, 4 << 20
+#: A point of a scan, and its tile, by which points and labels are dealt out alike.
+POINT = ("chunk", "idx")
+REF = (*POINT, "_tile")
+VERSION = 3
+LABELS = "chunk int, idx int, code short, _tile bigint, patch string"
+#: Points of a bucket of a scan's tables, bytes of a row group, which a region can skip, and label patches of a state
+#: beyond which they are made one.
+BUCKET, ROW_GROUP, MOST_PATCHES = 1_000_000, 1 << 20, 64
+#: Ranges of node keys that a region is turned into at most, and the level below which it is not told apart.
+MOST_RANGES, REGION_LEVEL = 64, 5
 
 
 def inner_path(name: str) -> str:
@@ -67,14 +75,20 @@ class ProjectLock:
 
 
 class PointProject:
-    """Layout: points/scan_<id>/ (chunk, idx, valid, x, y, z, r, g, b, a and the source's attributes, in the order of their
-    Morton numbers), labels/<id>/ (scan, chunk, idx, code, patch), project.json (scans, revisions, working state),
-    project.lock. Points are written once and never again. Only one process has a project open; close() ends that, or
-    the end of a with block."""
+    """Layout: points/scan_<id>/ (chunk, idx, valid, x, y, z, r, g, b, a and the source's attributes, bucketed by _tile and
+    sorted by _node), nodes/scan_<id>/ (the display nodes, their files and bounds), labels/scan_<id>/patch=<id>/ (chunk,
+    idx, code, _tile, in the points' buckets, so that they meet without moving points), project.json (scans, revisions,
+    working state), project.lock. Points are written once and never again. Only one process has a project open; close()
+    ends that, or the end of a with block."""
+
+    #: How an import lays points out: points of a tile, of a leaf and of a bucket at most, and cells along a node's side.
+    tile_points, leaf_points, bucket_points, grid = tiles.MOST_TILE, tiles.MOST_LEAF, BUCKET, tiles.GRID
 
     def __init__(self, spark: SparkSession, root: str, history: History | None = None):
         self.spark, self.root = spark, root
         self.history = history or History()
+        # points and labels are both dealt out by _tile alone; by default Spark would move them to join on more columns
+        spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
         self.lock = ProjectLock(root)
 
     def close(self) -> None:
@@ -145,7 +159,8 @@ class PointProject:
                 added.append(self._stored(scan, points))
         except BaseException:
             for s in added:
-                shutil.rmtree(f"{self.path('points')}/scan_{s.id}", ignore_errors=True)
+                for kind in ("points", "nodes"):
+                    shutil.rmtree(f"{self.path(kind)}/scan_{s.id}", ignore_errors=True)
             raise
         self.history.known.update({s.id: s for s in added})
         ids = [s.id for s in added]
@@ -164,22 +179,72 @@ class PointProject:
         return ids
 
     def _stored(self, scan: Scan, points: DataFrame) -> Scan:
-        """Writes a scan's points beside the project's, moves them in as a whole, and counts them."""
+        """Writes a scan's points beside the project's, in the nodes of its octree, and moves them in as a whole."""
         target, part = f"{self.path('points')}/scan_{scan.id}", f"{self.path('staging')}/{new_id()}"
+        nodes = f"{self.path('nodes')}/scan_{scan.id}"
         if os.path.exists(target):
             raise TargetExists(target)
+        steps = 0
+
+        def written(df: DataFrame) -> DataFrame:
+            nonlocal steps
+            steps += 1
+            df.write.parquet(f"{part}/step{steps}")
+            return self.spark.read.parquet(f"{part}/step{steps}")
+
         try:
-            laid = octree.clustered(points.withColumn("scan", F.lit(scan.id)), (0.0, 0.0, 0.0), CELL)
-            laid.write.option("parquet.block.size", ROW_GROUP).parquet(part)
-            own = self.spark.read.parquet(part)
+            os.makedirs(f"{part}/points")
             valid = F.col("valid")
-            b = own.agg(F.count("*").alias("records"), F.count_if(valid).alias("n"), *(f(F.when(valid, F.col(c))).alias(f"{n}{c}") for n, f in (("lo", F.min), ("hi", F.max)) for c in "xyz")).first()
+            b = points.agg(F.count("*").alias("records"), F.count_if(valid).alias("n"), *(f(F.when(valid, F.col(c))).alias(f"{n}{c}") for n, f in (("lo", F.min), ("hi", F.max)) for c in "xyz")).first()
+            bounds = Bounds((b["lox"], b["loy"], b["loz"]), (b["hix"], b["hiy"], b["hiz"])) if b["n"] else None
+            buckets, (lo, size) = -(-max(1, b["records"]) // self.bucket_points), tiles.cube(bounds)
+            laid, deepest = tiles.tiled(points.withColumn("scan", F.lit(scan.id)), lo, size, POINT, written, self.tile_points)
+            built = tiles.with_nodes(laid, lo, size, POINT, buckets, self.leaf_points, self.grid)
+            self._bucketed(built, f"{part}/built", buckets, "_waiting")
+            kept = [f"{part}/built/_waiting=false"]
+            if os.path.isdir(late := f"{part}/built/_waiting=true"):
+                above = tiles.above_tiles(self.spark.read.parquet(late), lo, size, POINT, deepest, written, self.grid)
+                self._bucketed(above, f"{part}/above", buckets)
+                kept.append(f"{part}/above")
+            if not b["records"]:
+                built.drop("_waiting").write.mode("overwrite").parquet(f"{part}/points")
+            for folder in kept:
+                for name in os.listdir(folder) if os.path.isdir(folder) else ():
+                    if name.endswith(".parquet"):
+                        os.rename(f"{folder}/{name}", f"{part}/points/{name}")
+            own = self.spark.read.parquet(f"{part}/points")
+            tiles.node_table(own).coalesce(1).write.parquet(f"{part}/nodes")
             os.makedirs(self.path("points"), exist_ok=True)
-            os.rename(part, target)
+            os.makedirs(self.path("nodes"), exist_ok=True)
+            os.rename(f"{part}/nodes", nodes)
+            os.rename(f"{part}/points", target)
         finally:
             shutil.rmtree(part, ignore_errors=True)
-        bounds = Bounds((b["lox"], b["loy"], b["loz"]), (b["hix"], b["hiy"], b["hiz"])) if b["n"] else None
-        return replace(scan, bounds=bounds, records=b["records"], valid=b["n"], attributes=tuple(own.columns))
+        return replace(scan, bounds=bounds, records=b["records"], valid=b["n"], buckets=buckets, attributes=tuple(own.columns))
+
+    def _bucketed(self, rows: DataFrame, path: str, buckets: int, *parts: str) -> None:
+        """Writes rows to a folder in buckets by _tile, sorted by _node where there is one."""
+        name = f"pointloom_{new_id().replace('-', '')}"
+        order = ["_node", "chunk", "idx"] if "_node" in rows.columns else ["_tile", "chunk", "idx"]
+        w = rows.repartition(buckets, "_tile").write.format("parquet").option("path", path).option("parquet.block.size", ROW_GROUP)
+        w = w.partitionBy(*parts) if parts else w
+        w.bucketBy(buckets, "_tile").sortBy(*order).saveAsTable(name)
+        self.spark.sql(f"DROP TABLE {name}")  # an external table: its files stay
+
+    def _table(self, kind: str, scan: str) -> DataFrame | None:
+        """A scan's points or labels as a bucketed table of the session; None where there are no files."""
+        path = os.path.abspath(f"{self.path(kind)}/scan_{scan}")
+        if not os.path.isdir(path):
+            return None
+        name = f"pointloom_{kind}_{hashlib.md5(path.encode()).hexdigest()}"
+        if not self.spark.catalog.tableExists(name):
+            labels = kind == "labels"
+            columns = LABELS if labels else self.spark.read.parquet(path).schema.toDDL()
+            where = path.replace("'", "\\'")
+            self.spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet {'PARTITIONED BY (patch)' if labels else ''} CLUSTERED BY (_tile) INTO {self.history.known[scan].buckets} BUCKETS LOCATION '{where}'")
+            if labels:
+                self.spark.sql(f"ALTER TABLE {name} RECOVER PARTITIONS")
+        return self.spark.table(name)
 
     def import_file(self, source: str) -> list[str]:
         from pointloom.sources import e57, las
@@ -238,35 +303,72 @@ class PointProject:
 
     # ---- points
 
-    def records(self, scans: list[str] | None = None, around: Bounds | None = None) -> DataFrame:
-        """All records of the current scans, with their layer; attributes that a scan lacks are null. around: in project
-        coordinates, a box beyond which records may be left out; Parquet skips row groups by it."""
+    def records(self, scans: list[str] | None = None, around: Bounds | None = None, touched: Callable[[np.ndarray], Callable[[Bounds], bool]] | None = None) -> DataFrame:
+        """All records of the current scans, with their layer; attributes that a scan lacks are null.
+
+        around: in project coordinates, a box beyond which records may be left out; Parquet skips row groups by it.
+        touched: gives, for a scan's world matrix, a condition on boxes in the scan's own coordinates; display nodes whose
+        box fails it may be left out, as ranges of node keys, by which Parquet skips too. No point of a labelled scan is
+        moved to meet its label."""
         own = [s for s in self.history.current.scans if scans is None or s in scans]
         out = None
         for s in own:
-            part = self.spark.read.parquet(f"{self.path('points')}/scan_{s}")
+            part = self._table("points", s)
             if around is not None:
                 b = around.moved(np.linalg.inv(self.history.world(s)))
                 slack = 1e-9 * (1 + np.abs([around.lo, around.hi, b.lo, b.hi]).max())  # of rounding on both ways
                 for c, lo, hi in zip(xyz(), b.lo, b.hi, strict=True):
                     part = part.where(c.between(float(lo - slack), float(hi + slack)))
+            if touched is not None:
+                ranges = self.key_ranges(s, touched(self.history.world(s)))
+                part = part.where(reduce(lambda a, b: a | b, (F.col("_node").between(lo, hi) for lo, hi in ranges), F.lit(False)))
+            part = self._labelled(part, s)
             out = part if out is None else out.unionByName(part, allowMissingColumns=True)
-        if out is None:
-            return self.spark.createDataFrame([], "scan string, chunk int, idx int, valid boolean, x double, y double, z double, code short")
+        return out if out is not None else self.spark.createDataFrame([], "scan string, chunk int, idx int, _tile bigint, _node bigint, valid boolean, x double, y double, z double, code short")
+
+    def _labelled(self, part: DataFrame, scan: str) -> DataFrame:
         patches = self.history.current.labels
-        if not patches:
-            return out.withColumn("code", F.lit(DEFAULT_LAYER).cast("short"))
-        changes = self.spark.read.schema(LABELS).parquet(*(f"{self.path('labels')}/{p}" for p in patches))
-        seq = F.array_position(F.lit(list(patches)), F.col("patch"))
-        return layers.labelled(out, layers.last_labels(changes.withColumn("seq", seq), ("scan", *REF)), ("scan", *REF))
+        changes = self._table("labels", scan) if patches else None
+        if changes is None:
+            return part.withColumn("code", F.lit(DEFAULT_LAYER).cast("short"))
+        changes = changes.where(F.col("patch").isin(list(patches))).withColumn("seq", F.array_position(F.lit(list(patches)), F.col("patch")))
+        return layers.labelled(part, layers.last_labels(changes, REF).hint("shuffle_hash"), REF)
+
+    def nodes(self, scan: str) -> DataFrame:
+        """A scan's display nodes: node, level, tile, file, n, and bounds in its own coordinates."""
+        return self.spark.read.parquet(f"{self.path('nodes')}/scan_{scan}")
+
+    def key_ranges(self, scan: str, condition: Callable[[Bounds], bool]) -> list[tuple[int, int]]:
+        """Ranges of node keys that hold every node whose box meets a condition: MOST_RANGES at most, the smallest gaps
+        closed. Nodes are asked where they lie and told apart down to REGION_LEVEL levels below the root."""
+
+        def ask(batches):
+            for b in batches:
+                box = np.stack([np.asarray(b.column(f"{n}_{c}")) for n in ("min", "max") for c in "xyz"], 1)
+                ok = np.array([condition(Bounds(tuple(x[:3]), tuple(x[3:]))) for x in box.tolist()], bool)
+                yield pa.RecordBatch.from_arrays([b.column("node").filter(pa.array(ok)), b.column("level").filter(pa.array(ok))], names=["node", "level"])
+
+        met = self.nodes(scan).drop("tile", "file", "n").distinct().mapInArrow(ask, "node bigint, level int")
+        coarse = F.expr(f"shiftright(node, greatest(level - {REGION_LEVEL}, 0) * 3)")
+        rows = met.groupBy("level", coarse).agg(F.min("node").alias("lo"), F.max("node").alias("hi")).collect()  # 18 * 8^REGION_LEVEL at most
+        spans = sorted((r["lo"], r["hi"]) for r in rows)
+        gaps = sorted(range(1, len(spans)), key=lambda k: spans[k][0] - spans[k - 1][1])
+        closed = set(gaps[: max(0, len(spans) - MOST_RANGES)])
+        out: list[tuple[int, int]] = []
+        for k, (lo, hi) in enumerate(spans):
+            if k in closed:
+                out[-1] = (out[-1][0], max(hi, out[-1][1]))
+            else:
+                out.append((lo, hi))
+        return out
 
-    def points(self, scans: list[str] | None = None, around: Bounds | None = None) -> DataFrame:
+    def points(self, scans: list[str] | None = None, around: Bounds | None = None, touched=None) -> DataFrame:
         """Valid points of visible layers."""
-        return layers.visible(self.records(scans, around), self.history.current.shown, "valid")
+        return layers.visible(self.records(scans, around, touched), self.history.current.shown, "valid")
 
-    def world_points(self, scans: list[str] | None = None, around: Bounds | None = None) -> DataFrame:
+    def world_points(self, scans: list[str] | None = None, around: Bounds | None = None, touched=None) -> DataFrame:
         """points() in project coordinates, with the scan's place in the order."""
-        out = self.points(scans, around)
+        out = self.points(scans, around, touched)
         rows = [(s, k, *(float(v) for v in self.history.world(s)[:3].ravel())) for k, s in enumerate(self.history.current.scans)]
         m = self.spark.createDataFrame(rows, "scan string, scan_order int, " + ", ".join(f"m{i}{j} double" for i in range(3) for j in range(4)))
         joined = out.join(F.broadcast(m), "scan")  # a row for each scan
@@ -281,18 +383,50 @@ class PointProject:
         state = self.history.current
         known = next((x for x in state.layers if target in (x.code, x.name)), None)
         layer = known or Layer(state.free_code(), str(target), False)
-        patch = new_id()
-        path = f"{self.path('labels')}/{patch}"
-        layers.relabel(moved, layer.code, ("scan", *REF)).withColumn("patch", F.lit(patch)).write.parquet(path)
-        n = self.spark.read.parquet(path).count()
+        changes = layers.relabel(moved, layer.code, ("scan", *REF))
+        patch, n = self._patch(changes)
         if not n and not always:
-            shutil.rmtree(path, ignore_errors=True)
             return 0
         added = () if known else (layer,)
-        self.history.edit(kind, lambda s: replace(s, labels=(*s.labels, patch), layers=(*s.layers, *added)), target=layer.code, moved=n, **details)
+        self.history.edit(kind, lambda s: replace(s, labels=(*s.labels, *([patch] if n else [])), layers=(*s.layers, *added)), target=layer.code, moved=n, **details)
+        if len(self.history.current.labels) > MOST_PATCHES:
+            self.compact_labels()
         self.store()
         return n
 
+    def _patch(self, changes: DataFrame) -> tuple[str, int]:
+        """Writes labels (scan, ref, code) in the buckets of their scans' points; the patch and their number."""
+        patch, part, n = new_id(), f"{self.path('staging')}/{new_id()}", 0
+        try:
+            changes.select("scan", *REF, "code").write.partitionBy("scan").parquet(part)
+            for folder in sorted(x for x in os.listdir(part) if x.startswith("scan=")):
+                scan = folder[5:]
+                own = self.spark.read.parquet(f"{part}/{folder}")
+                n += own.count()
+                path = os.path.abspath(f"{self.path('labels')}/scan_{scan}")
+                self._bucketed(own, f"{path}/patch={patch}", self.history.known[scan].buckets)
+                name = f"pointloom_labels_{hashlib.md5(path.encode()).hexdigest()}"
+                if self.spark.catalog.tableExists(name):
+                    self.spark.sql(f"ALTER TABLE {name} ADD IF NOT EXISTS PARTITION (patch='{patch}')")
+        finally:
+            shutil.rmtree(part, ignore_errors=True)
+        return patch, n
+
+    def compact_labels(self) -> None:
+        """Makes the working state's patches one, of each point's last label. Other states keep theirs."""
+        h, patches = self.history, self.history.current.labels
+        out = None
+        for s in h.current.scans:
+            if (t := self._table("labels", s)) is not None:
+                own = t.where(F.col("patch").isin(list(patches))).withColumn("seq", F.array_position(F.lit(list(patches)), F.col("patch")))
+                own = layers.last_labels(own, REF).where(F.col("code") != DEFAULT_LAYER).withColumn("scan", F.lit(s))
+                out = own if out is None else out.unionByName(own)
+        if out is None or len(patches) < 2:
+            return
+        patch, n = self._patch(out)
+        h.draft = replace(h.draft or h.current, labels=(patch,) if n else ())
+        self.store()
+
     def subsample(self, size: float, target: str = "Subsampled", scans: list[str] | None = None) -> int:
         return self.move(filters.voxel_subsample(self.points(scans), size, REF), target, "subsample", voxel=size)
 
@@ -323,17 +457,23 @@ class PointProject:
         around = box.bounds if inside else None
         return self.move(filters.move_box(self.world_points(scans, around), box, inside), target, "box", inside=inside)
 
+    def selected_points(self, selection: Selection, scans: list[str] | None = None) -> DataFrame:
+        """world_points() without the nodes that a selection of what is inside cannot touch."""
+        if not selection.inside:
+            return self.world_points(scans)
+        return self.world_points(scans, touched=lambda world: lambda box: selection.may_touch(box.moved(world)))
+
     def move_selection(self, selection: Selection, target: str, scans: list[str] | None = None) -> int:
         """A limited depth counts from the nearest selected point of all scans."""
         if not selection.depth_limited:
-            return self.move(filters.move_selection(self.world_points(scans), selection), target, "selection")
+            return self.move(filters.move_selection(self.selected_points(selection, scans), selection), target, "selection")
         nearest = self.selection_nearest(selection)
         if nearest is None:
             return 0
-        return self.move(filters.move_selection(self.world_points(scans), selection, nearest), target, "selection", depth=selection.depth)
+        return self.move(filters.move_selection(self.selected_points(selection, scans), selection, nearest), target, "selection", depth=selection.depth)
 
     def selection_nearest(self, selection: Selection, scans: list[str] | None = None) -> float | None:
-        return filters.selection_nearest(self.world_points(scans), selection).first()["nearest"]
+        return filters.selection_nearest(self.selected_points(selection, scans), selection).first()["nearest"]
 
     def move_layer_points(self, source: str | int, target: str | int) -> int:
         """All records of a layer, shown or not, valid or not."""
@@ -379,7 +519,7 @@ class PointProject:
         own = registration.samples(self.world_points(moving), samples, ("scan", *REF))
         reach = options.get("max_distance", 0.5)
         lo, hi = own.min(0) - reach, own.max(0) + reach
-        near = self.world_points(target)
+        near = self.world_points(target, Bounds(tuple(lo.tolist()), tuple(hi.tolist())))
         for c, a, b in zip(xyz(), lo, hi, strict=True):
             near = near.where((c >= float(a)) & (c <= float(b)))
         result = registration.icp(own, registration.samples(near, 4 * samples, ("scan", *REF)), **options)
@@ -391,13 +531,17 @@ class PointProject:
 
     def cleanup(self) -> dict[str, int]:
         """Removes what no state refers to; the state is written first."""
-        listed = lambda d, cut: {n[len(cut) :] for n in os.listdir(self.path(d)) if n.startswith(cut)} if os.path.isdir(self.path(d)) else set()
-        found = self.history.unreferenced(set(self.history.known), listed("labels", ""), {p.id for s in self.history.states() for p in s.panoramas})
+        inner = lambda d: os.listdir(d) if os.path.isdir(d) else []
+        stored = {f"labels/{s}/{p}": p.removeprefix("patch=") for s in inner(self.path("labels")) for p in inner(self.path(f"labels/{s}")) if p.startswith("patch=")}
+        found = self.history.unreferenced(set(self.history.known), set(stored.values()), {p.id for s in self.history.states() for p in s.panoramas})
         for s in found["scans"]:
             self.history.known.pop(s)
         self.store()
         files = n = 0
-        for folder in [self.path(f"points/scan_{s}") for s in found["scans"]] + [self.path(f"labels/{p}") for p in found["patches"]]:
+        gone = [f"{kind}/scan_{s}" for kind in ("points", "nodes", "labels") for s in found["scans"]] + [f for f, p in stored.items() if p in found["patches"]]
+        for s in {f.split("/")[1] for f in gone if f.startswith("labels/")}:  # the session's table of what is left is made anew
+            self.spark.sql(f"DROP TABLE IF EXISTS pointloom_labels_{hashlib.md5(os.path.abspath(self.path(f'labels/{s}')).encode()).hexdigest()}")
+        for folder in map(self.path, gone):
             for d, _, names in os.walk(folder):
                 files, n = files + len(names), n + sum(os.path.getsize(f"{d}/{x}") for x in names)
             shutil.rmtree(folder, ignore_errors=True)
@@ -424,16 +568,7 @@ class PointProject:
 
 def safe_stems(names: list[str]) -> list[str]:
     """File names without what file systems refuse, different in lower case too."""
-    out, used = [], set()
-    for n in names:
-        stem = re.sub(r'[<>:"/\\|?*\x00-\x1f]', "_", n).strip().strip(".") or "scan"
-        new, k = stem, 1
-        while new.lower() in used:
-            k += 1
-            new = f"{stem}_{k}"
-        used.add(new.lower())
-        out.append(new)
-    return out
+    return hierarchy.numbered_stems([hierarchy.bare_stem(n) for n in names])
 
 
 def world_of(matrix: np.ndarray, points: DataFrame) -> DataFrame:

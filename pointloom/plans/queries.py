@@ -597,7 +597,7 @@ def vlr_common(spark, d):
 
 
 
-@query("SELECT p_partkey AS id, CASE WHEN k = 1 THEN stem ELSE stem || '_' || k END AS stem FROM (SELECT p_partkey, stem, row_number() OVER (PARTITION BY lower(stem) ORDER BY p_partkey) AS k FROM (SELECT p_partkey, trim(regexp_replace(p_name, '[<>:\"/\\\\|?*\\x00-\\x1f]', '_', 'g')) AS stem FROM part))")
+@query("SELECT p_partkey AS id, CASE WHEN k = 1 THEN stem ELSE stem || '_' || k END AS stem FROM (SELECT p_partkey, stem, row_number() OVER (PARTITION BY lower(stem) ORDER BY p_partkey) AS k FROM (SELECT p_partkey, rtrim(trim(regexp_replace(p_name, '[<>:\"/\\\\|?*\\x00-\\x1f]', '_', 'g')), '.') AS stem FROM part))")
 def unique_stems(spark, d):
     return hierarchy.unique_stems(clouds.read(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name")))
 

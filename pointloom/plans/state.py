@@ -33,7 +33,8 @@ class Layer:
 @dataclass(frozen=True)
 class Scan:
     """What is fixed at import. pose: as in the source, None without one; bounds in the scan's own coordinates; images:
-    what the source says of each picture of the scan, and the file below the project that holds it."""
+    what the source says of each picture of the scan, and the file below the project that holds it; buckets: the number
+    that its points and labels are dealt out to."""
 
     id: str
     name: str
@@ -46,6 +47,7 @@ class Scan:
     las: dict | None = None
     guid: str = ""
     images: tuple[dict, ...] = ()
+    buckets: int = 1
 
 
 @dataclass(frozen=True)

@@ -1,4 +1,4 @@
-"""Ships the package to executors that do not have it."""
+"""What a session needs: the package on executors that do not have it, and the folder in which lineage is cut."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = Path(__file__).resolve().parent.parent
 _shipped: set[str] = set()
@@ -28,3 +28,15 @@ def ship(spark: SparkSession) -> None:
             z.write(top, top.name)
     spark.sparkContext.addPyFile(str(target))
     _shipped.add(app)
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """df, written to the cluster's spark.checkpoint.dir and read from there. Where that is unset, a temporary folder
+    serves if this is the only machine; else it is an error."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        named = sc.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="pointloom-"))
+    return df.checkpoint(eager=True)

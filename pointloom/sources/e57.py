@@ -1,7 +1,8 @@
-"""E57 files: scans with Cartesian or spherical points, read a task a scan, and a writer of one file.
+"""E57 files: scans with Cartesian or spherical points, read by ranges of records, and a writer of one file.
 
 A file is cut into pages with a check sum each; offsets in its XML count those, lengths do not. A scan's records are
-columns of bits, spread over packets. Images are blobs with a pose and a projection; they are read and written whole.
+columns of bits, spread over packets. One pass over the packets' heads finds where each column goes on at the first record
+of every range; a task then reads its own packets only. Images are blobs with a pose and a projection; they are read and written whole.
 """
 
 from __future__ import annotations
@@ -19,12 +20,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from pointloom.errors import CoordinateSystemMismatch, TargetExists, UnsupportedFormat
 from pointloom.functions.geometry import Pose, scaled
 from pointloom.operators.statistics import percentile_rows
 from pointloom.plans.state import Scan, new_id
-from pointloom.sources.las import GREY, _open
+from pointloom.sources.las import GREY, TASK_RECORDS, _open
 from pointloom.sources.parts import append_rows
 
 PAGE, SUM = 1024, 4
@@ -191,16 +193,80 @@ def read_header(path: str) -> tuple[list[Data], str | None]:
     return out, text(root, "coordinateMetadata") or None
 
 
-def _columns(f, d: Data) -> Iterator[dict[str, np.ndarray]]:
-    """Blocks of records, each a raw array by field."""
+#: Bytes that are read at once where packets' heads are looked at one after another.
+AHEAD = 1 << 16
+
+
+def _widths(d: Data) -> list[int]:
+    """Bits of a record in each column."""
+    return [{"float": 32, "double": 64}.get(x.kind, x.bits) for x in d.fields]
+
+
+def _data_at(f, d: Data) -> int:
     head = _read(f, d.at, 32)
     if head[0] != 1:
         raise UnsupportedFormat("no compressed vector")
-    at = _logical(struct.unpack_from("<Q", head, 16)[0])
+    return _logical(struct.unpack_from("<Q", head, 16)[0])
+
+
+@dataclass(frozen=True)
+class Range(InputPartition):
+    """Records of a scan: the first one and their number, the packet in which the first of them begins in some column,
+    and the bytes of each column, from that packet on, that belong to earlier records."""
+
+    first: int
+    records: int
+    at: int
+    skip: tuple[int, ...]
+
+
+def ranges(f, d: Data, records: int) -> list[Range]:
+    """The ranges of about `records` records, by one pass over the heads of a scan's packets. A range begins at a
+    multiple of EVEN records, so that every column begins at a whole byte."""
+    at, step, width = _data_at(f, d), max(EVEN, records // EVEN * EVEN), _widths(d)
+    cum, out, held, held_at = [0] * len(width), [], b"", 0
+    firsts = list(range(0, d.records, step)) if any(width) else [0] if d.records else []
+    while len(out) < len(firsts):
+        if not held_at <= at <= held_at + len(held) - 6 - 2 * len(width):  # the head is not among what was read ahead
+            held, held_at = _ahead(f, at), at
+        kind, n = struct.unpack_from("<BxH", held, at - held_at)
+        sizes = [0] * len(width)
+        if kind == 1:
+            count = struct.unpack_from("<H", held, at - held_at + 4)[0]
+            if count != len(width):
+                raise UnsupportedFormat("a packet lacks columns")
+            sizes = struct.unpack_from(f"<{count}H", held, at - held_at + 6)
+        while len(out) < len(firsts):
+            starts = [firsts[len(out)] * w // 8 for w in width]
+            if any(width) and not any(c + size > b for c, size, b, w in zip(cum, sizes, starts, width, strict=True) if w):
+                break
+            first = firsts[len(out)]
+            out.append(Range(first, min(step, d.records - first) if any(width) else d.records, at, tuple(b - c for b, c in zip(starts, cum, strict=True))))
+        cum = [c + size for c, size in zip(cum, sizes, strict=True)]
+        at += n + 1
+    return out
+
+
+def _ahead(f, at: int) -> bytes:
+    """As many bytes from a logical place as there are, up to AHEAD; an error if there is none."""
+    first = at // DATA
+    raw = f.read_at((AHEAD // DATA + 1) * PAGE, first * PAGE)
+    pages = np.frombuffer(raw[: len(raw) // PAGE * PAGE], np.uint8).reshape(-1, PAGE)
+    out = np.ascontiguousarray(pages[:, :DATA]).tobytes()[at - first * DATA :]
+    if len(out) < 6:
+        raise UnsupportedFormat("the file is cut off")
+    return out
+
+
+def _columns(f, d: Data, part: Range | None = None) -> Iterator[dict[str, np.ndarray]]:
+    """Blocks of a range's records, or of all, each a raw array by field."""
+    if part is None:
+        part = Range(0, d.records, _data_at(f, d), (0,) * len(d.fields))
+    at, drop = part.at, list(part.skip)  # drop: bytes of earlier records that are still to come
     held = [bytearray() for _ in d.fields]
     skip = [0] * len(d.fields)  # bits of the first byte that are used already
-    width = [{"float": 32, "double": 64}.get(x.kind, x.bits) for x in d.fields]
-    left = d.records
+    width = _widths(d)
+    left = part.records
     while left:
         ready = min([left] + [(len(b) * 8 - s) // w for b, s, w in zip(held, skip, width, strict=True) if w])
         if ready < min(left, ROWS):
@@ -211,8 +277,10 @@ def _columns(f, d: Data) -> Iterator[dict[str, np.ndarray]]:
                 count = struct.unpack_from("<H", packet, 4)[0]
                 sizes = struct.unpack_from(f"<{count}H", packet, 6)
                 lo = 6 + 2 * count
-                for b, size in zip(held, sizes, strict=True):
-                    b += packet[lo : lo + size]
+                for k, size in enumerate(sizes):
+                    early = min(drop[k], size)
+                    held[k] += packet[lo + early : lo + size]
+                    drop[k] -= early
                     lo += size
             continue
         n, out = min(ready, ROWS), {}
@@ -275,21 +343,42 @@ def decode(d: Data, c: dict, first: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(cols, names=[x.split()[0] for x in SCHEMA.split(", ")])
 
 
-def read(spark: SparkSession, path: str, number: int) -> DataFrame:
-    """The points of a file's scan."""
+class _Reader(DataSourceReader):
+    def __init__(self, path: str, scan: int, records: int):
+        self.path, self.scan, self.records = path, scan, records
+
+    def partitions(self):
+        d = read_header(self.path)[0][self.scan]
+        with _open(self.path) as f:
+            return ranges(f, d, self.records) or [Range(0, 0, d.at, ())]
+
+    def read(self, part):
+        d, first = read_header(self.path)[0][self.scan], part.first
+        with _open(self.path) as f:
+            for c in _columns(f, d, part) if part.records else ():
+                out = decode(d, c, first)
+                first += out.num_rows
+                yield out
 
-    def run(batches):
-        for b in batches:
-            for _ in range(b.num_rows):
-                d = read_header(path)[0][number]
-                first = 0
-                with _open(path) as f:
-                    for c in _columns(f, d):
-                        out = decode(d, c, first)
-                        first += out.num_rows
-                        yield out
-
-    return spark.range(1, numPartitions=1).mapInArrow(run, SCHEMA)
+
+class E57Source(DataSource):
+    """spark.read.format("e57").load(path); options scan: its number in the file, from 0; records: how many a task reads."""
+
+    @classmethod
+    def name(cls):
+        return "e57"
+
+    def schema(self):
+        return SCHEMA
+
+    def reader(self, schema):
+        return _Reader(self.options["path"], int(self.options.get("scan", 0)), int(self.options.get("records", TASK_RECORDS)))
+
+
+def read(spark: SparkSession, path: str, number: int, records: int = TASK_RECORDS) -> DataFrame:
+    """The points of a file's scan."""
+    spark.dataSource.register(E57Source)
+    return spark.read.format("e57").option("scan", number).option("records", records).load(path)
 
 
 def coloured(d: Data, points: DataFrame) -> DataFrame:

@@ -235,6 +235,51 @@ def test_e57_integers_are_exact():
     assert got["rowIndex"].tolist() == v.tolist() and got["k"].tolist() == k.tolist()
 
 
+def test_e57_ranges_of_uneven_packets():
+    from pointloom.sources import e57
+
+    rng, n = np.random.default_rng(3), 5003
+    fields = (e57.Field("x", "double"), e57.Field("k", "int", 11, -3, 2000), e57.Field("same", "int", 0, 7, 7), e57.Field("s", "int", 3, 0, 7), e57.Field("y", "float"))
+    want = {"x": rng.normal(size=n), "k": rng.integers(-3, 2001, n), "same": np.full(n, 7), "s": rng.integers(0, 8, n), "y": rng.normal(size=n).astype("f4")}
+    pack = lambda v, bits: np.packbits(e57._packed(v, bits), bitorder="little").tobytes()
+    streams = [want["x"].tobytes(), pack(want["k"] + 3, 11), b"", pack(want["s"], 3), want["y"].tobytes()]
+    flat, at = e57.struct.pack("<B7xQQQ", 1, 0, 32, 0), [0] * 5
+    while any(a < len(s) for a, s in zip(at, streams, strict=True)):
+        if rng.random() < 0.2:  # an index packet, which readers pass over
+            flat += e57.struct.pack("<BBH", 0, 0, 31) + bytes(28)
+        sizes = [int(min(len(s) - a, rng.integers(0, 900))) for a, s in zip(at, streams, strict=True)]
+        body = e57.struct.pack("<H5H", 5, *sizes) + b"".join(s[a : a + k] for a, k, s in zip(at, sizes, streams, strict=True))
+        body += bytes(-(len(body) + 4) % 4)
+        flat += e57.struct.pack("<BBH", 1, 0, len(body) + 3) + body
+        at = [a + k for a, k in zip(at, sizes, strict=True)]
+    flat += bytes(-len(flat) % e57.DATA)
+    raw = b"".join(flat[k : k + e57.DATA] + bytes(e57.SUM) for k in range(0, len(flat), e57.DATA))
+
+    class File:
+        def read_at(self, n, at):
+            return raw[at : at + n]
+
+    d = e57.Data("", "", None, 0, n, fields, {})
+    for records in (8, 100, 1000, 6000):
+        parts = e57.ranges(File(), d, records)
+        assert len(parts) == -(-n // (records // 8 * 8)) and sum(p.records for p in parts) == n
+        got = [c for p in parts for c in e57._columns(File(), d, p)]
+        for name, v in want.items():
+            assert np.array_equal(np.concatenate([c[name] for c in got]), v)
+    assert e57.ranges(File(), e57.Data("", "", None, 0, 0, fields, {}), 100) == []
+
+
+def test_e57_is_read_by_many_tasks(spark, project, tmp_path):
+    from pointloom.sources import e57
+
+    project.export_e57(f"{tmp_path}/all.e57")
+    for scan in range(2):
+        whole, parts = (e57.read(spark, f"{tmp_path}/all.e57", scan, records=n) for n in (1 << 20, 64))
+        n = whole.count()
+        assert whole.rdd.getNumPartitions() == 1 and parts.rdd.getNumPartitions() == -(-n // 64) > 1
+        assert sorted(map(str, whole.collect())) == sorted(map(str, parts.collect()))
+
+
 def test_commands(spark, tmp_path, capsys):
     from pointloom import cli
 
