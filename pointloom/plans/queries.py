@@ -10,9 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pointloom.functions import geometry as G
-from pointloom.operators import filters, hierarchy, layers, octree, registration, statistics, views
+from pointloom.operators import filters, hierarchy, layers, octree, registration, statistics, tiles, views
 from pointloom.plans import clouds
 from pointloom.plans.clouds import EMB, EVT, LI, LI_REF
+from pointloom.session import checkpoint
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -314,12 +315,13 @@ def overlay_occlusion(spark, d):
 
 # ---- layers ------------------------------------------------------------------------------------------------------------------------
 
-_CHANGES = "change AS (SELECT event_id % 700 AS ref, event_id AS seq, CAST(user_id % 5 AS SMALLINT) AS code FROM events WHERE event_type <> 'view')"
+_CHANGES = "change AS (SELECT event_id - user_id % 3 AS ref, event_id AS seq, CAST(user_id % 5 AS SMALLINT) AS code FROM events)"
 
 
 def _changes(spark, d):
-    e = clouds.read(spark, d, "events").where("event_type <> 'view'")
-    return e.select((F.col("event_id") % 700).alias("ref"), F.col("event_id").alias("seq"), (F.col("user_id") % 5).cast("short").alias("code"))
+    """Every event labels itself or one of the two before it, so that a point has up to three changes, or none."""
+    e = clouds.read(spark, d, "events")
+    return e.select((F.col("event_id") - F.col("user_id") % 3).alias("ref"), F.col("event_id").alias("seq"), (F.col("user_id") % 5).cast("short").alias("code"))
 
 
 @query(f"WITH {_CHANGES} SELECT ref, arg_max(code, seq) AS code FROM change GROUP BY ref")
@@ -625,8 +627,40 @@ def panorama_raster(spark, d):
 
 
 
-@query("SELECT i, round(0.3 * sin(2 * x) * cos(2 * y), 6) + 0.0 AS z FROM (SELECT i, (i % 128) / 128.0 * 4 - 2 AS x, (i // 128) / 128.0 * 4 - 2 AS y FROM range(16384) t(i))")
+@query("SELECT i, round(0.3 * sin(2 * x) * cos(2 * y), 6) + 0.0 AS z FROM (SELECT event_id AS i, (event_id % 128) / 128.0 * 4 - 2 AS x, (event_id // 128) / 128.0 * 4 - 2 AS y FROM events)")
 def demo_sheet(spark, d):
-    from pointloom.sources.demo import demo_points
+    """A waved sheet that has a place for each event."""
+    from pointloom.sources.demo import sheet
+
+    own = sheet(clouds.read(spark, d, "events").select(F.col("event_id").alias("id")), 128)
+    return own.select((F.col("row") * 128 + F.col("col")).alias("i"), (F.round("z", 6) + 0.0).alias("z"))
+
+
+_TILE_CODE = " + ".join(f"(((least(CAST(floor({c} / 512.0 * 131072) AS BIGINT), 131071) >> i) & 1) << (3 * i + {k}))" for k, c in enumerate("xyz"))
+_TILES = (
+    f"code AS (SELECT ref, CAST(list_sum([{_TILE_CODE} for i in range(17)]) AS BIGINT) AS code FROM evt), "
+    "path AS (SELECT ref, level, (1::BIGINT << (3 * level)) | (code >> (3 * (17 - level))) AS key FROM code, (SELECT CAST(unnest(range(18)) AS INT) AS level)), "
+    "few AS (SELECT key FROM path GROUP BY key HAVING count(*) <= 150), tile AS (SELECT ref, min(key) AS tile FROM path WHERE key IN (SELECT key FROM few) GROUP BY ref)"
+)
+
+
+@query(f"WITH {EVT}, {_TILES} SELECT tile, count(*) AS n FROM tile GROUP BY tile")
+def tile_counts(spark, d):
+    """The tiles that an import deals points out by, with 150 points at most."""
+    return _tiled(spark, d)[0].groupBy(F.col("_tile").alias("tile")).agg(F.count("*").alias("n"))
+
+
+@query(None)
+def stored_nodes(spark, d):
+    """The display nodes that an import stores, with their own points: held against plain searches in tests/test_tiles.py."""
+    p, deepest, size = *_tiled(spark, d), 512.0
+    built = tiles.with_nodes(p, (0.0, 0.0, 0.0), size, ("ref",), 8, 50, 8)
+    built = checkpoint(built)
+    above = tiles.above_tiles(built.where("_waiting"), (0.0, 0.0, 0.0), size, ("ref",), deepest, checkpoint, 8)
+    kept = built.where("NOT _waiting").drop("_waiting").unionByName(above)
+    return kept.groupBy(F.col("_node").alias("node")).agg(F.count("*").alias("n"), F.min("ref").alias("first"))
+
 
-    return demo_points(spark).select((F.col("row") * 128 + F.col("col")).alias("i"), (F.round("z", 6) + 0.0).alias("z"))
+def _tiled(spark, d):
+    p = clouds.events(spark, d).drop("code").withColumn("valid", F.lit(True))
+    return tiles.tiled(p, (0.0, 0.0, 0.0), 512.0, ("ref",), checkpoint, 150)

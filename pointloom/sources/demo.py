@@ -12,8 +12,12 @@ from pointloom.plans.state import Scan, new_id
 
 
 def demo_points(spark: SparkSession, side: int = 128) -> DataFrame:
-    """A sheet of side * side points: z = 0.3 sin 2x cos 2y, coloured by height."""
-    i = spark.range(side * side)
+    """A sheet of side * side points."""
+    return sheet(spark.range(side * side), side)
+
+
+def sheet(i: DataFrame, side: int) -> DataFrame:
+    """Points of a sheet by their numbers (id), side to a row: z = 0.3 sin 2x cos 2y, coloured by height."""
     x, y = (F.col("id") % side) / side * 4 - 2, F.floor(F.col("id") / side) / side * 4 - 2
     own = i.select("id", x.alias("x"), y.alias("y")).withColumn("z", F.sin(F.col("x") * 2) * F.cos(F.col("y") * 2) * 0.3)
     shade = F.floor((F.col("z") + 0.3) / 0.6 * 255).cast("short")
