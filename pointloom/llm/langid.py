@@ -16,10 +16,12 @@ from . import common as C
 
 SEGMENT = 64
 HIDDEN = 8
-#: Labelled texts that are learnt from at most, the same number of each language: those with the smallest hashes.
-SAMPLE_ROWS = 6_000
+#: Labelled texts that are learnt from at most, and their bytes, the same share of each language: those with the smallest
+#: hashes, each text whole; one that alone exceeds its language's share of the bytes is not learnt from.
+SAMPLE_ROWS, SAMPLE_BYTES = 6_000, 10 << 20
 #: Ranges of the hash that texts are counted by, to find where a language's sample ends.
 RANGES = 4096
+#: Batches at least; more if it takes more until every segment of the sample was read.
 STEPS = 700
 BATCH = 256
 UND = "und"
@@ -147,13 +149,16 @@ class Network:
 
 
 def train(x: np.ndarray, y: np.ndarray, size: np.ndarray, languages: int, steps: int = STEPS, seed: int = 3) -> Network:
-    """Adam on batches of segments in which each language has the same share."""
+    """Adam on batches of segments in which each language has the same share. A language's segments come in one
+    random order, over and over, and batches go on until all were read."""
     net, rng = Network(languages, seed=seed), np.random.default_rng(seed)
     m = {k: np.zeros_like(v) for k, v in net.p.items()}
     v = {k: np.zeros_like(w) for k, w in net.p.items()}
-    of = [np.flatnonzero(y == k) for k in range(languages)]
+    of = [own for k in range(languages) if len(own := rng.permutation(np.flatnonzero(y == k)))]
+    share = BATCH // languages + 1
+    steps = max(steps, *(-(-len(own) // share) for own in of)) if of else 0
     for step in range(1, steps + 1):
-        pick = np.concatenate([rng.choice(own, BATCH // languages + 1) for own in of if len(own)])
+        pick = np.concatenate([np.take(own, np.arange((step - 1) * share, step * share), mode="wrap") for own in of])
         _, g = net.gradient(x[pick], y[pick], size[pick])
         norm = np.sqrt(sum(float((w.astype(np.float64) ** 2).sum()) for w in g.values()))
         rate = 0.02 * min(1.0, 2 * (1 - step / (steps + 1)))
@@ -165,10 +170,10 @@ def train(x: np.ndarray, y: np.ndarray, size: np.ndarray, languages: int, steps:
     return net
 
 
-def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = SAMPLE_ROWS, steps: int = STEPS) -> tuple[list[str], Network | None]:
+def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = SAMPLE_ROWS, steps: int = STEPS, sample_bytes: int = SAMPLE_BYTES) -> tuple[list[str], Network | None]:
     """Languages and a network, from texts with a language whose crc32 of the id, modulo 3, is not 1: of each language
-    its share of `rows` at most, one at least, with all their segments. The sampled texts are held by the driver. Without
-    any, no language and no network."""
+    its share of `rows` and of `sample_bytes` at most, with all their segments. The sampled texts are held by the driver.
+    A language whose every text exceeds its share of the bytes is not learnt; without any, no language and no network."""
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     fit = own.where((C.remainder(F.col("id"), 3) != 1) & F.col("text").isNotNull() & (F.col("text") != "") & F.col("lang").isNotNull())
     fit = fit.withColumn("hash", F.xxhash64("id", "text")).withColumn("range", F.pmod("hash", F.lit(RANGES)))
@@ -176,13 +181,19 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     names = sorted(r["lang"] for r in counts.select("lang").distinct().collect())
     if not names:
         return [], None
-    most = max(1, rows // len(names))
+    most, share = max(1, rows // len(names)), sample_bytes // len(names)
     before = F.sum("n").over(Window.partitionBy("lang").orderBy("range")) - F.col("n")
     ends = counts.withColumn("before", before).where(F.col("before") < most).groupBy("lang").agg(F.max("range").alias("end"))
     near = fit.join(F.broadcast(ends), "lang").where("range <= end")  # a language has one row in ends
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("range", "hash", "id", "text"))
-    got = near.withColumn("rank", rank).where(F.col("rank") <= most).select("lang", "text").toArrow()
+    near = near.where(F.octet_length("text") <= share)
+    order = Window.partitionBy("lang").orderBy("range", "hash", "id", "text")
+    first = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
+    so_far = F.sum(F.octet_length("text")).over(Window.partitionBy("lang").orderBy("rank"))
+    got = first.withColumn("so_far", so_far).where(F.col("so_far") <= share).select("lang", "text").toArrow()
     got = got.sort_by([("lang", "ascending"), ("text", "ascending")])  # the same network in whatever order rows arrive
+    names = sorted(set(got.column("lang").to_pylist()))
+    if not names:
+        return [], None
     x, of, size = segments(*C.buffers(got.column("text")))
     y = np.array([names.index(k) for k in got.column("lang").to_pylist()])[of]
     return names, train(x, y, size, len(names), steps)

@@ -86,6 +86,29 @@ def test_languages_are_learnt_from_whole_texts_of_each(spark, monkeypatch):
     assert got == {"en": 20, "de": sum(lang == "de" for lang in whole.values())} and got["de"] > 0
 
 
+def test_every_segment_is_learnt_from(monkeypatch):
+    rng = np.random.default_rng(1)
+    x, size = rng.integers(97, 123, (5000, langid.SEGMENT)).astype(np.uint8), np.full(5000, langid.SEGMENT)
+    x[:, :4] = np.arange(5000, dtype=np.uint32).view(np.uint8).reshape(-1, 4)
+    seen = []
+
+    def gradient(self, x, y, size):
+        seen.append(np.ascontiguousarray(x[:, :4]).view(np.uint32)[:, 0])
+        return 0.0, {k: np.zeros_like(v) for k, v in self.p.items()}
+
+    monkeypatch.setattr(langid.Network, "gradient", gradient)
+    langid.train(x, (np.arange(5000) < 300).astype(int), size, 2, steps=3)
+    assert len(np.unique(np.concatenate(seen))) == 5000 and len(seen) == -(-4700 // (langid.BATCH // 2 + 1))
+
+
+def test_the_sample_of_languages_is_bounded_in_bytes(spark, monkeypatch):
+    docs = [(k, "abcdefg " * (10 + k % 7), "en") for k in range(300)] + [(k, "x " * 50_000, "long") for k in range(300, 340)] + [(k, "ein Text ", "de") for k in range(400, 440)]
+    held = {}
+    monkeypatch.setattr(langid, "train", lambda x, y, size, languages, steps: held.update(y=y, size=size))
+    names, _ = langid.learn(spark.createDataFrame(docs, "doc_id long, text string, lang string"), sample_bytes=6000)
+    assert names == ["de", "en"] and 1500 < held["size"][held["y"] == 1].sum() <= 2000 and held["size"][held["y"] == 0].sum() <= 2000
+
+
 def test_segments_cover_all_bytes():
     s = shard([(1, "abc"), (2, ""), (3, "X" * 200), (4, "y" * 64)])
     x, of, size = langid.segments(s.off, s.data)
