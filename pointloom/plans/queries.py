@@ -506,6 +506,24 @@ def icp_normal_equations(spark, d):
 
 
 
+@query("SELECT count(*) AS n, true AS recovered FROM events")
+def icp_whole_scan(spark, d):
+    """A waved sheet with a place for each event, moved a little, aligned to itself as it was: whether ICP over the whole
+    tables undoes the motion to a millimetre at all corners."""
+    from pointloom.sources.demo import sheet
+
+    own = sheet(clouds.read(spark, d, "events").select(F.col("event_id").alias("id")), 128).select(F.col("row").alias("i"), F.col("col").alias("j"), *"xyz")
+    moved = np.eye(4)
+    moved[:3, :3], moved[:3, 3] = G.rotation_vector([0.002, -0.001, 0.001]), (0.004, -0.003, 0.006)
+    away = own.select("i", "j", *(c.alias(a) for a, c in zip("xyz", G.affine(moved, G.xyz()), strict=True)))
+    got = registration.icp_tables(away, own, ("i", "j"), 0.05, 0.05, 8)
+    rows = own.agg(F.count("*").alias("n"), F.max("y").alias("y"))
+    reach = [F.lit(2.0), F.col("y"), F.lit(0.3)]
+    off = got.motion @ moved - np.eye(4)
+    error = F.greatest(*(F.abs(F.lit(float(r[3]))) + sum(F.abs(F.lit(float(v)) * c) for v, c in zip(r[:3], reach, strict=True)) for r in off[:3]))
+    return rows.select("n", (error < 0.001).alias("recovered"))
+
+
 @query(f"WITH {EVT}, box AS (SELECT scan, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1, min(z) AS z0, max(z) AS z1 FROM evt GROUP BY scan) SELECT a.scan AS a, b.scan AS b FROM box a JOIN box b ON a.scan < b.scan AND a.x0 <= b.x1 AND b.x0 <= a.x1 AND a.y0 <= b.y1 AND b.y0 <= a.y1 AND a.z0 <= b.z1 AND b.z0 <= a.z1")
 def overlap_pairs(spark, d):
     """Scans whose boxes touch."""
