@@ -1,4 +1,4 @@
-"""Layout for skipping and for display: Morton chunks, levels of detail, and the choice of nodes for a view."""
+"""Grids and levels of detail, and the choice of nodes for a view."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pointloom.functions.geometry import Bounds, Camera, distance2, morton, xyz
+from pointloom.functions.geometry import Bounds, Camera, distance2, xyz
 
 #: Cells along a node's longest side.
 GRID = 128
@@ -18,20 +18,6 @@ RANKED = 100_000
 SMALLEST = 0.015
 
 
-def with_morton(points: DataFrame, lo: tuple[float, float, float], size: float) -> DataFrame:
-    """points with code: the Morton number of their cell of the given size, counted from lo (21 bits an axis)."""
-    c = [F.floor((v - float(a)) / size).cast("long") for v, a in zip(xyz(), lo, strict=True)]
-    return points.withColumn("code", morton(*c))
-
-
-def clustered(points: DataFrame, lo: tuple[float, float, float], size: float, partitions: int | None = None) -> DataFrame:
-    """points dealt out by ranges of Morton numbers and sorted, so that row groups are compact boxes that filters skip.
-    Without a number of partitions Spark sizes them. Numbers repeat beyond 2^21 cells from lo, which costs only skipping."""
-    ranged = with_morton(points, lo, size)
-    ranged = ranged.repartitionByRange("code") if partitions is None else ranged.repartitionByRange(partitions, "code")
-    return ranged.sortWithinPartitions("code").drop("code")
-
-
 def chunk_stats(points: DataFrame, size: float, scan: str = "scan") -> DataFrame:
     """Of each cell of a scan the number of points and their bounds."""
     cells = [F.floor(v / size).cast("long").alias(n) for v, n in zip(xyz(), ("cx", "cy", "cz"), strict=True)]
@@ -182,22 +168,6 @@ def thinned(points: DataFrame, quotas: DataFrame, keys: tuple[str, ...], order:
     return own.where(chosen).drop("_i", "_n", "_lo", "_width", "_b", "_before", "quota")
 
 
-def processing_samples(levels: DataFrame, budget: int, order: tuple[str, ...], scan: str = "scan") -> DataFrame:
-    """Whole levels, the coarsest first, until the budget is reached; thinned evenly to it if half over."""
-    counts = {r["level"]: r["count"] for r in levels.groupBy("level").count().collect()}  # a row for each level
-    total, last = 0, 0
-    for level in sorted(counts):
-        total, last = total + counts[level], level
-        if total >= budget:
-            break
-    picked = levels.where(F.col("level") <= last)
-    if total <= 1.5 * budget:
-        return picked
-    n = picked.groupBy(scan).agg(F.count("*").alias("n"))
-    quotas = n.select(scan, F.greatest(F.floor(F.col("n") * budget / total), F.lit(1)).alias("quota"))
-    return thinned(picked, quotas, (scan,), order)
-
-
 def view_points(levels: DataFrame, chosen: list[tuple[Node, int]], ref: tuple[str, ...], scan: str = "scan") -> DataFrame:
     """The points of chosen nodes, thinned to their numbers, with 32-bit offsets dx, dy, dz from the node's centre."""
     keys = (scan, "level", "nx", "ny", "nz")

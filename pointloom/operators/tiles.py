@@ -162,6 +162,16 @@ def above_tiles(waiting: DataFrame, lo: tuple[float, float, float], size: float,
     return reduce(DataFrame.unionByName, done).withColumn("_tile", F.when(stays, F.col("_tile")).otherwise(F.col("_node"))).drop("_level")
 
 
+def levels_within(counts: dict[int, int], budget: int) -> tuple[int, int]:
+    """The last of the levels, the coarsest first, that it takes to reach a budget, and the points of all of them."""
+    last, total = 0, 0
+    for level in sorted(counts):
+        last, total = level, total + counts[level]
+        if total >= budget:
+            break
+    return last, total
+
+
 def node_table(points: DataFrame) -> DataFrame:
     """Of each display node and file its number of points: node, level, tile, file, n, and the bounds min_x .. max_z of
     all points in the node and below it."""

@@ -303,13 +303,13 @@ class PointProject:
 
     # ---- points
 
-    def records(self, scans: list[str] | None = None, around: Bounds | None = None, touched: Callable[[np.ndarray], Callable[[Bounds], bool]] | None = None) -> DataFrame:
+    def records(self, scans: list[str] | None = None, around: Bounds | None = None, touched: Callable[[np.ndarray], Callable[[Bounds], bool]] | None = None, level: int | None = None) -> DataFrame:
         """All records of the current scans, with their layer; attributes that a scan lacks are null.
 
         around: in project coordinates, a box beyond which records may be left out; Parquet skips row groups by it.
         touched: gives, for a scan's world matrix, a condition on boxes in the scan's own coordinates; display nodes whose
-        box fails it may be left out, as ranges of node keys, by which Parquet skips too. No point of a labelled scan is
-        moved to meet its label."""
+        box fails it may be left out, as ranges of node keys, by which Parquet skips too. level: the last display level;
+        what lies below is left out, and records without a place. No point of a labelled scan is moved to meet its label."""
         own = [s for s in self.history.current.scans if scans is None or s in scans]
         out = None
         for s in own:
@@ -322,6 +322,8 @@ class PointProject:
             if touched is not None:
                 ranges = self.key_ranges(s, touched(self.history.world(s)))
                 part = part.where(reduce(lambda a, b: a | b, (F.col("_node").between(lo, hi) for lo, hi in ranges), F.lit(False)))
+            if level is not None:
+                part = part.where(F.col("_node").between(tiles.ROOT, (1 << 3 * (level + 1)) - 1))
             part = self._labelled(part, s)
             out = part if out is None else out.unionByName(part, allowMissingColumns=True)
         return out if out is not None else self.spark.createDataFrame([], "scan string, chunk int, idx int, _tile bigint, _node bigint, valid boolean, x double, y double, z double, code short")
@@ -362,13 +364,13 @@ class PointProject:
                 out.append((lo, hi))
         return out
 
-    def points(self, scans: list[str] | None = None, around: Bounds | None = None, touched=None) -> DataFrame:
-        """Valid points of visible layers."""
-        return layers.visible(self.records(scans, around, touched), self.history.current.shown, "valid")
+    def points(self, scans: list[str] | None = None, around: Bounds | None = None, **how) -> DataFrame:
+        """Valid points of visible layers; how: as of records()."""
+        return layers.visible(self.records(scans, around, **how), self.history.current.shown, "valid")
 
-    def world_points(self, scans: list[str] | None = None, around: Bounds | None = None, touched=None) -> DataFrame:
+    def world_points(self, scans: list[str] | None = None, around: Bounds | None = None, **how) -> DataFrame:
         """points() in project coordinates, with the scan's place in the order."""
-        out = self.points(scans, around, touched)
+        out = self.points(scans, around, **how)
         rows = [(s, k, *(float(v) for v in self.history.world(s)[:3].ravel())) for k, s in enumerate(self.history.current.scans)]
         m = self.spark.createDataFrame(rows, "scan string, scan_order int, " + ", ".join(f"m{i}{j} double" for i in range(3) for j in range(4)))
         joined = out.join(F.broadcast(m), "scan")  # a row for each scan
@@ -378,9 +380,11 @@ class PointProject:
     # ---- moving points between layers
 
     def move(self, moved: DataFrame, target: str | int, kind: str, always: bool = False, **details) -> int:
-        """Relabels points (scan, chunk, idx, code) into a layer, which is made, hidden, if it does not exist. Moving none
-        changes nothing."""
+        """Relabels points (scan, ref, code) into a layer, which is made, hidden, if it does not exist. Moving none changes
+        nothing. scans: those that were asked, None for all; the log has them in their shortest form."""
         state = self.history.current
+        if "scans" in details:
+            details["scans"] = state.scans_record(details["scans"])
         known = next((x for x in state.layers if target in (x.code, x.name)), None)
         layer = known or Layer(state.free_code(), str(target), False)
         changes = layers.relabel(moved, layer.code, ("scan", *REF))
@@ -428,16 +432,16 @@ class PointProject:
         self.store()
 
     def subsample(self, size: float, target: str = "Subsampled", scans: list[str] | None = None) -> int:
-        return self.move(filters.voxel_subsample(self.points(scans), size, REF), target, "subsample", voxel=size)
+        return self.move(filters.voxel_subsample(self.points(scans), size, REF), target, "subsample", scans=scans, voxel=size)
 
     def subsample_merged(self, size: float, target: str = "Subsampled", scans: list[str] | None = None) -> int:
-        return self.move(filters.voxel_subsample_merged(self.world_points(scans), size, ("scan_order", *REF)), target, "subsample", voxel=size, merged=True)
+        return self.move(filters.voxel_subsample_merged(self.world_points(scans), size, ("scan_order", *REF)), target, "subsample", scans=scans, voxel=size, merged=True)
 
     def remove_noise(self, radius: float = 0.05, min_neighbours: int = 4, target: str = "Noise", scans: list[str] | None = None) -> int:
-        return self.move(filters.remove_noise(self.points(scans), radius, min_neighbours, REF), target, "noise_filter", radius=radius, neighbours=min_neighbours)
+        return self.move(filters.remove_noise(self.points(scans), radius, min_neighbours, REF), target, "noise_filter", scans=scans, radius=radius, neighbours=min_neighbours)
 
     def remove_outliers(self, k: int = 6, deviations: float = 1.0, reach: float = 0.5, target: str = "Noise", scans: list[str] | None = None) -> int:
-        return self.move(filters.remove_outliers(self.points(scans), k, deviations, reach, REF), target, "outlier_filter", neighbours=k, deviations=deviations)
+        return self.move(filters.remove_outliers(self.points(scans), k, deviations, reach, REF), target, "outlier_filter", scans=scans, neighbours=k, deviations=deviations)
 
     def scanners(self) -> dict[str, np.ndarray]:
         return {s: self.history.world(s)[:3, 3] for s in self.history.current.scans if self.history.scanner(s) is not None}
@@ -446,16 +450,16 @@ class PointProject:
         order = {s: k for k, s in enumerate(self.history.current.scans)}
         rows = [(order[s], *map(float, p)) for s, p in self.scanners().items()]
         at = self.spark.createDataFrame(rows, "scan_order int, sx double, sy double, sz double")
-        return self.move(filters.reduce_overlap(self.world_points(scans), size, REF, at, "scan_order"), target, "reduce_overlap", size=size)
+        return self.move(filters.reduce_overlap(self.world_points(scans), size, REF, at, "scan_order"), target, "reduce_overlap", scans=scans, size=size)
 
     def remove_moving(self, degrees: float = 0.1, tolerance: float = 0.05, min_scans: int = 2, target: str = "Moving", scans: list[str] | None = None) -> int:
         frames = {s: np.linalg.inv(self.history.world(s)) for s in self.scanners()}
-        return self.move(filters.remove_moving(self.world_points(scans), frames, REF, degrees, tolerance, min_scans), target, "moving_objects", degrees=degrees)
+        return self.move(filters.remove_moving(self.world_points(scans), frames, REF, degrees, tolerance, min_scans), target, "moving_objects", scans=scans, degrees=degrees)
 
     def move_box(self, box: CropBox, inside: bool, target: str, scans: list[str] | None = None) -> int:
         box.check()
         around = box.bounds if inside else None
-        return self.move(filters.move_box(self.world_points(scans, around), box, inside), target, "box", inside=inside)
+        return self.move(filters.move_box(self.world_points(scans, around), box, inside), target, "box", scans=scans, inside=inside)
 
     def selected_points(self, selection: Selection, scans: list[str] | None = None) -> DataFrame:
         """world_points() without the nodes that a selection of what is inside cannot touch."""
@@ -466,11 +470,11 @@ class PointProject:
     def move_selection(self, selection: Selection, target: str, scans: list[str] | None = None) -> int:
         """A limited depth counts from the nearest selected point of all scans."""
         if not selection.depth_limited:
-            return self.move(filters.move_selection(self.selected_points(selection, scans), selection), target, "selection")
+            return self.move(filters.move_selection(self.selected_points(selection, scans), selection), target, "selection", scans=scans)
         nearest = self.selection_nearest(selection)
         if nearest is None:
             return 0
-        return self.move(filters.move_selection(self.selected_points(selection, scans), selection, nearest), target, "selection", depth=selection.depth)
+        return self.move(filters.move_selection(self.selected_points(selection, scans), selection, nearest), target, "selection", scans=scans, depth=selection.depth)
 
     def selection_nearest(self, selection: Selection, scans: list[str] | None = None) -> float | None:
         return filters.selection_nearest(self.selected_points(selection, scans), selection).first()["nearest"]
@@ -510,24 +514,50 @@ class PointProject:
         self.history.scatter(scans, self.anchors(scans), seed)
         self.store()
 
-    def icp(self, item: str, reference: list[str], samples: int = 60_000, **options) -> tuple[Pose, registration.IcpResult]:
-        """The item's own transform that aligns it to the reference scans; nothing is changed."""
+    def sample_points(self, scans: list[str], budget: int, around: Bounds | None = None) -> DataFrame:
+        """World points of whole display levels, the coarsest first, until their number reaches the budget; what is over one
+        and a half times it is thinned evenly. Files below those levels are not read."""
+        counts: dict[int, int] = {}
+        for s in scans:
+            for r in self.nodes(s).groupBy("level").agg(F.sum("n").alias("n")).collect():  # a row for each level
+                counts[r["level"]] = counts.get(r["level"], 0) + r["n"]
+        last, total = tiles.levels_within(counts, budget)
+        out = self.world_points(scans, around, level=last)
+        if total <= 1.5 * budget:
+            return out
+        return out.where(F.pmod(F.xxhash64("scan", *REF), F.lit(1 << 20)) < int((1 << 20) * budget / total))
+
+    def icp(self, item: str, reference: list[str], samples: int = 60_000, whole: bool = False, **options) -> tuple[Pose, registration.IcpResult]:
+        """The item's own transform that aligns it to the reference scans; nothing is changed. Of both sides samples of
+        whole display levels are aligned on the driver or, where whole is set, all points in Spark."""
         moving = self.history.current.within(item)
         target = [s for s in reference if s not in moving]
         if not moving or not target:
             raise InvalidState("nothing to align")
-        own = registration.samples(self.world_points(moving), samples, ("scan", *REF))
         reach = options.get("max_distance", 0.5)
-        lo, hi = own.min(0) - reach, own.max(0) + reach
-        near = self.world_points(target, Bounds(tuple(lo.tolist()), tuple(hi.tolist())))
-        for c, a, b in zip(xyz(), lo, hi, strict=True):
-            near = near.where((c >= float(a)) & (c <= float(b)))
-        result = registration.icp(own, registration.samples(near, 4 * samples, ("scan", *REF)), **options)
+        box = None
+        for s in moving:
+            if (b := self.history.known[s].bounds) is not None:
+                b = b.moved(self.world_matrix(s))
+                box = b if box is None else box.include(b.lo).include(b.hi)
+        if box is None:
+            raise InvalidState("nothing to align")
+        box = Bounds(tuple(v - reach for v in box.lo), tuple(v + reach for v in box.hi))
+        near = lambda df: reduce(lambda a, c: a.where(c[0].between(float(c[1]), float(c[2]))), zip(xyz(), box.lo, box.hi, strict=True), df)
+        if whole:
+            result = registration.icp_tables(self.world_points(moving), near(self.world_points(target, box)), ("scan", *POINT), **options)
+        else:
+            own, to = self.sample_points(moving, samples), near(self.sample_points(target, 4 * samples, box))
+            result = registration.icp(registration.samples(own, samples, ("scan", *REF)), registration.samples(to, 4 * samples, ("scan", *REF)), **options)
         return self.history.moved_pose(item, result.motion), result
 
-    def align_globally(self, scans: list[str] | None = None, fixed: tuple = (), samples: int = 30_000, **options) -> registration.GlobalResult:
-        own = {s: registration.samples(self.world_points([s]), samples, ("scan", *REF)) for s in (scans or self.history.current.scans)}
-        return registration.align_globally(own, fixed, **options)
+    def align_globally(self, scans: list[str] | None = None, fixed: tuple = (), samples: int = 30_000, whole: bool = False, **options) -> registration.GlobalResult:
+        """Motions that bring overlapping scans together: from samples of whole display levels on the driver or, where whole
+        is set, from all points in Spark."""
+        own = scans or list(self.history.current.scans)
+        if whole:
+            return registration.adjust_tables(self.world_points(own), POINT, fixed, **options)
+        return registration.align_globally({s: registration.samples(self.sample_points([s], samples), samples, ("scan", *REF)) for s in own}, fixed, **options)
 
     def cleanup(self) -> dict[str, int]:
         """Removes what no state refers to; the state is written first."""

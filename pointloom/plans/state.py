@@ -130,6 +130,14 @@ class State:
         """The scans in a folder at any depth, or the scan itself."""
         return [s for s in self.scans if s == item or item in self.above(s)]
 
+    def scans_record(self, taken: list[str] | None) -> str | dict | list:
+        """The shortest way to say which of the scans an operation took: all, the ones left out, or the ones taken."""
+        own = [s for s in self.scans if taken is None or s in taken]
+        left = [s for s in self.scans if s not in own]
+        if not left:
+            return "all"
+        return {"except": left} if len(left) < len(own) else own
+
     def children(self, parent: str | None) -> list[str]:
         """Folders first, then scans and panoramas."""
         return [g.id for g in self.groups if g.parent == parent] + [i for i in (*self.scans, *(p.id for p in self.panoramas)) if self.member_of.get(i) == parent]

@@ -16,8 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pointloom.functions.geometry import Bounds, Camera
-from pointloom.operators import layers, octree, tiles
+from pointloom.functions.geometry import Bounds, Camera, Selection
+from pointloom.operators import filters, layers, octree, tiles
 from pointloom.plans.jobs import Job
 from pointloom.plans.project import REF, PointProject
 
@@ -65,6 +65,7 @@ class View:
     def __init__(self, project: PointProject, budget: int = BUDGET, kept: int = KEPT, step: int = STEP):
         self.project, self.budget, self.kept, self.step = project, budget, kept, step
         self.job: Job | None = None
+        self.shown: list[pa.Table] = []
         self.held: OrderedDict[tuple, pa.Table] = OrderedDict()
         self.counts: tuple[object, dict[str, dict[int, int]]] | None = None
 
@@ -104,11 +105,13 @@ class View:
                     node = found[r["node"]] = StoredNode((scan, r["node"]), box, 0)
                 node.count += r["n"] if counts is None else 0
                 node.files[r["file"]] = r["tile"]
-            for key, node in found.items():
-                if counts is not None:
+            if counts is not None:
+                for key, node in found.items():
                     node.count = counts.get(scan, {}).get(key, 0)
+            found = {k: n for k, n in found.items() if n.count}
+            for key, node in found.items():
                 above = key >> 3
-                while above and above not in found:  # a node whose points all went up is not stored
+                while above and above not in found:  # a node whose points all went up or are hidden shows nothing itself
                     above >>= 3
                 node.parent = (scan, above) if above else None
             out += found.values()
@@ -120,7 +123,14 @@ class View:
         if self.job is not None:
             self.job.cancel()
         job = self.job = Job(self.project.spark)
-        return self._parts(camera, job)
+        shown = self.shown = []
+
+        def parts():
+            for part in self._parts(camera, job):
+                shown.append(part.points)
+                yield part
+
+        return parts()
 
     def _parts(self, camera: Camera, job: Job) -> Iterator[Part]:
         job.check()
@@ -142,6 +152,17 @@ class View:
                 yield Part([n.key for n, _ in step], pa.concat_tables([_even(own[n.key], q) for n, q in step]), False, files)
                 step, size = [], 0
 
+    def preview(self, selection: Selection) -> pa.Table:
+        """The points of the last request, as far as they came, that a selection would move: scan, chunk, idx. A limited
+        depth counts from the nearest of them."""
+        if not self.shown:
+            return pa.table({"scan": pa.array([], pa.string()), "chunk": pa.array([], pa.int32()), "idx": pa.array([], pa.int32())})
+        points = self.project.spark.createDataFrame(pa.concat_tables(self.shown).select(["scan", "chunk", "idx", "x", "y", "z"]))
+        nearest = filters.selection_nearest(points, selection).first()["nearest"] if selection.depth_limited else None
+        if selection.depth_limited and nearest is None:
+            points = points.limit(0)
+        return filters.move_selection(points, selection, nearest).select("scan", "chunk", "idx").toArrow()
+
     def frame(self, nodes: list[StoredNode]) -> DataFrame:
         """The visible points of some nodes of one scan, from their files only."""
         scan, project = nodes[0].key[0], self.project

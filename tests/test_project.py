@@ -123,6 +123,12 @@ def test_folders_keep_places():
     assert len(h.current.scans) == 3
 
 
+def test_scans_in_the_log():
+    s = history(5).current
+    assert s.scans_record(None) == "all" and s.scans_record(["s4", "s1"]) == ["s1", "s4"]
+    assert s.scans_record(["s0", "s1", "s2"]) == {"except": ["s3", "s4"]} and s.scans_record([]) == []
+
+
 def test_revisions():
     h = history()
     first = h.save("one").id
