@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pointloom.functions.geometry import CLIPPED, CropBox, Selection, Xyz, cell, distance2, xyz
+from pointloom.operators import cells
+from pointloom.session import checkpoint
 
 #: Cells around a cell, itself among them.
 AROUND = [(i, j, k) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)]
@@ -112,12 +114,12 @@ def remove_noise(points: DataFrame, radius: float, min_neighbours: int, ref: tup
     """
     _positive(radius=radius)
     side = radius / math.sqrt(3) * (1 - 1e-9)
-    cells = [cell(c, side).alias(n) for c, n in zip(xyz(), ("_dx", "_dy", "_dz"), strict=True)]
-    own = points.select("*", *cells)
-    dense = own.groupBy(scan, "_dx", "_dy", "_dz").agg(F.count("*").alias("_n")).where(F.col("_n") > min_neighbours)
-    sparse = own.join(dense, [scan, "_dx", "_dy", "_dz"], "left_anti").select(points.columns)
-    few = neighbour_counts(points, radius, ref, scan, sparse).where(F.col("n") < min_neighbours)
-    return points.join(few.select(scan, *ref), [scan, *ref], "left_semi")
+    keys = ("_dx", "_dy", "_dz")
+    own = places(points, scan).select("*", *(cell(c, side).alias(n) for c, n in zip(xyz(), keys, strict=True)))
+    dense = own.groupBy(scan, *keys).agg(F.sum("copies").alias("_n")).where(F.col("_n") > min_neighbours).withColumn("_full", F.lit(True))
+    own = own.join(dense.drop("_n"), [scan, *keys], "left").select(scan, "x", "y", "z", "copies", F.col("_full").isNull().alias("asked"))
+    few = cells.by_groups(own, radius, "n long", cells.counts_within(radius), scan).where(F.col("n") < min_neighbours)
+    return points.join(few.select(scan, "x", "y", "z"), [scan, "x", "y", "z"], "left_semi")
 
 
 def mean_distances(points: DataFrame, k: int, reach: float, ref: tuple[str, ...], scan: str = "scan") -> DataFrame:
@@ -129,18 +131,17 @@ def mean_distances(points: DataFrame, k: int, reach: float, ref: tuple[str, ...]
     """
     if not 1 <= k <= 256:
         raise ValueError("neighbours must be 1 to 256")
-    own = places(points, scan)
-    key = [scan, "lx", "ly", "lz"]
-    upto = F.sum("others").over(Window.partitionBy(*key).orderBy("d2").rowsBetween(Window.unboundedPreceding, -1))
-    total = F.aggregate(F.array_sort(F.collect_list(F.struct("d2", "taken"))), F.lit(0.0), lambda a, q: a + F.sqrt(q["d2"]) * q["taken"])
-    asked, found = own, None
+    place = [scan, "x", "y", "z"]
+    own, found = places(points, scan).withColumn("asked", F.lit(True)), None
     for share in SHARES_OF_REACH:
-        pairs = place_pairs(asked, own, reach * share, scan).withColumn("before", F.coalesce(upto, F.lit(0)))
-        near = pairs.where(F.col("before") < k).withColumn("taken", F.least("others", F.lit(k) - F.col("before")))
-        done = near.groupBy(*key).agg(F.sum("taken").alias("n"), (total / k).alias("m")).where(F.col("n") >= k).select(scan, *(F.col(f"l{c}").alias(c) for c in "xyz"), "m")
+        told = cells.by_groups(own, reach * share, "m double", cells.nearest_means(k, reach * share), scan)
+        if share < SHARES_OF_REACH[-1]:
+            told = checkpoint(told)
+            left = told.where("m IS NULL").select(*place, F.lit(True).alias("_open"))
+            own = own.drop("asked").join(left, place, "left").select(*place, "copies", F.col("_open").isNotNull().alias("asked"))
+        done = told.where("m IS NOT NULL")
         found = done if found is None else found.unionByName(done)
-        asked = asked.join(done, [scan, "x", "y", "z"], "left_anti")
-    return points.join(found, [scan, "x", "y", "z"], "left").select(scan, *ref, "m")
+    return points.join(found, place, "left").select(scan, *ref, "m")
 
 
 def outlier_limits(distances: DataFrame, deviations: float, scan: str = "scan") -> DataFrame:

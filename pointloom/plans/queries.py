@@ -524,6 +524,26 @@ def icp_whole_scan(spark, d):
     return rows.select("n", (error < 0.001).alias("recovered"))
 
 
+@query("SELECT s AS scan, count(*) AS n, true AS recovered FROM events, (SELECT unnest([0, 1, 2]) AS s) GROUP BY s")
+def adjust_whole_scans(spark, d):
+    """Three scans of the waved sheet, two of them moved a little, adjusted all at once over the whole tables: whether each
+    lies on the fixed one again to a millimetre."""
+    from pointloom.sources.demo import sheet
+
+    own = sheet(clouds.read(spark, d, "events").select(F.col("event_id").alias("id")), 128).select(F.col("row").alias("i"), F.col("col").alias("j"), *"xyz")
+    moves = {0: np.eye(4)}
+    for k, (turn, shift) in enumerate((([0.002, -0.001, 0.001], (0.004, -0.003, 0.006)), ([-0.001, 0.001, 0.002], (-0.005, 0.002, -0.004))), 1):
+        moves[k] = np.eye(4)
+        moves[k][:3, :3], moves[k][:3, 3] = G.rotation_vector(turn), shift
+    scans = [own.select(F.lit(k).alias("scan"), "i", "j", *(c.alias(a) for a, c in zip("xyz", G.affine(m, G.xyz()), strict=True))) for k, m in moves.items()]
+    every = scans[0].unionByName(scans[1]).unionByName(scans[2])
+    got = registration.adjust_tables(every, ("i", "j"), (0,), 0.05, 0.05, 8, 10)
+    reach = own.agg(F.max("y")).first()[0] or 0.0
+    off = {k: np.abs(got.motions[k] @ m - np.eye(4)) @ [2.0, float(reach), 0.3, 1.0] for k, m in moves.items()}
+    told = spark.createDataFrame([(k, bool(v[:3].max() < 0.001)) for k, v in off.items()], "scan int, recovered boolean")
+    return every.groupBy("scan").agg(F.count("*").alias("n")).join(told, "scan")
+
+
 @query(f"WITH {EVT}, box AS (SELECT scan, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1, min(z) AS z0, max(z) AS z1 FROM evt GROUP BY scan) SELECT a.scan AS a, b.scan AS b FROM box a JOIN box b ON a.scan < b.scan AND a.x0 <= b.x1 AND b.x0 <= a.x1 AND a.y0 <= b.y1 AND b.y0 <= a.y1 AND a.z0 <= b.z1 AND b.z0 <= a.z1")
 def overlap_pairs(spark, d):
     """Scans whose boxes touch."""
