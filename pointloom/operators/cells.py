@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pointloom.functions.geometry import cell
+from pointloom.session import checkpoint
 
 #: Places that a group is to have on average, and beyond which it is split; levels of halving at which groups are tried.
 FEW, MANY, LEVELS = 4_000, 60_000, (2, 4, 6, 8, 10, 12)
@@ -119,7 +120,7 @@ def with_halo(places: DataFrame, reach: float, scan: str = "scan", many: int = M
 def by_groups(places: DataFrame, reach: float, schema: str, work: Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, ...]], scan: str = "scan") -> DataFrame:
     """What `work` says of each asked place: scan, x, y, z and the columns of schema. places: scan, x, y, z, copies and
     asked. work gets a group's coordinates, copies, and which rows are asked about, and gives a value for each of these."""
-    rows = with_halo(places, reach, scan)
+    rows = with_halo(checkpoint(places), reach, scan)  # counted, then dealt out
     kind = places.schema[scan].dataType.simpleString()
     names, none = [c.split()[0] for c in schema.split(", ")], [pa.array([], {"long": pa.int64(), "double": pa.float64()}[c.split()[1]]) for c in schema.split(", ")]
 
@@ -134,19 +135,6 @@ def by_groups(places: DataFrame, reach: float, schema: str, work: Callable[[np.n
     return rows.groupBy(scan, "_level", "_kx", "_ky", "_kz").applyInArrow(run, f"{scan} {kind}, x double, y double, z double, {schema}")
 
 
-def counts_within(reach: float):
-    """For by_groups: the points within reach of each asked place, but for one of its own."""
-
-    def work(p: np.ndarray, copies: np.ndarray, asked: np.ndarray):
-        n = np.zeros(len(asked), np.int64)
-        for i, j, d2 in Cells(p, reach, 0).pairs(p[asked], reach, BLOCK):
-            near = d2 <= reach * reach
-            n += np.bincount(i[near], copies[j[near]], len(asked)).astype(np.int64)
-        return (n - 1,)
-
-    return work
-
-
 def nearest_means(k: int, reach: float):
     """For by_groups: the mean distance of each asked place to the k nearest other points within reach; NaN with fewer."""
 

@@ -114,12 +114,12 @@ def remove_noise(points: DataFrame, radius: float, min_neighbours: int, ref: tup
     """
     _positive(radius=radius)
     side = radius / math.sqrt(3) * (1 - 1e-9)
-    keys = ("_dx", "_dy", "_dz")
-    own = places(points, scan).select("*", *(cell(c, side).alias(n) for c, n in zip(xyz(), keys, strict=True)))
-    dense = own.groupBy(scan, *keys).agg(F.sum("copies").alias("_n")).where(F.col("_n") > min_neighbours).withColumn("_full", F.lit(True))
-    own = own.join(dense.drop("_n"), [scan, *keys], "left").select(scan, "x", "y", "z", "copies", F.col("_full").isNull().alias("asked"))
-    few = cells.by_groups(own, radius, "n long", cells.counts_within(radius), scan).where(F.col("n") < min_neighbours)
-    return points.join(few.select(scan, "x", "y", "z"), [scan, "x", "y", "z"], "left_semi")
+    cells = [cell(c, side).alias(n) for c, n in zip(xyz(), ("_dx", "_dy", "_dz"), strict=True)]
+    own = points.select("*", *cells)
+    dense = own.groupBy(scan, "_dx", "_dy", "_dz").agg(F.count("*").alias("_n")).where(F.col("_n") > min_neighbours)
+    sparse = own.join(dense, [scan, "_dx", "_dy", "_dz"], "left_anti").select(points.columns)
+    few = neighbour_counts(points, radius, ref, scan, sparse).where(F.col("n") < min_neighbours)
+    return points.join(few.select(scan, *ref), [scan, *ref], "left_semi")
 
 
 def mean_distances(points: DataFrame, k: int, reach: float, ref: tuple[str, ...], scan: str = "scan") -> DataFrame:
@@ -132,7 +132,7 @@ def mean_distances(points: DataFrame, k: int, reach: float, ref: tuple[str, ...]
     if not 1 <= k <= 256:
         raise ValueError("neighbours must be 1 to 256")
     place = [scan, "x", "y", "z"]
-    own, found = places(points, scan).withColumn("asked", F.lit(True)), None
+    own, found = checkpoint(places(points, scan)).withColumn("asked", F.lit(True)), None
     for share in SHARES_OF_REACH:
         told = cells.by_groups(own, reach * share, "m double", cells.nearest_means(k, reach * share), scan)
         if share < SHARES_OF_REACH[-1]:

@@ -36,11 +36,14 @@ def cube(bounds: Bounds | None) -> tuple[tuple[float, float, float], float]:
     return tuple(float(v) for v in bounds.lo), side * (1 + 1e-9) if side > 0 else 1.0
 
 
-def code_of(lo: tuple[float, float, float], size: float) -> Column:
-    """The Morton number of a point's cell of the deepest level."""
+def coded(points: DataFrame, lo: tuple[float, float, float], size: float) -> DataFrame:
+    """points with _code, the Morton number of their cell of the deepest level; null of those that are not valid. Cells come
+    from a generator of one row, so that the many steps of a number read columns rather than work cells out anew."""
     most = (1 << DEPTH) - 1
     cells = [F.least(F.greatest(F.floor((v - float(a)) / size * float(1 << DEPTH)).cast("long"), F.lit(0)), F.lit(most)) for v, a in zip(xyz(), lo, strict=True)]
-    return morton(*cells)
+    at = points.select("*", F.inline(F.array(F.struct(*(c.alias(f"_c{k}") for k, c in enumerate(cells))))))
+    code = F.when(F.col("valid"), morton(*(F.col(f"_c{k}") for k in range(3))))
+    return at.withColumn("_code", code).drop("_c0", "_c1", "_c2")
 
 
 def key_of(code: Column, level: int) -> Column:
@@ -52,10 +55,10 @@ def level_of(key: Column) -> Column:
     return F.floor((F.length(F.bin(key)) - 1) / 3).cast("int")
 
 
-def _round(coded: DataFrame, top: int, bottom: int, most: int) -> DataFrame:
+def _round(codes: DataFrame, top: int, bottom: int, most: int) -> DataFrame:
     """key, tile and n of every cell at level `bottom` with points: the coarsest node at levels top to bottom around it
     with at most `most` points; tile is null where the cell itself has more."""
-    base = coded.groupBy(key_of(F.col("_code"), bottom).alias("key")).agg(F.count("*").alias("n"))
+    base = codes.groupBy(key_of(F.col("_code"), bottom).alias("key")).agg(F.count("*").alias("n"))
     up = F.explode(F.array(*(F.struct(F.lit(k).alias("level"), F.shiftright("key", 3 * (bottom - k)).alias("at")) for k in range(top, bottom + 1))))
     paths = base.select("key", "n", up.alias("u")).select("key", "n", "u.level", "u.at")
     few = paths.groupBy("at").agg(F.sum("n").alias("all")).where(F.col("all") <= most)
@@ -66,8 +69,8 @@ def _round(coded: DataFrame, top: int, bottom: int, most: int) -> DataFrame:
 def tiled(points: DataFrame, lo: tuple[float, float, float], size: float, ref: tuple[str, ...], written: Callable[[DataFrame], DataFrame], most: int = MOST_TILE) -> tuple[DataFrame, int]:
     """points (with valid) with _code and _tile, and the greatest level of a tile; `written` stores counts of cells. No tile has more than `most` points,
     but for one of the deepest level: equal places cannot be split, and such a tile is cut into up to 2,048 parts."""
-    coded = points.withColumn("_code", F.when(F.col("valid"), code_of(lo, size)))
-    left, out, deepest = coded.where("_code IS NOT NULL"), [], 0
+    own = coded(points, lo, size)
+    left, out, deepest = own.where("_code IS NOT NULL"), [], 0
     level = 0
     while True:
         bottom = min(level + ROUND, DEPTH)
@@ -89,7 +92,7 @@ def tiled(points: DataFrame, lo: tuple[float, float, float], size: float, ref: t
             break
         left, level = rest.drop("_key", "_n", "_tile"), bottom
     # records without a place: by their number, so that no task has them all
-    out.append(coded.where("_code IS NULL").withColumn("_tile", F.shiftleft(F.pmod(F.xxhash64(*ref), F.lit(256)).cast("long"), KEY_BITS)))
+    out.append(own.where("_code IS NULL").withColumn("_tile", F.shiftleft(F.pmod(F.xxhash64(*ref), F.lit(256)).cast("long"), KEY_BITS)))
     return reduce(DataFrame.unionByName, out), deepest
 
 

@@ -8,6 +8,7 @@ import json
 import os
 import shutil
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, replace
 from functools import reduce
 from pathlib import Path
@@ -27,9 +28,11 @@ POINT = ("chunk", "idx")
 REF = (*POINT, "_tile")
 VERSION = 3
 LABELS = "chunk int, idx int, code short, _tile bigint, patch string"
-#: Points of a bucket of a scan's tables, bytes of a row group, which a region can skip, and label patches of a state
-#: beyond which they are made one.
-BUCKET, ROW_GROUP, MOST_PATCHES = 1_000_000, 1 << 20, 64
+#: Points of a bucket of a scan's tables: at most, and at least, between which a scan is dealt out to all cores.
+BUCKET, LEAST_BUCKET = 2_000_000, 250_000
+#: Bytes of a row group, which a region can skip, label patches of a state beyond which they are made one, and scans that
+#: are imported at a time.
+ROW_GROUP, MOST_PATCHES, IMPORTS = 1 << 20, 64, 4
 #: Ranges of node keys that a region is turned into at most, and the level below which it is not told apart.
 MOST_RANGES, REGION_LEVEL = 64, 5
 
@@ -153,15 +156,15 @@ class PointProject:
 
     def import_points(self, scans: list[tuple[Scan, DataFrame]], folder: str | None = None) -> list[str]:
         """Adds scans in one edit; with a folder's name, or of more than one, in a folder of their own."""
-        added = []
-        try:
-            for scan, points in scans:
-                added.append(self._stored(scan, points))
-        except BaseException:
-            for s in added:
+        with ThreadPoolExecutor(IMPORTS) as pool:
+            jobs = [pool.submit(self._stored, scan, points) for scan, points in scans]
+        failed = next((e for j in jobs if (e := j.exception()) is not None), None)
+        if failed is not None:
+            for s in (j.result() for j in jobs if j.exception() is None):
                 for kind in ("points", "nodes"):
                     shutil.rmtree(f"{self.path(kind)}/scan_{s.id}", ignore_errors=True)
-            raise
+            raise failed
+        added = [j.result() for j in jobs]
         self.history.known.update({s.id: s for s in added})
         ids = [s.id for s in added]
 
@@ -197,10 +200,12 @@ class PointProject:
             valid = F.col("valid")
             b = points.agg(F.count("*").alias("records"), F.count_if(valid).alias("n"), *(f(F.when(valid, F.col(c))).alias(f"{n}{c}") for n, f in (("lo", F.min), ("hi", F.max)) for c in "xyz")).first()
             bounds = Bounds((b["lox"], b["loy"], b["loz"]), (b["hix"], b["hiy"], b["hiz"])) if b["n"] else None
-            buckets, (lo, size) = -(-max(1, b["records"]) // self.bucket_points), tiles.cube(bounds)
+            cores = self.spark.sparkContext.defaultParallelism
+            in_bucket = min(self.bucket_points, max(LEAST_BUCKET, b["records"] // (2 * cores)))
+            buckets, (lo, size) = -(-max(1, b["records"]) // in_bucket), tiles.cube(bounds)
             laid, deepest = tiles.tiled(points.withColumn("scan", F.lit(scan.id)), lo, size, POINT, written, self.tile_points)
             built = tiles.with_nodes(laid, lo, size, POINT, buckets, self.leaf_points, self.grid)
-            self._bucketed(built, f"{part}/built", buckets, "_waiting")
+            self._bucketed(built, f"{part}/built", buckets, "_waiting", dealt=True)
             kept = [f"{part}/built/_waiting=false"]
             if os.path.isdir(late := f"{part}/built/_waiting=true"):
                 above = tiles.above_tiles(self.spark.read.parquet(late), lo, size, POINT, deepest, written, self.grid)
@@ -222,11 +227,12 @@ class PointProject:
             shutil.rmtree(part, ignore_errors=True)
         return replace(scan, bounds=bounds, records=b["records"], valid=b["n"], buckets=buckets, attributes=tuple(own.columns))
 
-    def _bucketed(self, rows: DataFrame, path: str, buckets: int, *parts: str) -> None:
-        """Writes rows to a folder in buckets by _tile, sorted by _node where there is one."""
+    def _bucketed(self, rows: DataFrame, path: str, buckets: int, *parts: str, dealt: bool = False) -> None:
+        """Writes rows to a folder in buckets by _tile, sorted by _node where there is one. dealt: they lie in as many
+        partitions by _tile already."""
         name = f"pointloom_{new_id().replace('-', '')}"
         order = ["_node", "chunk", "idx"] if "_node" in rows.columns else ["_tile", "chunk", "idx"]
-        w = rows.repartition(buckets, "_tile").write.format("parquet").option("path", path).option("parquet.block.size", ROW_GROUP)
+        w = (rows if dealt else rows.repartition(buckets, "_tile")).write.format("parquet").option("path", path).option("parquet.block.size", ROW_GROUP)
         w = w.partitionBy(*parts) if parts else w
         w.bucketBy(buckets, "_tile").sortBy(*order).saveAsTable(name)
         self.spark.sql(f"DROP TABLE {name}")  # an external table: its files stay

@@ -187,7 +187,7 @@ class View:
             df = self.frame(own)
             files += df.inputFiles() if not self.project.history.current.labels else sorted({f for n in own for f in n.files})
             m = self.project.history.world(scan)
-            table = job.run(lambda df=df: df.select("_node", "scan", "chunk", "idx", "x", "y", "z", "r", "g", "b").toArrow())
+            table = job.run(lambda df=df: df.select("_node", "scan", "chunk", "idx", "x", "y", "z", *(c for c in "rgb" if c in df.columns)).toArrow())
             place = np.stack([table.column(c).to_numpy() for c in "xyz"], 1) @ m[:3, :3].T + m[:3, 3]
             for k, c in enumerate("xyz"):
                 table = table.set_column(table.schema.get_field_index(c), c, pa.array(place[:, k]))
