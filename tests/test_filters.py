@@ -217,3 +217,20 @@ def test_stems_differ_in_lower_case_too(spark):
     names = ["a" * 40 + "x", "a" * 40 + "y", "Scan", "scan", 'sc?n', "sc_n", " ", None]
     got = {r["id"]: r["stem"] for r in hierarchy.unique_stems(spark.createDataFrame(list(enumerate(names)), "id int, name string")).collect()}
     assert got == {0: names[0], 1: names[1], 2: "Scan", 3: "scan_2", 4: "sc_n", 5: "sc_n_2", 6: "scan_3", 7: "scan_4"}
+
+
+def test_depths_of_a_long_chain(spark):
+    chain = spark.range(10_000).selectExpr("id", "CASE WHEN id > 0 THEN id - 1 END AS parent")
+    got = hierarchy.depths(chain)
+    assert got.where("depth = id").count() == 10_000
+    assert hierarchy.depths(spark.createDataFrame([(1, 7), (2, 1)], "id long, parent long")).where("depth = id - 1").count() == 2
+    with pytest.raises(InvalidState):
+        hierarchy.depths(spark.createDataFrame([(1, 2), (2, 1)], "id long, parent long"))
+
+
+def test_stems_of_files_and_tables_are_the_same(spark):
+    names = ["a", "a", "a_2", "b.", "B", None, " ", "x/y", "X_Y", "scan_2", "scan", "a", "\x85", "é", "É"]
+    want = ["a", "a_2", "a_2_2", "b", "B_2", "scan", "scan_2", "x_y", "X_Y_2", "scan_2_2", "scan_3", "a_3", "_", "é", "É"]
+    assert hierarchy.numbered_stems([hierarchy.bare_stem(n) for n in names]) == want
+    table = spark.createDataFrame(list(enumerate(names)), "id int, name string")
+    assert [r["stem"] for r in hierarchy.unique_stems(table).orderBy("id").collect()] == want
