@@ -15,6 +15,8 @@ from pointloom.session import checkpoint
 
 #: Places that a group is to have on average, and beyond which it is split; levels of halving at which groups are tried.
 FEW, MANY, LEVELS = 4_000, 60_000, (2, 4, 6, 8, 10, 12)
+#: Cells by which the grid of groups lies aside, so that the origin is near a third of a group at every level.
+OFF = 1365.5
 #: Points that look for neighbours at once, and their candidates.
 BLOCK, PAIRS = 4_000, 4_000_000
 #: Cells are wider than the reach by this factor, so that rounding cannot put a neighbour beyond them.
@@ -65,17 +67,20 @@ class Cells:
             near = d2 <= radius * radius * (1 + 1e-12)
             yield i[near] + lo, j[near], d2[near]
 
-    def nearest(self, p: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
+    def nearest(self, p: np.ndarray, radius: float, itself: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Indexes of the p that have a point within radius, and of their nearest ones. A grid of a quarter of the size
-        answers first; only what it leaves open looks farther."""
+        answers first; only what it leaves open looks farther. itself: of each p the index of a point that is not meant."""
         if self.fine is None and self.size > 1e-9 and len(self.points) > 1000 and self.depth:
             self.fine = Cells(self.points, self.size / 4, self.depth - 1)
         todo, found = np.arange(len(p)), []
         if self.fine is not None and radius > self.fine.size / (1 + 1e-9):
-            i, j = self.fine.nearest(p, self.fine.size / (1 + 1e-9))
+            i, j = self.fine.nearest(p, self.fine.size / (1 + 1e-9), itself)
             found.append((i, j))
             todo = np.setdiff1d(todo, i, assume_unique=True)
         for i, j, d2 in self.pairs(p[todo], radius):
+            if itself is not None:
+                other = itself[todo[i]] != j
+                i, j, d2 = i[other], j[other], d2[other]
             order = np.lexsort((j, d2, i))
             i, j = i[order], j[order]
             first = np.concatenate([[True], i[1:] != i[:-1]]) if len(i) else np.zeros(0, bool)
@@ -85,23 +90,25 @@ class Cells:
         return i[order], j[order]
 
 
-def with_halo(places: DataFrame, reach: float, scan: str = "scan", many: int = MANY) -> DataFrame:
+def with_halo(places: DataFrame, reach: float, scan: str = "scan", many: int = MANY, few: int = FEW, at: tuple[str, str, str] = ("x", "y", "z")) -> DataFrame:
     """places with own and a key (scan, _level, _kx, _ky, _kz): each in the group of its own cell (own) and in every other
     group that lies within reach, so that a group has all neighbours of its own places.
 
-    Groups are cells of two reaches, halved together so far that they have FEW places on average; what has more than
-    `many` is split again, down to single cells. A group is then at most what lies within a reach of one cell, or bounded."""
+    Groups are cells of two reaches, halved together so far that they have `few` places on average; what has more than
+    `many` is split again, down to single cells. A group is then at most what lies within a reach of one cell, or bounded.
+    at: the columns by which places are dealt out. The origin, which points often lie around, is no border of groups."""
     s, side = reach * MARGIN, 2 * reach * MARGIN
+    aside = side * OFF
     lows, highs, mids = (("_l", "_h", "_m")[k] for k in range(3))
-    at = places
-    for c in "xyz":
-        at = at.withColumns({f"{lows}{c}": cell(F.col(c) - s, side), f"{highs}{c}": cell(F.col(c) + s, side), f"{mids}{c}": cell(F.col(c), side)})
+    cut = places
+    for c, p in zip("xyz", at, strict=True):
+        cut = cut.withColumns({f"{lows}{c}": cell(F.col(p) + (aside - s), side), f"{highs}{c}": cell(F.col(p) + (aside + s), side), f"{mids}{c}": cell(F.col(p) + aside, side)})
     up = lambda name, k: F.shiftright(F.col(name), k)
-    told = at.agg(F.count("*").alias("n"), *(F.approx_count_distinct(F.xxhash64(scan, *(up(f"{mids}{c}", k) for c in "xyz"))).alias(f"c{k}") for k in LEVELS)).first()
-    level = next((k for k in LEVELS if told["n"] >= FEW * told[f"c{k}"]), LEVELS[-1])
+    told = cut.agg(F.count("*").alias("n"), *(F.approx_count_distinct(F.xxhash64(scan, *(up(f"{mids}{c}", k) for c in "xyz"))).alias(f"c{k}") for k in LEVELS)).first()
+    level = next((k for k in LEVELS if told["n"] >= few * told[f"c{k}"]), LEVELS[-1])
     keys, out, parent = ["_kx", "_ky", "_kz"], [], None
     while True:
-        rows = at
+        rows = cut
         for c, key in zip("xyz", keys, strict=True):
             rows = rows.withColumn(f"{key}n", F.explode(F.array_distinct(F.array(up(f"{lows}{c}", level), up(f"{highs}{c}", level)))))
         if parent is not None:  # only what lies in the cell that is split
@@ -112,8 +119,9 @@ def with_halo(places: DataFrame, reach: float, scan: str = "scan", many: int = M
         if level == 0 or full.isEmpty():
             out.append(rows.withColumn("_level", F.lit(level)))
             break
+        full = F.broadcast(full)  # a row for so many places
         out.append(rows.join(full, [scan, *keys], "left_anti").withColumn("_level", F.lit(level)))
-        at, parent, level = rows.join(full, [scan, *keys], "left_semi").drop("own"), level, level // 2
+        cut, parent, level = rows.join(full, [scan, *keys], "left_semi").drop("own"), level, level // 2
     return reduce(DataFrame.unionByName, out).select(*places.columns, "own", "_level", *keys)
 
 
