@@ -17,6 +17,8 @@ from pointloom.session import checkpoint
 AROUND = [(i, j, k) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)]
 #: The shares of the reach in which nearest neighbours are looked for, one after another.
 SHARES_OF_REACH = (1 / 8, 1.0)
+#: Halvings of a reach at which a search may begin, and the places of a cell at the first, on average over the places.
+FINER, SHARED = (0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 12, 14, 16), 8
 #: Wide cells of all scans' range images that are broadcast at most, but for one a scan.
 COARSE_CELLS = 500_000
 #: A radius join's cells are wider than the radius by this factor, so that rounding cannot put a neighbour two away.
@@ -79,6 +81,48 @@ def radius_pairs(left: DataFrame, right: DataFrame, radius: float, on: tuple[str
     return a.join(b, [*on, *keys]).withColumn("d2", d2).where(F.col("d2") <= radius * radius).drop(*keys)
 
 
+def finite() -> Column:
+    """Whether x, y and z are numbers that have a distance."""
+    x, y, z = xyz()
+    return ((x - x) + (y - y) + (z - z)) == 0
+
+
+def nearest_pairs(asked: DataFrame, to: DataFrame, reach: float, ref: tuple[str, ...], known: tuple[str, ...], on: tuple[str, ...] = (), itself: bool = False) -> DataFrame:
+    """Of each asked place (ref, lx, ly, lz) that has one of `to` (known, rx, ry, rz) within reach, the nearest, ties to the
+    least known: ref, d2 and known. on: columns of ref that both sides must have equal. itself: a place that equals the
+    asked one does not count.
+
+    The first radius is so small that a place of `to` shares its cell with few others on average. Who finds none looks
+    twice as far, up to the reach: having found none within half, it meets few. Places must differ, so that a pile of
+    copies is met once.
+    """
+    _positive(reach=reach)
+    own, names = checkpoint(to), ("rx", "ry", "rz")
+    finest = reach / (1 << max(FINER))
+    at = own.select(*on, *(cell(F.col(c), 2 * finest * MARGIN).alias(f"_{c}") for c in names))
+    counts = at.groupBy(*on, *(f"_{c}" for c in names)).agg(F.count("*").alias("_n"))
+    start = 0
+    for k in sorted(FINER):  # from the widest cells on
+        wide = counts.groupBy(*on, *(F.shiftright(f"_{c}", max(FINER) - k).alias(f"_{c}") for c in names)).agg(F.sum("_n").alias("_n"))
+        told = wide.agg(F.sum(F.col("_n").cast("double") * F.col("_n")).alias("pairs"), F.sum("_n").alias("n")).first()
+        start = k
+        if not told["n"] or told["pairs"] <= SHARED * told["n"]:
+            break
+    left, out = checkpoint(asked), None
+    for k in range(start, -1, -1):
+        radius = reach / (1 << k)
+        pairs = radius_pairs(left, own, radius, on)
+        if itself:
+            pairs = pairs.where((F.col("lx") != F.col("rx")) | (F.col("ly") != F.col("ry")) | (F.col("lz") != F.col("rz")))
+        best = checkpoint(pairs.groupBy(*ref).agg(F.min(F.struct("d2", *known)).alias("_b")).select(*ref, "_b.*"))
+        out = best if out is None else out.unionByName(best)
+        if k:
+            left = checkpoint(left.join(best.select(*ref), list(ref), "left_anti"))
+            if left.isEmpty():
+                break
+    return out
+
+
 def places(points: DataFrame, scan: str = "scan") -> DataFrame:
     """scan, x, y, z and copies: points at one place are one row, so that a pile of copies meets others once."""
     return points.groupBy(scan, "x", "y", "z").agg(F.count("*").alias("copies"))

@@ -190,6 +190,49 @@ def test_a_stack_of_points_counts_as_its_number(spark):
     assert time.time() - began < 30
 
 
+def dense_embeddings(spark, folder, n):
+    """n vectors of scans 0 and 1 each, most of them far nearer to each other than any reach, some alone, some copies."""
+    rng = np.random.default_rng(7)
+    p = rng.normal(0, 0.02, (2 * n, 3))
+    p[:40] = rng.uniform(-0.4, 0.4, (40, 3))
+    p[100:140:2], p[50:70] = p[101:141:2], p[n + 50 : n + 70] * 1.5
+    p = p.astype(np.float32).astype(float)
+    label = (np.arange(2 * n) >= n).astype(int)
+    rows = [(k, int(s), list(map(float, v))) for k, (s, v) in enumerate(zip(label, p, strict=True))]
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").write.parquet(f"{folder}/embeddings.parquet")
+    return p, label
+
+
+def nearest_of(p, q, itself):
+    """By brute force, in blocks: squared distance and index of the first nearest."""
+    d2, at = np.empty(len(p)), np.empty(len(p), int)
+    for lo in range(0, len(p), 500):
+        e = p[lo : lo + 500, None] - q[None]
+        d = (e[:, :, 0] * e[:, :, 0] + e[:, :, 1] * e[:, :, 1]) + e[:, :, 2] * e[:, :, 2]
+        if itself:
+            d[np.arange(len(d)), np.arange(lo, lo + len(d))] = np.inf
+        at[lo : lo + 500] = d.argmin(1)
+        d2[lo : lo + 500] = d.min(1)
+    return d2, at
+
+
+def test_nearest_of_another_dense_scan(spark, tmp_path):
+    import time
+
+    from pointloom.plans import queries
+
+    n = 25_000
+    p, _ = dense_embeddings(spark, tmp_path, n)
+    began = time.time()
+    got = {r["moving"]: (r["target"], r["distance"]) for r in queries.icp_pairs(spark, str(tmp_path)).collect()}
+    assert time.time() - began < 60
+    some = np.r_[:200, 200:n:25]
+    d2, at = nearest_of(p[some], p[n:], False)
+    want = {int(k): (int(j) + n, round(float(np.sqrt(d)), 6)) for k, d, j in zip(some, d2, at, strict=True) if d <= 0.25 * 0.25}
+    assert {k: v[0] for k, v in got.items() if k in set(some.tolist())} == {k: v[0] for k, v in want.items()}
+    assert all(abs(got[k][1] - v[1]) < 2e-6 for k, v in want.items())
+
+
 @pytest.mark.parametrize("ranked", [3, 50, 100_000])
 def test_thinning_takes_even_indexes(spark, ranked):
     rng = np.random.default_rng(4)
