@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pointloom.functions.geometry import scaled
-from pointloom.operators.filters import place_pairs, places, radius_pairs
+from pointloom.operators import filters
+from pointloom.operators.filters import nearest_pairs, places, radius_pairs
+from pointloom.session import checkpoint
 
 
 def element_at_share(values: Column, share: float, rounded: bool = False) -> Column:
@@ -80,9 +82,13 @@ def intensity_grey(points: DataFrame, value: str, scan: str = "scan") -> DataFra
 
 def nearest_gap(points: DataFrame, reach: float, ref: tuple[str, ...], scan: str = "scan") -> DataFrame:
     """scan, ref and gap: the distance to the nearest other point of the scan within reach."""
-    own = places(points, scan)
-    gaps = place_pairs(own, own, reach, scan).groupBy(scan, "lx", "ly", "lz").agg(F.sqrt(F.min("d2")).alias("gap"))
-    return points.join(gaps.withColumnsRenamed({f"l{c}": c for c in "xyz"}), [scan, "x", "y", "z"]).select(scan, *ref, "gap")
+    own, place = checkpoint(places(points, scan)), [scan, "x", "y", "z"]
+    alone = own.where("copies = 1").select(scan, *(F.col(c).alias(f"l{c}") for c in "xyz"))
+    to = own.select(scan, *(F.col(c).alias(f"r{c}") for c in "xyz"))
+    found = nearest_pairs(alone, to, reach, (scan, "lx", "ly", "lz"), (), (scan,), itself=True)
+    gaps = found.select(scan, *(F.col(f"l{c}").alias(c) for c in "xyz"), F.sqrt("d2").alias("gap"))
+    gaps = gaps.unionByName(own.where("copies > 1").where(filters.finite()).select(*place, F.lit(0.0).alias("gap")))
+    return points.join(gaps, place).select(scan, *ref, "gap")
 
 
 def covariances(points: DataFrame, radius: float, ref: tuple[str, ...], least: int = 5, scan: str = "scan") -> DataFrame:
@@ -96,7 +102,7 @@ def covariances(points: DataFrame, radius: float, ref: tuple[str, ...], least: i
 
 def typical_spacing(points: DataFrame, reach: float, ref: tuple[str, ...], scan: str = "scan") -> DataFrame:
     """scan and spacing: the gap at index n / 2 of those in order; a tenth of reach without any."""
-    mid = percentile_rows(nearest_gap(points, reach, ref, scan), "gap", {"gap": (0.5, None)}, scan)
+    mid = percentile_rows(checkpoint(nearest_gap(points, reach, ref, scan).select(scan, "gap")), "gap", {"gap": (0.5, None)}, scan)
     return points.select(scan).distinct().join(mid, scan, "left").select(scan, F.coalesce("gap", F.lit(reach / 10)).alias("spacing"))
 
 

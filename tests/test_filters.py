@@ -233,6 +233,29 @@ def test_nearest_of_another_dense_scan(spark, tmp_path):
     assert all(abs(got[k][1] - v[1]) < 2e-6 for k, v in want.items())
 
 
+def test_spacing_of_dense_scans(spark, tmp_path):
+    import time
+
+    from pointloom.plans import queries
+
+    n = 25_000
+    p, label = dense_embeddings(spark, tmp_path, n)
+    began = time.time()
+    got = {r["scan"]: r["spacing"] for r in queries.median_spacing(spark, str(tmp_path)).collect()}
+    assert time.time() - began < 60
+    for s in (0, 1):
+        own = p[label == s]
+        d2, _ = nearest_of(own, own, True)
+        gaps = np.sort(np.sqrt(d2[d2 <= 0.25]))
+        assert abs(got[s] - gaps[len(gaps) // 2]) < 1e-6
+
+
+def test_copies_without_a_distance_have_no_gap(spark):
+    rows = [(0, 0, float("nan"), 0.0, 0.0), (1, 0, float("nan"), 0.0, 0.0), (2, 0, float("inf"), 0.0, 0.0), (3, 0, float("inf"), 0.0, 0.0), (4, 0, None, 0.0, 0.0), (5, 0, None, 0.0, 0.0), (6, 0, 0.0, 0.0, 0.0), (7, 0, 0.1, 0.0, 0.0)]
+    points = spark.createDataFrame(rows, "ref long, scan long, x double, y double, z double")
+    assert {r["ref"]: r["gap"] for r in statistics.nearest_gap(points, 0.5, ("ref",)).collect()} == {6: 0.1, 7: 0.1}
+
+
 @pytest.mark.parametrize("ranked", [3, 50, 100_000])
 def test_thinning_takes_even_indexes(spark, ranked):
     rng = np.random.default_rng(4)
