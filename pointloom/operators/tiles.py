@@ -24,6 +24,8 @@ from pointloom.functions.geometry import Bounds, distance2, morton, xyz
 DEPTH, ROUND, KEY_BITS = 17, 6, 52
 #: Points of a tile and of a leaf at most, and cells along a node's side.
 MOST_TILE, MOST_LEAF, GRID = 262_144, 16_384, 128
+#: Points of small tiles that a task takes together.
+TOGETHER = 100_000
 #: The root's key, and the tile of records that are not valid.
 ROOT, NOWHERE = 1, 0
 
@@ -96,20 +98,21 @@ def tiled(points: DataFrame, lo: tuple[float, float, float], size: float, ref: t
     return reduce(DataFrame.unionByName, out), deepest
 
 
-def lift(place: np.ndarray, code: np.ndarray, order: np.ndarray, top: int, lo: tuple[float, float, float], size: float, leaf: int = MOST_LEAF, grid: int = GRID) -> np.ndarray:
-    """The level of the display node that keeps each point of the node at level `top` that holds them all. place: (n, 3);
-    order: each point's rank by its reference, for ties."""
+def lift(place: np.ndarray, code: np.ndarray, order: np.ndarray, top: int | np.ndarray, lo: tuple[float, float, float], size: float, leaf: int = MOST_LEAF, grid: int = GRID) -> np.ndarray:
+    """The level of the display node that keeps each point of the node at level `top` that holds them all, or of each
+    point's own such node. place: (n, 3); order: each point's rank by its reference, for ties."""
     n = len(code)
+    top = np.broadcast_to(top, n)
     by = np.argsort(code, kind="stable")
-    level = np.full(n, DEPTH)
-    for k in range(DEPTH, top - 1, -1):
+    level, highest = np.full(n, DEPTH), int(top.min(initial=DEPTH))
+    for k in range(DEPTH, highest - 1, -1):
         c = code[by] >> 3 * (DEPTH - k)
         at = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]]))
         counts = np.diff(np.append(at, n))
-        level[by[np.repeat(counts <= leaf, counts)]] = k
+        level[by[np.repeat(counts <= leaf, counts) & (top[by] <= k)]] = k
     rel = place - np.array(lo)
-    for k in range(int(level.max(initial=top)) - 1, top - 1, -1):
-        pool = np.flatnonzero(level == k + 1)
+    for k in range(int(level.max(initial=highest)) - 1, highest - 1, -1):
+        pool = np.flatnonzero((level == k + 1) & (top <= k))
         step = size / (1 << k) / grid
         cell = np.floor(rel[pool] / step)
         far = (((rel[pool] - (cell + 0.5) * step)) ** 2).sum(1)
@@ -120,28 +123,51 @@ def lift(place: np.ndarray, code: np.ndarray, order: np.ndarray, top: int, lo: t
     return level
 
 
-def with_nodes(points: DataFrame, lo: tuple[float, float, float], size: float, ref: tuple[str, ...], tasks: int, leaf: int = MOST_LEAF, grid: int = GRID) -> DataFrame:
-    """points (as tiled() gives them) with _node, dealt out by tile into `tasks` partitions, and _waiting: whether a
-    point is its tile's node's own and a node above may take it. A tile is a group; its size is bounded."""
+def whole_tiles(batches, rows: int):
+    """Tables of whole tiles, of about so many rows if their tiles are smaller, from batches in order of tiles."""
+    held, n = [], 0
+    for b in batches:
+        held.append(b)
+        n += len(b)
+        if n >= rows:
+            t = pa.Table.from_batches(held)
+            tile = t.column("_tile").to_numpy()
+            cut = int(np.searchsorted(tile, tile[-1]))
+            if cut:
+                yield t.slice(0, cut)
+            held, n = t.slice(cut).to_batches(), len(t) - cut
+    if n:
+        yield pa.Table.from_batches(held)
+
+
+def with_nodes(points: DataFrame, lo: tuple[float, float, float], size: float, ref: tuple[str, ...], tasks: int | None, leaf: int = MOST_LEAF, grid: int = GRID) -> DataFrame:
+    """points (as tiled() gives them) with _node, dealt out by tile into `tasks` partitions (None: as many as a shuffle
+    has), and _waiting: whether a point is its tile's node's own and a node above may take it. A task takes its tiles one
+    after another, small ones together; a tile's size is bounded."""
     schema = T.StructType([*(f for f in points.schema if f.name != "_code"), T.StructField("_node", T.LongType()), T.StructField("_waiting", T.BooleanType())])
 
-    def run(t: pa.Table) -> pa.Table:
-        tile = t.column("_tile")[0].as_py()
-        key = tile & (1 << KEY_BITS) - 1
-        out = t.drop_columns(["_code"])
-        if key == NOWHERE:
-            return out.append_column("_node", pa.array(np.zeros(len(t), np.int64))).append_column("_waiting", pa.array(np.zeros(len(t), bool)))
-        top = (key.bit_length() - 1) // 3
-        col = lambda c: t.column(c).to_numpy()
-        order = np.empty(len(t), np.int64)
-        order[np.lexsort(tuple(col(c) for c in reversed(ref)))] = np.arange(len(t))
-        code = col("_code")
-        level = lift(np.stack([col(c) for c in "xyz"], 1), code, order, top, lo, size, leaf, grid)
-        node = (np.int64(1) << 3 * level) | code >> 3 * (DEPTH - level)
-        out = out.append_column("_node", pa.array(node)).append_column("_waiting", pa.array((level == top) & (top > 0)))
-        return out.take(pa.array(np.lexsort((order, code, node))))
-
-    return points.repartition(tasks, "_tile").groupBy("_tile").applyInArrow(run, schema)
+    def run(batches):
+        for t in whole_tiles(batches, TOGETHER):
+            col = lambda c, t=t: t.column(c).to_numpy()
+            tile = col("_tile")
+            key = tile & (1 << KEY_BITS) - 1
+            order = np.empty(len(t), np.int64)
+            order[np.lexsort(tuple(col(c) for c in reversed(ref)))] = np.arange(len(t))
+            node, waiting = np.zeros(len(t), np.int64), np.zeros(len(t), bool)
+            code = t.column("_code").fill_null(0).to_numpy()
+            here = np.flatnonzero(key != NOWHERE)
+            if len(here):
+                each, inverse = np.unique(key[here], return_inverse=True)
+                top = np.array([(int(k).bit_length() - 1) // 3 for k in each])[inverse]
+                level = lift(np.stack([col(c)[here] for c in "xyz"], 1), code[here], order[here], top, lo, size, leaf, grid)
+                node[here] = (np.int64(1) << 3 * level) | code[here] >> 3 * (DEPTH - level)
+                waiting[here] = (level == top) & (top > 0)
+            out = t.drop_columns(["_code"]).append_column("_node", pa.array(node)).append_column("_waiting", pa.array(waiting))
+            sort = np.lexsort((order, code, node, tile))
+            yield from out.take(pa.array(sort)).to_batches()
+
+    dealt = points.repartition(*([] if tasks is None else [tasks]), "_tile").sortWithinPartitions("_tile")
+    return dealt.mapInArrow(run, schema)
 
 
 def above_tiles(waiting: DataFrame, lo: tuple[float, float, float], size: float, ref: tuple[str, ...], deepest: int, written: Callable[[DataFrame], DataFrame], grid: int = GRID) -> DataFrame:

@@ -1,6 +1,7 @@
 """The stored octree, labels that meet points where they lie, and views that read files of nodes."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -257,3 +258,36 @@ def test_an_empty_scan_and_one_without_places(spark, tmp_path):
     assert p.records().count() == 100 and p.points().count() == 0
     assert p.nodes("a").count() == p.nodes("b").count() == 0 and p.history.bounds() is None
     assert list(View(p).request(Camera.framing(Bounds((0, 0, 0), (1, 1, 1))))) == []
+
+
+def test_small_tiles_are_taken_together(spark):
+    """Nodes of many tiles, some without a place and one cut in parts, are those of each tile by itself."""
+    rng = np.random.default_rng(8)
+    p = np.round(rng.uniform(0, 64, (3000, 3)) ** 1.5 / 8, 1)
+    p[:400] = 7.7
+    rows = [(k, bool(k % 50), *map(float, v)) for k, v in enumerate(p)]
+    points = spark.createDataFrame(rows, "ref long, valid boolean, x double, y double, z double")
+    laid = tiles.tiled(points, (0.0, 0.0, 0.0), 64.0, ("ref",), lambda df: df, 60)[0].cache()
+    own = {r["ref"]: r for r in laid.collect()}
+    want = {}
+    by_tile = {}
+    for k, r in own.items():
+        by_tile.setdefault(r["_tile"], []).append(k)
+    for tile, refs in by_tile.items():
+        key = tile & (1 << tiles.KEY_BITS) - 1
+        if key == tiles.NOWHERE:
+            want |= {k: (0, False) for k in refs}
+            continue
+        refs, top = sorted(refs), (key.bit_length() - 1) // 3
+        code = np.array([own[k]["_code"] for k in refs])
+        level = tiles.lift(p[refs], code, np.arange(len(refs)), top, (0.0, 0.0, 0.0), 64.0, 10, 4)
+        node = (np.int64(1) << 3 * level) | code >> 3 * (tiles.DEPTH - level)
+        want |= {k: (int(n), bool(v == top and top > 0)) for k, n, v in zip(refs, node, level, strict=True)}
+    for tasks in (1, 3, None):
+        built = tiles.with_nodes(laid, (0.0, 0.0, 0.0), 64.0, ("ref",), tasks, 10, 4)
+        assert {r["ref"]: (r["_node"], r["_waiting"]) for r in built.collect()} == want
+    assert len(by_tile) > 100
+    t = pa.table({"_tile": [1, 1, 2, 2, 2, 2, 3, 5, 5], "v": range(9)})
+    got = [x.column("_tile").to_pylist() for x in tiles.whole_tiles(t.to_batches(max_chunksize=2), 3)]
+    assert [v for x in got for v in x] == t.column("_tile").to_pylist() and len(got) > 2
+    assert not any(set(a) & set(b) for k, a in enumerate(got) for b in got[k + 1 :])
