@@ -11,6 +11,7 @@ from pointloom.operators import octree, tiles
 from pointloom.plans.project import PointProject
 from pointloom.plans.state import Scan
 from pointloom.plans.view import View
+from pointloom.session import checkpoint
 from pointloom.sources import demo
 
 
@@ -267,7 +268,7 @@ def test_small_tiles_are_taken_together(spark):
     p[:400] = 7.7
     rows = [(k, bool(k % 50), *map(float, v)) for k, v in enumerate(p)]
     points = spark.createDataFrame(rows, "ref long, valid boolean, x double, y double, z double")
-    laid = tiles.tiled(points, (0.0, 0.0, 0.0), 64.0, ("ref",), lambda df: df, 60)[0].cache()
+    laid = checkpoint(tiles.tiled(points, (0.0, 0.0, 0.0), 64.0, ("ref",), checkpoint, 60)[0])
     own = {r["ref"]: r for r in laid.collect()}
     want = {}
     by_tile = {}
