@@ -19,6 +19,8 @@ FEW, MANY, LEVELS = 4_000, 60_000, (2, 4, 6, 8, 10, 12)
 OFF = 1365.5
 #: Points that look for neighbours at once, and their candidates.
 BLOCK, PAIRS = 4_000, 4_000_000
+#: Points to an occupied cell from which a finer grid is looked through first.
+CROWD = 8
 #: Cells are wider than the reach by this factor, so that rounding cannot put a neighbour beyond them.
 MARGIN = 1 + 1e-9
 
@@ -68,9 +70,9 @@ class Cells:
             yield i[near] + lo, j[near], d2[near]
 
     def nearest(self, p: np.ndarray, radius: float, itself: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Indexes of the p that have a point within radius, and of their nearest ones. A grid of a quarter of the size
-        answers first; only what it leaves open looks farther. itself: of each p the index of a point that is not meant."""
-        if self.fine is None and self.size > 1e-9 and len(self.points) > 1000 and self.depth:
+        """Indexes of the p that have a point within radius, and of their nearest ones. Where cells are crowded a grid of a
+        quarter of the size answers first; only what it leaves open looks farther. itself: of each p the index of a point that is not meant."""
+        if self.fine is None and self.size > 1e-9 and len(self.points) > 1000 and self.depth and len(self.points) >= CROWD * (1 + np.count_nonzero(np.diff(self.keys))):
             self.fine = Cells(self.points, self.size / 4, self.depth - 1)
         todo, found = np.arange(len(p)), []
         if self.fine is not None and radius > self.fine.size / (1 + 1e-9):
